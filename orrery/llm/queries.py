@@ -10,7 +10,17 @@ from .html_extract import extract_pages
 from .language_id import identify_documents
 from .line_dedup import dedup_lines
 from .quality import apply_rules, fit_quality
+from .sentence_pieces import decode_texts, encode_texts
+from .storage import shared_folder
 from .substring_dedup import dedup_substrings
+from .token_files import token_digests, write_tokens
+
+
+def tokenizer_path(name: str) -> str:
+    """Of a public tokenizer that every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +42,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_digests(spark, path)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -51,13 +67,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "detected_lang", "confidence", "text_lang", F.col("accepted").alias("kept"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    out = decode_texts(encoded, path)
+    return out.select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("ids_xxhash64"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
