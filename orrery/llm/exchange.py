@@ -96,9 +96,13 @@ def ask(dealt: Dealt, emit, replies: DataFrame | None = None) -> DataFrame:
 
 
 def answer(blobs: DataFrame, resolve) -> DataFrame:
-    """`resolve(keys, aux)` takes the blobs of a shard and step and returns bytes for each of them."""
+    """`resolve(keys, aux)` takes the blobs of a shard and step and returns bytes for each of them.
+
+    Blobs come in the order of their groups, so that an answer that depends on it is the same each time.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(GROUP)
         groups, shards, steps = (table.column(c).to_pylist() for c in ("_x_group", "_x_shard", "_x_step"))
         out = resolve(table.column("_x_keys").to_pylist(), table.column("_x_aux").to_pylist())
         return pa.Table.from_arrays([pa.array(groups, pa.int32()), pa.array(shards, pa.int32()), pa.array(steps, pa.int32()), pa.array(out, pa.binary())], schema=_REPLY_SCHEMA)
