@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination, n_hit
 from .html_extract import extract_pages
+from .jaccard_join import similarity_groups
 from .language_id import identify_documents
 from .line_dedup import dedup_lines
 from .quality import apply_rules, fit_quality
@@ -32,6 +33,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_groups(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -79,6 +84,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
@@ -104,6 +110,24 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sh AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (
+    SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.m, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS i
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
@@ -135,6 +159,7 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_ngram_jaccard_join": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }
