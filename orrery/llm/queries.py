@@ -10,6 +10,7 @@ from .html_extract import extract_pages
 from .jaccard_join import similarity_groups
 from .language_id import identify_documents
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .quality import apply_rules, fit_quality
 from .sentence_pieces import decode_texts, encode_texts
 from .storage import shared_folder
@@ -67,6 +68,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "detected_lang", "confidence", "text_lang", F.col("accepted").alias("kept"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
