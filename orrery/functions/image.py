@@ -19,7 +19,10 @@ def convolve(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Same size, edges repeated."""
     r, c = kernel.shape[0] // 2, kernel.shape[1] // 2
     p = np.pad(a, ((r, r), (c, c)), mode="edge")
-    return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(p, kernel.shape), kernel)
+    out = np.zeros(a.shape)
+    for i, j in zip(*np.nonzero(kernel), strict=True):
+        out += kernel[i, j] * p[i : i + a.shape[0], j : j + a.shape[1]]
+    return out
 
 
 def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
@@ -72,6 +75,12 @@ def sharpness_udf(pixels: pd.Series, widths: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or not w else sharpness(np.asarray(p, float).reshape(-1, int(w)) / 255) for p, w in zip(pixels, widths, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def tiled_sharpness_udf(rows: pd.Series, sides: pd.Series) -> pd.Series:
+    """Of a square image whose rows all repeat `rows` (grey values 0..255)."""
+    return pd.Series([None if v is None else sharpness(np.tile(np.resize(np.asarray(v, float), int(n)), (int(n), 1)) / 255) for v, n in zip(rows, sides, strict=True)], dtype="float64")
+
+
 def flatten_alpha(grey: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """On middle grey."""
     return grey * alpha + 0.5 * (1 - alpha)

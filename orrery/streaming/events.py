@@ -19,6 +19,7 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events*.parque
 
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and totals by event-time window and type; rows later than `late` are left out."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     given = events.withWatermark("ts", late) if events.isStreaming else events
     return given.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
