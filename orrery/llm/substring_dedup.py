@@ -103,13 +103,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
     def second_step(group: int, parts: list[_Part], replies: pa.Table):
         every, _, order = first_step(group, parts)
         repeated = every[X.unpack(replies, 1, order)]
-        starts, hashes, docs_ = [], [], []
-        for p in parts:
+        starts, hashes, docs_, rows_ = [], [], [], []
+        for i, p in enumerate(parts):
             hit = np.isin(p.anchors, repeated)
             at = p.candidates(hit)
             starts.append(at)
             hashes.append(T.window_hashes(p.hashes, window)[at] if len(at) else np.empty(0, np.uint64))
             docs_.append(p.ids[p.doc[at]] if len(at) else np.empty(0, np.int64))
+            rows_.append((p.doc[at] if len(at) else np.empty(0, np.int64)) + (i << 32))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         d = np.concatenate(docs_) if docs_ else np.empty(0, np.int64)
         # Of a hash in a group the first occurrence alone is sent: documents come in ascending order.
@@ -117,18 +118,23 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
         new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
         lead = np.sort(order[new])
         rows, sent = X.pack(shards, group, 2, h[lead], np.uint64, d[lead])
-        return starts, h, d, order, new, lead, rows, sent
+        return starts, h, d, np.concatenate(rows_), order, new, lead, rows, sent
 
     def ask_windows(group: int, table: pa.Table, replies: pa.Table):
-        return second_step(group, _parts(table, window, period), replies)[6]
+        return second_step(group, _parts(table, window, period), replies)[7]
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         parts = _parts(table, window, period)
-        starts, h, _, _, _, lead, _, sent = second_step(table.column(X.GROUP)[0].as_py(), parts, replies)
-        # A window stays if it is its group's first and no other group has it in a smaller document.
-        # Rows of one id may share a group: theirs are equal to the first, and stay if that one does.
+        starts, h, d, row, order, new, lead, _, sent = second_step(table.column(X.GROUP)[0].as_py(), parts, replies)
+        # A window stays if it is the first of its row, its id is the least of its group, and no other group has it
+        # in a smaller document. Rows of one id share a group.
         first = np.zeros(len(h), bool)
-        first[lead] = X.unpack(replies, 2, sent)
+        if len(h):
+            told = X.unpack(replies, 2, sent)[np.searchsorted(lead, order[new])]
+            run = np.cumsum(new) - 1
+            ds, rs = d[order], row[order]
+            opens = new | np.append(True, rs[1:] != rs[:-1])
+            first[order] = opens & (ds == ds[np.flatnonzero(new)][run]) & told[run]
         at, ids, words, removed, texts = 0, [], [], [], []
         for p, s in zip(parts, starts, strict=True):
             again = np.zeros(p.n, bool)
