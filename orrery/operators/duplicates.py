@@ -69,20 +69,29 @@ def _bands(limbs: Column, bits: int, n: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(text, a + 1, b - a).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD, bits: int = C.HASH_BITS) -> DataFrame:
+def representatives(hashes: DataFrame) -> DataFrame:
+    """rep, limbs: the smallest asset of each distinct hash. What a large group of copies shares is merged before it is joined."""
+    return hashes.groupBy("limbs").agg(F.min("assetId").alias("rep")).select("rep", "limbs")
+
+
+def hamming_pairs(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD, bits: int = C.HASH_BITS, expand: bool = True) -> DataFrame:
     """All pairs (canonicalAssetId < duplicateAssetId) within `threshold` bits. `hashes`: assetId, limbs.
 
     Equal hashes are first merged to one row. The distinct ones are matched on bands: at most `threshold` differences
-    leave one of threshold + 1 bands untouched. Pairs of equal hashes are added from their groups.
+    leave one of threshold + 1 bands untouched. With `expand` every pair of copies is listed, as the pair table has
+    it; without, pairs are those of representatives and of each copy with its own, which grow with the rows only
+    and have the same clusters.
     """
-    groups = hashes.groupBy("limbs").agg(F.sort_array(F.collect_set("assetId")).alias("ids"))
-    rep = groups.select(F.col("ids")[0].alias("rep"), "limbs")
+    rep = representatives(hashes)
     banded = rep.select("rep", "limbs", F.explode(_bands(F.col("limbs"), bits, threshold + 1)).alias("b")).select("rep", "limbs", "b.band", "b.value")
     left = banded.select("band", "value", F.col("rep").alias("a"), F.col("limbs").alias("la"))
     right = banded.select("band", "value", F.col("rep").alias("b"), F.col("limbs").alias("lb"))
     close = left.join(right, ["band", "value"]).where(F.col("a") < F.col("b")).withColumn("hammingDistance", hamming(F.col("la"), F.col("lb"), bits)).where(F.col("hammingDistance") <= threshold)
     close = close.select("a", "b", "hammingDistance").distinct()
     member = hashes.join(rep.withColumnRenamed("limbs", "l"), hashes.limbs == F.col("l")).select("rep", "assetId")
+    if not expand:
+        star = member.where("rep <> assetId").select(F.col("rep").alias("canonicalAssetId"), F.col("assetId").alias("duplicateAssetId"), F.lit(0).alias("hammingDistance"))
+        return close.toDF("canonicalAssetId", "duplicateAssetId", "hammingDistance").unionByName(star).withColumn("similarity", similarity(F.col("hammingDistance"), bits))
     wide = close.join(member.select(F.col("rep").alias("a"), F.col("assetId").alias("x")), "a").join(member.select(F.col("rep").alias("b"), F.col("assetId").alias("y")), "b").select("x", "y", "hammingDistance")
     same = member.alias("p").join(member.alias("q"), "rep").where("p.assetId < q.assetId").select(F.col("p.assetId").alias("x"), F.col("q.assetId").alias("y"), F.lit(0).alias("hammingDistance"))
     return wide.unionByName(same).select(F.least("x", "y").alias("canonicalAssetId"), F.greatest("x", "y").alias("duplicateAssetId"), "hammingDistance", similarity(F.col("hammingDistance"), bits).alias("similarity"))
