@@ -29,6 +29,8 @@ _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog fo
 _NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion recommended recommendations related replies reply respond responses share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split()
 )
+#: Parts of names that are enough by themselves, also where words are written together.
+_WITHIN = re.compile(r"cookie|advert|sidebar|newsletter|breadcrumb|sponsor|popup|navbar|disqus|^comments?(?!ary)|(?:nav|menu|footer|header)$")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -42,11 +44,11 @@ def _is_other(tag: str, attrs: dict) -> bool:
         return True
     if tag in ("html", "body", "main", "article") and not re.search(r"comment|reply|related|promo|teaser", f"{attrs.get('class')} {attrs.get('id')}".lower()):
         return False
-    return any(x in _NAMES for k in ("class", "id") for x in _SPLIT.split(_CAMEL.sub("-", attrs.get(k) or "").lower()))
+    return any(x in _NAMES or _WITHIN.search(x) for k in ("class", "id") if attrs.get(k) for x in _SPLIT.split(_CAMEL.sub("-", attrs[k]).lower()))
 
 
 class Blocks(HTMLParser):
-    """Collects blocks as (text, tags, containers); texts of other parts are left out."""
+    """Collects blocks as (text, tags, containers, share of link text); texts of other parts are left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -54,17 +56,18 @@ class Blocks(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.other = 0
         self.tags = 0
+        self.links = self.linked = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], float]] = []
         self.kinds: list[str] = []
 
     def end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.path))
+                self.blocks.append((text, self.tags, self.path, self.linked / len(text)))
             self.parts = []
-            self.tags = 0
+            self.tags = self.linked = 0
 
     def _pop(self) -> None:
         tag, other, container = self.open.pop()
@@ -84,6 +87,8 @@ class Blocks(HTMLParser):
             self.end_block()
         if tag in _VOID:
             return
+        if tag == "a":
+            self.links = 1  # links don't nest
         given = dict(attrs)
         other = _is_other(tag, given)
         if tag in _LOOSE:
@@ -115,6 +120,8 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.links = 0
         if tag in _BLOCK:
             self.end_block()
         for i in range(len(self.open) - 1, -1, -1):
@@ -126,6 +133,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.other:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def smoothed_ratios(sizes: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -166,10 +175,10 @@ def extract_text(html: str | None) -> str:
     blocks = p.blocks
     if not blocks:
         return ""
-    sizes = np.array([len(t) for t, _, _ in blocks])
-    content = content_lines(smoothed_ratios(sizes, np.array([n for _, n, _ in blocks])))
+    sizes = np.array([len(t) for t, _, _, _ in blocks])
+    content = content_lines(smoothed_ratios(sizes, np.array([n for _, n, _, _ in blocks])))
     weight: dict[int, int] = {}
-    for (_, _, path), n, ok in zip(blocks, sizes.tolist(), content.tolist(), strict=True):
+    for (_, _, path, _), n, ok in zip(blocks, sizes.tolist(), content.tolist(), strict=True):
         for c in path if ok else ():
             weight[c] = weight.get(c, 0) + n
     articles = [c for c in weight if p.kinds[c] == "article"]
@@ -180,7 +189,9 @@ def extract_text(html: str | None) -> str:
         total = int(sizes[content].sum())
         wide = [c for c in weight if weight[c] >= 0.95 * total]
         region = max(wide, default=None)  # containers are numbered as they open: the largest is innermost
-    return "\n\n".join(t for t, _, path in blocks if region is None or region in path)
+    # Without an article, a line of low ratio that is all links is a menu that doesn't say so.
+    loose = not articles
+    return "\n\n".join(t for (t, _, path, link), ok in zip(blocks, content.tolist(), strict=True) if (region is None or region in path) and (ok or not (loose and link >= 0.9)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
