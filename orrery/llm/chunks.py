@@ -14,29 +14,40 @@ from . import textcore as T
 
 
 class ChunkEncoder:
-    """`encode(chunks)` gives the ids of each chunk (bytes); at most `remember` chunks are kept."""
+    """`encode(chunks)` gives the ids of all chunks (bytes) in a row and each one's number; at most `remember` chunks are kept."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], remember: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remember: int = 1_000_000):
         self.encode, self.remember = encode, remember
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.at = np.zeros(1, np.int64)
         self.flat = np.empty(0, np.int32)
+        self.used, self.turn = np.empty(0, np.int64), 0
+
+    def _forget(self) -> None:
+        """Keeps the half that was used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.remember // 2])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        lens = np.diff(self.at)[keep]
+        total = np.append(0, np.cumsum(lens))
+        self.flat = self.flat[np.arange(total[-1]) + np.repeat(self.at[keep] - total[:-1], lens)]
+        self.at, self.used = total, self.used[keep]
 
     def _places(self, chunks: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(chunks) > self.remember:
-            self._clear()
+        if len(self.known) > self.remember:
+            self._forget()
+        self.turn += 1
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
         if new:
-            ids = self.encode(new)
+            ids, lens = self.encode(new)
             n = len(self.known)
-            self.known.update((c, n + i) for i, c in enumerate(new))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.known.update(zip(new, range(n, n + len(new)), strict=True))
             self.at = np.append(self.at, self.at[-1] + np.cumsum(lens))
-            self.flat = np.concatenate([self.flat, *map(np.asarray, ids)]).astype(np.int32)
-        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
+            self.flat = np.append(self.flat, ids.astype(np.int32))
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.used[place] = self.turn
+        return place
 
     def texts(self, t: T.Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and their numbers, given chunks (byte ranges) and where each text's begin."""

@@ -9,6 +9,7 @@ the best score, the leftmost among equals, is taken until none is left, as byte-
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,13 @@ _MARK = 0x2581
 _NONE = np.iinfo(np.int32).max
 
 
+@lru_cache(1)
+def piece_encoder(path: str) -> tuple[PieceModel, ChunkEncoder]:
+    """One for each worker process."""
+    model = PieceModel(path)
+    return model, ChunkEncoder(SuffixMatcher(model).encode)
+
+
 class PieceModel:
     """Pieces of a byte-pair model with byte fallback, identity normalisation and a dummy prefix."""
 
@@ -89,7 +97,8 @@ class SuffixMatcher:
         order = np.argsort(at * (self.m.longest + 1) + self.m.lens[piece], kind="stable")
         return at[order], piece[order]
 
-    def encode(self, chunks: list[bytes], most: int = 1 << 18) -> list[np.ndarray]:
+    def encode(self, chunks: list[bytes], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and each one's number."""
         out: list = []
         batch, size = [], 0
         for c in chunks:
@@ -97,11 +106,14 @@ class SuffixMatcher:
             batch.append(text)
             size += len(text) + 1
             if size >= most:
-                out += self._encode(batch)
+                out.append(self._encode(batch))
                 batch, size = [], 0
-        return out + (self._encode(batch) if batch else [])
+        if batch:
+            out.append(self._encode(batch))
+        flat, counts = zip(*out, strict=True) if out else ((np.empty(0, np.int32),), (np.empty(0, np.int64),))
+        return np.concatenate(flat), np.concatenate(counts)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         m = self.m
         codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -156,8 +168,7 @@ class SuffixMatcher:
         if bare.any():
             raw = np.frombuffer("".join(map(chr, code[bare].tolist())).encode(), np.uint8)
             flat[np.arange(len(raw)) + np.repeat((ends - n)[bare] - (np.cumsum(n[bare]) - n[bare]), n[bare])] = m.bytes[raw]
-        counts = np.bincount(owner, n, minlength=len(texts)).astype(np.int64)
-        return np.split(flat, np.cumsum(counts)[:-1])
+        return flat, np.bincount(owner, n, minlength=len(texts)).astype(np.int64)
 
     @staticmethod
     def _merge_long(first: int, n: int, best: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +221,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, column: str = "tokens") ->
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        model = PieceModel(model_path)
-        encoder = ChunkEncoder(SuffixMatcher(model).encode)
+        model, encoder = piece_encoder(model_path)
         for batch in batches:
             values = T.column_bytes(batch.column(batch.schema.get_field_index("text")))
             for a, b in T.slices(values):
@@ -231,7 +241,7 @@ def decode_texts(docs: DataFrame, model_path: str, *, tokens: str = "tokens", co
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        surface = PieceModel(model_path).surface
+        surface = piece_encoder(model_path)[0].surface
         lens = np.fromiter(map(len, surface), np.int64, len(surface))
         at, flat = np.cumsum(lens) - lens, np.frombuffer(b"".join(surface), np.uint8)
         for batch in batches:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,45 @@ from .chunks import ChunkEncoder, cut
 FILE = S.StructType([S.StructField("part", S.IntegerType()), S.StructField("ordinal", S.LongType()), S.StructField("doc_id", S.LongType()), S.StructField("tokens", S.ArrayType(S.IntegerType()))])
 
 
+@lru_cache(1)
 def byte_bpe(path: str) -> ChunkEncoder:
-    """For byte-level BPE whose pattern starts a new token at every run of white space."""
+    """For byte-level BPE whose pattern starts a new token at every run of white space. One for each worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    return ChunkEncoder(lambda chunks: [e.ids for e in tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)])
+    special = {i for i, t in tok.get_added_tokens_decoder().items()}
+    # The bytes of each token: in this kind of vocabulary a character stands for a byte.
+    size = np.zeros(tok.get_vocab_size(), np.int64)
+    for t, i in tok.get_vocab().items():
+        size[i] = len(t.encode()) if i in special else len(t)
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """In one text, where chunks that start with white space follow one without it at its end; their bytes tell them apart."""
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        alone = [i for i, c in enumerate(chunks) if c[0] > 0x20 or not (0x20 < c[-1] < 0x7F or c[-1] >= 0x80 and not _may_be_space(c))]
+        left = np.ones(len(chunks), bool)
+        left[alone] = False
+        rest = np.flatnonzero(left).tolist()
+        ids = np.array(tok.encode_batch_fast([b"".join([chunks[i] for i in rest]).decode()], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.searchsorted(np.cumsum(size[ids]), np.cumsum(lens[rest]), side="left") + 1
+        if len(rest) and int(size[ids].sum()) != int(lens[rest].sum()):
+            raise ValueError("tokens don't add up to their text")
+        counts = np.zeros(len(chunks), np.int64)
+        counts[rest] = np.diff(np.append(0, cuts))
+        own = [e.ids for e in tok.encode_batch_fast([chunks[i].decode() for i in alone], add_special_tokens=False)]
+        counts[alone] = [len(x) for x in own]
+        flat = np.empty(int(counts.sum()), np.int64)
+        mask = np.repeat(left, counts)
+        flat[mask] = ids
+        flat[~mask] = np.concatenate([*map(np.asarray, own), np.empty(0, np.int64)])
+        return flat, counts
+
+    return ChunkEncoder(encode)
+
+
+def _may_be_space(chunk: bytes) -> bool:
+    return len(chunk) > 1 and (chunk[-2] == 0xC2 or len(chunk) > 2 and 0xE1 <= chunk[-3] <= 0xE3)
 
 
 def space_cuts(t: T.Texts) -> np.ndarray:
