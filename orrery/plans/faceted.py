@@ -231,3 +231,22 @@ def active_count(filters: Mapping[str, Any]) -> int:
 def resolve_site(requested: Any, sites: list[int], primary: int) -> int:
     n = _number(requested)
     return int(n) if n is not None and int(n) in sites else primary
+
+
+#: What a filter asks for, by the section of the page it stands in.
+SECTIONS = {
+    "content": ("tags", "hasTextInImage", "missingAltText"), "people": ("containsPeople", "faceCountPreset"), "safety": ("nsfwScoreMin", "nsfwScoreMax", "nsfwFlagged"),
+    "rights": ("hasWatermark", "watermarkType", "containsBrandLogo"), "quality": ("qualityIssue", "fileSizePreset", "hasFocalPoint"), "state": ("status", "unprocessed", "processedFrom", "processedTo", "provider", "providerModel"), "duplicates": ("hasDuplicates", "similarTo"),
+}
+
+
+def filter_registry(current: Mapping[str, Any] | None = None) -> list[dict[str, Any]]:
+    """Every filter with its section, kind of value, choices and current value."""
+    choices = {"faceCountPreset": FACE_PRESETS, "fileSizePreset": SIZE_PRESETS, "qualityIssue": tuple(p.QUALITY), "watermarkType": tuple(map(str, C.WatermarkType)), "status": tuple(map(str, C.AnalysisStatus))}
+    kind = lambda k: "boolean" if k in _BOOLEANS or k in ("hasDuplicates", "containsPeople", "nsfwFlagged") else "choice" if k in choices else "date" if k.startswith("processed") else "number" if k.startswith("nsfwScore") or k == "similarTo" else "text"
+    return [{"key": k, "section": s, "kind": kind(k), "choices": choices.get(k, ()), "value": (current or {}).get(k)} for s, keys in SECTIONS.items() for k in keys]
+
+
+def section_counts(filters: Mapping[str, Any]) -> dict[str, int]:
+    """Active filters of each section."""
+    return {s: sum(k in filters and k != "nsfwFlagged" for k in keys) for s, keys in SECTIONS.items()}

@@ -224,3 +224,48 @@ def test_entry_and_registry(spark, sf):
     assert out.columns == ["doc_id", "lang", "score"] and out.count() == 20
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 200
+
+
+def test_ingest_and_storage(spark, sf, tmp_path, save):
+    from orrery import cli
+    from orrery.catalog import Catalog
+    from orrery.operators import ingest as G
+    from orrery.plans import faceted as FC
+    from orrery.schemas import _DDL, schema
+    from orrery.sources.responses import parse_responses
+
+    base = {n: spark.createDataFrame([], schema(n)) for n in _DDL}
+    fill = lambda n, rows: spark.createDataFrame([tuple(r.get(f.name) for f in schema(n)) for r in rows], schema(n))
+    day = datetime(2024, 1, 1)
+    base["assets"] = fill("assets", [{"id": i, "volumeId": 1, "kind": "image", "filename": f"a{i}.jpg", "dateCreated": day} for i in (1, 2, 3)])
+    h = "0" * 62
+    base["analyses"] = fill("analyses", [{"id": 10 + i, "assetId": i, "status": "pending", "altText": "mine" if i == 1 else None, "altTextAi": "old" if i == 1 else None, "perceptualHash": h + x, "dateUpdated": day} for i, x in ((1, "00"), (2, "0f"))])
+    base["asset_tags"] = fill("asset_tags", [{"assetId": 1, "analysisId": 11, "tag": "Mine", "tagNormalized": "mine", "confidence": Decimal(1), "isAi": False}, {"assetId": 1, "analysisId": 11, "tag": "Old", "tagNormalized": "old", "confidence": Decimal(1), "isAi": True}])
+    base["analysis_content"] = fill("analysis_content", [{"analysisId": 11, "errorMessage": "m", "errorCode": "timeout"}])
+    G.write_tables(base, str(tmp_path))
+    text = '{"choices": [{"message": {"content": "{\\"altText\\": \\"boat on the lake\\", \\"tags\\": [{\\"tag\\": \\"Boat\\"}, {\\"tag\\": \\"mine\\"}]}"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 7}}'
+    raw = spark.createDataFrame([(1, "openai", text), (3, "openai", text), (2, "openai", "{}")], "assetId long, provider string, response string")
+    good, bad = parse_responses(raw)
+    out = G.ingest(Catalog(spark, base), good, day)
+    got = {r.assetId: (r.status, r.altText, r.altTextAi, r.inputTokens) for r in out["analyses"].collect()}
+    assert got == {1: ("completed", "mine", "boat on the lake", 7), 2: ("pending", None, None, None), 3: ("completed", "boat on the lake", "boat on the lake", 7)}
+    assert sorted((r.assetId, r.tagNormalized, r.isAi) for r in out["asset_tags"].collect()) == [(1, "boat", True), (1, "mine", False), (3, "boat", True), (3, "mine", True)]
+    assert out["analysis_content"].count() == 0 and G.save_errors(out["analysis_content"], bad, out["analyses"]).first().errorCode == "invalid_response"
+    G.write_tables(out, str(tmp_path))
+    stored = Catalog(spark, {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in _DDL})
+    assert G.rebuild_index(stored, f"{tmp_path}/search_index.parquet") > 0
+    again = spark.read.parquet(f"{tmp_path}/search_index.parquet")
+    assert [r.assetId for r in S.search(again, "boats").collect()] and again.where("assetId = 2").count() == 0
+    cli.main([str(tmp_path), "scan-duplicates"])
+    pair = spark.read.parquet(f"{tmp_path}/duplicate_groups.parquet").collect()
+    assert [(r.canonicalAssetId, r.duplicateAssetId, r.hammingDistance, r.clusterKey) for r in pair] == [(1, 2, 4, 1)]
+    for command in ("stats", "volumes", "cleanup-stuck", "retry-failed"):
+        cli.main([str(tmp_path), command])
+    assert {r.status for r in spark.read.parquet(f"{tmp_path}/analyses.parquet").collect()} == {"completed", "pending"}
+    pairs = spark.read.parquet(f"{tmp_path}/duplicate_groups.parquet")
+    hashes = lambda x: spark.createDataFrame([(1, "a"), (2, x)], "assetId long, hash string")
+    assert G.rehash(pairs, hashes("b"), hashes("c"), pairs.limit(0).select("canonicalAssetId", "duplicateAssetId", "hammingDistance", "similarity"), save).count() == 0
+    stored = Catalog(spark, {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in _DDL})
+    titled = G.apply_to_assets(stored.assets, stored.analyses, stored.assets.where("id = 3"), "alt")
+    assert {r.id: r.alt for r in titled.collect()} == {1: None, 2: None, 3: "boat on the lake"}
+    assert {x["section"] for x in FC.filter_registry({"tags": ["a"]})} == set(FC.SECTIONS) and FC.section_counts({"tags": ["a"]})["content"] == 1
