@@ -5,6 +5,7 @@ The stand-ins are written as portable SQL, so that queries and their oracles sta
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +97,7 @@ class Catalog:
     """The engine's tables. Any of them may be a table of the installation or a stand-in."""
 
     spark: SparkSession
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -119,13 +120,32 @@ def open_catalog(spark: SparkSession, folder: str) -> Catalog:
     return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{n}.parquet") for n in _DDL})
 
 
+class _Standins(Mapping):
+    """Makes a table when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.sql, self.made = spark, sf_dir, standin_sql("spark"), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            sql, base = self.sql[name], {}
+            for n in ("documents", "labels", "events"):
+                if f"FROM {n}" in sql or f"JOIN {n}" in sql:
+                    base[n] = self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet")
+                    sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
+            self.made[name] = self.spark.sql(sql, **base)
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.sql)
+
+    def __len__(self) -> int:
+        return len(self.sql)
+
+
 def test_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """Stand-ins over the test tables in `sf_dir`."""
-    base = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels", "events")}
-    out = {}
-    for name, sql in standin_sql("spark").items():
-        out[name] = spark.sql(sql.replace("FROM documents", "FROM {documents}").replace("JOIN documents", "JOIN {documents}").replace("FROM labels", "FROM {labels}").replace("FROM events", "FROM {events}").replace("JOIN labels", "JOIN {labels}"), **{k: v for k, v in base.items() if f"FROM {k}" in sql or f"JOIN {k}" in sql})
-    return Catalog(spark, out)
+    return Catalog(spark, _Standins(spark, sf_dir))
 
 
 def with_standins(sql: str) -> str:
