@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-_NONE = F.lit
-
 
 def dec(x) -> Column:
     return F.lit(Decimal(str(x)))

@@ -16,8 +16,6 @@ from . import pairs as P
 from . import predicates as p
 from .duplicates import affected_assets
 
-_DONE = F.col
-
 
 def _zero(c: Column, kind: str = "decimal(20,6)") -> Column:
     return F.coalesce(c, F.lit(0)).cast(kind)

@@ -24,7 +24,7 @@ from .operators import predicates as p
 from .operators import search_index as SIX
 from .operators import statistics as ST
 from .plans import faceted as FC
-from .plans.asset_query import AssetQuery, SOURCES, source
+from .plans.asset_query import AssetQuery, source
 from .plans.panel import asset_panel, brand_names, similar_top, top_tags
 from .schemas import orphans
 from .sources import logs as LG
