@@ -2,6 +2,9 @@
 
 Language identification, line de-duplication, near-duplicate removal, benchmark decontamination, and
 SentencePiece encoding with a decoded check. Stages are written as Parquet and read again in between.
+
+In every stage a null text counts as an empty one, repeated rows are each judged, an empty table gives an
+empty table with the same columns, and columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from orrery.llm.jaccard_join import similarity_groups
 from orrery.llm.language_id import identify_documents
 from orrery.llm.line_dedup import dedup_lines
 from orrery.llm.queries import tokenizer_path
-from orrery.llm.sentence_pieces import decode_texts, encode_texts
+from orrery.llm.sentence_pieces import encode_texts
 from orrery.llm.storage import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that their text, declared language and source agree on."""
+    """Keeps documents whose language is found from text, declared language and source; texts that are empty or without letters go."""
     return identify_documents(docs).where("accepted").select(docs.columns)
 
 
@@ -31,24 +34,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, similarity 0.8 or more) the document of the smallest id."""
+    """Keeps of each group of near duplicates (five words, similarity 0.8 or more) the document of the smallest id.
+
+    Texts without words belong to no group and stay, as do rows without an id.
+    """
     groups = similarity_groups(docs, shingle=5, num=4, den=5)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a passage of the benchmark."""
+    """Keeps documents without a passage of the benchmark; empty texts have none."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
     return found.where(F.size("spans") == 0).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the ids of each text, their number, and whether they decode to the text."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    out = decode_texts(encode_texts(docs, path), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return out.select(*docs.columns, "tokens", F.size("tokens").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    out = encode_texts(docs, tokenizer_path("piece_bpe_32k.model"), check="round_trip")
+    return out.select(*docs.columns, "tokens", F.size("tokens").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pieces", pieces)]

@@ -16,7 +16,7 @@ from . import textcore as T
 class ChunkEncoder:
     """`encode(chunks)` gives the ids of all chunks (bytes) in a row and each one's number; at most `remember` chunks are kept."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remember: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remember: int = 200_000):
         self.encode, self.remember = encode, remember
         self.known: dict[bytes, int] = {}
         self.at = np.zeros(1, np.int64)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import release
+
 GROUP = "_x_group"
 BLOBS = "_x_shard int, _x_group int, _x_step int, _x_keys binary, _x_aux binary"
 REPLIES = "_x_group int, _x_shard int, _x_step int, _x_bits binary"
@@ -55,12 +57,12 @@ def pack(shards: int, group: int, step: int, hashes: np.ndarray, dtype, aux: np.
     lead = hashes if hashes.ndim == 1 else hashes[:, 0]
     shard = ((lead >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    sorted_shard = shard[order]
+    heads = np.flatnonzero(np.append(True, sorted_shard[1:] != sorted_shard[:-1])[: len(order)])
     keys = hashes[order].astype(dtype)
     aux = None if aux is None else aux[order]
     rows = []
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = int(cuts[p]), int(cuts[p + 1])
+    for p, a, b in zip(sorted_shard[heads].tolist(), heads.tolist(), np.append(heads[1:], len(order)).tolist(), strict=True):
         rows.append((p, group, step, keys[a:b].tobytes(), b"" if aux is None else np.packbits(aux[a:b]).tobytes() if aux.dtype == bool else runs(aux[a:b])))
     return rows, order
 
@@ -80,17 +82,22 @@ def blob_table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
 
 
+def _released(table: pa.Table) -> pa.Table:
+    release()
+    return table
+
+
 def ask(dealt: Dealt, emit, replies: DataFrame | None = None) -> DataFrame:
     """`emit(group, table, replies)` returns blob rows of one group; replies are those of earlier steps."""
     if replies is None:
 
         def run(table: pa.Table) -> pa.Table:
-            return blob_table(emit(table.column(GROUP)[0].as_py(), table, None))
+            return _released(blob_table(emit(table.column(GROUP)[0].as_py(), table, None)))
 
         return dealt.docs.groupBy(GROUP).applyInArrow(run, BLOBS)
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return blob_table(emit(table.column(GROUP)[0].as_py(), table, answers) if table.num_rows else [])
+        return _released(blob_table(emit(table.column(GROUP)[0].as_py(), table, answers) if table.num_rows else []))
 
     return dealt.docs.groupBy(GROUP).cogroup(replies.groupBy("_x_group")).applyInArrow(both, BLOBS)
 
@@ -119,7 +126,7 @@ def finish(dealt: Dealt, replies: DataFrame, apply, schema) -> DataFrame:
     arrow = to_arrow_schema(struct)
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return apply(table, answers) if table.num_rows else arrow.empty_table()
+        return _released(apply(table, answers)) if table.num_rows else arrow.empty_table()
 
     return dealt.docs.groupBy(GROUP).cogroup(replies.groupBy("_x_group")).applyInArrow(both, struct)
 

@@ -97,7 +97,7 @@ class SuffixMatcher:
         order = np.argsort(at * (self.m.longest + 1) + self.m.lens[piece], kind="stable")
         return at[order], piece[order]
 
-    def encode(self, chunks: list[bytes], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[bytes], most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and each one's number."""
         out: list = []
         batch, size = [], 0
@@ -211,25 +211,46 @@ def _cuts(t: T.Texts, model: PieceModel) -> np.ndarray:
     return before
 
 
-def encode_texts(docs: DataFrame, model_path: str, *, column: str = "tokens") -> DataFrame:
+class Surfaces:
+    """What each id stands for, as bytes in a row."""
+
+    def __init__(self, model: PieceModel):
+        self.lens = np.fromiter(map(len, model.surface), np.int64, len(model.surface))
+        self.at, self.flat = np.cumsum(self.lens) - self.lens, np.frombuffer(b"".join(model.surface), np.uint8)
+
+    def texts(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Of rows of ids, given where each row's begin (with a last entry); the space that encoding puts in front goes."""
+        n = self.lens[ids]
+        total = np.append(0, np.cumsum(n))
+        raw = self.flat[np.arange(total[-1]) + np.repeat(self.at[ids] - total[:-1], n)].tobytes()
+        return [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(total[first[:-1]].tolist(), total[first[1:]].tolist(), strict=True)]
+
+
+def encode_texts(docs: DataFrame, model_path: str, *, column: str = "tokens", check: str | None = None) -> DataFrame:
     """Adds the ids of each whole text as `column` (which gives way if there); a null or empty text has none.
 
-    Ids are those that the model's own library gives. Other columns, repeated rows and null keys pass through.
+    Ids are those that the model's own library gives. With `check`, a column of that name says whether they decode to
+    the text, found in the same pass. Other columns, repeated rows and null keys pass through.
     """
-    docs = docs.drop(column)
-    schema = S.StructType([*docs.schema.fields, S.StructField(column, S.ArrayType(S.IntegerType()))])
+    docs = docs.drop(column, *([check] if check else []))
+    schema = S.StructType([*docs.schema.fields, S.StructField(column, S.ArrayType(S.IntegerType())), *([S.StructField(check, S.BooleanType())] if check else [])])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         model, encoder = piece_encoder(model_path)
+        surfaces = Surfaces(model) if check else None
         for batch in batches:
             values = T.column_bytes(batch.column(batch.schema.get_field_index("text")))
-            for a, b in T.slices(values):
+            for a, b in T.slices(values, 1 << 20):
                 t = T.join_texts(values[a:b])
                 ids, counts = encoder.texts(t, *cut(t, _cuts(t, model), lead=1))
-                tokens = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), ids)
+                first = np.append(0, np.cumsum(counts))
+                new = [pa.ListArray.from_arrays(first.astype(np.int32), ids)]
+                if surfaces:
+                    new.append(pa.array([x == (v or b"") for x, v in zip(surfaces.texts(ids, first), values[a:b], strict=True)]))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)), tokens], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)), *new], schema=arrow)
+            T.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -241,19 +262,13 @@ def decode_texts(docs: DataFrame, model_path: str, *, tokens: str = "tokens", co
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        surface = piece_encoder(model_path)[0].surface
-        lens = np.fromiter(map(len, surface), np.int64, len(surface))
-        at, flat = np.cumsum(lens) - lens, np.frombuffer(b"".join(surface), np.uint8)
+        surfaces = Surfaces(PieceModel(model_path))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(tokens)).fill_null([])
             for k in range(0, batch.num_rows, 512):
                 part = lists.slice(k, 512)
                 first = part.offsets.to_numpy().astype(np.int64)
-                ids = part.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
-                n = lens[ids]
-                total = np.append(0, np.cumsum(n))
-                raw = flat[np.arange(total[-1]) + np.repeat(at[ids] - total[:-1], n)].tobytes()
-                made = [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(total[first[:-1] - first[0]].tolist(), total[first[1:] - first[0]].tolist(), strict=True)]
+                made = surfaces.texts(part.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0])
                 rows = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(rows.columns, arrow, strict=False)), pa.array([x.decode("utf-8", "replace") for x in made], pa.string())], schema=arrow)
 

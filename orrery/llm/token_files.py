@@ -58,7 +58,7 @@ def byte_bpe(path: str) -> ChunkEncoder:
         flat[~mask] = np.concatenate([*map(np.asarray, own), np.empty(0, np.int64)])
         return flat, counts
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, remember=600_000)
 
 
 def _may_be_space(chunk: bytes) -> bool:
