@@ -281,6 +281,8 @@ def test_pieces(spark, docs, rows, empty):
     for r in out:
         assert r.tokens == sp.encode(r.text or ""), r.doc_id
         assert r.decoded == (r.text or "").replace("▁", " "), r.doc_id
+    marked = {r.doc_id: r.ok for r in encode_texts(given, path, check="ok").collect()}
+    assert not marked[200] and all(v for k, v in marked.items() if k != 200)
     assert encode_texts(docs, path).columns.count("tokens") == 1
     assert decode_texts(encode_texts(empty, path), path).count() == 0
 
