@@ -32,9 +32,11 @@ def time_ago(ts: Column, now: datetime) -> Column:
 
 
 def file_size_text(size: Column) -> Column:
-    """Megabytes with one decimal (none if it is 0), else kilobytes."""
-    mb = F.regexp_replace(_s(F.round(size.cast("double") / 1_000_000, 1)), r"\.0$", "")
-    return F.when(size >= C.TOO_LARGE_BYTES, F.concat(mb, F.lit("MB"))).otherwise(F.concat(_s(F.round(size.cast("double") / 1000).cast("long")), F.lit("KB")))
+    """Megabytes with one decimal (none if it is 0), else kilobytes. Halves round up; counted in whole numbers, so that ties are exact."""
+    n = size.cast("long")
+    tenths = F.floor((n + 50_000) / 100_000)
+    mb = F.regexp_replace(F.concat(_s(F.floor(tenths / 10)), F.lit("."), _s(tenths % 10)), r"\.0$", "")
+    return F.when(size >= C.TOO_LARGE_BYTES, F.concat(mb, F.lit("MB"))).otherwise(F.concat(_s(F.floor((n + 500) / 1000)), F.lit("KB")))
 
 
 def nsfw_label(score: Column) -> Column:

@@ -413,7 +413,7 @@ on_catalog("label_status_provider", "SELECT a.id, CASE l.status WHEN 'completed'
     lambda c: c.assets.join(c.analyses.select(F.col("assetId").alias("id"), "status", "provider", "providerModel"), "id", "left").select("id", L.status_label(F.col("status")).alias("s"), L.provider_label(F.col("provider"), F.col("providerModel")).alias("provider")).select("id", F.col("s.text").alias("status"), "s.color", "provider")
 )
 on_catalog("label_watermark", "SELECT assetId, CASE WHEN NOT hasWatermark THEN '' ELSE upper(watermarkType[1]) || watermarkType[2:] || CASE WHEN watermarkType = 'stock' AND coalesce(watermarkDetails.stockProvider, '') <> '' THEN ' (' || watermarkDetails.stockProvider || ')' ELSE '' END END AS label FROM analyses")(lambda c: c.analyses.select("assetId", L.watermark_label(F.col("hasWatermark"), F.col("watermarkType"), F.col("watermarkDetails.stockProvider")).alias("label")))
-on_catalog("fmt_size", "SELECT id, CASE WHEN size >= 1000000 THEN regexp_replace(CAST(round(size / 1000000.0, 1) AS VARCHAR), '\\.0$', '') || 'MB' ELSE CAST(CAST(round(size / 1000.0) AS BIGINT) AS VARCHAR) || 'KB' END AS text FROM assets WHERE size % 1000 <> 500 AND size % 100000 <> 50000")(lambda c: c.assets.where("size % 1000 <> 500 AND size % 100000 <> 50000").select("id", L.file_size_text(F.col("size")).alias("text")))
+on_catalog("fmt_size", "SELECT id, CASE WHEN size >= 1000000 THEN regexp_replace(CAST(round(size / 1000000.0, 1) AS VARCHAR), '\\.0$', '') || 'MB' ELSE CAST(CAST(round(size / 1000.0) AS BIGINT) AS VARCHAR) || 'KB' END AS text FROM assets WHERE size % 1000 <> 500 AND size % 100000 <> 50000")(lambda c: c.assets.select("id", L.file_size_text(F.col("size")).alias("text")))
 on_catalog("fmt_duration", "SELECT id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || 's' ELSE '' END ELSE s // 3600 || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || s // 60 % 60 || 'm' ELSE '' END END AS text FROM (SELECT id, id * 37 AS s FROM assets)")(lambda c: c.assets.select("id", L.duration_text(F.col("id") * 37).alias("text")))
 on_catalog("time_ago", "SELECT id, CASE WHEN s >= 86400 THEN CASE WHEN s // 86400 = 1 THEN '1 day ago' ELSE s // 86400 || ' days ago' END WHEN s >= 3600 THEN CASE WHEN s // 3600 = 1 THEN '1 hour ago' ELSE s // 3600 || ' hours ago' END WHEN s >= 60 THEN CASE WHEN s // 60 = 1 THEN '1 min ago' ELSE s // 60 || ' mins ago' END ELSE 'just now' END AS text FROM (SELECT id, CAST(abs(epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(dateCreated)) AS BIGINT) AS s FROM assets)")(lambda c: c.assets.select("id", L.time_ago(F.col("dateCreated"), LATE).alias("text")))
 on_catalog("title_autogenerated", r"""WITH t AS (SELECT id, title, regexp_replace(filename, '\.[^.]*$', '') AS s FROM assets) SELECT id, coalesce(title, '') = '' OR lower(title) = lower(s) OR lower(title) = lower(trim(regexp_replace(s, '[-_.]+', ' ', 'g'))) AS automatic FROM t""")(lambda c: c.assets.select("id", L.title_is_automatic(F.col("title"), F.col("filename")).alias("automatic")))
@@ -499,12 +499,12 @@ on_catalog("dup_unresolved_page", "SELECT id, hammingDistance FROM duplicate_gro
 on_catalog("similar_to_ranked", f"SELECT CASE WHEN canonicalAssetId = 17 THEN duplicateAssetId ELSE canonicalAssetId END AS assetId, similarity FROM duplicate_groups WHERE resolution IS NULL AND 17 IN (canonicalAssetId, duplicateAssetId)")(lambda c: D.similar_ranked(c.duplicate_groups, 17).select("assetId", "similarity"))
 on_catalog("similar_top3", f"WITH e AS (SELECT canonicalAssetId AS a, duplicateAssetId AS b, similarity AS s FROM duplicate_groups WHERE resolution IS NULL UNION ALL SELECT duplicateAssetId, canonicalAssetId, similarity FROM duplicate_groups WHERE resolution IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn, count(*) OVER (PARTITION BY a) AS n FROM e) SELECT a AS assetId, max(n) AS n_similar, list(b ORDER BY rn) AS similar FROM r WHERE rn <= 3 GROUP BY a")(lambda c: similar_top(c.duplicate_groups))
 _CC = "e AS (SELECT canonicalAssetId AS x, duplicateAssetId AS y FROM {p} UNION ALL SELECT duplicateAssetId, canonicalAssetId FROM {p}), r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b), k AS (SELECT a, min(b) AS k FROM r GROUP BY a)"
-on_catalog("dup_cluster_keys", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(lambda c: D.cluster(c.duplicate_groups.where("canonicalAssetId < 300"), shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey"))
+on_catalog("dup_cluster_keys", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(lambda c: D.cluster(c.duplicate_groups, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey"))
 on_catalog("dup_resolve_splits", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300 AND id <> 170), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
-    lambda c: D.resolve(c.duplicate_groups.where("canonicalAssetId < 300"), 170, "kept", NOW, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
+    lambda c: D.resolve(c.duplicate_groups, 170, "kept", NOW, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
 )
 on_catalog("dup_asset_deleted", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300 AND canonicalAssetId % 16 <> 1 AND duplicateAssetId % 16 <> 1), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
-    lambda c: D.without_assets(c.duplicate_groups.where("canonicalAssetId < 300"), c.assets.where("id % 16 = 1").select(F.col("id").alias("assetId")), shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
+    lambda c: D.without_assets(c.duplicate_groups, c.assets.where("id % 16 = 1").select(F.col("id").alias("assetId")), shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
 )
 on_catalog("dup_new_pairs", "SELECT a.id AS canonicalAssetId, a.id + 2 AS duplicateAssetId FROM assets a WHERE NOT EXISTS (SELECT 1 FROM duplicate_groups d WHERE d.canonicalAssetId = a.id AND d.duplicateAssetId = a.id + 2)")(lambda c: D.new_pairs(c.assets.select(F.col("id").alias("canonicalAssetId"), (F.col("id") + 2).alias("duplicateAssetId")), c.duplicate_groups))
 

@@ -98,6 +98,49 @@ def test_clusters_merge_split_and_restamp(spark, save):
     assert again == {0: 1, 1: 1, 2: 1, 50: None}
 
 
+def test_clusters_over_the_whole_pair_table(spark, sf):
+    """The registered queries against brute force: pairs of every id get their key."""
+    from pathlib import Path
+
+    from orrery.catalog import test_catalog as catalog_of
+    from orrery.queries import QUERIES
+
+    sf = str(Path(sf).parent / "sf0.01")
+    pairs = [r for r in catalog_of(spark, sf).duplicate_groups.collect() if r.resolution is None]
+    deleted = {r.id for r in catalog_of(spark, sf).assets.select("id").collect() if r.id % 16 == 1}
+    assert max(r.canonicalAssetId for r in pairs) >= 300
+
+    def keys(rows):
+        root = {}
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for r in rows:
+            a, b = sorted((find(r.canonicalAssetId), find(r.duplicateAssetId)))
+            root[b] = a
+        return {r.id: find(r.canonicalAssetId) for r in rows}
+
+    want = {
+        "dup_cluster_keys": pairs,
+        "dup_resolve_splits": [r for r in pairs if r.id != 170],
+        "dup_asset_deleted": [r for r in pairs if not {r.canonicalAssetId, r.duplicateAssetId} & deleted],
+    }
+    for name, rows in want.items():
+        assert {r.id: r.clusterKey for r in QUERIES[name](spark, sf).collect()} == keys(rows), name
+
+
+def test_file_sizes_round_halves_up(spark, sf):
+    from orrery.catalog import test_catalog as catalog_of
+    from orrery.queries import QUERIES
+
+    want = {0: "0KB", 499: "0KB", 500: "1KB", 1500: "2KB", 2500: "3KB", 999_500: "1000KB", 1_000_000: "1MB", 1_050_000: "1.1MB", 1_150_000: "1.2MB", 1_250_000: "1.3MB", 1_949_999: "1.9MB", 1_950_000: "2MB", 12_345_678: "12.3MB"}
+    df = spark.createDataFrame([(n,) for n in want], "n long")
+    assert {r.n: r.t for r in df.select("n", L.file_size_text(F.col("n")).alias("t")).collect()} == want
+    assert QUERIES["fmt_size"](spark, sf).count() == catalog_of(spark, sf).assets.count()
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(i, (i * 7 + 3) % 50) for i in range(50)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 101)], [(5, 5)]])
 def test_components(spark, save, edges):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), save).collect()}
