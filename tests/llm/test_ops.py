@@ -327,6 +327,48 @@ def test_lm(spark, docs, rows, empty):
     assert score_documents(empty).count() == 0
 
 
+def test_lm_keeps_pairs_seen_once(spark, sf):
+    from orrery.llm.lm_score import score_documents
+    from orrery.llm.queries import QUERIES
+
+    texts = {0: "alpha beta gamma", 2: "delta beta", 3: "gamma delta", 4: "alpha gamma"}
+    texts = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1} | {i: "alpha beta" for i in range(5, 60) if zlib.crc32(str(i).encode()) % 5 == 1}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tokens = {i: [*t.split(), None] for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 0 in train and len(train) < len(texts)
+    c = collections.Counter(w for i in train for w in tokens[i])
+    pairs = collections.Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i]))
+    assert pairs["alpha", "beta"] == 1
+    context = c + collections.Counter({0: len(train)})
+    quantised = lambda k: 2 ** (round(8 * math.log2(k)) / 8) if k else 0
+    mass = collections.Counter()
+    for (a, _), k in pairs.items():
+        mass[a] += quantised(k)
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    for r in score_documents(df, least=1).collect():
+        own = tokens[r.doc_id]
+        s = sum(math.log10((quantised(pairs[a, b]) + (max(context[a] - mass[a], 0) + 4) * p(b)) / (max(context[a], mass[a]) + 4)) for a, b in zip([0, *own], own))
+        assert r.score == pytest.approx(s, abs=1e-5), r.doc_id
+    # The query is the one that keeps them.
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    by_id = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
+    got = by_id(QUERIES["op9_lm_scoring"](spark, sf))
+    assert got == by_id(score_documents(docs, least=1)) and got != by_id(score_documents(docs, least=2))
+
+
+def test_lm_counts_have_no_upper_bound():
+    from orrery.llm.lm_score import code_of, count_of, resolve_pairs
+
+    counts = np.array([1, 2, 255, 2**31, 2**33, 10**13])
+    assert np.allclose(count_of(code_of(counts)), counts, rtol=0.05) and code_of(counts[:3]).dtype == np.uint8
+    one = (1).to_bytes(8, "little") + np.array([7], np.uint64).tobytes() + np.array([9], np.uint32).tobytes()
+    aux = np.array([1], np.uint32).tobytes() + np.array([2**32 - 1], np.uint32).tobytes()
+    replies = resolve_pairs(1)([one] * 4, [aux] * 4)
+    assert all(b[0] == 2 and np.isclose(count_of(np.frombuffer(b, np.uint16, -1, 9))[0], 4 * (2**32 - 1), rtol=0.05) for b in replies)
+
+
 def test_elias_fano():
     from orrery.llm.lm_score import EliasFano
 
