@@ -7,6 +7,7 @@ from the corpus to the address suffix to the host.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,7 +77,8 @@ def fit_languages(
     host = F.lit(None).cast("string") if host is None else host
     suffix = F.lit(None).cast("string") if suffix is None else suffix
     rows = docs.select(base_code(declared).alias("lang"), host.alias("host"), suffix.alias("suffix"), "text")
-    counts = rows.groupBy("host", "suffix", "lang").count().where(F.col("lang").isNotNull())
+    seen = rows.groupBy("host", "suffix", "lang").count()
+    counts = seen.where(F.col("lang").isNotNull())
     # The grouped counts are few against the texts; languages are bounded by the pattern and by max_languages.
     top = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     languages = sorted(r["lang"] for r in top)
@@ -113,11 +115,14 @@ def fit_languages(
 
     # Corpus -> suffix -> host, each smoothed by the one above.
     one = lambda n, parent: (n + F.lit(strength) * parent) / (F.col("_t") + F.lit(strength))
+    # A host that declares no language has the prior of its suffix.
     known = counts.where(F.col("lang").isin(languages))
+    hosts = seen.select("host", "suffix", F.when(F.col("lang").isin(languages), F.col("lang")).alias("lang"), "count")
     by_suffix = known.groupBy("suffix").agg(F.sum("count").alias("_t"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
     by_suffix = by_suffix.select("suffix", F.array(*[one(F.col(f"n{i}"), F.lit(float(overall[i]))) for i in range(len(languages))]).alias("above"))
-    by_host = known.groupBy("host").agg(F.sum("count").alias("_t"), F.min("suffix").alias("suffix"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
-    by_host = by_host.where(F.col("host").isNotNull()).join(by_suffix.withColumnRenamed("suffix", "s"), F.col("suffix").eqNullSafe(F.col("s")))
+    by_host = hosts.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("lang").isNotNull(), F.col("count"))), F.lit(0)).alias("_t"), F.min("suffix").alias("suffix"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
+    corpus = F.array(*[F.lit(float(x)) for x in overall])
+    by_host = by_host.where(F.col("host").isNotNull()).join(by_suffix.withColumnRenamed("suffix", "s"), F.col("suffix").eqNullSafe(F.col("s")), "left").withColumn("above", F.coalesce("above", corpus))
     by_host = by_host.select("host", F.array(*[F.log(one(F.col(f"n{i}"), F.col("above")[i])) for i in range(len(languages))]).alias("prior"))
     few = by_host.limit(max_hosts + 1).collect()
     if len(few) > max_hosts:
@@ -198,10 +203,15 @@ def identify_documents(docs: DataFrame, *, declared: str = "lang", host: str = "
     return identify(docs, model, declared=F.col(declared), host=F.col(host), priors=priors)
 
 
-def identify_pages(pages: DataFrame, text: Column) -> DataFrame:
-    """Pages with their extracted `text`: markup declares the language, the address gives host and suffix."""
+def identify_pages(pages: DataFrame, text: Column, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pages with their extracted `text`: markup declares the language, the address gives host and suffix.
+
+    `save` writes the table and returns it as read, so that `text` is made once for the model and the pages.
+    """
     h = address_host(F.col("url"))
-    given = pages.withColumn("text", text)
-    kw = {"declared": markup_lang(F.col("html")), "host": h}
-    model, priors = fit_languages(given, **kw, suffix=F.regexp_extract(h, r"([^.]+)$", 1))
-    return identify(given, model, **kw, priors=priors)
+    given = pages.withColumn("text", text).withColumns({"_p_declared": markup_lang(F.col("html")), "_p_host": h, "_p_suffix": F.regexp_extract(h, r"([^.]+)$", 1)})
+    if save:
+        given = save(given)
+    kw = {"declared": F.col("_p_declared"), "host": F.col("_p_host")}
+    model, priors = fit_languages(given, **kw, suffix=F.col("_p_suffix"))
+    return identify(given, model, **kw, priors=priors).drop("_p_declared", "_p_host", "_p_suffix")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination, n_hit
 from .html_extract import extract_pages
 from .jaccard_join import similarity_groups
-from .language_id import identify_documents
+from .language_id import identify_documents, identify_pages
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
 from .quality import apply_rules, fit_quality
@@ -77,6 +77,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "detected_lang", "confidence", "text_lang", F.col("accepted").alias("kept"))
 
 
+def op8_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table beside the documents of op8_language_id: here markup, address suffix and host are evidence too."""
+
+    def save(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "page-texts")
+        df.drop("html").write.parquet(path)
+        return spark.read.parquet(path)
+
+    out = identify_pages(extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")), F.col("text"), save)
+    return out.select("page_id", "detected_lang", "confidence", "text_lang", F.col("accepted").alias("kept"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -96,6 +108,7 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op8_page_language": op8_page_language,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
 }
