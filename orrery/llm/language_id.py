@@ -65,11 +65,12 @@ def trigrams(values: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_languages(
-    docs: DataFrame, *, declared: Column, host: Column | None = None, suffix: Column | None = None, buckets: int = 1 << 14, max_languages: int = 64, max_hosts: int = 100_000, strength: float = 20.0, declared_trust: float = 0.9, floor: float = -0.6
+    docs: DataFrame, *, declared: Column, host: Column | None = None, suffix: Column | None = None, buckets: int = 1 << 14, dense: int = 64, max_hosts: int = 100_000, strength: float = 20.0, declared_trust: float = 0.9, floor: float = -0.6
 ) -> tuple[LanguageModel, DataFrame | None]:
-    """The model, and a table (host, prior) if there are more than `max_hosts` hosts.
+    """The model, and a table (host, prior) if there are more than `max_hosts` hosts (fewer with more than 64 languages).
 
-    Languages are the `max_languages` declared most; another one counts as not declared. All counts
+    Languages are all that are declared; the pattern of codes bounds their number (18 252), and the model takes 64 KB for
+    each. Trigrams of the `dense` languages declared most are summed up in a task, those of others by text. All counts
     are over all documents. `floor`: how far, per trigram, a text may fall below its language's own mean
     before the background explains it better, as a share of the distance between the two.
     """
@@ -79,51 +80,71 @@ def fit_languages(
     rows = docs.select(base_code(declared).alias("lang"), host.alias("host"), suffix.alias("suffix"), "text")
     seen = rows.groupBy("host", "suffix", "lang").count()
     counts = seen.where(F.col("lang").isNotNull())
-    # The grouped counts are few against the texts; languages are bounded by the pattern and by max_languages.
-    top = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # The grouped counts are few against the texts; languages are bounded by the pattern.
+    top = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = sorted(r["lang"] for r in top)
+    common = {r["lang"]: i for i, r in enumerate(top[:dense])}
     if not languages:
         return LanguageModel([], np.zeros((0, buckets)), 0.0, declared_trust, np.zeros(0)), None
     total = {r["lang"]: r["n"] for r in top}
     overall = np.array([total[x] + 1.0 for x in languages])
     overall /= overall.sum()
 
+    names = ["l", "b", "n"]
+
     def count(batches):
-        out = np.zeros((len(languages), buckets), np.int64)
+        out = np.zeros((len(common), buckets), np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             values = T.column_bytes(batch.column(1))
             for a, b in T.slices(values):
                 ids, first = trigrams(values[a:b], buckets)
-                own = np.repeat(np.array([place.get(x, -1) for x in langs[a:b]]), np.diff(first))
+                own = np.repeat(np.array([common.get(x, -1) for x in langs[a:b]], np.int64), np.diff(first))
                 ok = own >= 0
                 out += np.bincount(own[ok] * buckets + ids[ok], minlength=out.size).reshape(out.shape)
-        for i in range(len(languages)):
+                if len(common) < len(languages):
+                    own = np.repeat(np.array([-1 if x in common else place.get(x, -1) for x in langs[a:b]], np.int64), np.diff(first))
+                    ok = own >= 0
+                    key, n = np.unique(own[ok] * buckets + ids[ok], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((key // buckets).astype(np.int32)), pa.array((key % buckets).astype(np.int32)), pa.array(n.astype(np.int64))], names=names)
+        for x, i in common.items():
             at = np.flatnonzero(out[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(out[i][at])], names=["l", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place[x], np.int32)), pa.array(at.astype(np.int32)), pa.array(out[i][at])], names=names)
 
     grams = np.full((len(languages), buckets), 0.5)
-    # At most max_languages * buckets rows.
+    # At most one row for each language and bucket.
     for r in rows.select("lang", "text").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toLocalIterator():
         grams[r["l"], r["b"]] += r["n"]
-    p = grams / grams.sum(axis=1, keepdims=True)
-    weights = np.log(p)
-    own_mean = float((p * weights).sum(axis=1).mean())
+    # Language by language, so that many of them take no copies of the whole.
+    weights, means = np.empty(grams.shape, np.float32), np.empty(len(languages))
+    for i, n in enumerate(grams):
+        p = n / n.sum()
+        own = np.log(p)
+        weights[i], means[i] = own, (p * own).sum()
+    own_mean = float(means.mean())
     flat = -np.log(buckets)
-    model = LanguageModel(languages, weights.astype(np.float32), own_mean + floor * (own_mean - flat), declared_trust, overall)
+    model = LanguageModel(languages, weights, own_mean + floor * (own_mean - flat), declared_trust, overall)
 
-    # Corpus -> suffix -> host, each smoothed by the one above.
-    one = lambda n, parent: (n + F.lit(strength) * parent) / (F.col("_t") + F.lit(strength))
-    # A host that declares no language has the prior of its suffix.
-    known = counts.where(F.col("lang").isin(languages))
-    hosts = seen.select("host", "suffix", F.when(F.col("lang").isin(languages), F.col("lang")).alias("lang"), "count")
-    by_suffix = known.groupBy("suffix").agg(F.sum("count").alias("_t"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
-    by_suffix = by_suffix.select("suffix", F.array(*[one(F.col(f"n{i}"), F.lit(float(overall[i]))) for i in range(len(languages))]).alias("above"))
-    by_host = hosts.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("lang").isNotNull(), F.col("count"))), F.lit(0)).alias("_t"), F.min("suffix").alias("suffix"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
+    # Corpus -> suffix -> host, each smoothed by the one above; counts of languages lie in a map, however many there are.
     corpus = F.array(*[F.lit(float(x)) for x in overall])
-    by_host = by_host.where(F.col("host").isNotNull()).join(by_suffix.withColumnRenamed("suffix", "s"), F.col("suffix").eqNullSafe(F.col("s")), "left").withColumn("above", F.coalesce("above", corpus))
-    by_host = by_host.select("host", F.array(*[F.log(one(F.col(f"n{i}"), F.col("above")[i])) for i in range(len(languages))]).alias("prior"))
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang"))
+
+    def smoothed(rows: DataFrame, key: str, parent: DataFrame | None, above: Column) -> DataFrame:
+        by = rows.groupBy(key, "lang").agg(F.sum("count").alias("n"), F.min("suffix").alias("_s"))
+        entry = F.when(F.col("lang").isNotNull(), F.struct(place.alias("l"), F.col("n")))
+        # collect_list leaves nulls out.
+        by = by.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("_n"), F.coalesce(F.sum(F.when(F.col("lang").isNotNull(), F.col("n"))), F.lit(0)).alias("_t"), F.min("_s").alias("_s"))
+        if parent is not None:
+            by = by.join(parent, F.col("_s").eqNullSafe(F.col("s")), "left")
+        one = lambda x, i: (F.coalesce(F.try_element_at("_n", (i + 1).cast("long")), F.lit(0)) + F.lit(strength) * x) / (F.col("_t") + F.lit(strength))
+        return by.select(key, F.transform(above, one).alias("p"))
+
+    # A host that declares no language has the prior of its suffix.
+    by_suffix = smoothed(counts, "suffix", None, corpus).select(F.col("suffix").alias("s"), F.col("p").alias("above"))
+    by_host = smoothed(seen.where(F.col("host").isNotNull()), "host", by_suffix, F.coalesce("above", corpus))
+    by_host = by_host.select("host", F.transform("p", lambda x: F.log(x)).alias("prior"))
+    max_hosts = max(1, min(max_hosts, max_hosts * 64 // len(languages)))
     few = by_host.limit(max_hosts + 1).collect()
     if len(few) > max_hosts:
         model.priors = None
