@@ -20,7 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import textcore as T
 
 SPAN = S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())]))
-_FIELDS = [S.StructField("n_words", S.LongType()), S.StructField("spans", SPAN), S.StructField("items", S.ArrayType(S.StringType())), S.StructField("n_near", S.LongType())]
+NEAR = S.ArrayType(S.StructType([S.StructField("item", S.StringType()), S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())]))
+_FIELDS = [S.StructField("n_words", S.LongType()), S.StructField("spans", SPAN), S.StructField("items", S.ArrayType(S.StringType())), S.StructField("n_near", S.LongType()), S.StructField("near", NEAR)]
+_RARE = 3  # terms that a proximity match needs
 
 
 def lower_words(values: list) -> tuple[T.Texts, T.Words, np.ndarray]:
@@ -41,6 +43,15 @@ class Windows:
     window: np.ndarray
     item: np.ndarray
     items: list[str]
+    rare: np.ndarray | None = None
+
+    def rank(self, counts: np.ndarray) -> None:
+        """`rare`: by window the places of its three rarest terms (of all, if it has fewer) by the corpus' `counts`; terms the corpus doesn't hold are passed over. -1: too few."""
+        n = np.where(self.terms >= 0, counts[self.terms], 0) if len(self.terms) else np.zeros(self.terms.shape, np.int64)
+        order = np.argsort(np.where(n > 0, n, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :_RARE]
+        need = np.minimum(self.lengths, _RARE)
+        there = np.arange(order.shape[1]) < need[:, None]
+        self.rare = np.where(there & ((n > 0).sum(axis=1) >= need)[:, None], order, -1)
 
 
 def make_windows(items: list[tuple[str, str | None]], width: int) -> Windows:
@@ -73,10 +84,10 @@ class PositionalIndex:
         self.doc = doc
 
     def phrases(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows and starts of exact matches; then of places where the three rarest terms lie within `slop` of theirs."""
+        """Windows and starts of exact matches; then of places where the three rarest terms lie within `slop` of theirs, in one text."""
         size = np.where(w.terms >= 0, self.sizes[w.terms], np.iinfo(np.int64).max)
         live = np.flatnonzero(size.min(axis=1) > 0) if len(size) else np.empty(0, np.int64)
-        near_win = near_at = np.empty(0, np.int64)
+        near_win, near_at, near_doc = self._near(w, slop)
         rank = np.argsort(size[live], axis=1, kind="stable")
         lead = w.terms[live, rank[:, 0]] if len(live) else np.empty(0, np.int64)
         n = self.sizes[lead] if len(live) else np.empty(0, np.int64)
@@ -84,12 +95,6 @@ class PositionalIndex:
         within = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n)
         at = self.positions[np.repeat(self.cuts[lead], n) + within] if len(win) else np.empty(0, np.int64)
         at = at - (rank[win, 0] if len(win) else 0)
-        if slop and len(win):
-            ok = np.ones(len(win), bool)
-            for k in range(1, min(3, w.terms.shape[1])):
-                own = w.terms[live[win], rank[win, k]]
-                ok &= (own < 0) | self._around(own, at + rank[win, k], slop)
-            near_win, near_at = live[win[ok]], at[ok]
         total = len(self.term)
         for k in range(1, w.terms.shape[1]):
             place = rank[win, k]
@@ -101,21 +106,37 @@ class PositionalIndex:
         ok = (at >= 0) & (at + w.lengths[win] <= total)
         win, at = win[ok], at[ok]
         ok = self.doc[at] == self.doc[at + w.lengths[win] - 1]
-        return win[ok], at[ok], near_win, near_at
+        return win[ok], at[ok], near_win, near_at, near_doc
 
-    def _around(self, term: np.ndarray, place: np.ndarray, slop: int) -> np.ndarray:
-        """Whether the term's list has a position within `slop` of the place."""
-        n = len(self.term) + 2 * slop + 2
-        keys = self.term[self.positions].astype(np.int64) * n + self.positions
-        low = term.astype(np.int64) * n + np.maximum(place - slop, 0)
-        i = np.searchsorted(keys, low)
-        return (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= term.astype(np.int64) * n + np.maximum(place + slop, -1))
+    def _near(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        if w.rare is None or not len(w.terms):
+            return none, none, none
+        terms = np.where(w.rare >= 0, np.take_along_axis(w.terms, np.maximum(w.rare, 0), axis=1), -1)
+        live = np.flatnonzero((terms[:, 0] >= 0) & ((terms < 0) | (self.sizes[terms] > 0)).all(axis=1))
+        n = self.sizes[terms[live, 0]]
+        win = np.repeat(live, n)
+        if not len(win):
+            return none, none, none
+        lead = self.positions[np.repeat(self.cuts[terms[live, 0]], n) + np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n)]
+        keys = self.term[self.positions].astype(np.int64) * (len(self.term) + 1) + self.positions
+        for k in range(1, terms.shape[1]):
+            own, place = terms[win, k], lead + w.rare[win, k] - w.rare[win, 0]
+            first, last = np.searchsorted(self.doc, self.doc[lead]), np.searchsorted(self.doc, self.doc[lead], "right") - 1
+            low, high = np.maximum(place - slop, first), np.minimum(place + slop, last)
+            at = np.searchsorted(keys, own.astype(np.int64) * (len(self.term) + 1) + low)
+            ok = (own < 0) | ((low <= high) & (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= own.astype(np.int64) * (len(self.term) + 1) + high))
+            win, lead = win[ok], lead[ok]
+        return win, lead - w.rare[win, 0], self.doc[lead]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, slop: int = 2, slice_words: int = 500_000) -> DataFrame:
     """Adds to `docs`: n_words, spans (word ranges that windows cover, start inclusive, end not,
-    merged and ascending), items (ids of items with an exact match, as sorted strings) and n_near (windows
-    whose three rarest terms lie within `slop` words of their places: proximity matches, exact ones included).
+    merged and ascending), items (ids of items with an exact match, as sorted strings), n_near (places of windows
+    whose three rarest terms lie within `slop` words of their places: proximity matches, exact ones included) and near
+    (their items and word ranges, merged by item; the item may be null). Terms are rare by their counts in all of `docs`, so that
+    no match depends on how texts are batched; terms that no text holds are passed over. A window that two slices of
+    the benchmark hold counts in n_near for both. Without `slop` only exact matches are sought.
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one
     window. Null and empty texts have no words and match nothing; a null item_id is left out of items but
@@ -140,8 +161,47 @@ def _with_results(docs: DataFrame) -> S.StructType:
     return S.StructType([*docs.schema.fields, *_FIELDS])
 
 
+def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often all texts hold each term; at most `slice_words` rows come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        v = shared.value
+        out = np.zeros(len(v), np.int64)
+        for batch in batches:
+            values = T.column_bytes(batch.column(0))
+            for a, b in T.slices(values):
+                h = lower_words(values[a:b])[2]
+                if len(v) and len(h):
+                    at = np.minimum(np.searchsorted(v, h), len(v) - 1)
+                    out += np.bincount(at[v[at] == h], minlength=len(v))
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["t", "n"])
+
+    total = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        for r in docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toLocalIterator():
+            total[r["t"]] = r["n"]
+    return total
+
+
+def _merged(ranges: dict) -> list[dict]:
+    """Ranges by item, overlapping and touching ones made one; items in ascending order, null first."""
+    out = []
+    for item in sorted(ranges, key=lambda x: (x is not None, x or "")):
+        end = -1
+        for s, e in sorted(ranges[item]):
+            if s > end:
+                out.append({"item": item, "start": s, "end": e})
+            end = out[-1]["end"] = max(e, out[-1]["end"])
+    return out
+
+
 def _search(docs: DataFrame, schema: S.StructType, items: list, width: int, slop: int, found: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(make_windows(items, width))
+    windows = make_windows(items, width)
+    if slop:
+        windows.rank(_corpus_counts(docs, windows.vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
     arrow = to_arrow_schema(schema)
     carried = len(schema) - len(_FIELDS)
 
@@ -149,16 +209,17 @@ def _search(docs: DataFrame, schema: S.StructType, items: list, width: int, slop
         w = shared.value
         for batch in batches:
             values = T.column_bytes(batch.column(batch.schema.get_field_index("text")))
-            old = [batch.column(carried + k).to_pylist() for k in range(1, 4)] if found else None
-            rows = {"n": [], "spans": [], "items": [], "near": []}
+            old = [batch.column(carried + k).to_pylist() for k in range(1, 5)] if found else None
+            rows = {"n": [], "spans": [], "items": [], "n_near": [], "near": []}
             for a, b in T.slices(values):
                 _, words, h = lower_words(values[a:b])
                 doc = words.text_of()
                 names: list[set] = [set() for _ in range(b - a)]
                 hit = np.zeros(len(h), bool)
                 near = np.zeros(b - a, np.int64)
+                ranges: list[dict] = [{} for _ in range(b - a)]
                 if len(w.vocabulary) and len(h):
-                    win, at, near_win, near_at = PositionalIndex(h, doc, w.vocabulary).phrases(w, slop)
+                    win, at, near_win, near_at, near_doc = PositionalIndex(h, doc, w.vocabulary).phrases(w, slop)
                     step = np.zeros(len(h) + 1, np.int32)
                     np.add.at(step, at, 1)
                     np.subtract.at(step, at + w.lengths[win], 1)
@@ -167,8 +228,14 @@ def _search(docs: DataFrame, schema: S.StructType, items: list, width: int, slop
                     for d, x in pairs.tolist():
                         lo, hi = np.searchsorted(w.window, [x, x + 1])
                         names[d].update(w.items[i] for i in w.item[lo:hi].tolist() if w.items[i] is not None)
-                    ok = (near_at >= 0) & (near_at < len(h))
-                    near = np.bincount(doc[near_at[ok]], minlength=b - a).astype(np.int64)
+                    near = np.bincount(near_doc, minlength=b - a).astype(np.int64)
+                    first = words.first[near_doc]
+                    size = words.first[near_doc + 1] - first
+                    begin, end = np.clip(near_at - first, 0, size), np.clip(near_at - first + w.lengths[near_win], 0, size)
+                    for d, x, s, e in zip(near_doc.tolist(), near_win.tolist(), begin.tolist(), end.tolist(), strict=True):
+                        lo, hi = np.searchsorted(w.window, [x, x + 1])
+                        for i in w.item[lo:hi].tolist():
+                            ranges[d].setdefault(w.items[i], set()).add((s, e))
                 for i, (lo, hi) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
                     own, known = hit[lo:hi], names[i]
                     if old:
@@ -176,12 +243,15 @@ def _search(docs: DataFrame, schema: S.StructType, items: list, width: int, slop
                         for s in old[0][a + i]:
                             own[s["start"] : s["end"]] = True
                         known |= set(old[1][a + i])
+                        for m in old[3][a + i]:
+                            ranges[i].setdefault(m["item"], set()).add((m["start"], m["end"]))
                     edge = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist() if own.any() else []
                     rows["n"].append(hi - lo)
                     rows["spans"].append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                     rows["items"].append(sorted(known))
-                    rows["near"].append(int(near[i]) + (old[2][a + i] if old else 0))
-            own = [pa.array(rows[k], arrow.field(carried + j).type) for j, k in enumerate(("n", "spans", "items", "near"))]
+                    rows["n_near"].append(int(near[i]) + (old[2][a + i] if old else 0))
+                    rows["near"].append(_merged(ranges[i]))
+            own = [pa.array(rows[k], arrow.field(carried + j).type) for j, k in enumerate(("n", "spans", "items", "n_near", "near"))]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:carried], arrow, strict=False)), *own], schema=arrow)
 
     return docs.mapInArrow(run, schema)

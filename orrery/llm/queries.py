@@ -68,6 +68,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches beside the exact ones of op7_benchmark_decontamination, whose SQL names its columns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contamination(docs, table(spark, sf_dir, "benchmark"), width=10).select("doc_id", "n_near", "near")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), least=1)
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op7_near_matches": op7_near_matches,
     "op8_language_id": op8_language_id,
     "op8_page_language": op8_page_language,
     "op9_lm_scoring": op9_lm_scoring,
