@@ -36,10 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five words, similarity 0.8 or more) the document of the smallest id.
 
-    Texts without words belong to no group and stay, as do rows without an id.
+    Texts without words belong to no group and stay, as do rows without an id: these don't decide which of the others is kept.
     """
-    groups = similarity_groups(docs, shingle=5, num=4, den=5)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    groups = similarity_groups(docs, shingle=5, num=4, den=5, keep=True)
+    gone = groups.where(F.col("doc_id") != F.col("keep_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

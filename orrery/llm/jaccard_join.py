@@ -176,8 +176,8 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
-def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: int = 5, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id: the smallest doc_id reachable by links.
+def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: int = 5, save: Callable[[DataFrame, str], DataFrame] | None = None, keep: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id: the smallest doc_id reachable by links. With `keep` also keep_id, the smallest that isn't null (null if all are).
 
     A document's set holds the distinct `shingle`-word shingles of its words (runs without ASCII white
     space, A-Z lower-cased), or the whole sequence if it has fewer words. Documents link if
@@ -219,8 +219,9 @@ def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: i
     every = connected_components(linked.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), lambda df: save(df, "all"), src="x", dst="y")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), (F.count("*") > F.count("doc_id")).alias("nameless"))
     nodes = nodes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.max("nameless").alias("nameless"))
-    named = named.withColumn("component_id", F.when(~F.col("nameless"), F.col("component_id"))).drop("nameless")
-    of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id", F.lit(True).alias("known"))
+    named = nodes.groupBy("component").agg(F.min("least").alias("keep_id"), F.max("nameless").alias("nameless"))
+    named = named.withColumn("component_id", F.when(~F.col("nameless"), F.col("keep_id"))).drop("nameless")
+    of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id", "keep_id", F.lit(True).alias("known"))
     out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", "n_shingles", own("component_id"), *([own("keep_id")] if keep else []))
