@@ -2,8 +2,8 @@
 
 Parser events build lines (blocks of text) with the count of tags met in each. The text-to-tag
 ratios along the page are smoothed with a Gaussian and split by a threshold; the lines above it
-show where the content region is: the article element, or else the smallest container, that holds
-them. All text blocks of that region are returned except those of parts that say they are something else
+show where the content region is: all article elements, or else the page without lines that are links
+only. All text blocks of that region are returned except those of parts that say they are something else
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments).
 """
 
@@ -181,17 +181,17 @@ def extract_text(html: str | None) -> str:
     for (_, _, path, _), n, ok in zip(blocks, sizes.tolist(), content.tolist(), strict=True):
         for c in path if ok else ():
             weight[c] = weight.get(c, 0) + n
-    articles = [c for c in weight if p.kinds[c] == "article"]
-    if articles:
-        most = max(weight[c] for c in articles)
-        region = max(c for c in articles if weight[c] == most)
-    else:
-        total = int(sizes[content].sum())
-        wide = [c for c in weight if weight[c] >= 0.95 * total]
-        region = max(wide, default=None)  # containers are numbered as they open: the largest is innermost
-    # Without an article, a line of low ratio that is all links is a menu that doesn't say so.
-    loose = not articles
-    return "\n\n".join(t for (t, _, path, link), ok in zip(blocks, content.tolist(), strict=True) if (region is None or region in path) and (ok or not (loose and link >= 0.9)))
+    # All articles of a text in parts; those that are comments or related teasers were left out as they were read.
+    if any(p.kinds[c] == "article" for c in weight):
+        articles = {c for _, _, path, _ in blocks for c in path if p.kinds[c] == "article"}
+        return "\n\n".join(t for t, _, path, _ in blocks if not articles.isdisjoint(path))
+    # Without an article, a line of low ratio that is all links is a menu that doesn't say so; beside the container of nearly
+    # all content, whose ratios smoothing spreads to its neighbours, any line of links is.
+    total = int(sizes[content].sum())
+    tight = max((c for c in weight if weight[c] >= 0.95 * total), default=None)  # containers are numbered as they open: the largest is innermost
+    kept = [t for (t, _, path, link), ok in zip(blocks, content.tolist(), strict=True) if link < 0.9 or (ok and (tight is None or tight in path))]
+    # Headings and leads may stand beside that container: nothing else is left out.
+    return "\n\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
