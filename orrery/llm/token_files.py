@@ -21,21 +21,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import textcore as T
 from .chunks import ChunkEncoder, cut
 
-FILE = S.StructType([S.StructField("part", S.IntegerType()), S.StructField("ordinal", S.LongType()), S.StructField("doc_id", S.LongType()), S.StructField("tokens", S.ArrayType(S.IntegerType()))])
+_ABC, _SIGN, _FEED = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _KIND[0x27] = 0
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _ABC
+_KIND[0x09:0x0E] = _FEED
+FILE = S.StructType([S.StructField("part", S.IntegerType()), S.StructField("ordinal", S.LongType()), S.StructField("doc_id", S.LongType()), S.StructField("n_tokens", S.LongType()), S.StructField("tokens", S.ArrayType(S.IntegerType()))])
 
 
 @lru_cache(1)
-def byte_bpe(path: str) -> ChunkEncoder:
-    """For byte-level BPE whose pattern starts a new token at every run of white space. One for each worker process."""
+def byte_bpe(path: str) -> tuple[ChunkEncoder, tuple[bytes, ...]]:
+    """For byte-level BPE whose pattern starts a new token at every run of white space, with the strings of its added tokens. One for each worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    special = {i for i, t in tok.get_added_tokens_decoder().items()}
+    added = tok.get_added_tokens_decoder()
     # The bytes of each token: in this kind of vocabulary a character stands for a byte.
     size = np.zeros(tok.get_vocab_size(), np.int64)
     for t, i in tok.get_vocab().items():
-        size[i] = len(t.encode()) if i in special else len(t)
+        size[i] = len(t.encode()) if i in added else len(t)
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """In one text, where chunks that start with white space follow one without it at its end; their bytes tell them apart."""
@@ -58,23 +64,39 @@ def byte_bpe(path: str) -> ChunkEncoder:
         flat[~mask] = np.concatenate([*map(np.asarray, own), np.empty(0, np.int64)])
         return flat, counts
 
-    return ChunkEncoder(encode, remember=600_000)
+    return ChunkEncoder(encode, remember=1_200_000), tuple(t.content.encode() for t in added.values())
 
 
 def _may_be_space(chunk: bytes) -> bool:
     return len(chunk) > 1 and (chunk[-2] == 0xC2 or len(chunk) > 2 and 0xE1 <= chunk[-3] <= 0xE3)
 
 
-def space_cuts(t: T.Texts) -> np.ndarray:
-    """Before ASCII white space that follows a byte which surely doesn't end a white-space character."""
+def sure_cuts(t: T.Texts, whole: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Where the pattern always starts a new token, whatever stands around.
+
+    Before ASCII white space that follows a byte which surely doesn't end a white-space character; between a letter (of
+    ASCII, or U+00C0 to U+00FF) and an ASCII sign other than the apostrophe; between a line feed or tab that stands alone and an ASCII letter.
+    None lies inside one of the strings `whole`, which the library takes out of a text before it applies its pattern.
+    """
     b = t.buf
     before = np.zeros(len(b), bool)
+    kind = _KIND[b]
     solid = (b > 0x20) & (b != 0x7F)
     two, three = np.zeros(len(b), np.uint8), np.zeros(len(b), np.uint8)
     two[1:], three[2:] = b[:-1], b[:-2]
     # White space beyond ASCII: C2 85, C2 A0, E1 9A 80, E2 80 xx, E2 81 9F, E3 80 80.
     solid &= ~((b >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))))
-    before[1:] = solid[:-1] & ~T.NON_SPACE[b[1:]]
+    # U+00D7 and U+00F7 are signs; 0xC3 never follows in a character's middle.
+    letter = (kind == _ABC) | ((two == 0xC3) & (b != 0x97) & (b != 0xB7))
+    before[1:] = (solid[:-1] & ~T.NON_SPACE[b[1:]]) | (letter[:-1] & (kind[1:] == _SIGN))
+    before[2:] |= solid[:-2] & (kind[1:-1] == _FEED) & (kind[2:] == _ABC)
+    if whole:
+        flat = b.tobytes()
+        for x in whole:
+            at = flat.find(x)
+            while at >= 0:
+                before[at + 1 : at + len(x)] = False
+                at = flat.find(x, at + 1)
     return before
 
 
@@ -89,12 +111,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     arrow = to_arrow_schema(FILE)
 
     def run(batches):
-        encoder, part, row = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
+        (encoder, whole), part, row = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             values = T.column_bytes(batch.column(1))
             for a, b in T.slices(values):
                 t = T.join_texts(values[a:b])
-                ids, counts = encoder.texts(t, *cut(t, space_cuts(t)))
+                ids, counts = encoder.texts(t, *cut(t, sure_cuts(t, whole)))
                 ends = np.cumsum(counts + 1) - 1
                 flat = np.full(len(ids) + len(counts), end_id, np.int32)
                 mask = np.ones(len(flat), bool)
@@ -102,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
                 flat[mask] = ids
                 tokens = pa.ListArray.from_arrays(np.append(0, ends + 1).astype(np.int32), flat)
                 k = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(np.arange(row, row + k)), batch.column(0)[a:b], tokens], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(np.arange(row, row + k)), batch.column(0)[a:b], pa.array(counts + 1), tokens], schema=arrow)
                 row += k
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -113,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """part, ordinal (place in the part), doc_id, tokens. Filters on doc_id reach stripe statistics and Bloom filters."""
+    """part, ordinal (place in the part), doc_id, n_tokens, tokens. Filters on doc_id reach stripe statistics and Bloom filters."""
     return spark.read.schema(FILE).orc(path)
 
 
@@ -129,9 +151,10 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "ordinal", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).mapInArrow(run, schema)
-    # One row for each file: their running total gives where a file's first document starts.
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    files = read_tokens(spark, path)
+    rows = files.select("part", "ordinal", "doc_id", "tokens").mapInArrow(run, schema)
+    # One row for each file, of two narrow columns: their running total gives where a file's first document starts.
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
