@@ -5,7 +5,7 @@ A group packs the hashes it wants to know something about into one blob for each
 shard answers each blob, and the answers return to the group, where they are read in the order in
 which the hashes were sent. Only hashes and answers of a bit or a byte travel, a hot hash
 counts once for each group that holds it, and no shard or group grows with the corpus: their
-numbers do.
+numbers do, and so do the numbers of tasks, since both are dealt to as many partitions as there are of them.
 
 All steps of an operator form one lazy query, so that the documents are dealt out once (Spark
 reuses the exchange) and a lost executor's part is recomputed from the source.
@@ -45,7 +45,7 @@ def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", ke
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-size // group_bytes))
     group = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
-    return Dealt(docs.withColumn(GROUP, group), n, n)
+    return Dealt(docs.withColumn(GROUP, group).repartition(n, GROUP), n, n)
 
 
 def pack(shards: int, group: int, step: int, hashes: np.ndarray, dtype, aux: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
@@ -99,10 +99,10 @@ def ask(dealt: Dealt, emit, replies: DataFrame | None = None) -> DataFrame:
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
         return _released(blob_table(emit(table.column(GROUP)[0].as_py(), table, answers) if table.num_rows else []))
 
-    return dealt.docs.groupBy(GROUP).cogroup(replies.groupBy("_x_group")).applyInArrow(both, BLOBS)
+    return dealt.docs.groupBy(GROUP).cogroup(replies.repartition(dealt.groups, "_x_group").groupBy("_x_group")).applyInArrow(both, BLOBS)
 
 
-def answer(blobs: DataFrame, resolve) -> DataFrame:
+def answer(dealt: Dealt, blobs: DataFrame, resolve) -> DataFrame:
     """`resolve(keys, aux)` takes the blobs of a shard and step and returns bytes for each of them.
 
     Blobs come in the order of their groups, so that an answer that depends on it is the same each time.
@@ -114,7 +114,7 @@ def answer(blobs: DataFrame, resolve) -> DataFrame:
         out = resolve(table.column("_x_keys").to_pylist(), table.column("_x_aux").to_pylist())
         return pa.Table.from_arrays([pa.array(groups, pa.int32()), pa.array(shards, pa.int32()), pa.array(steps, pa.int32()), pa.array(out, pa.binary())], schema=_REPLY_SCHEMA)
 
-    return blobs.groupBy("_x_shard").applyInArrow(run, REPLIES)
+    return blobs.repartition(dealt.shards, "_x_shard").groupBy("_x_shard").applyInArrow(run, REPLIES)
 
 
 def finish(dealt: Dealt, replies: DataFrame, apply, schema) -> DataFrame:
@@ -128,7 +128,7 @@ def finish(dealt: Dealt, replies: DataFrame, apply, schema) -> DataFrame:
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
         return _released(apply(table, answers)) if table.num_rows else arrow.empty_table()
 
-    return dealt.docs.groupBy(GROUP).cogroup(replies.groupBy("_x_group")).applyInArrow(both, struct)
+    return dealt.docs.groupBy(GROUP).cogroup(replies.repartition(dealt.groups, "_x_group").groupBy("_x_group")).applyInArrow(both, struct)
 
 
 def unpack(replies: pa.Table, step: int, order: np.ndarray, dtype=bool) -> np.ndarray:

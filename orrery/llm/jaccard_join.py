@@ -132,8 +132,8 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         node = signs[:, 0].view(np.int64) if n else np.empty(0, np.int64)
         return pa.Table.from_arrays([pa.array(ids, mask=ids == _NULL_ID), pa.array(counts), pa.array(node, mask=counts == 0), *(pa.array(x, f.type) for x, f in zip((size, alone, columns, blobs), list(schema)[3:], strict=True))], schema=schema)
 
-    first = X.answer(X.ask(dealt, ask_signs), X.resolve_first(2))
-    rarity = X.answer(X.ask(dealt, ask_grams, first), resolve_rarity)
+    first = X.answer(dealt, X.ask(dealt, ask_signs), X.resolve_first(2))
+    rarity = X.answer(dealt, X.ask(dealt, ask_grams, first), resolve_rarity)
     return X.finish(dealt, first.unionByName(rarity), apply, ROWS)
 
 

@@ -171,6 +171,6 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10) -> DataFrame:
         out = out.set_column(names.index("text"), "text", text)
         return out.append_column("n_lines", pa.array(np.concatenate(lines))).append_column("n_dropped", pa.array(np.concatenate(dropped)))
 
-    suspected = X.answer(X.ask(dealt, ask_hashes), resolve_bloom)
-    firsts = X.answer(X.ask(dealt, ask_lines, suspected), X.resolve_first(2))
+    suspected = X.answer(dealt, X.ask(dealt, ask_hashes), resolve_bloom)
+    firsts = X.answer(dealt, X.ask(dealt, ask_lines, suspected), X.resolve_first(2))
     return X.finish(dealt, suspected.unionByName(firsts), apply, schema)

@@ -150,6 +150,6 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
         out = np.concatenate(ids)
         return pa.Table.from_arrays([pa.array(out, mask=out == _NULL_ID), pa.array(np.concatenate(words)), pa.array(np.concatenate(removed)), pa.array(texts, pa.binary()).cast(pa.string())], schema=_ARROW)
 
-    anchors = X.answer(X.ask(dealt, ask_anchors), X.resolve_repeated)
-    windows = X.answer(X.ask(dealt, ask_windows, anchors), X.resolve_first(1))
+    anchors = X.answer(dealt, X.ask(dealt, ask_anchors), X.resolve_repeated)
+    windows = X.answer(dealt, X.ask(dealt, ask_windows, anchors), X.resolve_first(1))
     return X.finish(dealt, anchors.unionByName(windows), apply, RESULT)
