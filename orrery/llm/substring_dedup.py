@@ -56,6 +56,13 @@ class _Part:
         ends = np.minimum(np.arange(n) + self.period, self.n)
         return np.flatnonzero(self.valid & (total[ends] > total[:n]))
 
+    def window_keys(self, at: np.ndarray) -> np.ndarray:
+        """Two independent 64-bit hashes of each window."""
+        if not len(at):
+            return np.empty((0, 2), np.uint64)
+        more = T.mix(T.range_hashes(self.texts.buf, self.words.starts, self.words.ends, second=True))
+        return np.stack([T.window_hashes(self.hashes, self.window)[at], T.window_hashes(more, self.window, second=True)[at]], axis=1)
+
 
 def _parts(table: pa.Table, window: int, period: int) -> list[_Part]:
     ids = pc.fill_null(table.column("doc_id").cast(pa.int64()), _NULL_ID).to_numpy()
@@ -85,7 +92,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
     texts shorter than the window keep everything. Rows of equal doc_id don't remove each other's
     words; a null doc_id counts as the smallest. An empty table gives no rows. Other columns are left out.
 
-    Hashes have 64 bits in the deciding step (32 bits within a shard in the first, where a
+    Hashes have 128 bits in the deciding step (32 bits within a shard in the first, where a
     collision costs work only).
     """
     period = period or choose_period(window)
@@ -108,14 +115,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
             hit = np.isin(p.anchors, repeated)
             at = p.candidates(hit)
             starts.append(at)
-            hashes.append(T.window_hashes(p.hashes, window)[at] if len(at) else np.empty(0, np.uint64))
+            hashes.append(p.window_keys(at))
             docs_.append(p.ids[p.doc[at]] if len(at) else np.empty(0, np.int64))
             rows_.append((p.doc[at] if len(at) else np.empty(0, np.int64)) + (i << 32))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        h = np.concatenate(hashes) if hashes else np.empty((0, 2), np.uint64)
         d = np.concatenate(docs_) if docs_ else np.empty(0, np.int64)
         # Of a hash in a group the first occurrence alone is sent: documents come in ascending order.
-        order = np.argsort(h, kind="stable")
-        new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        new = np.append(True, (h[order][1:] != h[order][:-1]).any(axis=1))[: len(h)]
         lead = np.sort(order[new])
         rows, sent = X.pack(shards, group, 2, h[lead], np.uint64, d[lead])
         return starts, h, d, np.concatenate(rows_), order, new, lead, rows, sent
@@ -151,5 +158,5 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
         return pa.Table.from_arrays([pa.array(out, mask=out == _NULL_ID), pa.array(np.concatenate(words)), pa.array(np.concatenate(removed)), pa.array(texts, pa.binary()).cast(pa.string())], schema=_ARROW)
 
     anchors = X.answer(dealt, X.ask(dealt, ask_anchors), X.resolve_repeated)
-    windows = X.answer(dealt, X.ask(dealt, ask_windows, anchors), X.resolve_first(1))
+    windows = X.answer(dealt, X.ask(dealt, ask_windows, anchors), X.resolve_first(2))
     return X.finish(dealt, anchors.unionByName(windows), apply, RESULT)

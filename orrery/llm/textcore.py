@@ -28,6 +28,8 @@ _BLOCK = 1 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Of a second hash that doesn't depend on the first: together they have 128 bits.
+_STEP_2 = np.uint64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,17 +43,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_POWERS = np.ones(1, np.uint64)
+_BYTE = (mix(np.arange(1, 257, dtype=np.uint64) * _BASE), mix(np.arange(1001, 1257, dtype=np.uint64) * _STEP))
+_POWERS = {_STEP: np.ones(1, np.uint64), _STEP_2: np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 64), _STEP, np.uint64)
+def _powers(n: int, step: np.uint64) -> np.ndarray:
+    if len(_POWERS[step]) < n:
+        p = np.full(max(n, 64), step, np.uint64)
         p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+        _POWERS[step] = np.multiply.accumulate(p)
+    return _POWERS[step]
 
 
 @dataclass
@@ -124,8 +125,8 @@ def find_words(t: Texts, buf: np.ndarray | None = None, table: np.ndarray = NON_
     return Words(starts, ends, np.append(np.searchsorted(starts, t.starts), len(starts)))
 
 
-def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of disjoint, ascending, non-empty byte ranges."""
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of disjoint, ascending, non-empty byte ranges; `second` gives other ones, independent of the first."""
     n = len(starts)
     out = np.empty(n, np.uint64)
     if not n:
@@ -142,9 +143,9 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         nxt = np.append(s[1:], hi)
         at -= np.repeat((s - lo).astype(np.int32), nxt - s)
         longest = int(lens.max())
-        power = _powers(longest + 1)
+        power = _powers(longest + 1, _STEP_2 if second else _STEP)
         np.minimum(at, longest, out=at)
-        val = _BYTE[buf[lo:hi]]
+        val = _BYTE[second][buf[lo:hi]]
         val *= power[at]
         idx = np.empty(2 * len(s), np.int64)
         idx[::2], idx[1::2] = s - lo, np.minimum(e - lo, hi - lo - 1)
@@ -154,13 +155,13 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     """Hashes of every `k` consecutive entries; the result has len(h)-k+1 entries (none if that is less than 1)."""
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
     have, acc, done = h, None, 0
-    width, power = 1, _STEP
+    width, power = 1, _STEP_2 if second else _STEP
     while True:
         if k & width:
             acc = have if acc is None else acc[: len(h) - done - width + 1] * power + have[done : done + len(h) - done - width + 1]

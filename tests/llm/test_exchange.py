@@ -19,6 +19,16 @@ def test_tasks_grow_with_the_text(spark):
         assert answered.rdd.getNumPartitions() == done.rdd.getNumPartitions() == dealt.groups and done.count() == 400
 
 
+def test_the_second_hash_is_independent():
+    from orrery.llm import textcore as T
+
+    t = T.join_texts([b"alpha beta gamma alpha delta"])
+    w = T.find_words(t)
+    a, b = (T.range_hashes(t.buf, w.starts, w.ends, second=x) for x in (False, True))
+    assert a[0] == a[3] and b[0] == b[3] and len(set(a.tolist())) == len(set(b.tolist())) == 4 and not set(a.tolist()) & set(b.tolist())
+    assert T.window_hashes(a, 2)[0] != T.window_hashes(a, 2, second=True)[0]
+
+
 def test_first_by_both_words_of_a_key():
     from orrery.llm import exchange as X
 
