@@ -3,8 +3,8 @@
 Documents are rows and n-grams columns of a sparse incidence matrix. Equal rows are merged first.
 Columns are ordered from the rarest by counts over all documents; a row can reach the threshold
 only with rows that share one of its first columns, as many as its size allows to miss. The product over
-these columns, block by block, gives pairs that size and position bounds don't rule out, and their
-overlaps are then accumulated over all columns.
+these columns gives the pairs that size and position bounds don't rule out; for these alone the product over all
+columns is taken, block by block: each column that both rows hold adds one to their overlap.
 
 A column that many rows share isn't multiplied out. Its rows are first joined with one of them,
 the most central; only rows that this leaves in another component are compared with the rest.
@@ -28,7 +28,7 @@ from .storage import shared_folder
 
 _NULL_ID = -(2**63)
 _LENGTH = np.uint64(0xA24BAED4963EE407)
-ROWS = "doc_id long, n_shingles long, node long, size int, alone int, columns array<struct<token: long, place: int>>, grams binary"
+ROWS = "doc_id long, n_shingles long, node binary, size int, alone int, columns array<struct<token: long, place: int>>, grams binary"
 
 
 def gram_sets(values: list, k: int) -> list[np.ndarray]:
@@ -110,7 +110,7 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def ask_grams(group: int, table: pa.Table, replies: pa.Table):
         return second_step(group, table, replies)[5]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("alone", pa.int32()), ("columns", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), ("grams", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("alone", pa.int32()), ("columns", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), ("grams", pa.binary())])
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, sets, signs, reps, grams, _, sent = second_step(table.column(X.GROUP)[0].as_py(), table, replies)
@@ -129,8 +129,8 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             columns[i] = [{"token": t, "place": p} for p, t in enumerate(own[order[single:most]].view(np.int64).tolist(), single)]
             blobs[i] = own[g > 0].tobytes()
         counts = np.fromiter(map(len, sets), np.int64, n)
-        node = signs[:, 0].view(np.int64) if n else np.empty(0, np.int64)
-        return pa.Table.from_arrays([pa.array(ids, mask=ids == _NULL_ID), pa.array(counts), pa.array(node, mask=counts == 0), *(pa.array(x, f.type) for x, f in zip((size, alone, columns, blobs), list(schema)[3:], strict=True))], schema=schema)
+        node = pa.array([x.tobytes() if k else None for x, k in zip(signs, counts.tolist(), strict=True)], pa.binary())
+        return pa.Table.from_arrays([pa.array(ids, mask=ids == _NULL_ID), pa.array(counts), node, *(pa.array(x, f.type) for x, f in zip((size, alone, columns, blobs), list(schema)[3:], strict=True))], schema=schema)
 
     first = X.answer(dealt, X.ask(dealt, ask_signs), X.resolve_first(2))
     rarity = X.answer(dealt, X.ask(dealt, ask_grams, first), resolve_rarity)
@@ -157,19 +157,37 @@ def overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            x, y, sx, sy, gx, gy = (batch.column(i) for i in range(6))
-            ok = []
-            for a, b, p, q in zip(gx, gy, sx.to_pylist(), sy.to_pylist(), strict=True):
-                u, v = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                both = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
-                ok.append((den + num) * both >= num * (p + q))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], names=["x", "y"])
-
-    return given.select("x", "y", "size_x", "size_y", "grams_x", "grams_y").mapInArrow(run, "x long, y long")
+            weight = np.array([len(u) + len(v) for u, v in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]) // 8
+            for a, b in _blocks(weight):
+                x, y, sx, sy, gx, gy = batch.slice(a, b - a).columns
+                both = _products(gx.to_pylist(), gy.to_pylist())
+                keep = pa.array((den + num) * both >= num * (sx.to_numpy().astype(np.int64) + sy.to_numpy()))
+                yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], names=["x", "y"])
+
+    return given.select("x", "y", "size_x", "size_y", "grams_x", "grams_y").mapInArrow(run, "x binary, y binary")
+
+
+def _blocks(weight: np.ndarray, most: int = 1 << 20):
+    """Yields (from, to) so that each block weighs about `most`, one row at least."""
+    at = 0
+    while at < len(weight):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(weight[at:]), most, "right")) + at)
+        yield at, end
+        at = end
+
+
+def _products(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Entries of the product of two incidence blocks, row by row: the columns that both rows hold, added up."""
+    cells, rows = [], []
+    for side in (left, right):
+        cells.append(np.frombuffer(b"".join(side), np.uint64))
+        rows.append(np.repeat(np.arange(len(side)), [len(x) // 8 for x in side]))
+    cell, row = np.concatenate(cells), np.concatenate(rows)
+    order = np.lexsort((cell, row))
+    cell, row = cell[order], row[order]
+    # A row holds a column once, so that a cell comes twice only if both hold it.
+    twice = (cell[1:] == cell[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][twice], minlength=len(left))
 
 
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
@@ -200,8 +218,9 @@ def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: i
     sets = rows.where(F.col("size").isNotNull())
     cells = sets.select("node", "size", "alone", F.explode("columns").alias("c")).select("node", "size", "alone", "c.token", "c.place")
     # The most central row has the smallest share of columns to itself.
-    share = (F.col("alone").cast("long") * 1_000_000 / F.col("size")).cast("long") * 1_048_576 + F.pmod(F.col("node"), F.lit(1_048_576))
-    leaders = cells.groupBy("token").agg(F.min_by("node", share).alias("lead"), F.min_by("size", share).alias("lead_size"), F.min_by("place", share).alias("lead_place"), F.count("*").alias("n")).where("n > 1").drop("n")
+    share = (F.col("alone").cast("long") * 1_000_000 / F.col("size")).cast("long").alias("share")
+    leaders = cells.groupBy("token").agg(F.min(F.struct(share, F.xxhash64("node").alias("by"), "node", "size", "place")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("token", F.col("l.node").alias("lead"), F.col("l.size").alias("lead_size"), F.col("l.place").alias("lead_place"))
     placed = lambda s, p, t, q: (num * (s + t) <= (den + num) * F.least(s - p, t - q))  # noqa: E731  positions bound the overlap
     star = cells.join(leaders, "token").where((F.col("node") != F.col("lead")) & _sizes_fit(F.col("size"), F.col("lead_size"), num, den) & placed(F.col("size"), F.col("place"), F.col("lead_size"), F.col("lead_place")))
     links = save(overlaps(star.select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct(), sets, num, den), "links")

@@ -35,3 +35,14 @@ def test_first_by_both_words_of_a_key():
     keys = np.array([[1, 5], [1, 6], [1, 5]], np.uint64)
     first, second = X.resolve_first(2)([keys[:2].tobytes(), keys[2:].tobytes()], [X.runs(np.array([3, 3])), X.runs(np.array([4]))])
     assert np.unpackbits(np.frombuffer(first[4:], np.uint8))[:2].tolist() == [1, 1] and np.unpackbits(np.frombuffer(second[4:], np.uint8))[0] == 0
+
+
+def test_products_count_shared_columns():
+    from orrery.llm.jaccard_join import _blocks, _products
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)), dtype=np.uint64)) for _ in range(200)]
+    pairs = rng.integers(0, 200, (500, 2))
+    got = _products([sets[a].tobytes() for a, _ in pairs], [sets[b].tobytes() for _, b in pairs])
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    assert list(_blocks(np.array([5, 5, 20, 1, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 6)] and list(_blocks(np.array([], int))) == []
