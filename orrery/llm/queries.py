@@ -60,8 +60,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find_contamination(docs, table(spark, sf_dir, "benchmark"), width=10)
+    out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return out.select(
         "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
@@ -70,8 +69,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proximity matches beside the exact ones of op7_benchmark_decontamination, whose SQL names its columns."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_contamination(docs, table(spark, sf_dir, "benchmark"), width=10).select("doc_id", "n_near", "near")
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).select("doc_id", "n_near", "near")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,8 +214,8 @@ def test_contamination(spark, docs, rows, empty):
                 hit |= set(range(j, j + len(x)))
                 names.add(k)
         want[i] = (len(w), len(hit), sorted(names))
-    for size in (500_000, 20):
-        out = find_contamination(docs, bench, slice_words=size).select("doc_id", "n_words", n_hit().alias("n"), "items", "n_near").collect()
+    for size in (4 << 20, 2000):
+        out = find_contamination(docs, bench, block_bytes=size).select("doc_id", "n_words", n_hit().alias("n"), "items", "n_near").collect()
         assert {r.doc_id: (r.n_words, r.n, r.items) for r in out} == want
         assert any(r.n_near for r in out)
     assert find_contamination(empty, bench).count() == 0
