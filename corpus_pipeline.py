@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.decontaminate import find_contamination
+from orrery.llm.decontaminate import clean_documents
 from orrery.llm.jaccard_join import similarity_groups
 from orrery.llm.language_id import identify_documents
 from orrery.llm.line_dedup import dedup_lines
@@ -45,8 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a passage of the benchmark; empty texts have none."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
-    return found.where(F.size("spans") == 0).select(docs.columns)
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
