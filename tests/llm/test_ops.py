@@ -304,81 +304,81 @@ def test_html(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
-def test_lm(spark, docs, rows, empty):
-    from orrery.llm.lm_score import score_documents
-
-    got = {r.doc_id: r for r in score_documents(docs).collect()}
-    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in rows}
+def lm_by_brute_force(texts: dict) -> dict:
+    """(held out, tokens, known tokens, training tokens, base score, score) by document."""
+    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in texts.items()}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1}
     c = collections.Counter(w for i in train for w in tokens[i])
     pairs = collections.Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i]))
     context = c + collections.Counter({0: len(train)})
     n, v = sum(c.values()), len(c)
-    quantised = lambda k: 2 ** (round(8 * math.log2(k)) / 8) if k >= 2 else 0
-    mass = collections.Counter()
-    for (a, _), k in pairs.items():
-        mass[a] += quantised(k)
+    stored = {p: 2 ** (-round(8 * math.log2((context[p[0]] + 4) / k)) / 8) for p, k in pairs.items()}
+    out = {}
     for i, own in tokens.items():
         p = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in own}
-        s = sum(math.log10((quantised(pairs[a, b]) + (max(context[a] - mass[a], 0) + 4) * p[b]) / (max(context[a], mass[a]) + 4)) for a, b in zip([0, *own], own))
+        s = sum(math.log10(stored.get((a, b), 0) + 4 / (context[a] + 4) * p[b]) for a, b in zip([0, *own], own))
+        out[i] = (i not in train, len(own), sum(c[w] > 0 for w in own), n, sum(math.log10(p[w]) for w in own), s)
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [8 << 20, 300])
+def test_lm(spark, docs, rows, empty, group_bytes):
+    from orrery.llm.lm_score import score_documents
+
+    got = {r.doc_id: r for r in score_documents(docs, group_bytes=group_bytes).collect()}
+    for i, want in lm_by_brute_force(dict(rows)).items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(own), sum(c[w] > 0 for w in own), n), i
-        assert r.base_score == pytest.approx(sum(math.log10(p[w]) for w in own), abs=1e-6) and r.score == pytest.approx(s, abs=1e-5), i
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4], i
+        assert r.base_score == pytest.approx(want[4], abs=1e-6) and r.score == pytest.approx(want[5], abs=1e-5), i
     assert score_documents(empty).count() == 0
 
 
-def test_lm_keeps_pairs_seen_once(spark, sf):
+def test_lm_keeps_pairs_seen_once(spark):
     from orrery.llm.lm_score import score_documents
-    from orrery.llm.queries import QUERIES
 
     texts = {0: "alpha beta gamma", 2: "delta beta", 3: "gamma delta", 4: "alpha gamma"}
     texts = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1} | {i: "alpha beta" for i in range(5, 60) if zlib.crc32(str(i).encode()) % 5 == 1}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    tokens = {i: [*t.split(), None] for i, t in texts.items()}
-    train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert 0 in train and len(train) < len(texts)
-    c = collections.Counter(w for i in train for w in tokens[i])
-    pairs = collections.Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i]))
-    assert pairs["alpha", "beta"] == 1
-    context = c + collections.Counter({0: len(train)})
-    quantised = lambda k: 2 ** (round(8 * math.log2(k)) / 8) if k else 0
-    mass = collections.Counter()
-    for (a, _), k in pairs.items():
-        mass[a] += quantised(k)
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    for r in score_documents(df, least=1).collect():
-        own = tokens[r.doc_id]
-        s = sum(math.log10((quantised(pairs[a, b]) + (max(context[a] - mass[a], 0) + 4) * p(b)) / (max(context[a], mass[a]) + 4)) for a, b in zip([0, *own], own))
-        assert r.score == pytest.approx(s, abs=1e-5), r.doc_id
-    # The query is the one that keeps them.
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    by_id = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
-    got = by_id(QUERIES["op9_lm_scoring"](spark, sf))
-    assert got == by_id(score_documents(docs, least=1)) and got != by_id(score_documents(docs, least=2))
-
-
-def test_lm_counts_have_no_upper_bound():
-    from orrery.llm.lm_score import code_of, count_of, resolve_pairs
-
-    counts = np.array([1, 2, 255, 2**31, 2**33, 10**13])
-    assert np.allclose(count_of(code_of(counts)), counts, rtol=0.05) and code_of(counts[:3]).dtype == np.uint8
+    want = lm_by_brute_force(texts)
+    held = next(i for i in want if want[i][0])
+    # The pair is in one training document alone, and counts for much more than the words by themselves.
+    assert not want[0][0] and want[held][5] > want[held][4] + 0.5
+    for r in score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=1e-5), r.doc_id
+
+
+def test_lm_probabilities_have_no_lower_bound():
+    from orrery.llm.lm_score import code_of, probability_of, resolve_pairs
+
+    p = np.array([1.0, 0.5, 1e-6, 1e-9, 1e-13])
+    assert np.allclose(probability_of(code_of(p)), p, rtol=0.05) and code_of(p[:3]).dtype == np.uint8 and code_of(p).dtype == np.uint16
+    # A split context: its count of 10**13 comes with the pairs, of which this part has one.
+    wide = np.array([(0, 10**13)], np.dtype([("at", np.uint32), ("n", np.uint64)])).tobytes()
     one = (1).to_bytes(8, "little") + np.array([7], np.uint64).tobytes() + np.array([9], np.uint32).tobytes()
-    aux = np.array([1], np.uint32).tobytes() + np.array([2**32 - 1], np.uint32).tobytes()
-    replies = resolve_pairs(1)([one] * 4, [aux] * 4)
-    assert all(b[0] == 2 and np.isclose(count_of(np.frombuffer(b, np.uint16, -1, 9))[0], 4 * (2**32 - 1), rtol=0.05) for b in replies)
+    aux = np.array([1], np.uint32).tobytes() + np.array([25], np.uint32).tobytes()
+    for more, share in ((wide, 100 / 10**13), (b"", 100 / 104)):
+        replies = resolve_pairs(4.0)([one] * 4, [aux + more] * 4)
+        assert all(np.isclose(probability_of(np.frombuffer(b, np.uint16 if b[0] == 2 else np.uint8, -1, 1))[0], share, rtol=0.05) for b in replies)
 
 
 def test_elias_fano():
-    from orrery.llm.lm_score import EliasFano
+    from orrery.llm.lm_score import EliasFano, PairTrie
 
     rng = np.random.default_rng(1)
-    for n in (0, 1, 7, 5000):
-        values = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        low, high, shift = EliasFano.parts(values)
-        ef = EliasFano(low, high, len(values), shift)
+    for n, top in ((0, 63), (1, 63), (7, 63), (5000, 63), (5000, 14), (70_000, 40)):
+        values = np.unique(rng.integers(0, 2**top, n, dtype=np.uint64))
+        *arrays, shift = EliasFano.parts(values)
+        ef = EliasFano(*arrays, len(values), shift)
         assert ef.find(values).tolist() == list(range(len(values)))
-        assert (ef.find(rng.integers(0, 2**63, 50, dtype=np.uint64)) == -1).all()
+        other = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        assert (ef.find(other[~np.isin(other, values)]) == -1).all()
+        near = np.setdiff1d(values + np.uint64(1), values)
+        assert (ef.find(near) == -1).all()
+        # Stored as it is searched: upper bits and their directory take two bytes for each entry at most.
+        assert len(values) < 5000 or arrays[1].nbytes + arrays[2].nbytes <= 2 * len(values)
+    contexts, owner, words = np.array([3, 9], np.uint64), np.array([0, 0, 1]), np.array([5, 8, 5], np.uint32)
+    trie = PairTrie(contexts, owner, words, np.array([0.5, 0.25, 1.0]))
+    assert not trie.codes.flags.writeable and not trie.pairs.low.flags.writeable
+    assert trie.look_up(np.array([9, 3, 4], np.uint64), np.array([0, 1, 1, 2]), np.array([5, 8, 9, 5], np.uint32)).tolist() == [1, 17, 0, 0]
 
 
 def test_pipeline(spark, sf):
