@@ -1,10 +1,12 @@
 """Main text of web pages from the standard library's streaming parser.
 
 Parser events build lines (blocks of text) with the count of tags met in each. The text-to-tag
-ratios along the page are smoothed with a Gaussian and split by a threshold; the lines above it
-show where the content region is: all article elements, or else the page without lines that are links
-only. All text blocks of that region are returned except those of parts that say they are something else
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments).
+ratios along the page are smoothed with a Gaussian and split in two clusters by a threshold; the lines of the upper one are content,
+and regions are chosen by how much content they hold.
+
+What the markup says of itself is evidence only. An element that calls itself a menu, header, footer, sidebar, notice, advert, form or comment is
+left out, unless nearly all content lies in it. Of what is left, the article elements that hold content are the region; without any, it is the
+innermost container of nearly all content, and beside it headings, paragraphs and further lines of content.
 """
 
 from __future__ import annotations
@@ -18,67 +20,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import textcore as T
+
 # HTML elements by role.
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-_DROP = frozenset("applet aside audio button canvas datalist dialog footer form frameset head header iframe map math menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title video".split())
+#: Hold no text of the page.
+_CODE = frozenset("applet audio canvas datalist frameset head iframe map math noembed noframes noscript object optgroup option script select style svg template textarea title video".split())
+#: Say that they aren't main text.
+_OTHER = frozenset("aside button dialog footer form header menu nav search".split())
 _IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Not containers: an end tag that is missing ends with the next block.
 _LOOSE = frozenset("p li dt dd tr td th tbody thead tfoot option optgroup h1 h2 h3 h4 h5 h6 caption legend summary figcaption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | frozenset("p blockquote pre figcaption".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 _NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion recommended recommendations related replies reply respond responses share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split()
 )
-#: Parts of names that are enough by themselves, also where words are written together.
-_WITHIN = re.compile(r"cookie|advert|sidebar|newsletter|breadcrumb|sponsor|popup|navbar|disqus|^comments?(?!ary)|(?:nav|menu|footer|header)$")
+#: Words that add nothing to a name: "share-buttons" is a name of its kind, "share-price" isn't.
+_PLAIN = frozenset("area articles bar block body bottom box btn button buttons center col column container content desktop fixed form global group icon icons inner item items layout left level links list main menu message mobile module notice outer page panel post posts primary right secondary section site slot sticky sub template text thread title top unit wrap wrapper".split())
+#: Readers' texts and pointers to other pages: long ones don't make them the main text beside another.
+_FOREIGN = re.compile(r"comment|repl(?:y|ies)|respon|discuss|disqus|related|recommend|promo|teaser|sponsor|advert")
+#: Parts of names that are enough where words are written together.
+_JOINED = re.compile(r"^(?:\w*(?:cookie|advert|sidebar|newsletter|breadcrumb|sponsor|popup|navbar|disqus)\w*|comments?\w{4,}(?<!ary)(?<!aries)|\w+(?:nav|menu|footer|header))$")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _names_other(name: str) -> bool:
+    """Whether one class or id names a part that isn't main text: some word does, and the others add nothing."""
+    words = [x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x]
+    said = [x in _NAMES or bool(_JOINED.match(x)) for x in words]
+    return any(said) and all(ok or x in _PLAIN or len(x) == 1 for ok, x in zip(said, words, strict=True))
+
+
 def _is_other(tag: str, attrs: dict) -> bool:
     """Whether an element says that it isn't main text."""
-    if tag in _DROP or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or (attrs.get("role") or "").lower() in _ROLES:
+    if tag in _OTHER or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or (attrs.get("role") or "").lower() in _ROLES:
         return True
     if _HIDDEN.search(attrs.get("style") or ""):
         return True
-    if tag in ("html", "body", "main", "article") and not re.search(r"comment|reply|related|promo|teaser", f"{attrs.get('class')} {attrs.get('id')}".lower()):
-        return False
-    return any(x in _NAMES or _WITHIN.search(x) for k in ("class", "id") if attrs.get(k) for x in _SPLIT.split(_CAMEL.sub("-", attrs[k]).lower()))
+    return any(_names_other(x) for k in ("class", "id") for x in (attrs.get(k) or "").split())
+
+
+class Container:
+    """An open element: its tag, whether it is an article, or says that it is something else, and the blocks that it holds."""
+
+    __slots__ = ("article", "first", "foreign", "last", "other", "tag")
+
+    def __init__(self, tag: str, attrs: dict, first: int, in_article: bool):
+        self.tag, self.first, self.last = tag, first, -1
+        self.other = _is_other(tag, attrs) and not (tag == "header" and in_article)  # of an article: its own title
+        self.foreign = self.other and bool(_FOREIGN.search(f"{attrs.get('class')} {attrs.get('id')}".lower()))
+        self.article = not self.other and (tag in ("article", "main") or (attrs.get("role") or "").lower() == "main" or (attrs.get("itemprop") or "") == "articleBody")
 
 
 class Blocks(HTMLParser):
-    """Collects blocks as (text, tags, containers, share of link text); texts of other parts are left out."""
+    """Collects blocks as (text, tags, containers, share of link text, tag); code is left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, other, container
+        self.open: list[tuple[str, int]] = []  # tag, container (-1: code)
         self.path: tuple[int, ...] = ()
-        self.other = 0
+        self.code = 0
         self.tags = 0
         self.links = self.linked = 0
+        self.within = ""
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...], float]] = []
-        self.kinds: list[str] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], float, str]] = []
+        self.containers: list[Container] = []
 
     def end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.path, self.linked / len(text)))
+                self.blocks.append((text, self.tags, self.path, self.linked / len(text), self.within))
             self.parts = []
             self.tags = self.linked = 0
+        self.within = ""
 
     def _pop(self) -> None:
-        tag, other, container = self.open.pop()
-        self.other -= other
-        if container >= 0:
+        _, container = self.open.pop()
+        if container < 0:
+            self.code -= 1
+        else:
+            self.end_block()
+            self.containers[container].last = len(self.blocks)
             self.path = self.path[:-1]
 
+    def _push(self, tag: str, attrs: dict) -> None:
+        self.end_block()
+        articles = any(self.containers[c].article for c in self.path)
+        self.path += (len(self.containers),)
+        self.open.append((tag, len(self.containers)))
+        self.containers.append(Container(tag, attrs, len(self.blocks), articles))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag == "br":
-            if not self.other:
+            if not self.code:
                 self.parts.append("\n")
             return
         if self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
@@ -89,28 +131,21 @@ class Blocks(HTMLParser):
             return
         if tag == "a":
             self.links = 1  # links don't nest
+        if tag in _CODE:
+            self.open.append((tag, -1))
+            self.code += 1
+            return
         given = dict(attrs)
-        other = _is_other(tag, given)
         if tag in _LOOSE:
-            # Of these, only parts to leave out are followed, until their own end or that of what holds them.
+            # Of these, only parts that say they are something else are followed, until their own end or that of what holds them.
             while self.open and self.open[-1][0] == tag:
                 self._pop()
-            if other:
-                self.open.append((tag, True, -1))
-                self.other += 1
-            return
-        container = -1
-        if tag in _BLOCK:
-            container = len(self.kinds)
-            article = tag in ("article", "main") or (given.get("role") or "").lower() == "main" or (given.get("itemprop") or "") == "articleBody"
-            self.kinds.append("article" if article else tag)
-            self.path += (container,)
-        elif not other:
-            return
-        if other:
-            self.end_block()
-        self.open.append((tag, other, container))
-        self.other += other
+            if _is_other(tag, given):
+                self._push(tag, given)
+        elif tag in _BLOCK or _is_other(tag, given):
+            self._push(tag, given)
+        if tag in _PROSE:
+            self.within = tag
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # A slash at the end of a start tag has no meaning but for elements that are void anyway.
@@ -131,11 +166,17 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if not self.other:
+        if not self.code:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
+    def close(self) -> None:
+        super().close()
+        self.end_block()
+        while self.open:
+            self._pop()
+
 
 def smoothed_ratios(sizes: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Text-to-tag ratios of successive lines, smoothed with a Gaussian of `sigma` lines."""
@@ -145,22 +186,61 @@ def smoothed_ratios(sizes: np.ndarray, tags: np.ndarray, sigma: float = 1.0) ->
     return np.convolve(np.pad(ratio, r, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Two clusters by Otsu's threshold on the logarithm: that of the higher ratios is content."""
-    x = np.log1p(ratios)
-    edges = np.unique(x)
-    if len(edges) < 2:
-        return np.ones(len(x), bool)
-    s = np.sort(x)
+def content_threshold(ratios: np.ndarray) -> float:
+    """Splits lines in two clusters, by Otsu's threshold on the logarithm of their ratios: those above it are content. Equal ratios are one cluster, of content."""
+    s = np.sort(np.log1p(ratios))
+    if s[0] == s[-1]:
+        return -1.0
     n = np.arange(1, len(s))
     left = np.cumsum(s)[:-1]
     between = n * (len(s) - n) * (left / n - (s.sum() - left) / (len(s) - n)) ** 2
     between[s[1:] == s[:-1]] = -1
-    return x > s[int(np.argmax(between))]
+    return float(np.expm1(s[int(np.argmax(between))]))
+
 
+def _content(blocks: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are content by the clusters of their smoothed ratios, and which by their own ratio alone; a line that is all links isn't."""
+    sizes, tags, links = (np.array([b[k] if k else len(b[0]) for b in blocks]) for k in (0, 1, 3))
+    ratios = smoothed_ratios(sizes, tags)
+    cut = content_threshold(ratios)
+    # A little room, since the threshold is one of the values.
+    return (ratios > cut * (1 + 1e-9)) & (links < 0.9), (sizes / np.maximum(tags, 1) > cut) & (links < 0.9)
 
-def extract_text(html: str | None) -> str:
-    """The blocks of the content region, in page order, joined by an empty line."""
+
+def _main_blocks(blocks: list, containers: list[Container], least: int) -> list:
+    """Blocks without those of elements that say they are something else, but for elements that hold nearly all content."""
+    if not any(c.other for c in containers):
+        return blocks
+    size = np.array([len(t) for t, *_ in blocks]) * _content(blocks)[0]
+    # What stands beside an element: any text but links and headings.
+    beside = np.array([len(t) * (link < 0.9 and tag not in _HEADINGS) for t, _, _, link, tag in blocks])
+    in_article = np.array([any(containers[c].article for c in path) for _, _, path, _, _ in blocks])
+    barred = [{c for c in path if containers[c].other} for _, _, path, _, _ in blocks]
+    # With articles, only what they hold counts.
+    if (beside * in_article).any():
+        size, beside, least = beside * in_article, beside * in_article, 1
+    total = np.append(0, np.cumsum(size))
+    outside = sum(int(n) for n, other in zip(beside, barred, strict=True) if not other)
+    forgiven: set[int] = set()
+    for i, c in enumerate(containers):  # in the order in which they open: the outer ones first
+        inside = int(total[c.last] - total[c.first])
+        if not c.other or inside < least or inside <= 9 * outside or (c.foreign and outside):
+            continue
+        own = [k for k in range(c.first, c.last) if i in barred[k]]
+        if own and any(x < i and x not in forgiven for x in barred[own[0]]):
+            continue  # it lies in another that is left out
+        forgiven.add(i)
+        for k in own:
+            barred[k].discard(i)
+            outside += 0 if barred[k] else int(beside[k])
+    return [b for b, other in zip(blocks, barred, strict=True) if not other]
+
+
+def extract_text(html: str | None, *, least: int = 200) -> str:
+    """The blocks of the content region, in page order, joined by an empty line.
+
+    `least`: characters of content that an element needs to be the main text although it says that it is something else and holds no article.
+    """
     if not html:
         return ""
     p = Blocks()
@@ -171,26 +251,30 @@ def extract_text(html: str | None) -> str:
         p = Blocks()
         p.feed(html.replace("<![", "&lt;!["))
         p.close()
-    p.end_block()
-    blocks = p.blocks
+    if not p.blocks:
+        return ""
+    blocks = _main_blocks(p.blocks, p.containers, least)
     if not blocks:
         return ""
-    sizes = np.array([len(t) for t, _, _, _ in blocks])
-    content = content_lines(smoothed_ratios(sizes, np.array([n for _, n, _, _ in blocks])))
+    sizes = [len(t) for t, *_ in blocks]
+    content, alone = (x.tolist() for x in _content(blocks))
     weight: dict[int, int] = {}
-    for (_, _, path, _), n, ok in zip(blocks, sizes.tolist(), content.tolist(), strict=True):
+    for (_, _, path, _, _), n, ok in zip(blocks, sizes, content, strict=True):
         for c in path if ok else ():
             weight[c] = weight.get(c, 0) + n
-    # All articles of a text in parts; those that are comments or related teasers were left out as they were read.
-    if any(p.kinds[c] == "article" for c in weight):
-        articles = {c for _, _, path, _ in blocks for c in path if p.kinds[c] == "article"}
-        return "\n\n".join(t for t, _, path, _ in blocks if not articles.isdisjoint(path))
-    # Without an article, a line of low ratio that is all links is a menu that doesn't say so; beside the container of nearly
-    # all content, whose ratios smoothing spreads to its neighbours, any line of links is.
-    total = int(sizes[content].sum())
+    # All articles of a text in parts that hold content, or all there are if none does.
+    articles = {c for _, _, path, _, _ in blocks for c in path if p.containers[c].article}
+    articles = {c for c in articles if c in weight} or articles
+    if articles:
+        return "\n\n".join(t for t, _, path, _, _ in blocks if not articles.isdisjoint(path))
+    if not any(content):
+        return "\n\n".join(t for t, _, _, link, _ in blocks if link < 0.9)
+    # Inside the innermost container of nearly all content only menus that don't say so are left out. Beside it stand headings and leads,
+    # but also lines of menus, notices and footers, which have no name here: their low ratio tells them, without what smoothing adds to it.
+    total = sum(n for n, ok in zip(sizes, content, strict=True) if ok)
     tight = max((c for c in weight if weight[c] >= 0.95 * total), default=None)  # containers are numbered as they open: the largest is innermost
-    kept = [t for (t, _, path, link), ok in zip(blocks, content.tolist(), strict=True) if link < 0.9 or (ok and (tight is None or tight in path))]
-    # Headings and leads may stand beside that container: nothing else is left out.
+    inside = [tight is None or tight in path for _, _, path, _, _ in blocks]
+    kept = [t for (t, _, _, link, tag), own, high in zip(blocks, inside, alone, strict=True) if link < 0.9 and (own or high or tag in _PROSE)]
     return "\n\n".join(kept)
 
 
@@ -208,9 +292,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             html = batch.column(batch.schema.get_field_index("html"))
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [extract_text(x).encode("utf-8", "replace") for x in html.slice(at, 256).to_pylist()]
+            size = T.column_bytes(html)
+            for at, end in T.slices(size, 4 << 20):
+                part = batch.slice(at, end - at)
+                made = [extract_text(x).encode("utf-8", "replace") for x in html.slice(at, end - at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)), pa.array(made, pa.binary()).cast(pa.string())], schema=arrow)
 
     return pages.mapInArrow(run, schema)

@@ -298,7 +298,7 @@ def test_html(spark):
     assert extract_text(page.replace("<article class=post>", '<div><div class="content">').replace("</article>", "</div></div>")) == want
     assert extract_text("<p>just <i>text</i>") == "just text" and extract_text("plain") == "plain"
     assert extract_text("") == extract_text(None) == extract_text("<nav>x</nav>") == ""
-    assert extract_text("<div class=ad>x<article><p>y</article>") == ""
+    assert extract_text("<div class=ad>x<article><p>y</article>") == "y"
     df = spark.createDataFrame([(1, "u", page, "old"), (1, "u", page, "old"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in extract_pages(df).collect()) == ["", want, want]
     assert extract_pages(df.limit(0)).count() == 0
