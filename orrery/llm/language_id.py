@@ -18,6 +18,7 @@ from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textcore as T
+from .storage import store
 
 RESULT = S.StructType([S.StructField("detected_lang", S.StringType()), S.StructField("confidence", S.DoubleType()), S.StructField("text_lang", S.StringType()), S.StructField("accepted", S.BooleanType())])
 _LETTER = np.zeros(256, bool)
@@ -76,9 +77,10 @@ def fit_languages(
     """
     spark = docs.sparkSession
     host = F.lit(None).cast("string") if host is None else host
-    suffix = F.lit(None).cast("string") if suffix is None else suffix
-    rows = docs.select(base_code(declared).alias("lang"), host.alias("host"), suffix.alias("suffix"), "text")
-    seen = rows.groupBy("host", "suffix", "lang").count()
+    has_suffix = suffix is not None
+    rows = docs.select(base_code(declared).alias("lang"), host.alias("host"), (suffix if has_suffix else F.lit(None).cast("string")).alias("suffix"), "text")
+    # Counted once; all priors come from it.
+    seen = store(spark, rows.groupBy("host", "suffix", "lang").count(), "declared")
     counts = seen.where(F.col("lang").isNotNull())
     # The grouped counts are few against the texts; languages are bounded by the pattern.
     top = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").collect()
@@ -140,9 +142,9 @@ def fit_languages(
         one = lambda x, i: (F.coalesce(F.try_element_at("_n", (i + 1).cast("long")), F.lit(0)) + F.lit(strength) * x) / (F.col("_t") + F.lit(strength))
         return by.select(key, F.transform(above, one).alias("p"))
 
-    # A host that declares no language has the prior of its suffix.
-    by_suffix = smoothed(counts, "suffix", None, corpus).select(F.col("suffix").alias("s"), F.col("p").alias("above"))
-    by_host = smoothed(seen.where(F.col("host").isNotNull()), "host", by_suffix, F.coalesce("above", corpus))
+    # A host that declares no language has the prior of its suffix; where there are no suffixes, that of the corpus.
+    by_suffix = smoothed(counts, "suffix", None, corpus).select(F.col("suffix").alias("s"), F.col("p").alias("above")) if has_suffix else None
+    by_host = smoothed(seen.where(F.col("host").isNotNull()), "host", by_suffix, F.coalesce("above", corpus) if has_suffix else corpus)
     by_host = by_host.select("host", F.transform("p", lambda x: F.log(x)).alias("prior"))
     max_hosts = max(1, min(max_hosts, max_hosts * 64 // len(languages)))
     few = by_host.limit(max_hosts + 1).collect()
