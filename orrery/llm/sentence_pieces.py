@@ -9,6 +9,8 @@ the best score, the leftmost among equals, is taken until none is left, as byte-
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,7 @@ from .chunks import ChunkEncoder, cut
 
 _MARK = 0x2581
 _NONE = np.iinfo(np.int32).max
+_WINDOW = 1 << 16  # characters that are matched together
 
 
 @lru_cache(1)
@@ -31,6 +34,11 @@ def piece_encoder(path: str) -> tuple[PieceModel, ChunkEncoder]:
     return model, ChunkEncoder(SuffixMatcher(model).encode)
 
 
+@lru_cache(1)
+def piece_surfaces(path: str) -> Surfaces:
+    return Surfaces(piece_encoder(path)[0])
+
+
 class PieceModel:
     """Pieces of a byte-pair model with byte fallback, identity normalisation and a dummy prefix."""
 
@@ -48,6 +56,8 @@ class PieceModel:
         # Equal scores have equal ranks; the best is 0.
         self.ranks = np.unique(-np.array([s for _, _, s in normal]), return_inverse=True)[1].astype(np.int32)
         self.longest = max(map(len, self.pieces))
+        self.rank_of = dict(zip(self.pieces, self.ranks.tolist(), strict=True))
+        self.id_of = dict(zip(self.pieces, self.ids.tolist(), strict=True))
         self.bytes = np.zeros(256, np.int32)
         for i, p in enumerate(m.pieces):
             if p.type == 6:
@@ -97,21 +107,119 @@ class SuffixMatcher:
         order = np.argsort(at * (self.m.longest + 1) + self.m.lens[piece], kind="stable")
         return at[order], piece[order]
 
-    def encode(self, chunks: list[bytes], most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[bytes], most: int = _WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and each one's number."""
-        out: list = []
+        flat, counts, owner = [], [], []
         batch, size = [], 0
-        for c in chunks:
+
+        def done() -> None:
+            nonlocal batch, size
+            if batch:
+                ids, n = self._encode(batch)
+                flat.append(ids)
+                counts.append(n)
+            batch, size = [], 0
+
+        for i, c in enumerate(chunks):
             text = c.decode().replace(" ", "▁")
-            batch.append(text)
-            size += len(text) + 1
-            if size >= most:
-                out.append(self._encode(batch))
-                batch, size = [], 0
-        if batch:
-            out.append(self._encode(batch))
-        flat, counts = zip(*out, strict=True) if out else ((np.empty(0, np.int32),), (np.empty(0, np.int64),))
-        return np.concatenate(flat), np.concatenate(counts)
+            for part in self.segments(text, most) if len(text) > 2 * most else (text,):
+                owner.append(i)
+                if len(part) > 4 * most:
+                    done()
+                    ids = self.encode_run(part)
+                    flat.append(ids)
+                    counts.append(np.array([len(ids)]))
+                    continue
+                batch.append(part)
+                size += len(part) + 1
+                if size >= most:
+                    done()
+        done()
+        n = np.concatenate([np.empty(0, np.int64), *counts])
+        return np.concatenate([np.empty(0, np.int32), *flat]), np.bincount(np.array(owner, np.int64), n, minlength=len(chunks)).astype(np.int64)
+
+    def segments(self, text: str, most: int = _WINDOW) -> Iterator[str]:
+        """Parts of a long chunk, cut where no piece of two characters or more lies across: nothing is ever joined there.
+
+        Pieces are matched in windows, so that memory doesn't grow with the chunk.
+        """
+        longest = self.m.longest
+        start, carry = 0, np.zeros(longest, np.int64)
+        for a in range(0, len(text), most):
+            codes = np.frombuffer(text[a : a + most + longest].encode("utf-32-le"), np.uint32)
+            at, piece = self.edges(codes)
+            n = self.m.lens[piece]
+            own = (at < most) & (n > 1)
+            # Of the boundary before each character: how many pieces lie across.
+            step = np.zeros(most + longest + 1, np.int64)
+            step[: len(carry)] += np.diff(carry, prepend=0)
+            step[len(carry)] -= carry[-1]
+            np.add.at(step, at[own] + 1, 1)
+            np.subtract.at(step, at[own] + n[own], 1)
+            across = np.cumsum(step)
+            carry = across[most : most + longest].copy()
+            free = np.flatnonzero(across[: min(most, len(text) - a)] == 0) + a
+            if len(free) and free[-1] > start:
+                yield text[start : free[-1]]
+                start = int(free[-1])
+        yield text[start:]
+
+    def encode_run(self, text: str) -> np.ndarray:
+        """Ids of a chunk that can't be cut, by lists of places for each rank, at some bytes for each character."""
+        m, n = self.m, len(text)
+        size, before, after = bytearray(b"\1" * n), array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        places: dict[int, array] = {}
+        ranks: list[int] = []
+
+        def rank(i: int) -> int:
+            j = after[i]
+            return m.rank_of.get(text[i : i + size[i] + size[j]], -1) if size[i] and j < n else -1
+
+        def push(i: int, r: int) -> None:
+            if r not in places:
+                places[r] = array("i")
+                heapq.heappush(ranks, r)
+            places[r].append(i)
+
+        for i in range(n - 1):
+            if (r := rank(i)) >= 0:
+                push(i, r)
+        while ranks:
+            # All places of the best rank from the left; joining may give further ones of this rank, or a better one.
+            r = heapq.heappop(ranks)
+            todo = np.sort(np.frombuffer(places.pop(r), np.int32))
+            stream = (i for a in range(0, len(todo), _WINDOW) for i in todo[a : a + _WINDOW].tolist())
+            more: list[int] = []
+            ahead, read = next(stream, n), 1
+            while more or ahead < n:
+                if more and more[0] <= ahead:
+                    i = heapq.heappop(more)
+                else:
+                    i, ahead, read = ahead, next(stream, n), read + 1
+                if rank(i) != r:
+                    continue
+                j = after[i]
+                size[i], size[j], after[i] = size[i] + size[j], 0, after[j]
+                if after[i] < n:
+                    before[after[i]] = i
+                for x in (i, before[i]):
+                    if x >= 0 and (new := rank(x)) == r:
+                        heapq.heappush(more, x)
+                    elif x >= 0 and new >= 0:
+                        push(x, new)
+                if ranks and ranks[0] < r:
+                    rest = todo[read - 1 :].tolist() + more
+                    if rest:
+                        places[r] = array("i", rest)
+                        heapq.heappush(ranks, r)
+                    break
+        ids = array("i")
+        i = 0
+        while i < n:
+            piece = text[i : i + size[i]]
+            ids.extend(m.bytes[list(piece.encode())].tolist() if piece not in m.id_of else (m.id_of[piece],))
+            i = after[i]
+        return np.array(ids, np.int32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         m = self.m
@@ -238,7 +346,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, column: str = "tokens", ch
 
     def run(batches):
         model, encoder = piece_encoder(model_path)
-        surfaces = Surfaces(model) if check else None
+        surfaces = piece_surfaces(model_path) if check else None
         for batch in batches:
             values = T.column_bytes(batch.column(batch.schema.get_field_index("text")))
             for a, b in T.slices(values, 1 << 20):
@@ -262,7 +370,7 @@ def decode_texts(docs: DataFrame, model_path: str, *, tokens: str = "tokens", co
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        surfaces = Surfaces(PieceModel(model_path))
+        surfaces = piece_surfaces(model_path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(tokens)).fill_null([])
             for k in range(0, batch.num_rows, 512):

@@ -8,6 +8,7 @@ only, hence are the same on every executor and in every run.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,6 +128,18 @@ def find_words(t: Texts, buf: np.ndarray | None = None, table: np.ndarray = NON_
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hashes of disjoint, ascending, non-empty byte ranges; `second` gives other ones, independent of the first."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    for i in np.flatnonzero(size > _BLOCK).tolist():
+        # Ranges of many megabytes take no memory of their own.
+        digest = hashlib.blake2b(memoryview(np.ascontiguousarray(buf[starts[i] : ends[i]])), digest_size=8, salt=b"second" if second else b"first")
+        out[i] = int.from_bytes(digest.digest(), "little")
+    short = np.flatnonzero(size <= _BLOCK)
+    out[short] = _short_hashes(buf, starts[short], ends[short], second)
+    return mix(out)
+
+
+def _short_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool) -> np.ndarray:
     n = len(starts)
     out = np.empty(n, np.uint64)
     if not n:
@@ -152,7 +165,7 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second:
         sums = np.add.reduceat(val, idx)[::2]
         sums[-1] = val[int(s[-1]) - lo :].sum(dtype=np.uint64)
         out[a:b] = sums ^ (lens.astype(np.uint64) * _BASE)
-    return mix(out)
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
