@@ -124,7 +124,10 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, max_labels: int = 20_000, smoothing: float = 1.0) -> QualityModel:
-    """Counts are over all texts. `max_labels` bounds the labels of either kind that are used: those of smallest hash."""
+    """Counts are over all texts. `max_labels` bounds the labels of either kind that are used: those of smallest hash.
+
+    A document that is labelled both ways counts as good; of rows of one doc_id the least score counts for the threshold. Null ids have no label.
+    """
 
     def sample(quality: int) -> np.ndarray:
         own = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
@@ -158,18 +161,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, m
         target[b] += g
     model = QualityModel(np.log(target / target.sum()) - np.log(raw / raw.sum()), 0.0)
     ids = docs.sparkSession.createDataFrame([(int(i), int(k)) for k, x in ((1, good), (0, bad)) for i in x], "doc_id long, good int")
+    schema = "doc_id long, good int, score double"
 
     def score(batches):
         for batch in batches:
-            values = T.column_bytes(batch.column(1))
+            values = T.column_bytes(batch.column(2))
             for a, b in T.slices(values):
                 c = Counted(values[a:b])
-                ok = ~_base_failed(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].filter(pa.array(ok)), pa.array(model.scores(c)[ok])], names=["good", "score"])
+                ok = pa.array(~_base_failed(c))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b].filter(ok) for k in (0, 1)), pa.array(model.scores(c)).filter(ok)], names=["doc_id", "good", "score"])
 
-    # At most 2 * max_labels rows come back.
-    labelled = pairs.join(F.broadcast(ids), "doc_id").select("good", "text").mapInArrow(score, "good int, score double").collect()
-    model.threshold = choose_threshold(*(np.array([r[1] for r in labelled if r[0] == k]) for k in (1, 0)))
+    # One row for each label, however often its document is there: at most 2 * max_labels rows come back.
+    labelled = pairs.join(F.broadcast(ids), "doc_id").select("doc_id", "good", "text").mapInArrow(score, schema).groupBy("doc_id", "good").agg(F.min("score").alias("score")).collect()
+    model.threshold = choose_threshold(*(np.array([r["score"] for r in labelled if r["good"] == k]) for k in (1, 0)))
     return model
 
 
