@@ -6,6 +6,7 @@ shard answers each blob, and the answers return to the group, where they are rea
 which the hashes were sent. Only hashes and answers of a bit or a byte travel, a hot hash
 counts once for each group that holds it, and no shard or group grows with the corpus: their
 numbers do, and so do the numbers of tasks, since both are dealt to as many partitions as there are of them.
+The documents themselves travel as compressed batches, of those that an input batch has for one group.
 
 All steps of an operator form one lazy query, so that the documents are dealt out once (Spark
 reuses the exchange) and a lost executor's part is recomputed from the source.
@@ -17,8 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .textcore import release
 
@@ -32,20 +35,42 @@ _REPLY_SCHEMA = pa.schema([("_x_group", pa.int32()), ("_x_shard", pa.int32()), (
 
 @dataclass(frozen=True)
 class Dealt:
-    """Documents with their group, and how many groups and shards there are."""
+    """Documents with their group, as packed batches of rows; their schema; how many groups and shards there are."""
 
     docs: DataFrame
+    schema: pa.Schema
     groups: int
     shards: int
 
 
+def _rows(packed: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The documents of one group, with a column for the group."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(unzip(x.as_buffer())), schema) for c in packed.column("_x_rows").chunks for x in c], schema)
+    return table.append_column(GROUP, pa.array(np.full(table.num_rows, packed.column(GROUP)[0].as_py(), np.int32)))
+
+
 def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id") -> Dealt:
     """Numbers of groups and shards follow the bytes of text, so that either holds about as much at every size."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-size // group_bytes))
     group = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
-    return Dealt(docs.withColumn(GROUP, group).repartition(n, GROUP), n, n)
+    schema = to_arrow_schema(docs.schema)
+
+    def run(batches):
+        zipped = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            groups = batch.column(batch.num_columns - 1).to_numpy()
+            order = np.argsort(groups, kind="stable")
+            sorted_ = groups[order]
+            heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(order)])
+            rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)], schema=schema)
+            made = [zipped(rows.take(pa.array(order[a:b])).serialize()) for a, b in zip(heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sorted_[heads]), pa.array(made, pa.binary())], names=[GROUP, "_x_rows"])
+
+    packed = docs.withColumn(GROUP, group).mapInArrow(run, f"{GROUP} int, _x_rows binary")
+    return Dealt(packed.repartition(n, GROUP), schema, n, n)
 
 
 def pack(shards: int, group: int, step: int, hashes: np.ndarray, dtype, aux: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
@@ -89,15 +114,16 @@ def _released(table: pa.Table) -> pa.Table:
 
 def ask(dealt: Dealt, emit, replies: DataFrame | None = None) -> DataFrame:
     """`emit(group, table, replies)` returns blob rows of one group; replies are those of earlier steps."""
+    schema = dealt.schema
     if replies is None:
 
         def run(table: pa.Table) -> pa.Table:
-            return _released(blob_table(emit(table.column(GROUP)[0].as_py(), table, None)))
+            return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), None)))
 
         return dealt.docs.groupBy(GROUP).applyInArrow(run, BLOBS)
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _released(blob_table(emit(table.column(GROUP)[0].as_py(), table, answers) if table.num_rows else []))
+        return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), answers) if table.num_rows else []))
 
     return dealt.docs.groupBy(GROUP).cogroup(replies.repartition(dealt.groups, "_x_group").groupBy("_x_group")).applyInArrow(both, BLOBS)
 
@@ -119,14 +145,13 @@ def answer(dealt: Dealt, blobs: DataFrame, resolve) -> DataFrame:
 
 def finish(dealt: Dealt, replies: DataFrame, apply, schema) -> DataFrame:
     """`apply(table, replies)` returns the rows of one group."""
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    arrow = to_arrow_schema(struct)
+    arrow, given = to_arrow_schema(struct), dealt.schema
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _released(apply(table, answers)) if table.num_rows else arrow.empty_table()
+        return _released(apply(_rows(table, given), answers)) if table.num_rows else arrow.empty_table()
 
     return dealt.docs.groupBy(GROUP).cogroup(replies.repartition(dealt.groups, "_x_group").groupBy("_x_group")).applyInArrow(both, struct)
 

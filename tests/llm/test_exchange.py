@@ -46,3 +46,16 @@ def test_products_count_shared_columns():
     got = _products([sets[a].tobytes() for a, _ in pairs], [sets[b].tobytes() for _, b in pairs])
     assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
     assert list(_blocks(np.array([5, 5, 20, 1, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 6)] and list(_blocks(np.array([], int))) == []
+
+
+def test_columns_of_any_type_pass_through(spark):
+    from orrery.llm.line_dedup import dedup_lines
+
+    df = spark.sql(
+        """SELECT * FROM VALUES (1L, 'one line that is long\nx', timestamp'2024-03-01 10:00:00', date'2024-03-01', 1.5BD, array(1, null), named_struct('a', 'b', 'c', array(named_struct('d', 1))), map('k', 2), X'00ff', true),
+           (2L, 'one line that is long', null, null, null, null, null, null, null, null) AS t(doc_id, text, at, day, price, numbers, nested, pairs, raw, flag)"""
+    )
+    got = sorted(dedup_lines(df).collect())
+    assert [(r.n_lines, r.n_dropped, r.text) for r in got] == [(2, 0, "one line that is long\nx"), (1, 1, "")]
+    keep = [c for c in df.columns if c != "text"]
+    assert [tuple(r[c] for c in keep) for r in got] == [tuple(r[c] for c in keep) for r in sorted(df.collect())]
