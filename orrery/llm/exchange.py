@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import textcore as T
 from .textcore import release
 
 GROUP = "_x_group"
@@ -65,7 +66,7 @@ def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", ke
             order = np.argsort(groups, kind="stable")
             sorted_ = groups[order]
             heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(order)])
-            rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)], schema=schema)
+            rows = pa.RecordBatch.from_arrays([T.as_type(c, f.type) for c, f in zip(batch.columns, schema, strict=False)], schema=schema)
             made = [zipped(rows.take(pa.array(order[a:b])).serialize()) for a, b in zip(heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(sorted_[heads]), pa.array(made, pa.binary())], names=[GROUP, "_x_rows"])
 

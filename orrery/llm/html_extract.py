@@ -296,6 +296,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             for at, end in T.slices(size, 4 << 20):
                 part = batch.slice(at, end - at)
                 made = [extract_text(x).encode("utf-8", "replace") for x in html.slice(at, end - at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)), pa.array(made, pa.binary()).cast(pa.string())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(T.as_type(c, f.type) for c, f in zip(part.columns, arrow, strict=False)), pa.array(made, pa.binary()).cast(pa.string())], schema=arrow)
 
     return pages.mapInArrow(run, schema)

@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, declared: Column | None,
                 else:
                     new = [["und"] * n, np.zeros(n), [None] * n, np.zeros(n, bool)]
                 part = batch.slice(a, n)
-                yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(part.columns[: len(names)], arrow, strict=False)), *(pa.array(x, f.type) for x, f in zip(new, list(arrow)[len(names) :], strict=True))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(T.as_type(x, f.type) for x, f in zip(part.columns[: len(names)], arrow, strict=False)), *(pa.array(x, f.type) for x, f in zip(new, list(arrow)[len(names) :], strict=True))], schema=arrow)
 
     return given.mapInArrow(run, schema)
 

@@ -204,6 +204,6 @@ def apply_rules(docs: DataFrame, model: QualityModel, *, min_words: int = 20, ma
                 score = shared.value.scores(c)
                 new = [c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed, score, ~failed & (score >= shared.value.threshold)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(part.columns, arrow, strict=False)), *map(pa.array, new)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(T.as_type(x, f.type) for x, f in zip(part.columns, arrow, strict=False)), *map(pa.array, new)], schema=arrow)
 
     return docs.mapInArrow(run, schema)

@@ -357,7 +357,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, column: str = "tokens", ch
                 if surfaces:
                     new.append(pa.array([x == (v or b"") for x, v in zip(surfaces.texts(ids, first), values[a:b], strict=True)]))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)), *new], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(T.as_type(c, f.type) for c, f in zip(part.columns, arrow, strict=False)), *new], schema=arrow)
             T.release()
 
     return docs.mapInArrow(run, schema)
@@ -378,6 +378,6 @@ def decode_texts(docs: DataFrame, model_path: str, *, tokens: str = "tokens", co
                 first = part.offsets.to_numpy().astype(np.int64)
                 made = surfaces.texts(part.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0])
                 rows = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(rows.columns, arrow, strict=False)), pa.array([x.decode("utf-8", "replace") for x in made], pa.string())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(T.as_type(c, f.type) for c, f in zip(rows.columns, arrow, strict=False)), pa.array([x.decode("utf-8", "replace") for x in made], pa.string())], schema=arrow)
 
     return docs.mapInArrow(run, schema)

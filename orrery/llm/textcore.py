@@ -83,6 +83,11 @@ def release() -> None:
         _TRIM(0)
 
 
+def as_type(column: pa.Array, kind: pa.DataType) -> pa.Array:
+    """A cast where one is needed: Arrow refuses to cast a type to itself if null rows stand beside fields that can't be null."""
+    return column if column.type.equals(kind) else column.cast(kind)
+
+
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
