@@ -37,8 +37,8 @@ def safe_json(text: Column, schema: str = RESPONSE) -> Column:
     """Null where it can't be read, also without control characters."""
     options = {"mode": "PERMISSIVE", "allowUnquotedControlChars": "false"}
     clean = F.regexp_replace(text, r"[\x00-\x1F\x7F]", "")
-    ok = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema, options))
-    return F.coalesce(ok(text), ok(clean))
+    valid = F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(clean).isNotNull(), clean)
+    return F.from_json(valid, schema, options)
 
 
 def normalize_tag(tag: Column) -> Column:
@@ -101,8 +101,14 @@ def fix_language_mixing(value: Column, content: Column, field: str) -> Column:
 
 
 def parse_response(text: Column) -> Column:
-    """A model's answer as a struct of normalised values; null where it isn't JSON."""
-    d = safe_json(strip_fences(text))
+    """A model's answer as a struct of normalised values; null where it isn't JSON.
+
+    The parsed answer is bound to a variable, of an array of one element: Catalyst would put a copy of the parser into every field else.
+    """
+    return F.get(F.transform(F.array(safe_json(strip_fences(text))), _normalized), F.lit(0))
+
+
+def _normalized(d: Column) -> Column:
     brands = normalize_brands(d["detectedBrands"])
     content = d["siteContent"]
     parts = {

@@ -272,9 +272,10 @@ def fuzzy_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_index(spark, sf_dir).where(SIX.prefix_matches(F.col("token"), F.lit("ontio"))).select("token").distinct()
 
 
-@query("fuzzy_levenshtein", f"SELECT DISTINCT token FROM ({_TOKENS}) WHERE regexp_full_match(token, '[a-z]+') AND substr(token, 1, 2) = 'on' AND length(token) BETWEEN 5 AND 7 AND levenshtein(token, 'ontion') <= 1")
+@query("fuzzy_levenshtein", f"""SELECT DISTINCT token FROM ({_TOKENS}) WHERE substr(token, 1, 2) = 'on' AND length(token) BETWEEN 5 AND 7 AND len(list_filter(range(0, 7), lambda i: substr(token, 1, i) = substr('ontion', 1, i) AND (
+    substr(token, i + 2) = substr('ontion', i + 2) OR substr(token, i + 1) = substr('ontion', i + 2) OR substr(token, i + 2) = substr('ontion', i + 1)))) > 0""")
 def fuzzy_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_index(spark, sf_dir).where(F.col("token").rlike("^[a-z]+$") & SIX.near_token(F.lit("ontion"))).select("token").distinct()
+    return doc_index(spark, sf_dir).where(SIX.near_token(F.lit("ontion"))).select("token").distinct()
 
 
 @query("search_term_fallback", f"""WITH ix AS (SELECT DISTINCT token FROM ({_TOKENS})), t AS (SELECT unnest(['the', 'ontio', 'zzzz']) AS term),
@@ -405,7 +406,10 @@ on_catalog("log_json_context", "SELECT level, CAST(sum(CAST(context->>'$.k' AS B
 
 # --- Windows, labels, scalars ---------------------------------------------------------------------------------------------
 
-on_catalog("top5_tags_per_asset", "SELECT analysisId, string_agg(tag, ', ' ORDER BY confidence DESC, tag) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY analysisId ORDER BY confidence DESC, tag) AS rn FROM asset_tags) WHERE rn <= 3 GROUP BY analysisId")(lambda c: top_tags(c.asset_tags, 3))
+_EIGHT_TAGS = "SELECT analysisId, tag, confidence FROM asset_tags UNION ALL SELECT analysisId, concat('x', tag), CAST(1 - confidence AS DECIMAL(5,4)) FROM asset_tags"
+on_catalog("top5_tags_per_asset", f"SELECT analysisId, string_agg(tag, ', ' ORDER BY confidence DESC, tag) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY analysisId ORDER BY confidence DESC, tag) AS rn FROM ({_EIGHT_TAGS})) WHERE rn <= 5 GROUP BY analysisId")(
+    lambda c: top_tags(c.asset_tags.select("analysisId", "tag", "confidence").unionByName(c.asset_tags.select("analysisId", F.concat(F.lit("x"), "tag").alias("tag"), (1 - F.col("confidence")).cast("decimal(5,4)").alias("confidence"))), 5)
+)
 on_catalog("brand_names", "SELECT assetId, coalesce(array_to_string(list_transform(detectedBrands, lambda b: b.brand), ', '), '') AS brands FROM analyses")(lambda c: c.analyses.select("assetId", brand_names(F.col("detectedBrands")).alias("brands")))
 on_catalog("label_people", "SELECT assetId, CASE WHEN NOT containsPeople THEN 'No people' WHEN faceCount = 0 THEN 'People, no visible faces' WHEN faceCount = 1 THEN '1 person' WHEN faceCount = 2 THEN '2 people' WHEN faceCount <= 5 THEN '3-5 people' ELSE '6+ people' END AS label FROM analyses")(lambda c: c.analyses.select("assetId", L.people_label(F.col("containsPeople"), F.col("faceCount")).alias("label")))
 on_catalog("label_nsfw_bucket", "SELECT assetId, CAST(round(nsfwScore * 100) AS INT) || '%' AS text, CASE WHEN nsfwScore >= 0.8 THEN 'red' WHEN nsfwScore >= 0.5 THEN 'orange' ELSE 'gray' END AS color FROM analyses WHERE nsfwScore IS NOT NULL")(lambda c: c.analyses.select("assetId", L.nsfw_label(F.col("nsfwScore")).alias("n")).where("n IS NOT NULL").select("assetId", "n.text", "n.color"))
@@ -413,7 +417,7 @@ on_catalog("label_status_provider", "SELECT a.id, CASE l.status WHEN 'completed'
     lambda c: c.assets.join(c.analyses.select(F.col("assetId").alias("id"), "status", "provider", "providerModel"), "id", "left").select("id", L.status_label(F.col("status")).alias("s"), L.provider_label(F.col("provider"), F.col("providerModel")).alias("provider")).select("id", F.col("s.text").alias("status"), "s.color", "provider")
 )
 on_catalog("label_watermark", "SELECT assetId, CASE WHEN NOT hasWatermark THEN '' ELSE upper(watermarkType[1]) || watermarkType[2:] || CASE WHEN watermarkType = 'stock' AND coalesce(watermarkDetails.stockProvider, '') <> '' THEN ' (' || watermarkDetails.stockProvider || ')' ELSE '' END END AS label FROM analyses")(lambda c: c.analyses.select("assetId", L.watermark_label(F.col("hasWatermark"), F.col("watermarkType"), F.col("watermarkDetails.stockProvider")).alias("label")))
-on_catalog("fmt_size", "SELECT id, CASE WHEN size >= 1000000 THEN regexp_replace(CAST(round(size / 1000000.0, 1) AS VARCHAR), '\\.0$', '') || 'MB' ELSE CAST(CAST(round(size / 1000.0) AS BIGINT) AS VARCHAR) || 'KB' END AS text FROM assets WHERE size % 1000 <> 500 AND size % 100000 <> 50000")(lambda c: c.assets.select("id", L.file_size_text(F.col("size")).alias("text")))
+on_catalog("fmt_size", "SELECT id, CASE WHEN size >= 1000000 THEN (size + 50000) // 1000000 || CASE WHEN (size + 50000) // 100000 % 10 > 0 THEN '.' || (size + 50000) // 100000 % 10 ELSE '' END || 'MB' ELSE (size + 500) // 1000 || 'KB' END AS text FROM assets")(lambda c: c.assets.select("id", L.file_size_text(F.col("size")).alias("text")))
 on_catalog("fmt_duration", "SELECT id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || 's' ELSE '' END ELSE s // 3600 || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || s // 60 % 60 || 'm' ELSE '' END END AS text FROM (SELECT id, id * 37 AS s FROM assets)")(lambda c: c.assets.select("id", L.duration_text(F.col("id") * 37).alias("text")))
 on_catalog("time_ago", "SELECT id, CASE WHEN s >= 86400 THEN CASE WHEN s // 86400 = 1 THEN '1 day ago' ELSE s // 86400 || ' days ago' END WHEN s >= 3600 THEN CASE WHEN s // 3600 = 1 THEN '1 hour ago' ELSE s // 3600 || ' hours ago' END WHEN s >= 60 THEN CASE WHEN s // 60 = 1 THEN '1 min ago' ELSE s // 60 || ' mins ago' END ELSE 'just now' END AS text FROM (SELECT id, CAST(abs(epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(dateCreated)) AS BIGINT) AS s FROM assets)")(lambda c: c.assets.select("id", L.time_ago(F.col("dateCreated"), LATE).alias("text")))
 on_catalog("title_autogenerated", r"""WITH t AS (SELECT id, title, regexp_replace(filename, '\.[^.]*$', '') AS s FROM assets) SELECT id, coalesce(title, '') = '' OR lower(title) = lower(s) OR lower(title) = lower(trim(regexp_replace(s, '[-_.]+', ' ', 'g'))) AS automatic FROM t""")(lambda c: c.assets.select("id", L.title_is_automatic(F.col("title"), F.col("filename")).alias("automatic")))
@@ -499,11 +503,11 @@ on_catalog("dup_unresolved_page", "SELECT id, hammingDistance FROM duplicate_gro
 on_catalog("similar_to_ranked", f"SELECT CASE WHEN canonicalAssetId = 17 THEN duplicateAssetId ELSE canonicalAssetId END AS assetId, similarity FROM duplicate_groups WHERE resolution IS NULL AND 17 IN (canonicalAssetId, duplicateAssetId)")(lambda c: D.similar_ranked(c.duplicate_groups, 17).select("assetId", "similarity"))
 on_catalog("similar_top3", f"WITH e AS (SELECT canonicalAssetId AS a, duplicateAssetId AS b, similarity AS s FROM duplicate_groups WHERE resolution IS NULL UNION ALL SELECT duplicateAssetId, canonicalAssetId, similarity FROM duplicate_groups WHERE resolution IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn, count(*) OVER (PARTITION BY a) AS n FROM e) SELECT a AS assetId, max(n) AS n_similar, list(b ORDER BY rn) AS similar FROM r WHERE rn <= 3 GROUP BY a")(lambda c: similar_top(c.duplicate_groups))
 _CC = "e AS (SELECT canonicalAssetId AS x, duplicateAssetId AS y FROM {p} UNION ALL SELECT duplicateAssetId, canonicalAssetId FROM {p}), r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b), k AS (SELECT a, min(b) AS k FROM r GROUP BY a)"
-on_catalog("dup_cluster_keys", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(lambda c: D.cluster(c.duplicate_groups, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey"))
-on_catalog("dup_resolve_splits", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300 AND id <> 170), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
+on_catalog("dup_cluster_keys", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(lambda c: D.cluster(c.duplicate_groups, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey"))
+on_catalog("dup_resolve_splits", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND id <> 170), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
     lambda c: D.resolve(c.duplicate_groups, 170, "kept", NOW, shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
 )
-on_catalog("dup_asset_deleted", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId < 300 AND canonicalAssetId % 16 <> 1 AND duplicateAssetId % 16 <> 1), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
+on_catalog("dup_asset_deleted", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId % 16 <> 1 AND duplicateAssetId % 16 <> 1), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(
     lambda c: D.without_assets(c.duplicate_groups, c.assets.where("id % 16 = 1").select(F.col("id").alias("assetId")), shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
 )
 on_catalog("dup_new_pairs", "SELECT a.id AS canonicalAssetId, a.id + 2 AS duplicateAssetId FROM assets a WHERE NOT EXISTS (SELECT 1 FROM duplicate_groups d WHERE d.canonicalAssetId = a.id AND d.duplicateAssetId = a.id + 2)")(lambda c: D.new_pairs(c.assets.select(F.col("id").alias("canonicalAssetId"), (F.col("id") + 2).alias("duplicateAssetId")), c.duplicate_groups))
@@ -533,9 +537,12 @@ def provider_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("assetId", "provider", F.lit(None).cast("string").alias("errorCode")).unionByName(bad.select("assetId", "provider", "errorCode"))
 
 
-@query("redact", "SELECT doc_id, regexp_replace(substr(text, 1, 500), '[?&](key|api_key|apikey)=[^&\\s]+', '\\1=[REDACTED]', 'g') AS message FROM documents")
+_KEYS = "concat('call ', CASE doc_id % 3 WHEN 0 THEN concat('sk-', repeat('aB3', 8)) WHEN 1 THEN concat('AIza', repeat('Xy_-9', 7)) ELSE 'sk-short' END, ' of /v1?model=m&api_key=', CAST(doc_id AS VARCHAR(20)), '&key=k', CAST(doc_id AS VARCHAR(20)), ' ', text)"
+
+
+@query("redact", rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr({_KEYS}, 1, 500), '\bsk-[a-zA-Z0-9]{{20,}}\b', '[REDACTED]', 'g'), '\bAIza[a-zA-Z0-9_-]{{30,}}\b', '[REDACTED]', 'g'), '[?&](key|api_key|apikey)=[^&\s]+', '\1=[REDACTED]', 'g') AS message FROM documents""")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", N.redact(F.col("text")).alias("message"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.redact(F.expr(_KEYS.replace("VARCHAR(20)", "STRING"))).alias("message"))
 
 
 @query("error_codes", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'invalid_api_key' WHEN 1 THEN 'access_denied' WHEN 2 THEN 'model_not_found' WHEN 3 THEN 'file_too_large' WHEN 4 THEN 'rate_limit' WHEN 5 THEN 'provider_unavailable' WHEN 6 THEN 'unknown' ELSE 'timeout' END AS code FROM events")
@@ -570,10 +577,15 @@ SELECT * FROM kept UNION ALL SELECT DISTINCT analysisId, t, true FROM n WHERE NO
 on_catalog("create_pending", "SELECT a.id AS assetId, coalesce(l.status, 'pending') AS status FROM assets a LEFT JOIN analyses l ON l.assetId = a.id")(lambda c: M.create_pending(c.analyses, c.assets, NOW).select("assetId", "status"))
 on_catalog("keyed_merge", "SELECT coalesce(l.assetId, n.id) AS assetId, CASE WHEN n.id IS NOT NULL THEN 'merged' ELSE l.status END AS status FROM analyses l FULL JOIN (SELECT id FROM assets WHERE id % 9 = 0) n ON n.id = l.assetId")(lambda c: M.keyed_merge(c.analyses.select("assetId", "status"), c.assets.where("id % 9 = 0").select(F.col("id").alias("assetId"), F.lit("merged").alias("status")), ["assetId"]))
 on_catalog("auto_apply_native", "SELECT a.id, coalesce(nullif(a.alt, ''), nullif(l.altTextAi, ''), a.alt) AS alt FROM assets a LEFT JOIN analyses l ON l.assetId = a.id")(lambda c: M.auto_apply(c.assets, c.analyses, L.title_is_automatic(F.col("title"), F.col("filename"))).select("id", "alt"))
-@on_catalog("state_transition", """WITH e AS (SELECT assetId, max_by(event, seq) AS event FROM (SELECT user_id AS assetId, ['queue', 'start', 'succeed', 'fail', 'cancel'][event_id % 5 + 1] AS event, event_id AS seq FROM events) GROUP BY assetId),
-j AS (SELECT coalesce(l.assetId, e.assetId) AS assetId, l.status AS s, e.event, l.previousStatus AS prev, l.processedAt IS NOT NULL AS had FROM analyses l FULL JOIN e ON e.assetId = l.assetId),
-t AS (SELECT assetId, CASE WHEN event IS NULL THEN s WHEN event = 'queue' AND (s IS NULL OR s <> 'processing') THEN 'pending' WHEN event = 'start' AND s = 'pending' THEN 'processing' WHEN event = 'succeed' AND s = 'processing' THEN 'completed'
-    WHEN event = 'fail' AND s IN ('pending', 'processing') THEN CASE WHEN had THEN 'completed' ELSE 'failed' END WHEN event = 'cancel' AND s IN ('pending', 'processing') THEN prev ELSE s END AS status FROM j) SELECT assetId, status FROM t WHERE status IS NOT NULL""")
+@on_catalog("state_transition", """WITH e AS (SELECT assetId, list({'s': NULL::VARCHAR, 'p': NULL::VARCHAR, 'h': false, 'e': event} ORDER BY seq) AS ev
+    FROM (SELECT assetId, ['queue', 'start', 'succeed', 'fail', 'cancel'][id % 5 + 1] AS event, id AS seq FROM logs WHERE assetId IS NOT NULL) GROUP BY assetId),
+j AS (SELECT coalesce(l.assetId, e.assetId) AS assetId, list_prepend({'s': l.status, 'p': l.previousStatus, 'h': l.processedAt IS NOT NULL, 'e': ''}, coalesce(ev, [])) AS ev FROM analyses l FULL JOIN e ON e.assetId = l.assetId),
+t AS (SELECT assetId, list_reduce(ev, lambda a, x: {
+    's': CASE WHEN x.e = 'queue' AND coalesce(a.s, '') <> 'processing' THEN 'pending' WHEN x.e = 'start' AND a.s = 'pending' THEN 'processing' WHEN x.e = 'succeed' AND a.s = 'processing' THEN 'completed'
+              WHEN x.e = 'fail' AND a.s IN ('pending', 'processing') THEN CASE WHEN a.h THEN 'completed' ELSE 'failed' END WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN a.p ELSE a.s END,
+    'p': CASE WHEN x.e = 'queue' AND coalesce(a.s, '') <> 'processing' THEN a.s WHEN x.e = 'succeed' AND a.s = 'processing' THEN NULL WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN NULL ELSE a.p END,
+    'h': CASE WHEN x.e = 'succeed' AND a.s = 'processing' THEN true WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN a.h AND a.p IS NOT NULL ELSE a.h END, 'e': ''}) AS r FROM j)
+SELECT assetId, r.s AS status FROM t WHERE r.s IS NOT NULL""")
 def state_transition(c: Catalog) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("queue", "start", "succeed", "fail", "cancel")])
     events = c.logs.select("assetId", F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("event"), F.col("id").alias("seq"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..operators.mutations import transition
-
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
     """A file stream; the schema comes from the files that are there."""
@@ -25,7 +25,7 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour")
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Processes what is there and returns the result table: for tests and small results."""
+    """Processes what is there and returns the result table, which the driver holds: for tests."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
@@ -34,17 +34,104 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return stream.sparkSession.table(name)
 
 
+def run_to_folder(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Processes what is there and returns the result table of the last batch, written by the executors below `folder`, which they share."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is repeated writes the same place again.
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch={last}")
+
+
 def asset_event_action(kind, hash_changed, has_analysis):
     """What an event asks for: queue, purge, or nothing. A replaced file is processed again only if its content hash differs."""
     return F.when(kind == "save", "queue").when(kind == "delete", "purge").when((kind == "replace") & hash_changed, "queue").when((kind == "restore") & ~has_analysis, "queue")
 
 
+EVENTS = ("queue", "start", "succeed", "fail", "cancel")
+_STATUS = (None, "pending", "processing", "completed", "failed")
+_STATES = tuple((s, p, had) for s in range(5) for p in range(5) for had in (0, 1))
+
+
+def step_status(status: str | None, previous: str | None, had: bool, event: str) -> tuple[str | None, str | None, bool]:
+    """Status, status before the last queueing, and whether there is data of an earlier analysis, after one event."""
+    if event == "queue" and status != "processing":
+        return "pending", status, had
+    if event == "start" and status == "pending":
+        return "processing", previous, had
+    if event == "succeed" and status == "processing":
+        return "completed", None, True
+    if status in ("pending", "processing"):
+        if event == "fail":
+            return "completed" if had else "failed", previous, had
+        if event == "cancel":
+            return previous, None, had and previous is not None
+    return status, previous, had
+
+
+def _step_tables() -> dict[str, np.ndarray]:
+    """For each event the number of the state that follows each state: a sequence of events is the composition of its tables."""
+    number = {s: i for i, s in enumerate(_STATES)}
+
+    def after(state: tuple, event: str) -> int:
+        s, p, had = step_status(_STATUS[state[0]], _STATUS[state[1]], bool(state[2]), event)
+        return number[_STATUS.index(s), _STATUS.index(p), int(had)]
+
+    return {e: np.array([after(s, e) for s in _STATES], np.int8) for e in EVENTS}
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """assetId and steps: what all its events (assetId, event, seq), in their order, make of each state.
+
+    Events are dealt out by ranges of asset and order, so that those of one asset may lie in many tasks; each task composes what it
+    has, and an asset's parts, one for each of its tasks, are composed in order. Unknown and null events change nothing.
+    """
+    import pyarrow as pa
+
+    tables = _step_tables()
+
+    def run(batches):
+        part, asset, steps = TaskContext.get().partitionId(), None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([asset], pa.int64()), pa.array([part], pa.int32()), pa.array([steps.tolist()], pa.list_(pa.int8()))], names=["assetId", "part", "steps"])
+        for batch in batches:
+            for a, e in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if steps is None or a != asset:
+                    if steps is not None:
+                        yield row()
+                    asset, steps = a, np.arange(len(_STATES), dtype=np.int8)
+                if e in tables:
+                    steps = tables[e][steps]
+        if steps is not None:
+            yield row()
+
+    given = events.select(F.col("assetId").cast("long"), "event", F.col("seq").cast("long")).where(F.col("assetId").isNotNull())
+    parts = given.repartitionByRange("assetId", "seq", "event").sortWithinPartitions("assetId", "seq", "event").mapInArrow(run, "assetId long, part int, steps array<tinyint>")
+    # At most one part for each task, in the order of the ranges.
+    ordered = parts.groupBy("assetId").agg(F.sort_array(F.collect_list(F.struct("part", "steps"))).alias("parts"))
+    same = F.array(*[F.lit(i).cast("tinyint") for i in range(len(_STATES))])
+    return ordered.select("assetId", F.aggregate("parts", same, lambda now, part: F.transform(now, lambda s: F.element_at(part["steps"], s.cast("int") + 1))).alias("steps"))
+
+
 def apply_events(analyses: DataFrame, events: DataFrame) -> DataFrame:
-    """Analyses after the last event of each asset (assetId, event, seq); assets without a row begin at null. A null status removes the row."""
-    last = events.groupBy("assetId").agg(F.max_by("event", "seq").alias("event"))
-    both = analyses.join(last, "assetId", "full_outer")
-    status = transition(F.col("status"), F.col("event"), F.coalesce(F.col("processedAt").isNotNull(), F.lit(False)), F.col("previousStatus"))
-    return both.withColumn("status", F.when(F.col("event").isNull(), F.col("status")).otherwise(status)).where(F.col("status").isNotNull()).select(*analyses.columns)
+    """Analyses after all events of each asset (assetId, event, seq), in their order; assets without a row begin at null. A null status removes the row."""
+    both = analyses.join(fold_events(events), "assetId", "full_outer")
+    number = lambda c: sum((F.when(c == x, i).otherwise(0) for i, x in enumerate(_STATUS) if x), F.lit(0))
+    state = number(F.col("status")) * 10 + number(F.col("previousStatus")) * 2 + F.col("processedAt").isNotNull().cast("int")
+    after = F.element_at("steps", (state + 1).cast("int")).cast("int")
+    name = lambda i: F.element_at(F.array(*[F.lit(x) for x in _STATUS]), (i + 1).cast("int"))
+    changed = lambda c, new: F.when(F.col("steps").isNull(), F.col(c)).otherwise(new)
+    both = both.withColumn("_after", after)
+    return (
+        both.withColumns({"status": changed("status", name(F.floor(F.col("_after") / 10))), "previousStatus": changed("previousStatus", name(F.floor(F.col("_after") / 2) % 5))})
+        .where(F.col("status").isNotNull()).select(*analyses.columns)
+    )
 
 
 def merge_stream(events: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str):
@@ -61,22 +148,13 @@ def stateful_status(events: DataFrame) -> DataFrame:
     import pandas as pd
 
     out = S.StructType([S.StructField("assetId", S.LongType()), S.StructField("status", S.StringType())])
-    state_type = S.StructType([S.StructField("status", S.StringType()), S.StructField("previous", S.StringType())])
+    state_type = S.StructType([S.StructField("status", S.StringType()), S.StructField("previous", S.StringType()), S.StructField("had", S.BooleanType())])
 
     def step(key, batches, state):
-        status, previous = state.get if state.exists else (None, None)
-        for e in pd.concat(list(batches)).sort_values("seq")["event"]:
-            if e == "queue" and status != "processing":
-                status, previous = "pending", status if status == "completed" else None
-            elif e == "start" and status == "pending":
-                status = "processing"
-            elif e == "succeed" and status == "processing":
-                status, previous = "completed", None
-            elif e == "fail" and status in ("pending", "processing"):
-                status = previous or "failed"
-            elif e == "cancel" and status in ("pending", "processing"):
-                status = previous
-        state.update((status, previous))
-        yield pd.DataFrame({"assetId": [key[0]], "status": [status]})
+        now = state.get if state.exists else (None, None, False)
+        for e in pd.concat(list(batches)).sort_values(["seq", "event"])["event"]:
+            now = step_status(*now, e)
+        state.update(now)
+        yield pd.DataFrame({"assetId": [key[0]], "status": [now[0]]})
 
     return events.groupBy("assetId").applyInPandasWithState(step, out, state_type, "update", "NoTimeout")
