@@ -20,6 +20,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("folder")
     p.add_argument("command", choices=["stats", "volumes", "scan-duplicates", "rebuild-index", "cleanup-stuck", "retry-failed"])
     p.add_argument("--threshold", type=int, default=10)
+    p.add_argument("--all-pairs", action="store_true", help="list every pair of copies, not only each copy with its first")
     p.add_argument("--status", choices=["pending", "processing"], default="pending")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName(f"orrery {a.command}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -31,7 +32,7 @@ def main(args: list[str] | None = None) -> None:
         c.assets.where("kind = 'image'").join(c.analyses.select(F.col("assetId").alias("id"), "status"), "id", "left").groupBy("volumeId").agg(F.count("*").alias("images"), F.count_if(F.col("status") == "completed").alias("analysed")).orderBy("volumeId").show(1000)
     elif a.command == "scan-duplicates":
         hashes = c.analyses.where("perceptualHash IS NOT NULL").select("assetId", D.hash_limbs(F.col("perceptualHash")).alias("limbs"))
-        found = D.new_pairs(D.hamming_pairs(hashes, a.threshold), c.duplicate_groups).withColumn("id", F.xxhash64("canonicalAssetId", "duplicateAssetId"))
+        found = D.new_pairs(D.hamming_pairs(hashes, a.threshold, expand=a.all_pairs), c.duplicate_groups).withColumn("id", F.xxhash64("canonicalAssetId", "duplicateAssetId"))
         from .queries import shared_save
 
         merged = D.cluster(c.duplicate_groups.unionByName(found, allowMissingColumns=True), shared_save(spark))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -62,11 +65,22 @@ def raster_hash(rasters: pd.Series, sides: pd.Series) -> pd.Series:
     return pd.Series([one(v, int(s)) for v, s in zip(rasters, sides, strict=True)])
 
 
-def _bands(limbs: Column, bits: int, n: int) -> Column:
-    """`n` disjoint bit ranges as (number, value): two hashes that differ in fewer than `n` bits agree on one."""
+def _bands(limbs: Column, bits: int, n: int, together: int = 1) -> Column:
+    """Keys of `together` of `n` disjoint bit ranges each, as (number, value): two hashes that differ in at most `n - together` bits share one."""
     text = F.array_join(F.transform(limbs, lambda x: F.lpad(F.bin(x), 32, "0")), "")
     cuts = [i * bits // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(text, a + 1, b - a).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    part = [F.substring(text, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.concat(*[part[k] for k in own]).alias("value")) for i, own in enumerate(combinations(range(n), together))])
+
+
+def bands_together(n: int, threshold: int, bits: int) -> int:
+    """How many bands make a key for `n` distinct hashes, by the rows and candidates that this gives; 0 if comparing all in blocks is less work."""
+    cost = {0: n * n / 100}  # blocks compare many pairs at once
+    for k in range(1, 4):
+        if threshold + k <= bits:
+            keys = comb(threshold + k, k)
+            cost[k] = 4.0 * n * keys + n * n / 2 * keys / 2.0 ** (k * bits / (threshold + k))
+    return min(cost, key=cost.get)
 
 
 def representatives(hashes: DataFrame) -> DataFrame:
@@ -74,20 +88,56 @@ def representatives(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("limbs").agg(F.min("assetId").alias("rep")).select("rep", "limbs")
 
 
+def _close_by_bands(rep: DataFrame, threshold: int, bits: int, together: int) -> DataFrame:
+    banded = rep.select("rep", "limbs", F.explode(_bands(F.col("limbs"), bits, threshold + together, together)).alias("b")).select("rep", "limbs", "b.band", "b.value")
+    left = banded.select("band", "value", F.col("rep").alias("a"), F.col("limbs").alias("la"))
+    right = banded.select("band", "value", F.col("rep").alias("b"), F.col("limbs").alias("lb"))
+    d = hamming(F.col("la"), F.col("lb"), bits)
+    near = left.join(right, (left.band == right.band) & (left.value == right.value) & (F.col("a") < F.col("b")) & (d <= threshold))
+    return near.select("a", "b", d.alias("hammingDistance")).distinct()
+
+
+def _close_by_blocks(rep: DataFrame, threshold: int, n: int, block: int) -> DataFrame:
+    """Each pair of blocks is compared as a matrix; only close pairs leave it."""
+    blocks = max(1, -(-n // block))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hammingDistance", pa.int32())])
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, own = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("own").to_numpy()
+        ids, limbs = table.column("rep").to_numpy(), np.array(table.column("limbs").to_pylist(), np.uint64).reshape(table.num_rows, -1)
+        x, y = own == i, own == j
+        d = np.zeros((int(x.sum()), int(y.sum())), np.int32)
+        for k in range(limbs.shape[1]):
+            d += np.bitwise_count(limbs[x, k][:, None] ^ limbs[y, k][None, :])
+        at, to = np.nonzero(d <= threshold)
+        a, b, d = ids[x][at], ids[y][to], d[at, to]
+        ok = a < b if i == j else np.ones(len(a), bool)
+        a, b, d = a[ok], b[ok], d[ok]
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], schema=schema)
+
+    dealt = rep.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    dealt = dealt.select("*", other).select("rep", "limbs", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, hammingDistance int")
+
+
+def close_representatives(rep: DataFrame, threshold: int, bits: int, block: int = 2048) -> DataFrame:
+    """Pairs (a < b) of distinct hashes within `threshold` bits: by keys of as many bands as make them selective, or all in blocks where none do."""
+    n = rep.count()
+    together = bands_together(n, threshold, bits)
+    return _close_by_bands(rep, threshold, bits, together) if together else _close_by_blocks(rep, threshold, n, block)
+
+
 def hamming_pairs(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD, bits: int = C.HASH_BITS, expand: bool = True) -> DataFrame:
     """All pairs (canonicalAssetId < duplicateAssetId) within `threshold` bits. `hashes`: assetId, limbs.
 
     Equal hashes are first merged to one row. The distinct ones are matched on bands: at most `threshold` differences
-    leave one of threshold + 1 bands untouched. With `expand` every pair of copies is listed, as the pair table has
+    leave k of threshold + k bands untouched. With `expand` every pair of copies is listed, as the pair table has
     it; without, pairs are those of representatives and of each copy with its own, which grow with the rows only
-    and have the same clusters.
+    and have the same clusters and the same assets.
     """
     rep = representatives(hashes)
-    banded = rep.select("rep", "limbs", F.explode(_bands(F.col("limbs"), bits, threshold + 1)).alias("b")).select("rep", "limbs", "b.band", "b.value")
-    left = banded.select("band", "value", F.col("rep").alias("a"), F.col("limbs").alias("la"))
-    right = banded.select("band", "value", F.col("rep").alias("b"), F.col("limbs").alias("lb"))
-    close = left.join(right, ["band", "value"]).where(F.col("a") < F.col("b")).withColumn("hammingDistance", hamming(F.col("la"), F.col("lb"), bits)).where(F.col("hammingDistance") <= threshold)
-    close = close.select("a", "b", "hammingDistance").distinct()
+    close = close_representatives(rep, threshold, bits)
     member = hashes.join(rep.withColumnRenamed("limbs", "l"), hashes.limbs == F.col("l")).select("rep", "assetId")
     if not expand:
         star = member.where("rep <> assetId").select(F.col("rep").alias("canonicalAssetId"), F.col("assetId").alias("duplicateAssetId"), F.lit(0).alias("hammingDistance"))
@@ -97,6 +147,17 @@ def hamming_pairs(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD, bits:
     return wide.unionByName(same).select(F.least("x", "y").alias("canonicalAssetId"), F.greatest("x", "y").alias("duplicateAssetId"), "hammingDistance", similarity(F.col("hammingDistance"), bits).alias("similarity"))
 
 
+def close_counts(hashes: DataFrame, threshold: int = C.HAMMING_THRESHOLD, bits: int = C.HASH_BITS) -> DataFrame:
+    """assetId and n_pairs: in how many pairs each asset is, of those that are in any, without listing pairs of copies."""
+    rep = representatives(hashes)
+    close = close_representatives(rep, threshold, bits)
+    size = hashes.groupBy("limbs").agg(F.min("assetId").alias("rep"), F.count("*").alias("size")).select("rep", "size", "limbs")
+    ends = close.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    near = ends.join(size.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("near"))
+    total = size.join(near, "rep", "left").select("limbs", (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("n_pairs")).where("n_pairs > 0")
+    return hashes.join(total, "limbs").select("assetId", "n_pairs")
+
+
 def hamming_pairs_naive(hashes: DataFrame, threshold: int, bits: int) -> DataFrame:
     """Every pair compared: for hashes too short for selective bands, and tables known to be small."""
     a, b = hashes.select(F.col("assetId").alias("canonicalAssetId"), F.col("limbs").alias("la")), hashes.select(F.col("assetId").alias("duplicateAssetId"), F.col("limbs").alias("lb"))

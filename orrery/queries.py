@@ -29,6 +29,7 @@ from .plans.panel import asset_panel, brand_names, similar_top, top_tags
 from .schemas import orphans
 from .sources import logs as LG
 from .sources.responses import parse_responses
+from .storage import shared_folder, store
 from .streaming import events as EV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,17 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_save(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes to the folder that the cluster shares and reads again."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-")
-
-    def save(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    return save
+    return lambda df: store(spark, df, "cut")
 
 
 # --- Fluent filters ---------------------------------------------------------------------------------------------
@@ -465,8 +456,8 @@ def vector_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("assetId"), D.bits_to_limbs(D.average_hash(F.col("embedding")), 64).alias("limbs"))
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.hamming_pairs(vector_hashes(spark, sf_dir), 20, 64)
+def vector_pairs(spark: SparkSession, sf_dir: str, expand: bool = True) -> DataFrame:
+    return D.hamming_pairs(vector_hashes(spark, sf_dir), 20, 64, expand)
 
 
 @query("average_hash", f"SELECT vec_id, array_to_string(b, '') AS bits FROM ({_BITS})")
@@ -486,17 +477,17 @@ def dup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dup_pair_counts", f"{_PAIRS} SELECT id AS assetId, count(*) AS n_pairs FROM (SELECT x AS id FROM near UNION ALL SELECT y FROM near) GROUP BY id")
 def dup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pair_counts(vector_pairs(spark, sf_dir).withColumn("resolution", F.lit(None).cast("string")))
+    return D.close_counts(vector_hashes(spark, sf_dir), 20, 64)
 
 
 @query("dup_distinct_assets", f"{_PAIRS} SELECT count(*) AS n FROM (SELECT x FROM near UNION SELECT y FROM near)")
 def dup_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.affected_assets(vector_pairs(spark, sf_dir).withColumn("resolution", F.lit(None).cast("string"))).agg(F.count("*").alias("n"))
+    return D.affected_assets(vector_pairs(spark, sf_dir, expand=False).withColumn("resolution", F.lit(None).cast("string"))).agg(F.count("*").alias("n"))
 
 
 @query("dup_components", f"{_PAIRS.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near), r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(vector_pairs(spark, sf_dir), shared_save(spark), src="canonicalAssetId", dst="duplicateAssetId")
+    return connected_components(vector_pairs(spark, sf_dir, expand=False), shared_save(spark), src="canonicalAssetId", dst="duplicateAssetId")
 
 
 on_catalog("dup_unresolved_page", "SELECT id, hammingDistance FROM duplicate_groups WHERE resolution IS NULL ORDER BY hammingDistance, id LIMIT 20 OFFSET 20")(lambda c: D.unresolved_page(c.duplicate_groups, 20, 20).select("id", "hammingDistance"))
@@ -613,9 +604,7 @@ def site_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ext_stream_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(20,6))) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's own result over all files that are there."""
-    import uuid
-
-    return EV.run_to_memory(EV.window_counts(EV.read_events(spark, sf_dir)), f"stream_{uuid.uuid4().hex[:12]}")
+    return EV.run_to_folder(EV.window_counts(EV.read_events(spark, sf_dir)), shared_folder(spark, "stream"))
 
 
 @query("batch_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(20,6))) AS total FROM events GROUP BY ALL")

@@ -312,3 +312,23 @@ def test_ingest_and_storage(spark, sf, tmp_path, save):
     titled = G.apply_to_assets(stored.assets, stored.analyses, stored.assets.where("id = 3"), "alt")
     assert {r.id: r.alt for r in titled.collect()} == {1: None, 2: None, 3: "boat on the lake"}
     assert {x["section"] for x in FC.filter_registry({"tags": ["a"]})} == set(FC.SECTIONS) and FC.section_counts({"tags": ["a"]})["content"] == 1
+
+
+def test_pairs_by_bands_and_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, (12, 2))
+    rows = [(i, [int(v) for v in base[i % 12] ^ np.array([1 << int(rng.integers(32)) if rng.random() < 0.7 else 0, 1 << int(rng.integers(32)) if rng.random() < 0.5 else 0])]) for i in range(60)]
+    h = spark.createDataFrame(rows, "assetId long, limbs array<long>")
+    want = sorted((a, b, d) for a, x in rows for b, y in rows if a < b and (d := sum((p ^ q).bit_count() for p, q in zip(x, y))) <= 4)
+    rep = D.representatives(h)
+    for together in (1, 2, 3):
+        got = {(r.a, r.b): r.hammingDistance for r in D._close_by_bands(rep, 4, 64, together).collect()}
+        for block in (7, 1000):
+            assert got == {(r.a, r.b): r.hammingDistance for r in D._close_by_blocks(rep, 4, rep.count(), block).collect()}
+    assert sorted((r.canonicalAssetId, r.duplicateAssetId, r.hammingDistance) for r in D.hamming_pairs(h, 4, 64).collect()) == want
+    count: dict = {}
+    for a, b, _ in want:
+        count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+    assert {r.assetId: r.n_pairs for r in D.close_counts(h, 4, 64).collect()} == count
+    # Long hashes take one band, or two for very many; where a band has few bits, all pairs in blocks are less work.
+    assert D.bands_together(10**6, 10, 256) == 1 and D.bands_together(10**9, 10, 256) == 2 and D.bands_together(10**4, 20, 64) == 0
