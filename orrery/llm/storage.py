@@ -1,38 +1,5 @@
-"""Tables written to the folder that driver and executors share."""
+"""Where written tables go: the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..storage import scratch, shared_folder, store
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_MADE: dict[str, list[str]] = {}
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset, a local one in local mode, as in tests, and an error on a cluster."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(base or tempfile.mkdtemp(prefix='orrery-')).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def store(spark: SparkSession, df: DataFrame, purpose: str, **options: str) -> DataFrame:
-    """Writes a table and returns it as read: this cuts the lineage, and a lost executor loses nothing of it."""
-    path = shared_folder(spark, purpose)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_saved(spark: SparkSession, keep: str | None = None) -> None:
-    """Deletes all that shared_folder() named for this application, but for `keep`: call it once the results are written."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        if path == keep:
-            _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-            continue
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["scratch", "shared_folder", "store"]
