@@ -88,7 +88,7 @@ def pack(shards: int, group: int, step: int, hashes: np.ndarray, dtype, aux: np.
     keys = hashes[order].astype(dtype)
     aux = None if aux is None else aux[order]
     rows = []
-    for p, a, b in zip(sorted_shard[heads].tolist(), heads.tolist(), np.append(heads[1:], len(order)).tolist(), strict=True):
+    for p, a, b in zip(sorted_shard[heads].tolist(), heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True):
         rows.append((p, group, step, keys[a:b].tobytes(), b"" if aux is None else np.packbits(aux[a:b]).tobytes() if aux.dtype == bool else runs(aux[a:b])))
     return rows, order
 

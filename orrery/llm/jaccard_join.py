@@ -28,7 +28,7 @@ from .storage import shared_folder
 
 _NULL_ID = -(2**63)
 _LENGTH = np.uint64(0xA24BAED4963EE407)
-ROWS = "doc_id long, n_shingles long, node binary, size int, alone int, columns array<struct<token: long, place: int>>, grams binary"
+ROWS = "doc_id long, mark long, n_shingles long, node binary, size int, alone int, columns array<struct<token: long, place: int>>, grams binary"
 
 
 def gram_sets(values: list, k: int) -> list[np.ndarray]:
@@ -75,7 +75,7 @@ def _least_overlap(size: int, num: int, den: int) -> int:
 
 def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """A row for each document; those that stand for their set and may have a partner carry its leading columns and all columns that others share."""
-    dealt = X.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    dealt = X.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"))
     shards = dealt.shards
 
     def parts(table: pa.Table):
@@ -83,10 +83,10 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         values = T.column_bytes(table.column("text"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i], values[i] or b""))
         values = [values[i] for i in order]
-        return ids[order], [g for a, b in T.slices(values) for g in gram_sets(values[a:b], k)]
+        return table.column("mark").take(pa.array(order, pa.int64())), ids[order], [g for a, b in T.slices(values) for g in gram_sets(values[a:b], k)]
 
     def first_step(group: int, table: pa.Table):
-        ids, sets = parts(table)
+        marks, ids, sets = parts(table)
         signs = np.array([signature(g) for g in sets], np.uint64).reshape(-1, 2)
         lead: dict[tuple, int] = {}
         for i, s in enumerate(map(tuple, signs.tolist())):
@@ -94,26 +94,26 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 lead.setdefault(s, i)
         at = np.fromiter(lead.values(), np.int64, len(lead))
         rows, sent = X.pack(shards, group, 1, signs[at], np.uint64, ids[at])
-        return ids, sets, signs, at, rows, sent
+        return marks, ids, sets, signs, at, rows, sent
 
     def ask_signs(group: int, table: pa.Table, _):
-        return first_step(group, table)[4]
+        return first_step(group, table)[5]
 
     def second_step(group: int, table: pa.Table, replies: pa.Table):
-        ids, sets, signs, at, _, sent = first_step(group, table)
+        marks, ids, sets, signs, at, _, sent = first_step(group, table)
         reps = np.sort(at[X.unpack(replies, 1, sent)])
         grams, counts = np.unique(np.concatenate([sets[i] for i in reps] or [np.empty(0, np.uint64)]), return_counts=True)
         small = np.minimum(counts, 255).astype(np.uint8)
         shard_rows, sent = _pack_counts(shards, group, grams, small)
-        return ids, sets, signs, reps, grams, shard_rows, sent
+        return marks, ids, sets, signs, reps, grams, shard_rows, sent
 
     def ask_grams(group: int, table: pa.Table, replies: pa.Table):
-        return second_step(group, table, replies)[5]
+        return second_step(group, table, replies)[6]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("alone", pa.int32()), ("columns", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), ("grams", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("alone", pa.int32()), ("columns", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), ("grams", pa.binary())])
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, sets, signs, reps, grams, _, sent = second_step(table.column(X.GROUP)[0].as_py(), table, replies)
+        marks, ids, sets, signs, reps, grams, _, sent = second_step(table.column(X.GROUP)[0].as_py(), table, replies)
         grade = X.unpack(replies, 2, sent, np.uint8)
         n = len(ids)
         size, alone, columns, blobs = [None] * n, [None] * n, [None] * n, [None] * n
@@ -130,7 +130,7 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             blobs[i] = own[g > 0].tobytes()
         counts = np.fromiter(map(len, sets), np.int64, n)
         node = pa.array([x.tobytes() if k else None for x, k in zip(signs, counts.tolist(), strict=True)], pa.binary())
-        return pa.Table.from_arrays([pa.array(ids, mask=ids == _NULL_ID), pa.array(counts), node, *(pa.array(x, f.type) for x, f in zip((size, alone, columns, blobs), list(schema)[3:], strict=True))], schema=schema)
+        return pa.Table.from_arrays([pa.array(ids, mask=ids == _NULL_ID), marks, pa.array(counts), node, *(pa.array(x, f.type) for x, f in zip((size, alone, columns, blobs), list(schema)[4:], strict=True))], schema=schema)
 
     first = X.answer(dealt, X.ask(dealt, ask_signs), X.resolve_first(2))
     rarity = X.answer(dealt, X.ask(dealt, ask_grams, first), resolve_rarity)
@@ -195,7 +195,10 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: int = 5, save: Callable[[DataFrame, str], DataFrame] | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id: the smallest doc_id reachable by links. With `keep` also keep_id, the smallest that isn't null (null if all are).
+    """doc_id, n_shingles and component_id: the smallest doc_id reachable by links.
+
+    With `keep` also mark (a hash of the row's text), and keep_id and keep_mark: the row of the component that stays if one does, of the smallest doc_id that isn't
+    null (null if all are), and of its rows the one of the least mark.
 
     A document's set holds the distinct `shingle`-word shingles of its words (runs without ASCII white
     space, A-Z lower-cased), or the whole sequence if it has fewer words. Documents link if
@@ -236,11 +239,12 @@ def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: i
     crossed = crossed.select("x", "y").distinct()
     more = save(overlaps(crossed, sets, num, den), "more-links")
     every = connected_components(linked.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), lambda df: save(df, "all"), src="x", dst="y")
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), (F.count("*") > F.count("doc_id")).alias("nameless"))
+    named_row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(named_row).alias("least"), (F.count("*") > F.count("doc_id")).alias("nameless"))
     nodes = nodes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = nodes.groupBy("component").agg(F.min("least").alias("keep_id"), F.max("nameless").alias("nameless"))
-    named = named.withColumn("component_id", F.when(~F.col("nameless"), F.col("keep_id"))).drop("nameless")
-    of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id", "keep_id", F.lit(True).alias("known"))
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    own = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", "n_shingles", own("component_id"), *([own("keep_id")] if keep else []))
+    named = nodes.groupBy("component").agg(F.min("least").alias("least"), F.max("nameless").alias("nameless"))
+    named = named.select("component", F.col("least.doc_id").alias("keep_id"), F.col("least.mark").alias("keep_mark"), F.when(~F.col("nameless"), F.col("least.doc_id")).alias("component_id"))
+    of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id", "keep_id", "keep_mark", F.lit(True).alias("known"))
+    out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
+    own = lambda c, alone: F.when(F.col("known"), F.col(c)).otherwise(F.col(alone)).alias(c)
+    return out.select("doc_id", "n_shingles", own("component_id", "doc_id"), *(["mark", own("keep_id", "doc_id"), own("keep_mark", "mark")] if keep else []))
