@@ -18,7 +18,8 @@ from orrery.llm.language_id import identify_documents
 from orrery.llm.line_dedup import dedup_lines
 from orrery.llm.queries import tokenizer_path
 from orrery.llm.sentence_pieces import encode_texts
-from orrery.llm.storage import shared_folder
+from orrery.llm.storage import scratch, shared_folder
+from orrery.storage import delete
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five words, similarity 0.8 or more) the document of the smallest id.
 
-    Texts without words belong to no group and stay, as do rows without an id: these don't decide which of the others is kept.
+    Rows are judged each, by id and text: of rows of one id those stay that are in no group, or are the one that stays in it. Texts without words
+    belong to no group and stay, as do rows without an id: these don't decide which of the others is kept.
     """
     groups = similarity_groups(docs, shingle=5, num=4, den=5, keep=True)
-    gone = groups.where(F.col("doc_id") != F.col("keep_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where((F.col("doc_id") != F.col("keep_id")) | (F.col("mark") != F.col("keep_mark"))).where(F.col("doc_id").isNotNull())
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs.doc_id == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each written to the shared folder and read again; what a stage needed goes once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = shared_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark) as keep:
+            path = shared_folder(spark, f"stage-{name}")
+            keep.append(path)
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
