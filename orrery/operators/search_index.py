@@ -78,9 +78,30 @@ def build_index(analyses: DataFrame, tags: DataFrame, assets: DataFrame | None =
     return postings(rows, stemmed=stemmed).unionByName(tag_postings(tags.join(done, "analysisId", "left_semi"), language, stemmed)).select(*POSTING)
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 16) -> None:
-    """Replaces the stored index. Rows are sorted by token within files, so that a term reads few row groups."""
-    index.repartitionByRange(buckets, "token").sortWithinPartitions("token", "assetId").write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str) -> None:
+    """Replaces the stored index and its totals. Rows are sorted by token within files, so that a term reads few row groups; a frequent token takes several files."""
+    spark = index.sparkSession
+    index.repartitionByRange("token", "assetId").sortWithinPartitions("token", "assetId").write.mode("overwrite").parquet(path)
+    totals(spark.read.schema(index.schema).parquet(path)).write.mode("overwrite").parquet(_totals_path(path))
+
+
+def _totals_path(path: str) -> str:
+    return path.rstrip("/") + ".totals"
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The stored postings and their totals. A filter on token reaches the files' statistics."""
+    return spark.read.parquet(path), spark.read.parquet(_totals_path(path))
+
+
+def totals(index: DataFrame) -> DataFrame:
+    """One row: the number of assets that have a posting, 1 at least."""
+    return index.agg(F.greatest(F.countDistinct("assetId"), F.lit(1)).alias("n_assets"))
+
+
+def term_postings(index: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Postings of some tokens: the tokens of one query, so that the filter is pushed into the scan."""
+    return index.where(F.col("token").isin(list(terms)))
 
 
 def reindex(index: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("assetId", "field"), gone: DataFrame | None = None) -> DataFrame:
@@ -119,25 +140,26 @@ def near_token(variant: Column) -> Column:
 def match_tokens(index: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
     """term and token: exact variants; a term none of whose variants is there falls back to prefixes, and then to near words.
 
-    In the fallback the first variant with a hit counts. The terms of one query are few, so they are broadcast.
+    In the fallback the first variant with a hit counts. The terms of one query are few, so they are broadcast. Exact hits are looked up
+    by equality; only if a term is missed are the words with the same first letter compared.
     """
     spark = index.sparkSession
     if not variants:
         return spark.createDataFrame([], "term string, token string")
-    terms = F.broadcast(_literal(spark, variants))
-    words = index.select("token").distinct()
-    lookup = words.join(terms, (F.col("token") == F.col("variant")) | F.startswith("token", F.col("variant")) | near_token(F.col("variant")))
-    tier = F.when(F.col("token") == F.col("variant"), 0).when(F.startswith("token", F.col("variant")), 1).otherwise(2)
-    # Exact hits of any variant come first; among fallbacks the variant's order, then the tier.
-    rank = F.when(tier == 0, F.lit(-1)).otherwise(F.col("ord") * 10 + tier)
-    graded = lookup.select("term", "token", rank.alias("rank"))
+    terms = _literal(spark, variants)
+    exact = term_postings(index, [v for vs in variants.values() for v in vs]).select("token").distinct().join(F.broadcast(terms), F.col("token") == F.col("variant")).select("term", "token")
+    missed = F.broadcast(terms.join(exact, "term", "left_anti"))
+    first = F.substring("token", 1, 1) == F.substring("variant", 1, 1)
+    near = index.select("token").distinct().join(missed, first & (F.startswith("token", F.col("variant")) | near_token(F.col("variant"))))
+    # The variant's order first, then a prefix before a near word.
+    graded = near.select("term", "token", (F.col("ord") * 2 + F.when(F.startswith("token", F.col("variant")), 0).otherwise(1)).alias("rank"))
     best = graded.groupBy("term").agg(F.min("rank").alias("best"))
-    return graded.join(F.broadcast(best), "term").where(F.col("rank") == F.col("best")).select("term", "token").distinct()
+    return exact.unionByName(graded.join(F.broadcast(best), "term").where(F.col("rank") == F.col("best")).select("term", "token")).distinct()
 
 
-def bm25(index: DataFrame, matched: DataFrame, k1: float = C.BM25_K1) -> DataFrame:
-    """assetId and score. N counts assets with a posting, df those with the token; length isn't normalised."""
-    total = index.agg(F.greatest(F.countDistinct("assetId"), F.lit(1)).alias("n_assets"))
+def bm25(index: DataFrame, matched: DataFrame, k1: float = C.BM25_K1, total: DataFrame | None = None) -> DataFrame:
+    """assetId and score. N counts assets with a posting (`total`, if it is stored), df those with the token; length isn't normalised."""
+    total = totals(index) if total is None else total
     hits = index.join(F.broadcast(matched.select("token").distinct()), "token", "left_semi")
     df = hits.groupBy("token").agg(F.countDistinct("assetId").alias("df"))
     idf = F.log((F.col("n_assets") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -146,20 +168,24 @@ def bm25(index: DataFrame, matched: DataFrame, k1: float = C.BM25_K1) -> DataFra
     return scored.groupBy("assetId").agg(F.sum(part).alias("score"))
 
 
+def _best_first() -> list[Column]:
+    """Scores are compared to nine digits, so that the order of additions doesn't decide."""
+    return [F.round("score", 9).desc(), F.col("assetId").asc()]
+
+
 def top_k(scores: DataFrame, k: int = C.RANK_CAP) -> DataFrame:
-    return scores.orderBy(F.desc("score"), "assetId").limit(k)
+    return scores.orderBy(*_best_first()).limit(k)
 
 
-def search(index: DataFrame, query: str, languages: Sequence[str] = ("en",), k: int = C.RANK_CAP, stemmed: bool = True) -> DataFrame:
+def search(index: DataFrame, query: str, languages: Sequence[str] = ("en",), k: int = C.RANK_CAP, stemmed: bool = True, total: DataFrame | None = None) -> DataFrame:
     """The best assets for a query, with their rank from 1."""
-    found = bm25(index, match_tokens(index, expand(search_terms(query), languages, stemmed)))
-    order = Window.orderBy(F.desc("score"), "assetId")
+    found = bm25(index, match_tokens(index, expand(search_terms(query), languages, stemmed)), total=total)
     # At most k rows remain before the window.
-    return top_k(found, k).withColumn("rank", F.row_number().over(order))
+    return top_k(found, k).withColumn("rank", F.row_number().over(Window.orderBy(*_best_first())))
 
 
 def native_ids(assets: DataFrame, query: str, cap: int = C.NATIVE_CAP) -> DataFrame:
-    """Assets whose title, file name or alternative text holds every word of the query."""
+    """Of the assets given, already those in scope, the first `cap` whose title, file name or alternative text holds every word of the query."""
     hay = F.lower(F.concat_ws(" ", "title", "filename", "alt"))
     cond = F.lit(True)
     for t in query.lower().split():

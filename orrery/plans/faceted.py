@@ -151,8 +151,8 @@ def _tags(df: DataFrame, catalog: Catalog, tags: list[str], operator: str) -> Da
 
 
 def ranked_ids(catalog: Catalog, index: DataFrame | None, query: str, config: EngineConfig, stemmed: bool = True) -> DataFrame:
-    """assetId, src, rank: index hits by score first, then hits of the plain text search."""
-    native = native_ids(catalog.assets, query).withColumn("rank", F.row_number().over(Window.orderBy("assetId")))
+    """assetId, src, rank: index hits by score first, then hits of the plain text search among live assets of the enabled volumes."""
+    native = native_ids(in_volumes(live_assets(catalog.assets), config.volumes), query).withColumn("rank", F.row_number().over(Window.orderBy("assetId")))
     if index is None or not search_terms(query):
         return native.select("assetId", F.lit(1).alias("src"), "rank")
     return union_first_wins(search(index, query, config.languages, stemmed=stemmed).select("assetId", "rank"), native)
