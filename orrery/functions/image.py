@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +16,7 @@ _SOBEL_X = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
 # Blur levels with their weights, and the sharpness curve.
 _BLURS = ((0.3, 0.05), (0.7, 0.65), (1.5, 0.30))
 _RATE, _MIDDLE, _MIN_SIDE, _MIN_DETAIL, _NOISE = 20.0, 0.71, 100, 0.015, 0.03
+_ANALYSED_SIDE = 500
 
 
 def convolve(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -41,11 +45,32 @@ def sobel_deviation(a: np.ndarray) -> float:
     return float(np.hypot(np.clip(convolve(a, _SOBEL_X), 0, 1).std(), np.clip(convolve(a, _SOBEL_X.T), 0, 1).std()))
 
 
+def _lanczos(size: int, new: int) -> np.ndarray:
+    """Weights of each of `size` old pixels for each of `new` new ones: a window of three lobes, widened by the reduction."""
+    scale = size / new
+    x = (np.arange(size)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * scale) / max(scale, 1.0)
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def fit_within(a: np.ndarray, side: int) -> np.ndarray:
+    """Resized so that the longer side is `side`, by a Lanczos filter; values stay in 0..1."""
+    h, w = a.shape
+    scale = side / max(h, w)
+    new = (max(1, round(h * scale)), max(1, round(w * scale)))
+    return np.clip(_lanczos(h, new[0]) @ a @ _lanczos(w, new[1]).T, 0.0, 1.0)
+
+
 def sharpness(a: np.ndarray) -> float | None:
-    """0..1 from how much of the Laplacian's variance blurring removes; None for images under 100 pixels. `a`: grey, 0..1."""
-    side = min(a.shape)
-    if side < _MIN_SIDE:
+    """0..1 from how much of the Laplacian's variance blurring removes; None for images under 100 pixels. `a`: grey, 0..1.
+
+    Images of which both sides are over 500 pixels are measured at 500 pixels, so that scores of all sizes can be compared.
+    """
+    if min(a.shape) < _MIN_SIDE:
         return None
+    if min(a.shape) > _ANALYSED_SIDE:
+        a = fit_within(a, _ANALYSED_SIDE)
+    side = min(a.shape)
     base = laplacian_variance(a)
     if base <= 0:
         return 0.0
@@ -161,15 +186,90 @@ def compression_quality_udf(content: pd.Series, extension: pd.Series) -> pd.Seri
     return pd.Series([compression_quality(c, e) for c, e in zip(content, extension, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf(StringType())
-def color_profile_udf(content: pd.Series, colorspace: pd.Series) -> pd.Series:
-    """The ICC profile of JPEG and PNG files lies in the first bytes, after its marker."""
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Kind and content of a PNG file's chunks; a file that is cut off ends early."""
+    at = 8
+    while data[:8] == b"\x89PNG\r\n\x1a\n" and at + 8 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        at += 12 + size
 
-    def icc(data: bytes | None) -> bytes | None:
-        i = data.find(b"ICC_PROFILE\0") if data else -1
-        return data[i + 14 : i + 14 + 4096] if i >= 0 else None
 
-    return pd.Series([color_profile(icc(c), s) for c, s in zip(content, colorspace, strict=True)])
+def icc_profile(data: bytes | None) -> bytes | None:
+    """The embedded profile: of PNG a compressed chunk, of JPEG and others what follows its marker."""
+    if not data:
+        return None
+    for kind, body in png_chunks(data):
+        if kind == b"iCCP":
+            try:
+                return zlib.decompress(body[body.index(b"\0") + 2 :])
+            except (ValueError, zlib.error):
+                return None
+        if kind == b"IDAT":
+            return None
+    i = data.find(b"ICC_PROFILE\0")
+    return data[i + 14 : i + 14 + 4096] if i >= 0 else None
+
+
+def decode_png(data: bytes) -> np.ndarray | None:
+    """Pixels of a PNG of 8 bits without interlacing, as height by width by channels in 0..1; None for other files."""
+    chunks = list(png_chunks(data))
+    head = next((c for k, c in chunks if k == b"IHDR"), b"")
+    if len(head) < 13 or head[8] != 8 or head[12] or (n := {0: 1, 2: 3, 4: 2, 6: 4}.get(head[9])) is None:
+        return None
+    w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(c for k, c in chunks if k == b"IDAT")), np.uint8)
+    except zlib.error:
+        return None
+    if len(raw) != h * (1 + w * n):
+        return None
+    rows = raw.reshape(h, 1 + w * n)
+    out = np.zeros((h + 1, w * n), np.uint8)
+    for y in range(h):
+        kind, line, above = int(rows[y, 0]), rows[y, 1:], out[y]
+        if kind == 1:
+            line = np.cumsum(line.reshape(w, n), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            own, up, left, corner = line.tolist(), above.tolist(), [0] * n, [0] * n
+            for i, v in enumerate(own):
+                a, b, c = left[i % n], up[i], corner[i % n]
+                if kind == 3:
+                    guess = (a + b) >> 1
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                own[i] = left[i % n] = (v + guess) & 0xFF
+                corner[i % n] = b
+            line = np.array(own, np.uint8)
+        out[y + 1] = line
+    return out[1:].reshape(h, w, n) / 255
+
+
+def grey(pixels: np.ndarray) -> np.ndarray:
+    """Luma of decoded pixels, on middle grey where they are transparent."""
+    n = pixels.shape[2]
+    # Weights of red, green and blue.
+    out = pixels[..., 0] if n < 3 else pixels[..., :3] @ np.array([0.212656, 0.715158, 0.072186])
+    return flatten_alpha(out, pixels[..., -1]) if n in (2, 4) else out
+
+
+@F.pandas_udf(DoubleType())
+def file_sharpness_udf(content: pd.Series) -> pd.Series:
+    """Of image files that can be decoded here; null for others."""
+
+    def one(data: bytes | None) -> float | None:
+        pixels = decode_png(data) if data else None
+        return None if pixels is None else sharpness(grey(pixels))
+
+    return pd.Series([one(c) for c in content], dtype="float64")
+
+
+@F.pandas_udf(StringType())
+def color_profile_udf(content: pd.Series, colorspace: pd.Series) -> pd.Series:
+    return pd.Series([color_profile(icc_profile(c), s) for c, s in zip(content, colorspace, strict=True)])
 
 
 def raster_column(values: Column) -> Column:

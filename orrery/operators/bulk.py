@@ -72,7 +72,7 @@ def transition_message(before: str, after: str) -> str | None:
 def progress(analyses: DataFrame, session: Session, now: int) -> DataFrame:
     """One row: total, completed, remaining, failed in this session, percent, rate and time left."""
     began = F.timestamp_seconds(F.lit(session.started))
-    own = analyses if not session.retried else analyses.where(F.col("assetId").isin(list(session.retried)))
+    own = analyses if not session.retried else analyses.join(_among(session.retried, analyses), "assetId", "left_semi")
     base = own.agg(F.count_if(F.col("status").isin("pending", "processing")).alias("open"), F.count_if(F.col("status").isin(*C.TERMINAL)).alias("ended"))
     failed = analyses.agg(F.count_if((F.col("status") == "failed") & (F.col("processedAt") >= began)).alias("failed"), F.sum(F.when(F.col("processedAt") >= began, F.col("actualCost"))).alias("cost"))
     first = len(session.retried) or session.initial_unprocessed
@@ -124,8 +124,12 @@ def retry_failed(analyses: DataFrame) -> DataFrame:
 
 def cancel_bulk(analyses: DataFrame, retried: Sequence[int]) -> DataFrame:
     """Pending rows that were retried are failed again; rows in processing go."""
-    again = (F.col("status") == "pending") & F.col("assetId").isin(list(retried)) if retried else F.lit(False)
-    return analyses.where(F.col("status") != "processing").withColumn("status", F.when(again, "failed").otherwise(F.col("status")))
+    rest = analyses.where(F.col("status") != "processing")
+    if not retried:
+        return rest
+    tried = _among(retried, analyses).withColumn("_tried", F.lit(True))
+    again = (F.col("status") == "pending") & F.coalesce("_tried", F.lit(False))
+    return rest.join(tried, "assetId", "left").withColumn("status", F.when(again, "failed").otherwise(F.col("status"))).select(*analyses.columns)
 
 
 def orphaned(analyses: DataFrame, queue: DataFrame) -> DataFrame:
@@ -155,3 +159,22 @@ def batches(assets: DataFrame, size: int = 20) -> DataFrame:
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     out = ranged.withColumn("rn", inside).join(F.broadcast(before), "part")
     return out.select("id", F.floor((F.col("before") + F.col("rn") - 1) / size).cast("long").alias("batch"))
+
+
+def single_job(analyses: DataFrame, assets: DataFrame, asset: int) -> tuple[DataFrame, DataFrame]:
+    """The asset to analyse, if it is still there, and the analyses: without its own if it isn't."""
+    one = assets.where(F.col("id") == asset)
+    gone = analyses.where(F.col("assetId") == asset).select("assetId").join(one.select(F.col("id").alias("assetId")), "assetId", "left_anti")
+    return one, analyses.join(F.broadcast(gone.distinct()), "assetId", "left_anti")  # one row at most
+
+
+def selected_job(assets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A selection (id, position) in its order: position, assetId, whether it is still there (others are skipped), and how many were chosen."""
+    total = chosen.agg(F.count("*").alias("total"))
+    known = assets.select("id", F.lit(True).alias("_known"))
+    return chosen.join(known, "id", "left").crossJoin(F.broadcast(total)).select(F.col("position").cast("long").alias("position"), F.col("id").alias("assetId"), F.coalesce("_known", F.lit(False)).alias("found"), "total")  # one row
+
+
+def _among(ids: Sequence[int], df: DataFrame) -> DataFrame:
+    """A table of ids, so that a long list isn't a part of the plan."""
+    return df.sparkSession.createDataFrame([(int(i),) for i in sorted(set(ids))], "assetId long")

@@ -192,3 +192,13 @@ def stock_providers(analyses: DataFrame) -> DataFrame:
 
 def duplicate_counts(pairs: DataFrame) -> DataFrame:
     return P.pair_counts(pairs)
+
+
+def analysis_of(analyses: DataFrame, asset: int) -> DataFrame:
+    """The analysis of one asset; the filter reaches the files' statistics."""
+    return analyses.where(F.col("assetId") == asset)
+
+
+def analyses_of(analyses: DataFrame, assets: DataFrame) -> DataFrame:
+    """Analyses of the assets of a table (id), of any number."""
+    return analyses.join(assets.select(F.col("id").alias("assetId")).distinct(), "assetId", "left_semi")

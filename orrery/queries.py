@@ -18,6 +18,7 @@ from .graph import connected_components
 from .operators import bulk as B
 from .operators import conditions as CND
 from .operators import duplicates as D
+from .operators import ingest as G
 from .operators import mutations as M
 from .operators import pairs as P
 from .operators import predicates as p
@@ -483,14 +484,15 @@ def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("image_sharpness")
 def image_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters of 128 by 128 repeated from the embeddings' 64 values."""
+    """Rasters of 640 by 640 repeated from the embeddings' 64 values: measured at 500 pixels, whole and by patches."""
     row = I.raster_column(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(I.tiled_sharpness_udf(row, F.lit(128)), 6).alias("sharpness"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(I.tiled_sharpness_udf(row, F.lit(640)), 6).alias("sharpness"))
 
 
 @query("sha_of_files")
 def sha_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.read_images(spark, sf_dir, "region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "fileContentHash")
+    """Of every file of the tables."""
+    return I.read_images(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "fileContentHash")
 
 
 # --- Near duplicates --------------------------------------------------------------------------------------------------
@@ -645,6 +647,51 @@ def site_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolve_site_value(own, base, 2, "altText", 1).withColumnRenamed("analysisId", "conv_id")
 
 
+# --- Look-ups, jobs and edits ------------------------------------------------------------------------------------------------
+
+on_catalog("point_lookup", "SELECT assetId, status, provider FROM analyses WHERE assetId = 7")(lambda c: ST.analysis_of(c.analyses, 7).select("assetId", "status", "provider"))
+on_catalog("multi_get", "SELECT assetId, status, provider FROM analyses WHERE assetId IN (SELECT id FROM assets WHERE volumeId = 3)")(lambda c: ST.analyses_of(c.analyses, c.assets.where("volumeId = 3").select("id")).select("assetId", "status", "provider"))
+on_catalog("job_selected", """WITH chosen AS (SELECT doc_id * 3 AS id, row_number() OVER (ORDER BY doc_id) AS position FROM labels WHERE doc_id % 5 = 0)
+SELECT c.position, c.id AS assetId, a.id IS NOT NULL AS found, count(*) OVER () AS total FROM chosen c LEFT JOIN assets a USING (id)""")(
+    lambda c: B.selected_job(c.assets, c.tables.spark.read.parquet(f"{c.tables.sf_dir}/labels.parquet").where("doc_id % 5 = 0").select((F.col("doc_id") * 3).alias("id"), F.row_number().over(Window.orderBy("doc_id")).alias("position")))
+)
+on_catalog("job_single_missing", "SELECT assetId FROM analyses WHERE assetId <> 9")(lambda c: B.single_job(c.analyses, c.assets.where("id <> 9"), 9)[1].select("assetId"))
+on_catalog("replace_tags", """WITH n AS (SELECT DISTINCT analysisId, assetId, unnest([' Beach ', 'Own', '']) AS t FROM asset_tags WHERE assetId % 4 = 0)
+SELECT analysisId, tag, tagNormalized, isAi FROM asset_tags WHERE analysisId NOT IN (SELECT analysisId FROM n) UNION ALL SELECT analysisId, trim(t), lower(trim(t)), t = ' Beach ' FROM n WHERE t <> ''""")(
+    lambda c: M.replace_tags(c.asset_tags, c.asset_tags.where("assetId % 4 = 0").select("assetId", "analysisId").distinct().select("*", F.posexplode(F.array(F.lit(" Beach "), F.lit("Own"), F.lit(""))).alias("pos", "tag"), F.lit(0.5).alias("confidence")).withColumn("isAi", F.col("pos") == 0)).select("analysisId", "tag", "tagNormalized", "isAi")
+)
+on_catalog("edit_and_revert", "SELECT assetId, CASE WHEN assetId = 7 THEN 'by hand' WHEN assetId = 24 THEN altTextAi ELSE altText END AS altText FROM analyses")(lambda c: M.revert_field(M.edit_field(c.analyses, 1000007, "altText", "by hand"), 1000024, "altText").select("assetId", "altText"))
+on_catalog("apply_titles", "SELECT a.id, CASE WHEN a.volumeId = 2 THEN coalesce(nullif(l.suggestedTitle, ''), a.title) ELSE a.title END AS title FROM assets a LEFT JOIN analyses l ON l.assetId = a.id")(lambda c: G.apply_to_assets(c.assets, c.analyses, c.assets.where("volumeId = 2"), "title").select("id", "title"))
+on_catalog("site_postings", r"""WITH s AS (SELECT l.assetId, l.language, CASE WHEN f = 0 THEN 'siteTitle:' || l.language ELSE 'siteAltText:' || l.language END AS field, CASE WHEN f = 0 THEN title ELSE alt END AS v
+    FROM (SELECT id AS assetId, language, title, alt FROM assets WHERE id % 3 = 0 AND id IN (SELECT assetId FROM analyses)) l, (SELECT unnest([0, 1]) AS f)),
+p AS (SELECT field, unnest(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(v), '[^\p{L}\s]', ' ', 'g')), '\s+'), lambda x: length(x) BETWEEN 2 AND 40))) AS token FROM s WHERE coalesce(v, '') <> '')
+SELECT field, count(*) AS n, count(DISTINCT token) AS tokens FROM p GROUP BY field""")(
+    lambda c: SIX.postings(SIX.site_rows(c.assets.where("id % 3 = 0").select((F.col("id") + 1000000).alias("analysisId"), "language", F.col("title").alias("suggestedTitle"), F.lit(None).cast("string").alias("suggestedTitleAi"), F.col("alt").alias("altText"), F.lit(None).cast("string").alias("altTextAi")), c.analyses), stemmed=False)
+    .groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"))
+)
+on_catalog("match_locale", """WITH c AS (SELECT * FROM (VALUES ('de-CH', 1, 'a'), ('de', 2, 'b'), ('en-GB', 3, 'c'), ('fr', 4, 'd')) t(locale, pos, title)), s AS (SELECT id AS siteId, CASE id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'de-AT' WHEN 2 THEN 'EN-gb' ELSE 'sv' END AS locale FROM assets)
+SELECT siteId, s.locale, min_by(c.locale, struct_pack(e := lower(s.locale) <> lower(c.locale), p := c.pos)) AS contentLocale, min_by(c.title, struct_pack(e := lower(s.locale) <> lower(c.locale), p := c.pos)) AS title FROM s JOIN c ON lower(substr(s.locale, 1, 2)) = lower(substr(c.locale, 1, 2)) GROUP BY siteId, s.locale""")(
+    lambda c: M.match_locale(c.spark.createDataFrame([("de-CH", 1, "a"), ("de", 2, "b"), ("en-GB", 3, "c"), ("fr", 4, "d")], "locale string, pos int, title string"), c.assets.select(F.col("id").alias("siteId"), F.when(F.col("id") % 4 == 0, "de").when(F.col("id") % 4 == 1, "de-AT").when(F.col("id") % 4 == 2, "EN-gb").otherwise("sv").alias("locale")))
+)
+
+
+@query("dup_find_among", f"{_PAIRS} SELECT x AS canonicalAssetId, y AS duplicateAssetId, d AS hammingDistance FROM near WHERE x % 2 = 0 AND y % 2 = 0")
+def dup_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = vector_hashes(spark, sf_dir)
+    return D.find_among(h, h.where("assetId % 2 = 0").select("assetId"), 20, 64).drop("similarity")
+
+
+def cluster_around(c: Catalog) -> DataFrame:
+    """Stored keys are those of all pairs, but for an asset's new pair: its cluster joins that of the seed."""
+    stored = store(c.spark, D.cluster(c.duplicate_groups, shared_save(c.spark)), "pairs")
+    seeds = c.assets.where("volumeId = 1").select(F.col("id").alias("assetId"))
+    wrong = stored.withColumn("clusterKey", F.when(F.col("canonicalAssetId").isin(0, 1, 4, 5), F.lit(None).cast("long")).otherwise(F.col("clusterKey")))
+    first = wrong.where(F.col("canonicalAssetId").isin(0, 1, 4, 5)).select(F.col("canonicalAssetId").alias("assetId"))
+    return D.cluster_around(wrong, seeds.unionByName(first), shared_save(c.spark)).where("resolution IS NULL").select("id", "clusterKey")
+
+
+on_catalog("dup_cluster_around", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(cluster_around)
+
 # --- Streams (an addition) ---------------------------------------------------------------------------------------------------
 
 
