@@ -5,6 +5,8 @@ The stand-ins are written as portable SQL, so that queries and their oracles sta
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -114,10 +116,69 @@ class Catalog:
 
 
 def open_catalog(spark: SparkSession, folder: str) -> Catalog:
-    """Tables of an installation: one Parquet folder each."""
+    """Tables of an installation: one Parquet folder each, of the last version that was written as a whole."""
     from .schemas import _DDL, schema
 
-    return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{n}.parquet") for n in _DDL})
+    _, places = current_version(spark, folder)
+    return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{places.get(n, n + '.parquet')}") for n in _DDL})
+
+
+_CURRENT = "current.json"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def current_version(spark: SparkSession, folder: str) -> tuple[int, dict[str, str]]:
+    """Number of the last complete version, and where each of its tables lies below `folder`; 0 and none before the first."""
+    fs, path = _file_system(spark, folder)
+    at = path(f"{folder}/{_CURRENT}")
+    if not fs.exists(at):
+        return 0, {}
+    text = "\n".join(r[0] for r in spark.read.text(f"{folder}/{_CURRENT}").collect())  # a line
+    found = json.loads(text)
+    return found["version"], found["tables"]
+
+
+def write_version(tables: Mapping[str, DataFrame], folder: str) -> int:
+    """Writes some tables as the next version: readers see all of them or none, and other tables stay as they are.
+
+    Tables are written beside the old ones, then the file that names the current version is replaced in one step. Of two writers
+    that began from the same version one fails, before any reader sees its tables; so does a write whose files can't be moved.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fs, path = _file_system(spark, folder)
+    version, places = current_version(spark, folder)
+    version += 1
+    for name, df in tables.items():
+        places[name] = f"version={version}-{uuid.uuid4().hex[:8]}/{name}.parquet"
+        df.write.parquet(f"{folder}/{places[name]}")
+    if not fs.createNewFile(path(f"{folder}/claim-{version}")):
+        raise RuntimeError(f"another writer has written version {version} of {folder}")
+    new = path(f"{folder}/{_CURRENT}.{version}")
+    out = fs.create(new, True)
+    out.write(json.dumps({"version": version, "tables": places}).encode())
+    out.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, path(f"{folder}/{_CURRENT}"), options)
+    return version
+
+
+def remove_old_versions(spark: SparkSession, folder: str) -> None:
+    """Deletes tables that the current version doesn't name, and claims of writers that came to an end before their version: when no reader or writer is at work."""
+    fs, path = _file_system(spark, folder)
+    version, places = current_version(spark, folder)
+    used = {p.split("/")[0] for p in places.values()}
+    for status in fs.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("version=") and name not in used and int(name[8:].split("-")[0]) <= version:
+            fs.delete(status.getPath(), True)
+        elif name.startswith("claim-"):
+            fs.delete(status.getPath(), False)
 
 
 class _Standins(Mapping):

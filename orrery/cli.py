@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import open_catalog
+from .catalog import open_catalog, remove_old_versions
 from .operators import bulk as B
 from .operators import duplicates as D
 from .operators import ingest as G
@@ -18,7 +18,7 @@ from .operators import statistics as ST
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("folder")
-    p.add_argument("command", choices=["stats", "volumes", "scan-duplicates", "rebuild-index", "cleanup-stuck", "retry-failed"])
+    p.add_argument("command", choices=["stats", "volumes", "scan-duplicates", "rebuild-index", "cleanup-stuck", "retry-failed", "remove-old"])
     p.add_argument("--threshold", type=int, default=10)
     p.add_argument("--all-pairs", action="store_true", help="list every pair of copies, not only each copy with its first")
     p.add_argument("--status", choices=["pending", "processing"], default="pending")
@@ -38,11 +38,13 @@ def main(args: list[str] | None = None) -> None:
         merged = D.cluster(c.duplicate_groups.unionByName(found, allowMissingColumns=True), shared_save(spark))
         G.write_tables({"duplicate_groups": merged}, a.folder)
     elif a.command == "rebuild-index":
-        print(G.rebuild_index(c, f"{a.folder}/search_index.parquet"))
+        print(G.rebuild_index(c, a.folder))
     elif a.command == "cleanup-stuck":
         G.write_tables({"analyses": B.reset_stuck(c.analyses, now, a.status)}, a.folder)
     elif a.command == "retry-failed":
         G.write_tables({"analyses": B.retry_failed(c.analyses)}, a.folder)
+    elif a.command == "remove-old":
+        remove_old_versions(spark, a.folder)
 
 
 if __name__ == "__main__":

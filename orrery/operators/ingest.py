@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import Catalog, open_catalog, write_version
 from . import mutations as M
 from . import search_index as S
 from .duplicates import new_pairs, without_assets
@@ -56,24 +56,13 @@ def apply_to_assets(assets: DataFrame, analyses: DataFrame, chosen: DataFrame, w
     return assets.join(new, "id", "left").select(*[F.coalesce("_v", what).alias(what) if c == what else F.col(c) for c in assets.columns])
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Stages every table beside its place and only then moves all of them there."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet.next")
-    for name, df in tables.items():
-        spark = df.sparkSession
-        jvm = spark._jvm
-        old, nxt, gone = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet{x}") for x in ("", ".next", ".old"))
-        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(gone, True)
-        if fs.exists(old):
-            fs.rename(old, gone)
-        fs.rename(nxt, old)
-        fs.delete(gone, True)
-
-
-def rebuild_index(catalog: Catalog, path: str, language: str = "en") -> int:
-    """Replaces the stored index from processed analyses; returns its number of postings."""
+def write_tables(tables: dict[str, DataFrame], folder: str) -> int:
+    """Replaces all of these tables in one step; returns the number of the new version."""
+    return write_version(tables, folder)
+
+
+def rebuild_index(catalog: Catalog, folder: str, language: str = "en") -> int:
+    """Replaces the stored index from processed analyses in one step, so that searches never see a half of it; returns its number of postings."""
     index = S.build_index(catalog.analyses, catalog.asset_tags, catalog.assets, language=language)
-    S.write_index(index, path)
-    return catalog.spark.read.parquet(path).count()
+    write_version({"search_index": S.by_token(index)}, folder)
+    return open_catalog(catalog.spark, folder).search_index.count()

@@ -176,6 +176,9 @@ def upsert_parquet(spark, path: str, new: DataFrame, keys: Sequence[str], stage:
     old, nxt, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, stage(path), path + ".old"))
     fs = old.getFileSystem(conf)
     fs.delete(gone, True)
-    fs.rename(old, gone)
-    fs.rename(nxt, old)
+    if not fs.rename(old, gone):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(nxt, old):
+        fs.rename(gone, old)  # as it was
+        raise OSError(f"can't move {stage(path)}")
     fs.delete(gone, True)

@@ -78,10 +78,14 @@ def build_index(analyses: DataFrame, tags: DataFrame, assets: DataFrame | None =
     return postings(rows, stemmed=stemmed).unionByName(tag_postings(tags.join(done, "analysisId", "left_semi"), language, stemmed)).select(*POSTING)
 
 
+def by_token(index: DataFrame) -> DataFrame:
+    return index.repartitionByRange("token", "assetId").sortWithinPartitions("token", "assetId")
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """Replaces the stored index and its totals. Rows are sorted by token within files, so that a term reads few row groups; a frequent token takes several files."""
     spark = index.sparkSession
-    index.repartitionByRange("token", "assetId").sortWithinPartitions("token", "assetId").write.mode("overwrite").parquet(path)
+    by_token(index).write.mode("overwrite").parquet(path)
     totals(spark.read.schema(index.schema).parquet(path)).write.mode("overwrite").parquet(_totals_path(path))
 
 

@@ -272,6 +272,7 @@ def test_entry_and_registry(spark, sf):
 def test_ingest_and_storage(spark, sf, tmp_path, save):
     from orrery import cli
     from orrery.catalog import Catalog
+    from orrery.catalog import open_catalog
     from orrery.operators import ingest as G
     from orrery.plans import faceted as FC
     from orrery.schemas import _DDL, schema
@@ -295,20 +296,20 @@ def test_ingest_and_storage(spark, sf, tmp_path, save):
     assert sorted((r.assetId, r.tagNormalized, r.isAi) for r in out["asset_tags"].collect()) == [(1, "boat", True), (1, "mine", False), (3, "boat", True), (3, "mine", True)]
     assert out["analysis_content"].count() == 0 and G.save_errors(out["analysis_content"], bad, out["analyses"]).first().errorCode == "invalid_response"
     G.write_tables(out, str(tmp_path))
-    stored = Catalog(spark, {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in _DDL})
-    assert G.rebuild_index(stored, f"{tmp_path}/search_index.parquet") > 0
-    again = spark.read.parquet(f"{tmp_path}/search_index.parquet")
+    stored = open_catalog(spark, str(tmp_path))
+    assert G.rebuild_index(stored, str(tmp_path)) > 0
+    again = open_catalog(spark, str(tmp_path)).search_index
     assert [r.assetId for r in S.search(again, "boats").collect()] and again.where("assetId = 2").count() == 0
     cli.main([str(tmp_path), "scan-duplicates"])
-    pair = spark.read.parquet(f"{tmp_path}/duplicate_groups.parquet").collect()
+    pair = open_catalog(spark, str(tmp_path)).duplicate_groups.collect()
     assert [(r.canonicalAssetId, r.duplicateAssetId, r.hammingDistance, r.clusterKey) for r in pair] == [(1, 2, 4, 1)]
     for command in ("stats", "volumes", "cleanup-stuck", "retry-failed"):
         cli.main([str(tmp_path), command])
-    assert {r.status for r in spark.read.parquet(f"{tmp_path}/analyses.parquet").collect()} == {"completed", "pending"}
-    pairs = spark.read.parquet(f"{tmp_path}/duplicate_groups.parquet")
+    assert {r.status for r in open_catalog(spark, str(tmp_path)).analyses.collect()} == {"completed", "pending"}
+    pairs = open_catalog(spark, str(tmp_path)).duplicate_groups
     hashes = lambda x: spark.createDataFrame([(1, "a"), (2, x)], "assetId long, hash string")
     assert G.rehash(pairs, hashes("b"), hashes("c"), pairs.limit(0).select("canonicalAssetId", "duplicateAssetId", "hammingDistance", "similarity"), save).count() == 0
-    stored = Catalog(spark, {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in _DDL})
+    stored = open_catalog(spark, str(tmp_path))
     titled = G.apply_to_assets(stored.assets, stored.analyses, stored.assets.where("id = 3"), "alt")
     assert {r.id: r.alt for r in titled.collect()} == {1: None, 2: None, 3: "boat on the lake"}
     assert {x["section"] for x in FC.filter_registry({"tags": ["a"]})} == set(FC.SECTIONS) and FC.section_counts({"tags": ["a"]})["content"] == 1
@@ -332,3 +333,26 @@ def test_pairs_by_bands_and_by_blocks(spark):
     assert {r.assetId: r.n_pairs for r in D.close_counts(h, 4, 64).collect()} == count
     # Long hashes take one band, or two for very many; where a band has few bits, all pairs in blocks are less work.
     assert D.bands_together(10**6, 10, 256) == 1 and D.bands_together(10**9, 10, 256) == 2 and D.bands_together(10**4, 20, 64) == 0
+
+
+def test_tables_are_replaced_together(spark, tmp_path):
+    from orrery import catalog as CT
+
+    folder, made = str(tmp_path), lambda *v: spark.createDataFrame([(x,) for x in v], "x long")
+    read = lambda name: sorted(r.x for r in spark.read.parquet(f"{folder}/{CT.current_version(spark, folder)[1][name]}").collect())
+    assert CT.current_version(spark, folder) == (0, {}) and CT.write_version({"a": made(1), "b": made(2)}, folder) == 1
+    old = spark.read.parquet(f"{folder}/{CT.current_version(spark, folder)[1]['a']}")
+    assert CT.write_version({"a": made(3, 4)}, folder) == 2
+    # The other table stays, and a reader of the old version still reads.
+    assert (read("a"), read("b")) == ([3, 4], [2]) and [r.x for r in old.collect()] == [1]
+    # A table that can't be written leaves everything as it is, and so does a version that another has claimed.
+    with pytest.raises(Exception, match="no such"):
+        CT.write_version({"a": made(9), "b": made(5).select(F.raise_error(F.lit("no such")).alias("x"))}, folder)
+    (tmp_path / "claim-3").touch()
+    with pytest.raises(RuntimeError, match="another writer"):
+        CT.write_version({"a": made(9)}, folder)
+    assert (read("a"), read("b"), CT.current_version(spark, folder)[0]) == ([3, 4], [2], 2)
+    (tmp_path / "claim-3").unlink()
+    assert CT.write_version({"b": made(7)}, folder) == 3
+    CT.remove_old_versions(spark, folder)
+    assert (read("a"), read("b")) == ([3, 4], [7]) and len(list(tmp_path.glob("version=*"))) == 2
