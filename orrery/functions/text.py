@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Languages with a stemmer in the index; those without rules here keep their tokens.
+from .stemmers import STEMMERS
+
+#: Languages with a stemmer in the index; Catalan, Finnish and Romanian have no rules here and keep their tokens.
 STEM_LANGUAGES = ("ca", "da", "nl", "en", "fi", "fr", "de", "it", "no", "pt", "ro", "ru", "es", "sv")
 
 
@@ -124,20 +126,9 @@ def stem_english(word: str) -> str:
     return w.lower()
 
 
-# Light stemmers for the other languages of the data: plural and inflection endings, longest first.
-_LIGHT = {
-    "fr": ("issements", "issement", "atrices", "ateurs", "ations", "ements", "ation", "ement", "euses", "aient", "ables", "ismes", "istes", "euse", "able", "isme", "iste", "ées", "ants", "ante", "ient", "eux", "ais", "ait", "ant", "ent", "ées", "ée", "és", "er", "ez", "es", "é", "s", "e"),
-    "de": ("erinnen", "heiten", "keiten", "ungen", "lichen", "erin", "isch", "lich", "heit", "keit", "ung", "ern", "em", "er", "en", "es", "e", "s"),
-    "es": ("amientos", "imientos", "amiento", "imiento", "aciones", "adores", "adoras", "ación", "mente", "ables", "ibles", "istas", "ador", "able", "ible", "ista", "iendo", "ando", "aron", "ados", "adas", "idos", "idas", "ado", "ada", "ido", "ida", "es", "os", "as", "ar", "er", "ir", "o", "a", "e", "s"),
-}
-
-
-@lru_cache(100_000)
-def _light(word: str, language: str) -> str:
-    for end in _LIGHT[language]:
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
+@lru_cache(200_000)
+def _stem_other(word: str, language: str) -> str:
+    return STEMMERS[language](word)
 
 
 def stem(word: str, language: str) -> str:
@@ -145,7 +136,7 @@ def stem(word: str, language: str) -> str:
     word = word.lower()
     if language == "en":
         return stem_english(word)
-    return _light(word, language) if language in _LIGHT else word
+    return _stem_other(word, language) if language in STEMMERS else word
 
 
 @F.pandas_udf(StringType())
