@@ -304,32 +304,52 @@ def test_html(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
-def lm_by_brute_force(texts: dict) -> dict:
+def lm_by_brute_force(texts: dict, order: int = 3) -> dict:
     """(held out, tokens, known tokens, training tokens, base score, score) by document."""
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in texts.items()}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1}
     c = collections.Counter(w for i in train for w in tokens[i])
     pairs = collections.Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i]))
+    triples = collections.Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i], tokens[i][1:]))
     context = c + collections.Counter({0: len(train)})
     n, v = sum(c.values()), len(c)
-    stored = {p: 2 ** (-round(8 * math.log2((context[p[0]] + 4) / k)) / 8) for p, k in pairs.items()}
+    quantised = lambda p: 2 ** (-round(-8 * math.log2(p)) / 8)
+    two = {p: min(quantised(k / (context[p[0]] + 4)), context[p[0]] / (context[p[0]] + 4)) for p, k in pairs.items()}
+    three = {p: quantised(k / (pairs[p[:2]] + 4)) for p, k in triples.items()}
     out = {}
     for i, own in tokens.items():
         p = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in own}
-        s = sum(math.log10(stored.get((a, b), 0) + 4 / (context[a] + 4) * p[b]) for a, b in zip([0, *own], own))
+        s = 0.0
+        for k, w in enumerate(own):
+            before = own[k - 1] if k else 0
+            x = two.get((before, w), 0) + 4 / (context[before] + 4) * p[w]
+            if k and order > 2:
+                first = own[k - 2] if k > 1 else 0
+                count = two.get((first, before), 0) * (context[first] + 4)
+                x = min(three.get((first, before, w), 0), count / (count + 4)) + 4 / (count + 4) * x
+            s += math.log10(x)
         out[i] = (i not in train, len(own), sum(c[w] > 0 for w in own), n, sum(math.log10(p[w]) for w in own), s)
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [8 << 20, 300])
-def test_lm(spark, docs, rows, empty, group_bytes):
+@pytest.mark.parametrize("order,group_bytes", [(2, 8 << 20), (3, 8 << 20), (3, 900)])
+def test_lm(spark, docs, rows, empty, order, group_bytes):
     from orrery.llm.lm_score import score_documents
 
-    got = {r.doc_id: r for r in score_documents(docs, group_bytes=group_bytes).collect()}
-    for i, want in lm_by_brute_force(dict(rows)).items():
+    got = {r.doc_id: r for r in score_documents(docs, order=order, group_bytes=group_bytes).collect()}
+    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in rows}
+    c = collections.Counter(w for i in tokens for w in tokens[i])
+    shards = max(4, -(-sum(len((t or "").encode()) for _, t in rows) // group_bytes))
+    # Words that may be split; triples of pairs of such words are quantised as shares of all tokens, and so a little off.
+    wide = {w for w, n in c.items() if n * 4 * shards * 1.5 >= sum(c.values())}
+    strict = 0
+    for i, want in lm_by_brute_force(dict(rows), order).items():
         r = got[i]
+        apart = sum(order > 2 and a in wide and b in wide for a, b in zip(tokens[i], tokens[i][1:]))
+        strict += not apart
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4], i
-        assert r.base_score == pytest.approx(want[4], abs=1e-6) and r.score == pytest.approx(want[5], abs=1e-5), i
+        assert r.base_score == pytest.approx(want[4], abs=1e-6) and r.score == pytest.approx(want[5], abs=1e-5 + 0.04 * apart), i
+    assert strict > 3
     assert score_documents(empty).count() == 0
 
 
@@ -347,21 +367,22 @@ def test_lm_keeps_pairs_seen_once(spark):
 
 
 def test_lm_probabilities_have_no_lower_bound():
-    from orrery.llm.lm_score import code_of, probability_of, resolve_pairs
+    from orrery.llm.lm_score import _WIDE, code_of, pack_ngrams, probability_of, resolve_ngrams
 
     p = np.array([1.0, 0.5, 1e-6, 1e-9, 1e-13])
     assert np.allclose(probability_of(code_of(p)), p, rtol=0.05) and code_of(p[:3]).dtype == np.uint8 and code_of(p).dtype == np.uint16
-    # A split context: its count of 10**13 comes with the pairs, of which this part has one.
-    wide = np.array([(0, 10**13)], np.dtype([("at", np.uint32), ("n", np.uint64)])).tobytes()
-    one = (1).to_bytes(8, "little") + np.array([7], np.uint64).tobytes() + np.array([9], np.uint32).tobytes()
-    aux = np.array([1], np.uint32).tobytes() + np.array([25], np.uint32).tobytes()
-    for more, share in ((wide, 100 / 10**13), (b"", 100 / 104)):
-        replies = resolve_pairs(4.0)([one] * 4, [aux + more] * 4)
-        assert all(np.isclose(probability_of(np.frombuffer(b, np.uint16 if b[0] == 2 else np.uint8, -1, 1))[0], share, rtol=0.05) for b in replies)
+    # A split context: its count of 10**13 comes with the pairs, of which this part has one; a triple lies below it.
+    ints = lambda *x: np.array(x, np.int64)
+    for wide, share in ((np.array([(0, 10**13)], _WIDE), 100 / 10**13), (np.zeros(0, _WIDE), 100 / 104)):
+        keys, aux = pack_ngrams(np.array([7], np.uint64), ints(1), ints(9), ints(25), wide, ints(2), ints(3, 4), ints(5, 0))
+        for b in resolve_ngrams(4.0)([keys] * 4, [aux] * 4):
+            two, three = (np.uint8 if x == 1 else np.uint16 for x in b[:2])
+            assert np.isclose(probability_of(np.frombuffer(b, two, 1, 2))[0], share, rtol=0.05)
+            assert np.allclose(probability_of(np.frombuffer(b, three, 2, 2 + b[0])), [20 / 104, 0], rtol=0.05)
 
 
 def test_elias_fano():
-    from orrery.llm.lm_score import EliasFano, PairTrie
+    from orrery.llm.lm_score import EliasFano, Trie
 
     rng = np.random.default_rng(1)
     for n, top in ((0, 63), (1, 63), (7, 63), (5000, 63), (5000, 14), (70_000, 40)):
@@ -375,10 +396,11 @@ def test_elias_fano():
         assert (ef.find(near) == -1).all()
         # Stored as it is searched: upper bits and their directory take two bytes for each entry at most.
         assert len(values) < 5000 or arrays[1].nbytes + arrays[2].nbytes <= 2 * len(values)
-    contexts, owner, words = np.array([3, 9], np.uint64), np.array([0, 0, 1]), np.array([5, 8, 5], np.uint32)
-    trie = PairTrie(contexts, owner, words, np.array([0.5, 0.25, 1.0]))
-    assert not trie.codes.flags.writeable and not trie.pairs.low.flags.writeable
-    assert trie.look_up(np.array([9, 3, 4], np.uint64), np.array([0, 1, 1, 2]), np.array([5, 8, 9, 5], np.uint32)).tolist() == [1, 17, 0, 0]
+    pairs = np.array([0 << 32 | 5, 0 << 32 | 8, 1 << 32 | 5], np.uint64)
+    trie = Trie(np.array([3, 9], np.uint64), pairs, np.array([1 << 32 | 2, 2 << 32 | 6], np.uint64), np.array([0.5, 0.25, 1.0]), np.array([1.0, 0.5]))
+    assert not trie.codes.flags.writeable and not trie.pairs.low.flags.writeable and not trie.triples.high.flags.writeable
+    two, three = trie.look_up(np.array([9, 3, 4], np.uint64), np.array([0, 1, 1, 2]), np.array([5, 8, 9, 5], np.uint32), np.array([0, 1, 1, 3]), np.array([6, 2, 6, 2], np.uint32))
+    assert two.tolist() == [1, 17, 0, 0] and three.tolist() == [9, 1, 0, 0]
 
 
 def test_pipeline(spark, sf):
