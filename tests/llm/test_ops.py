@@ -341,15 +341,16 @@ def test_lm(spark, docs, rows, empty, order, group_bytes):
     c = collections.Counter(w for i in tokens for w in tokens[i])
     shards = max(4, -(-sum(len((t or "").encode()) for _, t in rows) // group_bytes))
     # Words that may be split; triples of pairs of such words are quantised as shares of all tokens, and so a little off.
+    c[0] = len(tokens)
     wide = {w for w, n in c.items() if n * 4 * shards * 1.5 >= sum(c.values())}
     strict = 0
     for i, want in lm_by_brute_force(dict(rows), order).items():
         r = got[i]
-        apart = sum(order > 2 and a in wide and b in wide for a, b in zip(tokens[i], tokens[i][1:]))
+        apart = sum(order > 2 and a in wide and b in wide for a, b in zip([0, *tokens[i]], tokens[i]))
         strict += not apart
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4], i
         assert r.base_score == pytest.approx(want[4], abs=1e-6) and r.score == pytest.approx(want[5], abs=1e-5 + 0.04 * apart), i
-    assert strict > 3
+    assert strict > (30 if order == 2 else 2)
     assert score_documents(empty).count() == 0
 
 
