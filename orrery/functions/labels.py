@@ -11,6 +11,9 @@ from .. import config as C
 from ..operators.predicates import dec
 
 
+# The texts, colours and verdicts that these functions give are those that people and other programs read.
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
