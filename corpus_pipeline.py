@@ -28,10 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that a document of smaller id holds; n_chars follows. A document that keeps no text but had some goes."""
+    """Drops lines that a document of smaller id holds; n_chars, if it is there, follows. A document that keeps no text but had some goes."""
     out = dedup_lines(docs)
     out = out.where((F.col("n_dropped") == 0) | (F.col("text") != ""))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
