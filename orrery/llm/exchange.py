@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,12 +37,37 @@ _REPLY_SCHEMA = pa.schema([("_x_group", pa.int32()), ("_x_shard", pa.int32()), (
 
 @dataclass(frozen=True)
 class Dealt:
-    """Documents with their group, as packed batches of rows; their schema; how many groups and shards there are."""
+    """Documents with their group, as packed batches of rows; their schema; how many groups and shards there are, and the numbers that stand for them, as even_ids() gives them."""
 
     docs: DataFrame
     schema: pa.Schema
     groups: int
     shards: int
+    ids: Broadcast
+
+
+def even_ids(n: int) -> np.ndarray:
+    """`n` different numbers that Spark's hash partitioning deals to `n` partitions, one to each: otherwise some would get several, and others none."""
+    out, at, size = np.full(n, -1, np.int64), 0, min(max(1024, 4 * n), 1 << 23)
+    while (out < 0).any():
+        i = np.arange(at, at + size, dtype=np.uint32)
+        place = _spark_hash(i).view(np.int32).astype(np.int64) % n
+        place, first = np.unique(place, return_index=True)
+        new = out[place] < 0
+        out[place[new]] = i[first[new]]
+        at += size
+    return out.astype(np.int32)
+
+
+def _spark_hash(i: np.ndarray) -> np.ndarray:
+    """Murmur3 of 32-bit integers with the seed that partitioning uses."""
+    u, turn = np.uint32, lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    # Constants of Murmur3, and the seed.
+    h = turn(i * u(0xCC9E2D51), 15) * u(0x1B873593) ^ u(42)
+    h = turn(h, 13) * u(5) + u(0xE6546B64) ^ u(4)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return h ^ h >> u(16)
 
 
 def _rows(packed: pa.Table, schema: pa.Schema) -> pa.Table:
@@ -57,12 +83,12 @@ def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", ke
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-size // group_bytes))
     group = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
-    schema = to_arrow_schema(docs.schema)
+    schema, ids = to_arrow_schema(docs.schema), docs.sparkSession.sparkContext.broadcast(even_ids(n))
 
     def run(batches):
         zipped = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            groups = batch.column(batch.num_columns - 1).to_numpy()
+            groups = ids.value[batch.column(batch.num_columns - 1).to_numpy()]
             order = np.argsort(groups, kind="stable")
             sorted_ = groups[order]
             heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(order)])
@@ -71,7 +97,7 @@ def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([pa.array(sorted_[heads]), pa.array(made, pa.binary())], names=[GROUP, "_x_rows"])
 
     packed = docs.withColumn(GROUP, group).mapInArrow(run, f"{GROUP} int, _x_rows binary")
-    return Dealt(packed.repartition(n, GROUP), schema, n, n)
+    return Dealt(packed.repartition(n, GROUP), schema, n, n, ids)
 
 
 def pack(shards: int, group: int, step: int, hashes: np.ndarray, dtype, aux: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
@@ -104,8 +130,10 @@ def unruns(blob: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int32, n, 8 * n))
 
 
-def blob_table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
+def blob_table(rows: list[tuple], ids: np.ndarray) -> pa.Table:
+    """Blobs under the numbers of their shards."""
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([ids[np.array(columns[0], np.int64)], *columns[1:]], _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
 
 
 def _released(table: pa.Table) -> pa.Table:
@@ -115,16 +143,16 @@ def _released(table: pa.Table) -> pa.Table:
 
 def ask(dealt: Dealt, emit, replies: DataFrame | None = None) -> DataFrame:
     """`emit(group, table, replies)` returns blob rows of one group; replies are those of earlier steps."""
-    schema = dealt.schema
+    schema, ids = dealt.schema, dealt.ids
     if replies is None:
 
         def run(table: pa.Table) -> pa.Table:
-            return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), None)))
+            return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), None), ids.value))
 
         return dealt.docs.groupBy(GROUP).applyInArrow(run, BLOBS)
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), answers) if table.num_rows else []))
+        return _released(blob_table(emit(table.column(GROUP)[0].as_py(), _rows(table, schema), answers) if table.num_rows else [], ids.value))
 
     return dealt.docs.groupBy(GROUP).cogroup(replies.repartition(dealt.groups, "_x_group").groupBy("_x_group")).applyInArrow(both, BLOBS)
 
@@ -135,11 +163,15 @@ def answer(dealt: Dealt, blobs: DataFrame, resolve) -> DataFrame:
     Blobs come in the order of their groups, so that an answer that depends on it is the same each time.
     """
 
+    ids = dealt.ids
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(GROUP)
-        groups, shards, steps = (table.column(c).to_pylist() for c in ("_x_group", "_x_shard", "_x_step"))
+        # Answers bear the shard's place, by which groups order them.
+        place = int(np.flatnonzero(ids.value == table.column("_x_shard")[0].as_py())[0])
+        groups, steps = (table.column(c).to_pylist() for c in ("_x_group", "_x_step"))
         out = resolve(table.column("_x_keys").to_pylist(), table.column("_x_aux").to_pylist())
-        return pa.Table.from_arrays([pa.array(groups, pa.int32()), pa.array(shards, pa.int32()), pa.array(steps, pa.int32()), pa.array(out, pa.binary())], schema=_REPLY_SCHEMA)
+        return pa.Table.from_arrays([pa.array(groups, pa.int32()), pa.array(np.full(len(groups), place, np.int32)), pa.array(steps, pa.int32()), pa.array(out, pa.binary())], schema=_REPLY_SCHEMA)
 
     return blobs.repartition(dealt.shards, "_x_shard").groupBy("_x_shard").applyInArrow(run, REPLIES)
 

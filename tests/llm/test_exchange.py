@@ -19,6 +19,21 @@ def test_tasks_grow_with_the_text(spark):
         assert answered.rdd.getNumPartitions() == done.rdd.getNumPartitions() == dealt.groups and done.count() == 400
 
 
+def test_every_group_has_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.llm import exchange as X
+
+    for n in (1, 2, 7, 100, 5000):
+        ids = X.even_ids(n)
+        assert len(set(ids.tolist())) == n
+    df = spark.createDataFrame([(int(i),) for i in X.even_ids(300)], "i int").repartition(300, "i")
+    assert df.select(F.spark_partition_id()).distinct().count() == 300
+    dealt = X.deal(spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text"), group_bytes=10_000)
+    tasks = dealt.docs.select(X.GROUP, F.spark_partition_id().alias("p")).distinct().groupBy("p").count()
+    assert dealt.groups == 40 and tasks.agg(F.max("count"), F.count("*")).first()[:] == (1, 40)
+
+
 def test_the_second_hash_is_independent():
     from orrery.llm import textcore as T
 
