@@ -223,7 +223,8 @@ def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: i
     # The most central row has the smallest share of columns to itself.
     share = (F.col("alone").cast("long") * 1_000_000 / F.col("size")).cast("long").alias("share")
     leaders = cells.groupBy("token").agg(F.min(F.struct(share, F.xxhash64("node").alias("by"), "node", "size", "place")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    leaders = leaders.select("token", F.col("l.node").alias("lead"), F.col("l.size").alias("lead_size"), F.col("l.place").alias("lead_place"))
+    # Saved, as the strays below: a join of two tables as they are read can be split where a column is hot, one over an aggregate or another join can't.
+    leaders = save(leaders.select("token", F.col("l.node").alias("lead"), F.col("l.size").alias("lead_size"), F.col("l.place").alias("lead_place")), "leaders")
     placed = lambda s, p, t, q: (num * (s + t) <= (den + num) * F.least(s - p, t - q))  # noqa: E731  positions bound the overlap
     star = cells.join(leaders, "token").where((F.col("node") != F.col("lead")) & _sizes_fit(F.col("size"), F.col("lead_size"), num, den) & placed(F.col("size"), F.col("place"), F.col("lead_size"), F.col("lead_place")))
     links = save(overlaps(star.select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct(), sets, num, den), "links")
@@ -233,7 +234,7 @@ def similarity_groups(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: i
     part = cells.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead_part = leaders.join(linked.withColumnRenamed("node", "lead"), "lead", "left").select("token", F.coalesce("component", "lead").alias("lead_component"), "lead")
     stray = part.join(lead_part, "token").where(F.col("component") != F.col("lead_component"))
-    stray = stray.select("token", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("component").alias("cx"))
+    stray = save(stray.select("token", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("component").alias("cx")), "strays")
     rest = part.select("token", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("component").alias("cy"))
     crossed = stray.join(rest, "token").where((F.col("cx") != F.col("cy")) & _sizes_fit(F.col("sx"), F.col("sy"), num, den) & placed(F.col("sx"), F.col("px"), F.col("sy"), F.col("py")))
     crossed = crossed.select("x", "y").distinct()
