@@ -369,7 +369,7 @@ def test_lm_keeps_pairs_seen_once(spark):
 
 
 def test_lm_probabilities_have_no_lower_bound():
-    from orrery.llm.lm_score import _WIDE, code_of, pack_ngrams, probability_of, resolve_ngrams
+    from orrery.llm.lm_score import _WIDE, _unzip, code_of, pack_ngrams, probability_of, resolve_ngrams
 
     p = np.array([1.0, 0.5, 1e-6, 1e-9, 1e-13])
     assert np.allclose(probability_of(code_of(p)), p, rtol=0.05) and code_of(p[:3]).dtype == np.uint8 and code_of(p).dtype == np.uint16
@@ -378,9 +378,9 @@ def test_lm_probabilities_have_no_lower_bound():
     for wide, share in ((np.array([(0, 10**13)], _WIDE), 100 / 10**13), (np.zeros(0, _WIDE), 100 / 104)):
         keys, aux = pack_ngrams(np.array([7], np.uint64), ints(1), ints(9), ints(25), wide, ints(2), ints(3, 4), ints(5, 0))
         for b in resolve_ngrams(4.0)([keys] * 4, [aux] * 4):
-            two, three = (np.uint8 if x == 1 else np.uint16 for x in b[:2])
-            assert np.isclose(probability_of(np.frombuffer(b, two, 1, 2))[0], share, rtol=0.05)
-            assert np.allclose(probability_of(np.frombuffer(b, three, 2, 2 + b[0])), [20 / 104, 0], rtol=0.05)
+            (two, three), codes = (np.uint8 if x == 1 else np.uint16 for x in b[:2]), _unzip(b[2:])
+            assert np.isclose(probability_of(np.frombuffer(codes, two, 1))[0], share, rtol=0.05)
+            assert np.allclose(probability_of(np.frombuffer(codes, three, 2, b[0])), [20 / 104, 0], rtol=0.05)
 
 
 def test_elias_fano():
