@@ -39,7 +39,7 @@ def test_tokens_and_stems(spark):
     # Published sample pairs of the English stemmer.
     pairs = {"consistency": "consist", "consign": "consign", "knackeries": "knackeri", "knightly": "knight", "generate": "generat", "running": "run", "hopping": "hop", "happily": "happili", "flies": "fli", "dying": "die", "skies": "sky", "relational": "relat"}
     assert {w: stem(w, "en") for w in pairs} == pairs
-    assert stem("Häuser", "de") == "häus" and stem("word", "xx") == "word"
+    assert stem("Häuser", "de") == "haus" and stem("word", "xx") == "word"
 
 
 def test_search(spark):
