@@ -150,10 +150,10 @@ def _pack_counts(shards: int, group: int, grams: np.ndarray, counts: np.ndarray)
 
 def overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (x, y) those that reach num/den, by their overlap over all columns."""
+    # Both joins take the table as it is read, dealt out once: then the rows of a set that thousands are compared with can be split.
     own = sets.select("node", "size", "grams")
-    ends = own.join(pairs.select(F.col("y").alias("node")).distinct(), "node", "left_semi")
     given = pairs.join(own.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("grams").alias("grams_x")), "x")
-    given = given.join(ends.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("grams").alias("grams_y")), "y")
+    given = given.join(own.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("grams").alias("grams_y")), "y")
 
     def run(batches):
         for batch in batches:
