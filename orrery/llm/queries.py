@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .change_applier import apply_changes
 from .decontaminate import find_contamination, n_hit
 from .html_extract import extract_pages
 from .jaccard_join import similarity_groups
@@ -104,6 +105,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_changes(table(spark, sf_dir, "client_changes"), batches=12, start_day=19723, days=160, patience=3)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_page_language": op8_page_language,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_change_applier": op11_change_applier,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
