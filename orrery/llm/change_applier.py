@@ -31,8 +31,11 @@ COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment
 FEED = "who long, lane int, client_id long, batch int, clock int, change_id long, n long, day int, op string, city string, cents long"
 OUT = "change_id long, client_id long, status string, batch int, missed long, city string, cents long, n long"
 _NEVER, _ALWAYS = -(2**31), 2**31 - 1
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Several state variables need RocksDB; executors drop the files of a start that has ended when they next look after their stores.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+}
 
 
 class ChangeApplier(StatefulProcessor):
@@ -172,7 +175,7 @@ def apply_changes(changes: DataFrame, batches: int = 12, start_day: int = 19723,
     prepare(changes, batches, start_day, days, patience).hint("rebalance", "batch").write.partitionBy("batch").parquet(staged)
     schema = spark.createDataFrame([], FEED).schema
     rows = spark.read.schema(schema).parquet(staged).select(schema.names)
-    with _rocks(spark):
+    with _settings(spark, _STORE):
         for b in range(1, batches + 2):
             rows.where(F.col("batch") == b).write.mode("append").parquet(feed)
             stream = applied(spark.readStream.schema(schema).parquet(feed), patience, batches + 1)
@@ -188,18 +191,17 @@ def apply_changes(changes: DataFrame, batches: int = 12, start_day: int = 19723,
     return done.select("change_id", "client_id", "status", "batch", "missed", "city", "cents", F.col("_n").isNotNull().alias("current"))
 
 
-class _rocks:
-    """The state store that several state variables need, for the time of the stream."""
+class _settings:
+    """Settings of the session for the time of the stream."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, values: dict[str, str]):
+        self.conf, self.values = spark.conf, values
 
     def __enter__(self) -> None:
-        self.before = self.spark.conf.get(_STORE, None)
-        self.spark.conf.set(_STORE, _ROCKS)
+        self.before = {k: self.conf.get(k, None) for k in self.values}
+        for k, v in self.values.items():
+            self.conf.set(k, v)
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(_STORE)
-        else:
-            self.spark.conf.set(_STORE, self.before)
+        for k, v in self.before.items():
+            self.conf.unset(k) if v is None else self.conf.set(k, v)
