@@ -12,6 +12,7 @@ from .jaccard_join import similarity_groups
 from .language_id import identify_documents, identify_pages
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
+from .mixing import mix_sources, taken_words
 from .quality import apply_rules, fit_quality
 from .sentence_pieces import decode_texts, encode_texts
 from .storage import shared_folder
@@ -109,6 +110,11 @@ def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(table(spark, sf_dir, "client_changes"), batches=12, start_day=19723, days=160, patience=3)
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), most=2)
+    return mix.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -123,6 +129,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_change_applier": op11_change_applier,
+    "op12_source_mixing": op12_source_mixing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -188,9 +195,45 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+# Every quotient is ranked, and words before a position are counted without spans. Blocks of 64 words, shards of 262144, seed 'mix'.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size, md5('mix|' || doc_id) AS h FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS i
+      FROM (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM d GROUP BY source)),
+t AS (SELECT sum(source_size)::BIGINT AS total FROM s),
+p AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS held,
+             sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS free FROM s),
+c AS (SELECT i AS first_free, 3 * total::DOUBLE / 2 - held AS rest, free AS others FROM p, t WHERE NOT (2 * source_size * free < (3 * total::DOUBLE / 2 - held) * w) ORDER BY i LIMIT 1),
+src AS (SELECT source, source_size, CASE WHEN i < first_free THEN (2 * source_size)::DOUBLE ELSE rest * w / others::DOUBLE END AS target,
+               greatest(1, (source_size + 262143) // 262144) AS shards FROM s, c),
+x AS (SELECT d.*, source_size, target, ('0x' || substr(h, 9, 8))::BIGINT % shards AS shard FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+cell AS (SELECT source, shard, sum(size)::BIGINT AS words, (sum(size)::BIGINT + 63) // 64 AS n FROM x GROUP BY ALL),
+room AS (SELECT source, 2 * sum(n)::BIGINT AS room FROM cell GROUP BY source),
+q1 AS (SELECT source, unnest(range(room)) AS k FROM room),
+w1 AS (SELECT source, count(*) AS seats FROM
+        (SELECT q1.source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, q1.source NULLS FIRST, k) AS r FROM q1 JOIN src ON q1.source IS NOT DISTINCT FROM src.source), t
+       WHERE r <= (6 * total + 128) // 256 GROUP BY source),
+q2 AS (SELECT source, shard, words, unnest(range(2 * n)) AS k FROM cell),
+w2 AS (SELECT r.source, shard, count(*) AS quota FROM
+        (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k + 1) DESC, shard, k) AS r FROM q2) r JOIN w1 ON r.source IS NOT DISTINCT FROM w1.source
+       WHERE r <= seats GROUP BY ALL),
+e AS (SELECT cell.source, cell.shard, n, coalesce(quota, 0) // greatest(n, 1) AS passes, coalesce(quota, 0) % greatest(n, 1) AS m,
+             ('0x' || substr(md5('mix|' || coalesce(cell.source, '') || '|' || cell.shard), 1, 8))::BIGINT % greatest(n, 1) AS u
+      FROM cell LEFT JOIN w2 ON cell.source IS NOT DISTINCT FROM w2.source AND cell.shard = w2.shard),
+l AS (SELECT x.*, n, passes, m, u, (sum(size) OVER (PARTITION BY x.source, x.shard ORDER BY h, doc_id))::BIGINT AS b
+      FROM x JOIN e ON x.source IS NOT DISTINCT FROM e.source AND x.shard = e.shard),
+f AS (SELECT *, b - size AS a FROM l)
+SELECT doc_id, size, source_size, target,
+       (passes * size + CASE WHEN n = 0 THEN 0 ELSE
+          64 * ((((b // 64) * m + u) // n) - (((a // 64) * m + u) // n))
+          + (b % 64) * (((b // 64 + 1) * m + u) // n - ((b // 64) * m + u) // n) - (a % 64) * (((a // 64 + 1) * m + u) // n - ((a // 64) * m + u) // n) END)::BIGINT AS taken
+FROM f
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op12_source_mixing": OP12_SQL,
 }
