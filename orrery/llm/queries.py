@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .change_applier import apply_changes
 from .decontaminate import find_contamination, n_hit
+from .divergence import audit_sources
 from .html_extract import extract_pages
 from .jaccard_join import similarity_groups
 from .language_id import identify_documents, identify_pages
@@ -115,6 +116,10 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -130,6 +135,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_change_applier": op11_change_applier,
     "op12_source_mixing": op12_source_mixing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -230,10 +236,37 @@ SELECT doc_id, size, source_size, target,
 FROM f
 """
 
+# Every group has every term of its language here.
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+ln AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL),
+ls AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v) AS p,
+             1 + (1000000000::HUGEINT * (ln.n + 5)) // (ls.total + 5 * v.v) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN ln USING (lang, term) JOIN ls USING (lang)
+      LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source AS g, y.source AS h, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+           ON f.lang = a.lang AND f.g = a.source AND f.h = b.source),
+every AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op12_source_mixing": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
