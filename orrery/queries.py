@@ -32,6 +32,7 @@ from .sources import logs as LG
 from .sources.responses import parse_responses
 from .storage import shared_folder, store
 from .streaming import events as EV
+from .streaming.status import StatusFold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -632,6 +633,27 @@ def state_transition(c: Catalog) -> DataFrame:
     return EV.apply_events(c.analyses.select("assetId", "status", "previousStatus", "processedAt"), events).select("assetId", "status")
 
 
+@on_catalog("status_over_batches", """WITH e AS (SELECT assetId, max(seq) AS last, list({'s': NULL::VARCHAR, 'p': NULL::VARCHAR, 'h': false, 'e': event} ORDER BY seq) AS ev
+    FROM (SELECT assetId, ['queue', 'start', 'succeed', 'fail', 'queue', 'cancel', 'start'][(id * 5 + id // 7) % 7 + 1] AS event, id AS seq FROM logs WHERE assetId IS NOT NULL) GROUP BY assetId),
+j AS (SELECT coalesce(l.assetId, e.assetId) AS assetId, last, list_prepend({'s': l.status, 'p': l.previousStatus, 'h': l.processedAt IS NOT NULL, 'e': ''}, coalesce(ev, [])) AS ev FROM analyses l FULL JOIN e ON e.assetId = l.assetId),
+t AS (SELECT assetId, last, list_reduce(ev, lambda a, x: {
+    's': CASE WHEN x.e = 'queue' AND coalesce(a.s, '') <> 'processing' THEN 'pending' WHEN x.e = 'start' AND a.s = 'pending' THEN 'processing' WHEN x.e = 'succeed' AND a.s = 'processing' THEN 'completed'
+              WHEN x.e = 'fail' AND a.s IN ('pending', 'processing') THEN CASE WHEN a.h THEN 'completed' ELSE 'failed' END WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN a.p ELSE a.s END,
+    'p': CASE WHEN x.e = 'queue' AND coalesce(a.s, '') <> 'processing' THEN a.s WHEN x.e = 'succeed' AND a.s = 'processing' THEN NULL WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN NULL ELSE a.p END,
+    'h': CASE WHEN x.e = 'succeed' AND a.s = 'processing' THEN true WHEN x.e = 'cancel' AND a.s IN ('pending', 'processing') THEN a.h AND a.p IS NOT NULL ELSE a.h END, 'e': ''}) AS r FROM j)
+SELECT assetId, r.s AS status, r.p AS previous, r.h AS had, last AS lastSeq FROM t WHERE r.s IS NOT NULL""")
+def status_over_batches(c: Catalog) -> DataFrame:
+    """Three batches that each hold events of all times, the second of them twice; the oracle folds all events of an asset at once."""
+    names = F.array(*[F.lit(x) for x in ("queue", "start", "succeed", "fail", "queue", "cancel", "start")])
+    event = F.element_at(names, ((F.col("id") * 5 + F.floor(F.col("id") / 7)) % 7 + 1).cast("int"))
+    events = c.logs.select("assetId", event.alias("event"), F.col("id").alias("seq"))
+    fold = StatusFold(c.tables.spark, shared_folder(c.tables.spark, "status"), block=256)
+    fold.start(c.analyses)
+    for number, part in enumerate((2, 0, 0, 1), 1):
+        fold.merge(events.where(F.col("seq") % 3 == part), min(number, 2) if number < 4 else 3)
+    return fold.statuses()
+
+
 on_catalog("cascade_orphans", "SELECT t.assetId, t.tag FROM asset_tags t WHERE t.analysisId NOT IN (SELECT id FROM analyses WHERE status = 'completed')")(lambda c: orphans(c.asset_tags, "analysisId", c.analyses.where("status = 'completed'")).select("assetId", "tag"))
 on_catalog("left_only_semi_join", "SELECT a.id, a.volumeId FROM assets a WHERE a.id IN (SELECT assetId FROM analyses)")(lambda c: c.assets.join(c.analyses.select(F.col("assetId").alias("id")), "id", "left_semi").select("id", "volumeId"))
 on_catalog("cluster_key_lookup", "SELECT assetId, min(k) AS clusterKey FROM (SELECT canonicalAssetId AS assetId, least(canonicalAssetId, duplicateAssetId) AS k FROM duplicate_groups WHERE resolution IS NULL UNION ALL SELECT duplicateAssetId, least(canonicalAssetId, duplicateAssetId) FROM duplicate_groups WHERE resolution IS NULL) GROUP BY assetId")(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -56,8 +56,14 @@ def asset_event_action(kind, hash_changed, has_analysis):
 
 
 EVENTS = ("queue", "start", "succeed", "fail", "cancel")
-_STATUS = (None, "pending", "processing", "completed", "failed")
-_STATES = tuple((s, p, had) for s in range(5) for p in range(5) for had in (0, 1))
+STATE_NAMES = (None, "pending", "processing", "completed", "failed")
+STATES = tuple((s, p, had) for s in range(5) for p in range(5) for had in (0, 1))
+
+
+def state_number(status: Column, previous: Column, had: Column) -> Column:
+    """The place of a state among STATES."""
+    number = lambda c: sum((F.when(c == x, i).otherwise(0) for i, x in enumerate(STATE_NAMES) if x), F.lit(0))
+    return number(status) * 10 + number(previous) * 2 + had.cast("int")
 
 
 def step_status(status: str | None, previous: str | None, had: bool, event: str) -> tuple[str | None, str | None, bool]:
@@ -78,64 +84,69 @@ def step_status(status: str | None, previous: str | None, had: bool, event: str)
 
 def _step_tables() -> dict[str, np.ndarray]:
     """For each event the number of the state that follows each state: a sequence of events is the composition of its tables."""
-    number = {s: i for i, s in enumerate(_STATES)}
+    number = {s: i for i, s in enumerate(STATES)}
 
     def after(state: tuple, event: str) -> int:
-        s, p, had = step_status(_STATUS[state[0]], _STATUS[state[1]], bool(state[2]), event)
-        return number[_STATUS.index(s), _STATUS.index(p), int(had)]
+        s, p, had = step_status(STATE_NAMES[state[0]], STATE_NAMES[state[1]], bool(state[2]), event)
+        return number[STATE_NAMES.index(s), STATE_NAMES.index(p), int(had)]
 
-    return {e: np.array([after(s, e) for s in _STATES], np.int8) for e in EVENTS}
+    return {e: np.array([after(s, e) for s in STATES], np.int8) for e in EVENTS}
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """assetId and steps: what all its events (assetId, event, seq), in their order, make of each state.
+def fold_events(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys (the asset, or others that are whole numbers) and steps: what all events of a key (event, seq), in their order, make of each state.
 
-    Events are dealt out by ranges of asset and order, so that those of one asset may lie in many tasks; each task composes what it
-    has, and an asset's parts, one for each of its tasks, are composed in order. Unknown and null events change nothing.
+    Events are dealt out by ranges of key and order, so that those of one key may lie in many tasks; each task composes what it
+    has, and a key's parts, one for each of its tasks, are composed in order. Unknown and null events change nothing, nor do those whose first key is null.
     """
     import pyarrow as pa
 
-    tables = _step_tables()
+    tables, keys = _step_tables(), keys or ["assetId"]
+    names = [*keys, "part", "steps"]
 
     def run(batches):
-        part, asset, steps = TaskContext.get().partitionId(), None, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([asset], pa.int64()), pa.array([part], pa.int32()), pa.array([steps.tolist()], pa.list_(pa.int8()))], names=["assetId", "part", "steps"])
+        part, own, steps = TaskContext.get().partitionId(), None, None
+        row = lambda: pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in own], pa.array([part], pa.int32()), pa.array([steps.tolist()], pa.list_(pa.int8()))], names=names)
         for batch in batches:
-            for a, e in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                if steps is None or a != asset:
+            for *key, e in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True):
+                if steps is None or key != own:
                     if steps is not None:
                         yield row()
-                    asset, steps = a, np.arange(len(_STATES), dtype=np.int8)
+                    own, steps = key, np.arange(len(STATES), dtype=np.int8)
                 if e in tables:
                     steps = tables[e][steps]
         if steps is not None:
             yield row()
 
-    given = events.select(F.col("assetId").cast("long"), "event", F.col("seq").cast("long")).where(F.col("assetId").isNotNull())
-    parts = given.repartitionByRange("assetId", "seq", "event").sortWithinPartitions("assetId", "seq", "event").mapInArrow(run, "assetId long, part int, steps array<tinyint>")
+    given = events.select(*[F.col(k).cast("long") for k in keys], "event", F.col("seq").cast("long")).where(F.col(keys[0]).isNotNull())
+    parts = given.repartitionByRange(*keys, "seq", "event").sortWithinPartitions(*keys, "seq", "event").mapInArrow(run, f"{', '.join(f'{k} long' for k in keys)}, part int, steps array<tinyint>")
     # At most one part for each task, in the order of the ranges.
-    ordered = parts.groupBy("assetId").agg(F.sort_array(F.collect_list(F.struct("part", "steps"))).alias("parts"))
-    same = F.array(*[F.lit(i).cast("tinyint") for i in range(len(_STATES))])
-    return ordered.select("assetId", F.aggregate("parts", same, lambda now, part: F.transform(now, lambda s: F.element_at(part["steps"], s.cast("int") + 1))).alias("steps"))
+    ordered = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "steps"))).alias("parts"))
+    same = F.array(*[F.lit(i).cast("tinyint") for i in range(len(STATES))])
+    return ordered.select(*keys, F.aggregate("parts", same, lambda now, part: F.transform(now, lambda s: F.element_at(part["steps"], s.cast("int") + 1))).alias("steps"))
 
 
-def apply_events(analyses: DataFrame, events: DataFrame) -> DataFrame:
-    """Analyses after all events of each asset (assetId, event, seq), in their order; assets without a row begin at null. A null status removes the row."""
+def apply_events(analyses: DataFrame, events: DataFrame, at: Column | None = None) -> DataFrame:
+    """Analyses after all events of each asset (assetId, event, seq), in their order; assets without a row begin at null. A null status removes the row.
+
+    processedAt follows whether there is data: null where a cancellation has lost it, `at` (now) where an analysis has brought the first. So later events can be applied to
+    the result; for events that may come late, and batches that may be repeated, see `status.StatusFold`.
+    """
     both = analyses.join(fold_events(events), "assetId", "full_outer")
-    number = lambda c: sum((F.when(c == x, i).otherwise(0) for i, x in enumerate(_STATUS) if x), F.lit(0))
-    state = number(F.col("status")) * 10 + number(F.col("previousStatus")) * 2 + F.col("processedAt").isNotNull().cast("int")
-    after = F.element_at("steps", (state + 1).cast("int")).cast("int")
-    name = lambda i: F.element_at(F.array(*[F.lit(x) for x in _STATUS]), (i + 1).cast("int"))
+    had = F.col("processedAt").isNotNull()
+    after = F.element_at("steps", (state_number(F.col("status"), F.col("previousStatus"), had) + 1).cast("int")).cast("int")
+    name = lambda i: F.element_at(F.array(*[F.lit(x) for x in STATE_NAMES]), (i + 1).cast("int"))
     changed = lambda c, new: F.when(F.col("steps").isNull(), F.col(c)).otherwise(new)
     both = both.withColumn("_after", after)
+    processed = F.when(F.col("_after") % 2 == 1, F.coalesce("processedAt", F.current_timestamp() if at is None else at)).cast(analyses.schema["processedAt"].dataType)
     return (
-        both.withColumns({"status": changed("status", name(F.floor(F.col("_after") / 10))), "previousStatus": changed("previousStatus", name(F.floor(F.col("_after") / 2) % 5))})
+        both.withColumns({"status": changed("status", name(F.floor(F.col("_after") / 10))), "previousStatus": changed("previousStatus", name(F.floor(F.col("_after") / 2) % 5)), "processedAt": changed("processedAt", processed)})
         .where(F.col("status").isNotNull()).select(*analyses.columns)
     )
 
 
 def merge_stream(events: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str):
-    """Merges each micro-batch into the table. `store` gets the batch number, so that a repeated batch can be told."""
+    """Merges each micro-batch into a table that the caller keeps, if no event comes late. `store` gets the batch number, so that a repeated batch can be told."""
 
     def step(batch: DataFrame, number: int) -> None:
         store(apply_events(load(), batch), number)
