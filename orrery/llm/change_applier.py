@@ -1,8 +1,11 @@
 """Numbered changes of clients, applied in sequence by a stateful stream.
 
 Changes arrive out of order and with gaps. A client's state is the number it waits for, its current values, and the changes that came too early
-(`MapState` from number to change). Every batch brings a clock, the largest day of earlier batches, to every client known so far, by a row of its own where
-the client has no change: a client whose oldest early change has waited too long gives up the missing numbers and goes on with the smallest it holds.
+(`MapState` from number to change). Every batch brings a clock, the largest day of earlier batches, to the clients known so far: their changes carry it, and those without a
+change in the batch get a row of their own. A client whose oldest early change has waited too long gives up the missing numbers and goes on with the smallest it holds.
+
+A client that was fed all numbers from 1 to its greatest can't hold any (whatever was fed is held or behind `next`, and a held `next` is applied), so its clock row would change nothing and is left out: a key costs
+Python most of a millisecond, whatever it does.
 
 **What is prepared before the stream.** Numbers are dense ranks, found over ranges of (client, seq), so that a client with much of the table lies in many
 tasks. Of the changes of one batch that share client and number only the first can be held or applied; this is settled by an aggregate with partial sums before the
@@ -16,11 +19,12 @@ null seq is the smallest. Rows without a day vanish. Days before the first belon
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,8 +32,9 @@ from .ranks import numbered
 from .storage import shared_folder, store
 
 COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
-FEED = "who long, lane int, client_id long, batch int, clock int, change_id long, n long, day int, op string, city string, cents long"
-OUT = "change_id long, client_id long, status string, batch int, missed long, city string, cents long, n long"
+#: What goes through the stream is one text column each way: a key costs Python several times as much with eleven columns in and eight out.
+FEED = "who long, lane int, batch int, line string"
+OUT = "change_id long, client_id long, status string, batch int, missed long, city string, cents long, n long, op string"
 _NEVER, _ALWAYS = -(2**31), 2**31 - 1
 #: Several state variables need RocksDB; executors drop the files of a start that has ended when they next look after their stores.
 _STORE = {
@@ -38,36 +43,41 @@ _STORE = {
 }
 
 
+def _out(change, client, status: str, batch: int, n: int, missed: int = 0, city=None, cents=None, op=None) -> Row:
+    return Row(line=json.dumps({"change_id": change, "client_id": client, "status": status, "batch": batch, "missed": missed, "city": city, "cents": cents, "n": n, "op": op}))
+
+
 class ChangeApplier(StatefulProcessor):
     """One client: `held` has the changes that came too early, `client` what it waits for and its current values."""
 
-    def __init__(self, patience: int, last_batch: int, chunk: int = 4096):
-        self.patience, self.last_batch, self.chunk = patience, last_batch, chunk
+    def __init__(self, patience: int, chunk: int = 4096):
+        self.patience, self.chunk = patience, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getMapState("held", "n long", "day int, change_id long, op string, city string, cents long")
-        # next; batch of the last clock; how many are held, their least day (or an earlier one) and greatest number; values; number and op applied last.
-        self.client = handle.getValueState("client", "next long, batch int, waiting long, oldest int, farthest long, city string, cents long, last long, op string")
+        # next; batch of the last clock; how many are held, their least day (or an earlier one) and greatest number; current values.
+        self.client = handle.getValueState("client", "next long, batch int, waiting long, oldest int, farthest long, city string, cents long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        lines = (json.loads(r.line) for r in rows)
         if key[1]:
-            for r in rows:
-                yield Row(change_id=r.change_id, client_id=r.client_id, status="rejected", batch=r.batch, missed=0, city=None, cents=None, n=r.n)
+            for r in lines:
+                yield _out(r.get("change_id"), r.get("client_id"), "rejected", r["batch"], r["n"])
             return
         found = self.client.get()
-        self.next, seen, self.waiting, self.oldest, self.farthest, self.city, self.cents, self.last, self.op = found or (1, 0, 0, _ALWAYS, 0, None, None, 0, None)
-        first = next(rows)
-        client, batch, clock, changed = first.client_id, first.batch, first.clock, not found
-        if seen < batch and self.waiting and self.oldest + self.patience <= clock:
+        self.next, seen, self.waiting, self.oldest, self.farthest, self.city, self.cents = found or (1, 0, 0, _ALWAYS, 0, None, None)
+        first = next(lines)
+        client, batch, changed = key[0], first["batch"], not found
+        if seen < batch and self.waiting and self.oldest + self.patience <= first["clock"]:
             changed = True
-            yield from self._give_up(client, batch, clock)
-        rows = chain([first], rows)
-        while part := list(islice(rows, self.chunk)):
-            new = {r.n: (r.day, r.change_id, r.op, r.city, r.cents) for r in part if r.change_id is not None}
+            yield from self._give_up(client, batch, first["clock"])
+        lines = chain([first], lines)
+        while part := list(islice(lines, self.chunk)):
+            new = {r["n"]: (r["day"], r["change_id"], r.get("op"), r.get("city"), r.get("cents")) for r in part if "n" in r}
             changed = changed or bool(new)
             # A number that is held or behind next is rejected; among the new ones each is the first of its number.
             for n in [n for n in new if n < self.next or (self.waiting and n <= self.farthest and self.held.containsKey((n,)))]:
-                yield Row(change_id=new.pop(n)[1], client_id=client, status="rejected", batch=batch, missed=0, city=None, cents=None, n=n)
+                yield _out(new.pop(n)[1], client, "rejected", batch, n)
             while new or self.waiting:
                 row = new.pop(self.next, None) or self._take(self.next)
                 if row is None:
@@ -76,10 +86,8 @@ class ChangeApplier(StatefulProcessor):
             for n, row in new.items():
                 self.held.updateValue((n,), row)
                 self.waiting, self.oldest, self.farthest = self.waiting + 1, min(self.oldest, row[0]), max(self.farthest, n)
-        if batch == self.last_batch and self.last and self.op != "D":
-            yield Row(change_id=None, client_id=client, status="current", batch=batch, missed=0, city=None, cents=None, n=self.last)
         if changed:
-            self.client.update((self.next, batch, self.waiting, self.oldest, self.farthest, self.city, self.cents, self.last, self.op))
+            self.client.update((self.next, batch, self.waiting, self.oldest, self.farthest, self.city, self.cents))
 
     def _take(self, n: int) -> tuple | None:
         """The held change of a number, which leaves the state."""
@@ -94,13 +102,13 @@ class ChangeApplier(StatefulProcessor):
         return row
 
     def _apply(self, client, batch: int, n: int, row: tuple) -> Row:
-        _, change, self.op, city, cents = row
-        if self.op in ("I", "D"):
-            self.city, self.cents = (city, cents) if self.op == "I" else (None, None)
-        elif self.op == "U":
+        _, change, op, city, cents = row
+        if op in ("I", "D"):
+            self.city, self.cents = (city, cents) if op == "I" else (None, None)
+        elif op == "U":
             self.city, self.cents = self.city if city is None else city, self.cents if cents is None else cents
-        missed, self.next, self.last = n - self.next, n + 1, n
-        return Row(change_id=change, client_id=client, status="applied", batch=batch, missed=missed, city=self.city, cents=self.cents, n=n)
+        missed, self.next = n - self.next, n + 1
+        return _out(change, client, "applied", batch, n, missed, self.city, self.cents, op)
 
     def _give_up(self, client, batch: int, clock: int) -> Iterator[Row]:
         """Jumps to the smallest held number while the oldest held change has waited too long: all up to the last that has, and what follows without a gap."""
@@ -123,7 +131,7 @@ def _day(hashed: Column) -> Column:
 
 
 def prepare(changes: DataFrame, batches: int, start_day: int, days: int, patience: int) -> DataFrame:
-    """The rows of all batches (FEED): changes, of which the first of a client and number has lane 0, and the clock for every client known before a batch.
+    """The rows of all batches (FEED): changes, of which the first of a client and number has lane 0, and the clock for the clients known before a batch that may hold a change.
 
     The batch after the last has the clock that no day exceeds.
     """
@@ -151,17 +159,20 @@ def prepare(changes: DataFrame, batches: int, start_day: int, days: int, patienc
     rows = kept.join(first, same[0] & same[1] & same[2]).withColumn("_is", order.eqNullSafe(F.col("_first")))
     rows = rows.select(
         F.when(F.col("_is"), F.col("client_id")).alias("who"), F.when(F.col("_is"), 0).otherwise(1 + F.pmod(F.xxhash64("change_id"), F.lit(1024))).cast("int").alias("lane"),
-        "client_id", "batch", clock(F.col("batch")).alias("clock"), "change_id", "n", "day", "op", "city", "cents",
+        "batch", F.to_json(F.struct("client_id", "batch", clock(F.col("batch")).alias("clock"), "change_id", "n", "day", "op", "city", "cents")).alias("line"),
     )
-    known = kept.groupBy("client_id").agg(F.min("batch").alias("since"))
-    ticks = known.where(F.col("since") <= batches).select("client_id", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
-    ticks = ticks.select(F.col("client_id").alias("who"), F.lit(0).alias("lane"), "client_id", "batch", clock(F.col("batch")).alias("clock"))
-    return rows.unionByName(ticks, allowMissingColumns=True)
+    # After each batch with new numbers: has the client been fed all up to its greatest?
+    fed = kept.groupBy("client_id", "n").agg(F.min("batch").alias("batch")).groupBy("client_id", "batch").agg(F.count("*").alias("k"), F.max("n").alias("m"))
+    by_batch = Window.partitionBy("client_id").orderBy("batch")  # a client has a row for each batch at most
+    gaps = fed.select("client_id", "batch", F.lead("batch", 1, batches + 1).over(by_batch).alias("until"), (F.sum("k").over(by_batch) < F.max("m").over(by_batch)).alias("gap"))
+    ticks = gaps.where("gap").select("client_id", F.explode(F.sequence(F.col("batch") + 1, F.col("until"))).alias("batch"))
+    ticks = ticks.select(F.col("client_id").alias("who"), F.lit(0).alias("lane"), "batch", F.to_json(F.struct("batch", clock(F.col("batch")).alias("clock"))).alias("line"))
+    return rows.unionByName(ticks)
 
 
-def applied(stream: DataFrame, patience: int, last_batch: int) -> DataFrame:
-    """A stream of FEED rows, as the changes that were applied or rejected (OUT), and for each client a row `current` naming its final number."""
-    return stream.groupBy("who", "lane").transformWithState(ChangeApplier(patience, last_batch), OUT, "Append", "None")
+def applied(stream: DataFrame, patience: int) -> DataFrame:
+    """A stream of FEED rows, as lines (OUT) of the changes that were applied or rejected."""
+    return stream.groupBy("who", "lane").transformWithState(ChangeApplier(patience), "line string", "Append", "None")
 
 
 def apply_changes(changes: DataFrame, batches: int = 12, start_day: int = 19723, days: int = 160, patience: int = 3) -> DataFrame:
@@ -178,17 +189,18 @@ def apply_changes(changes: DataFrame, batches: int = 12, start_day: int = 19723,
     with _settings(spark, _STORE):
         for b in range(1, batches + 2):
             rows.where(F.col("batch") == b).write.mode("append").parquet(feed)
-            stream = applied(spark.readStream.schema(schema).parquet(feed), patience, batches + 1)
+            stream = applied(spark.readStream.schema(schema).parquet(feed), patience)
             q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out")
             try:
                 q.awaitTermination()
             finally:
                 q.stop()
-    out = spark.read.schema(OUT).parquet(f"{home}/out")
-    last = out.where("status = 'current'").select(F.col("client_id").alias("_client"), F.col("n").alias("_n"))
-    done = out.where("status <> 'current'").withColumn("_at", F.when(F.col("status") == "applied", F.col("n")))
-    done = done.join(last, done.client_id.eqNullSafe(F.col("_client")) & (F.col("_at") == F.col("_n")), "left")
-    return done.select("change_id", "client_id", "status", "batch", "missed", "city", "cents", F.col("_n").isNotNull().alias("current"))
+    out = spark.read.schema("line string").parquet(f"{home}/out").select(F.from_json("line", OUT).alias("r")).select("r.*")
+    out = out.withColumn("_at", F.when(F.col("status") == "applied", F.col("n")))
+    last = out.groupBy("client_id").agg(F.max("_at").alias("_n")).withColumnRenamed("client_id", "_client")
+    done = out.join(last, out.client_id.eqNullSafe(F.col("_client")) & (F.col("_at") == F.col("_n")), "left")
+    current = F.col("_n").isNotNull() & ~F.col("op").eqNullSafe("D")
+    return done.select("change_id", "client_id", "status", "batch", "missed", "city", "cents", current.alias("current"))
 
 
 class _settings:
