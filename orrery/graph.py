@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (a, b) with the least b of its a; grouped before it is joined, so that no task holds a node's whole neighbourhood."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    return pairs.join(least, "a")
+    """Each (a, b) with the least b of its a; grouped before it is joined, so that no task holds a node's whole neighbourhood.
+
+    The second key has both sides of the join shuffled for it: only then can Spark split the rows of a node that has very many.
+    """
+    least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("_h", F.xxhash64("a"))
+    return pairs.withColumn("_h", F.xxhash64("a")).join(least, ["a", "_h"]).drop("_h")
 
 
 def connected_components(edges: DataFrame, save: Callable[[DataFrame], DataFrame], *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

@@ -189,29 +189,67 @@ def cluster(pairs: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFra
     return out.withColumn("clusterKey", F.when(F.col("resolution").isNull(), F.col("component"))).drop("node", "component").select(*pairs.columns, *[c for c in ("clusterKey",) if c not in pairs.columns])
 
 
+def recluster(pairs: DataFrame, seeds: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id and clusterKey of the rows whose key changes by edits near some assets (`seeds`: assetId): new pairs, which have no key yet, and pairs that were resolved or removed.
+
+    Stored clusters that hold a seed are taken apart, as they may have split; their pairs and those without a key are loose. All other stored clusters are one node each, by
+    their key, so that the graph has no more edges than loose pairs, however large the clusters are that they join. Components that hold a seed, or come of a cluster taken
+    apart, are written; the key of a component is its smallest asset, since the key of a cluster is its smallest.
+    """
+    ids, live = seeds.select("assetId").where("assetId IS NOT NULL").distinct(), unresolved(pairs).select("id", "canonicalAssetId", "duplicateAssetId", "clusterKey")
+    ends = endpoints(live)
+    apart = save(ends.join(ids, "assetId", "left_semi").where(F.col("clusterKey").isNotNull()).select("clusterKey").distinct())
+    marked = live.join(apart.withColumn("_apart", F.lit(True)), "clusterKey", "left")
+    loose = save(marked.where(F.col("clusterKey").isNull() | F.col("_apart")).select("id", "canonicalAssetId", "duplicateAssetId", "clusterKey"))
+    at = endpoints(loose).select("assetId").distinct()
+    # An asset of a loose pair that a stored cluster holds stands for it; two keys of one asset are an edge between them.
+    held = ends.where(F.col("clusterKey").isNotNull()).join(apart, "clusterKey", "left_anti").join(at, "assetId", "left_semi").select("assetId", "clusterKey").distinct()
+    held = save(held)
+    node = held.groupBy("assetId").agg(F.min("clusterKey").alias("node"))
+    named = lambda side: node.select(F.col("assetId").alias(side), F.col("node").alias(f"_{side}"))
+    joined = loose.join(named("canonicalAssetId"), "canonicalAssetId", "left").join(named("duplicateAssetId"), "duplicateAssetId", "left")
+    joined = save(joined.select("id", "clusterKey", F.coalesce("_canonicalAssetId", "canonicalAssetId").alias("a"), F.coalesce("_duplicateAssetId", "duplicateAssetId").alias("b")))
+    edges = joined.select("a", "b").unionByName(held.join(node, "assetId").where("clusterKey <> node").select(F.col("node").alias("a"), F.col("clusterKey").alias("b")))
+    labels = save(connected_components(edges, save, src="a", dst="b"))
+    of_seed = ids.join(node, "assetId", "left").select(F.coalesce("node", "assetId").alias("node"))
+    of_apart = joined.where(F.col("clusterKey").isNotNull()).select(F.col("a").alias("node"))
+    written = labels.join(of_seed.unionByName(of_apart).distinct(), "node", "left_semi").select("component").distinct()
+    new = save(labels.join(written, "component", "left_semi"))
+    rows = joined.join(new, joined.a == new.node).select("id", F.col("component").alias("key"), "clusterKey")
+    moved = new.where("node <> component").join(held.select(F.col("clusterKey").alias("node")).distinct(), "node", "left_semi")
+    rows = rows.unionByName(live.join(moved, live.clusterKey == moved.node).join(loose.select("id"), "id", "left_anti").select("id", F.col("component").alias("key"), "clusterKey"))
+    rows = rows.where(~F.col("key").eqNullSafe(F.col("clusterKey"))).select("id", F.col("key").alias("clusterKey"))
+    resolved = pairs.where(F.col("resolution").isNotNull() & F.col("clusterKey").isNotNull()).select("id", F.lit(None).cast("long").alias("clusterKey"))
+    return rows.unionByName(resolved)
+
+
 def cluster_around(pairs: DataFrame, seeds: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Clusters anew only the components that hold a seed (assetId) now or by their stored key; other rows stay."""
-    keys = endpoints(pairs).join(seeds, "assetId", "left_semi").select("clusterKey").where(F.col("clusterKey").isNotNull()).distinct()
-    near = endpoints(pairs).join(seeds, "assetId", "left_semi").select("id").distinct()
-    hit = pairs.join(keys.withColumn("_k", F.lit(True)), "clusterKey", "left").join(near.withColumn("_n", F.lit(True)), "id", "left")
-    hit = hit.withColumn("_hit", F.coalesce("_k", "_n", F.lit(False))).select(*pairs.columns, "_hit")
-    return hit.where(~F.col("_hit")).drop("_hit").unionByName(cluster(hit.where("_hit").drop("_hit"), save).select(*pairs.columns))
+    """The pairs with the keys that `recluster` gives; other rows stay as they are."""
+    new = recluster(pairs, seeds, save).select(F.col("id").alias("_id"), F.col("clusterKey").alias("_key"))
+    out = pairs.join(new, pairs.id == F.col("_id"), "left")
+    return out.withColumn("clusterKey", F.when(F.col("_id").isNotNull(), F.col("_key")).otherwise(F.col("clusterKey"))).select(*pairs.columns)
 
 
 def resolve(pairs: DataFrame, pair_id: int, resolution: str, at, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Marks one pair as resolved and clusters what it joined, which may split."""
+    """Marks one pair as resolved and clusters what it joined, which may split. Pairs that have no stored keys are all clustered."""
     if resolution not in set(C.DuplicateResolution):
         raise ValueError(f"no such resolution: {resolution}")
     hit = (F.col("id") == pair_id) & F.col("resolution").isNull()
     kept = pairs.withColumns({"resolution": F.when(hit, F.lit(resolution)).otherwise(F.col("resolution")), "resolvedAt": F.when(hit, F.lit(at)).otherwise(F.col("resolvedAt")) if "resolvedAt" in pairs.columns else F.when(hit, F.lit(at))})
-    return cluster(kept, save)
+    if "clusterKey" not in pairs.columns:
+        return cluster(kept, save)
+    return cluster_around(kept, endpoints(pairs.where(F.col("id") == pair_id)).select("assetId"), save)
 
 
 def without_assets(pairs: DataFrame, gone: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Drops the pairs of deleted assets, or of assets whose hash changed, and clusters the rest."""
+    """Drops the pairs of deleted assets, or of assets whose hash changed, and clusters what they joined; all the rest where pairs have no stored keys."""
     ids = gone.select("assetId").distinct()
     left = pairs.join(ids.withColumnRenamed("assetId", "canonicalAssetId"), "canonicalAssetId", "left_anti").join(ids.withColumnRenamed("assetId", "duplicateAssetId"), "duplicateAssetId", "left_anti")
-    return cluster(left.select(*pairs.columns), save)
+    if "clusterKey" not in pairs.columns:
+        return cluster(left.select(*pairs.columns), save)
+    # Every part that is left of a cluster holds a neighbour of a deleted asset.
+    near = endpoints(pairs).join(ids, "assetId", "left_semi").select(F.col("otherId").alias("assetId"))
+    return cluster_around(left.select(*pairs.columns), near, save)
 
 
 def similar_ranked(pairs: DataFrame, asset: int, limit: int | None = None) -> DataFrame:

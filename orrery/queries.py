@@ -714,6 +714,19 @@ def cluster_around(c: Catalog) -> DataFrame:
 
 on_catalog("dup_cluster_around", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")(cluster_around)
 
+
+@on_catalog("dup_clusters_after_edits", f"WITH RECURSIVE u AS (SELECT * FROM duplicate_groups WHERE resolution IS NULL AND canonicalAssetId % 23 <> 6 AND duplicateAssetId % 23 <> 6), {_CC.format(p='u')} SELECT id, k AS clusterKey FROM u JOIN k ON k.a = u.canonicalAssetId")
+def dup_clusters_after_edits(c: Catalog) -> DataFrame:
+    """Clusters stored for two thirds of the pairs, before any was resolved; then the other pairs come, the resolved ones go, and so do some assets. The seeds are one end of each edited pair."""
+    save, pairs = shared_save(c.spark), c.duplicate_groups
+    old = D.cluster(pairs.where("id % 30 <> 10").withColumn("resolution", F.lit(None).cast("string")), save).select("id", "clusterKey")
+    edited = store(c.spark, pairs.join(old, "id", "left"), "edited-pairs")
+    seeds = edited.where("clusterKey IS NULL OR resolution IS NOT NULL").select(F.explode(F.when(F.col("resolution").isNotNull(), F.array("canonicalAssetId", "duplicateAssetId")).otherwise(F.array("canonicalAssetId"))).alias("assetId"))
+    now = store(c.spark, D.cluster_around(edited, seeds, save), "clustered-pairs")
+    gone = c.assets.where("id % 23 = 6").select(F.col("id").alias("assetId"))
+    return D.without_assets(now, gone, save).where("resolution IS NULL").select("id", "clusterKey")
+
+
 # --- Streams (an addition) ---------------------------------------------------------------------------------------------------
 
 
