@@ -5,12 +5,17 @@ ratios along the page are smoothed with a Gaussian and split in two clusters by
 and regions are chosen by how much content they hold.
 
 What the markup says of itself is evidence only. An element that calls itself a menu, header, footer, sidebar, notice, advert, form or comment is
-left out, unless nearly all content lies in it. Of what is left, the article elements that hold content are the region; without any, it is the
-innermost container of nearly all content, and beside it headings, paragraphs and further lines of content.
+left out, unless nearly all content lies in it: those are taken back in, the fullest first, as long as one holds nine times what is kept beside it. So a page whose
+text lies in such an element as a whole keeps it, however short it is. Inside an article, names that articles use too (a menu, what one shares) leave sentences alone.
+Of what is left, the article elements that hold content are the region; without any, it is the
+innermost container of nearly all content, and beside it headings, paragraphs and further lines of content, but for a last line of copyright.
+
+Time and memory grow with the page, however deep its elements are nested: elements know their parent, and what they hold is a range of blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html.parser import HTMLParser
 
@@ -25,7 +30,7 @@ from . import textcore as T
 # HTML elements by role.
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Hold no text of the page.
-_CODE = frozenset("applet audio canvas datalist frameset head iframe map math noembed noframes noscript object optgroup option script select style svg template textarea title video".split())
+_CODE = frozenset("applet audio canvas datalist frameset annotation annotation-xml head iframe map noembed noframes noscript object optgroup option script select style svg template textarea title video".split())
 #: Say that they aren't main text.
 _OTHER = frozenset("aside button dialog footer form header menu nav search".split())
 _IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
@@ -36,8 +41,10 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = _HEADINGS | frozenset("p blockquote pre figcaption".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 _NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion recommended recommendations related replies reply respond responses share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion recommended recommendations related replies reply respond responses share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split()
 )
+#: Names that articles use for parts of their own.
+_SHY = frozenset("menu menus share sharing social toc".split())
 #: Words that add nothing to a name: "share-buttons" is a name of its kind, "share-price" isn't.
 _PLAIN = frozenset("area articles bar block body bottom box btn button buttons center col column container content desktop fixed form global group icon icons inner item items layout left level links list main menu message mobile module notice outer page panel post posts primary right secondary section site slot sticky sub template text thread title top unit wrap wrapper".split())
 #: Readers' texts and pointers to other pages: long ones don't make them the main text beside another.
@@ -46,6 +53,9 @@ _FOREIGN = re.compile(r"comment|repl(?:y|ies)|respon|discuss|disqus|related|reco
 _JOINED = re.compile(r"^(?:\w*(?:cookie|advert|sidebar|newsletter|breadcrumb|sponsor|popup|navbar|disqus)\w*|comments?\w{4,}(?<!ary)(?<!aries)|\w+(?:nav|menu|footer|header))$")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_COPYRIGHT = re.compile(r"(?:©|\(c\)\s|copyright\b).{0,80}\b(?:19|20)\d\d\b", re.I)
+#: Five words or more, and an end.
+_SENTENCE = re.compile(r"(?:\S+\s+){4}.*[.!?…][\"'”’»)\]]*$")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -65,57 +75,75 @@ def _is_other(tag: str, attrs: dict) -> bool:
     return any(_names_other(x) for k in ("class", "id") for x in (attrs.get(k) or "").split())
 
 
+def _is_shy(tag: str, attrs: dict) -> bool:
+    """Whether only a name that articles use too says that an element isn't main text."""
+    if tag in _OTHER or (attrs.get("role") or "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") or attrs.get("style"):
+        return False
+    said = [x for k in ("class", "id") for x in (attrs.get(k) or "").split() if _names_other(x)]
+    return bool(said) and all(w in _SHY or w in _PLAIN or len(w) < 2 for x in said for w in _SPLIT.split(_CAMEL.sub("-", x).lower()))
+
+
 class Container:
-    """An open element: its tag, whether it is an article, or says that it is something else, and the blocks that it holds."""
+    """An element: what it says of itself, the nearest one around it that says it is something else, and the range of blocks that it holds."""
 
-    __slots__ = ("article", "first", "foreign", "last", "other", "tag")
+    __slots__ = ("article", "barred", "first", "foreign", "in_article", "last", "other", "shy", "up")
 
-    def __init__(self, tag: str, attrs: dict, first: int, in_article: bool):
-        self.tag, self.first, self.last = tag, first, -1
-        self.other = _is_other(tag, attrs) and not (tag == "header" and in_article)  # of an article: its own title
+    def __init__(self, tag: str, attrs: dict, first: int, number: int, up: int, around: Container | None):
+        self.first, self.last, self.up = first, -1, up
+        self.in_article = around is not None and (around.article or around.in_article)
+        self.other = _is_other(tag, attrs) and not (tag == "header" and self.in_article)  # of an article: its own title
+        self.shy = self.other and self.in_article and _is_shy(tag, attrs)
         self.foreign = self.other and bool(_FOREIGN.search(f"{attrs.get('class')} {attrs.get('id')}".lower()))
         self.article = not self.other and (tag in ("article", "main") or (attrs.get("role") or "").lower() == "main" or (attrs.get("itemprop") or "") == "articleBody")
+        # The innermost element around a block, or this one, that says it isn't main text; -1: none.
+        self.barred = number if self.other else around.barred if around is not None else -1
 
 
 class Blocks(HTMLParser):
-    """Collects blocks as (text, tags, containers, share of link text, tag); code is left out."""
+    """Collects blocks as (text, tags, container, share of link text, tag); code is left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []  # tag, container (-1: code)
-        self.path: tuple[int, ...] = ()
+        self.named: dict[str, int] = {}  # how many are open
+        self.at = -1
         self.code = 0
         self.tags = 0
         self.links = self.linked = 0
         self.within = ""
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...], float, str]] = []
+        self.blocks: list[tuple[str, int, int, float, str]] = []
         self.containers: list[Container] = []
 
     def end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.path, self.linked / len(text), self.within))
+                self.blocks.append((text, self.tags, self.at, self.linked / len(text), self.within))
             self.parts = []
             self.tags = self.linked = 0
         self.within = ""
 
+    def _open(self, tag: str, container: int) -> None:
+        self.open.append((tag, container))
+        self.named[tag] = self.named.get(tag, 0) + 1
+
     def _pop(self) -> None:
-        _, container = self.open.pop()
+        tag, container = self.open.pop()
+        self.named[tag] -= 1
         if container < 0:
             self.code -= 1
         else:
             self.end_block()
             self.containers[container].last = len(self.blocks)
-            self.path = self.path[:-1]
+            self.at = self.containers[container].up
 
     def _push(self, tag: str, attrs: dict) -> None:
         self.end_block()
-        articles = any(self.containers[c].article for c in self.path)
-        self.path += (len(self.containers),)
-        self.open.append((tag, len(self.containers)))
-        self.containers.append(Container(tag, attrs, len(self.blocks), articles))
+        number = len(self.containers)
+        self.containers.append(Container(tag, attrs, len(self.blocks), number, self.at, self.containers[self.at] if self.at >= 0 else None))
+        self._open(tag, number)
+        self.at = number
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -132,7 +160,7 @@ class Blocks(HTMLParser):
         if tag == "a":
             self.links = 1  # links don't nest
         if tag in _CODE:
-            self.open.append((tag, -1))
+            self._open(tag, -1)
             self.code += 1
             return
         given = dict(attrs)
@@ -150,7 +178,7 @@ class Blocks(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # A slash at the end of a start tag has no meaning but for elements that are void anyway.
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and tag in ("svg", "math", "path"):
+        if tag not in _VOID and tag in ("svg", "path"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -159,11 +187,10 @@ class Blocks(HTMLParser):
             self.links = 0
         if tag in _BLOCK:
             self.end_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                break
+        if self.named.get(tag):
+            while self.open[-1][0] != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self.code:
@@ -207,40 +234,56 @@ def _content(blocks: list) -> tuple[np.ndarray, np.ndarray]:
     return (ratios > cut * (1 + 1e-9)) & (links < 0.9), (sizes / np.maximum(tags, 1) > cut) & (links < 0.9)
 
 
-def _main_blocks(blocks: list, containers: list[Container], least: int) -> list:
-    """Blocks without those of elements that say they are something else, but for elements that hold nearly all content."""
-    if not any(c.other for c in containers):
-        return blocks
-    size = np.array([len(t) for t, *_ in blocks]) * _content(blocks)[0]
+def _kept(blocks: list, containers: list[Container]) -> np.ndarray:
+    """Which blocks stay when elements that say they are something else go, but for those that hold nearly all content."""
+    barred = np.array([containers[c].barred if c >= 0 else -1 for _, _, c, _, _ in blocks])
+    if (barred < 0).all():
+        return barred < 0
+    content = _content(blocks)[0]
+    sizes = np.array([len(t) for t, *_ in blocks])
+    links = np.array([b[3] for b in blocks])
+    heads = np.array([b[4] in _HEADINGS for b in blocks])
+    # Inside an article a sentence is the article's, if only a shy name speaks against it.
+    for k in np.flatnonzero((links < 0.5) & (barred >= 0)).tolist():
+        c = containers[barred[k]]
+        if c.shy and _SENTENCE.search(blocks[k][0]):
+            barred[k] = containers[c.up].barred if c.up >= 0 else -1
+    size = sizes * content * (links < 0.5)  # lists of links take nothing back in
     # What stands beside an element: any text but links and headings.
-    beside = np.array([len(t) * (link < 0.9 and tag not in _HEADINGS) for t, _, _, link, tag in blocks])
-    in_article = np.array([any(containers[c].article for c in path) for _, _, path, _, _ in blocks])
-    barred = [{c for c in path if containers[c].other} for _, _, path, _, _ in blocks]
+    beside = sizes * (links < 0.9) * ~heads
+    in_article = np.array([c >= 0 and (containers[c].article or containers[c].in_article) for _, _, c, _, _ in blocks])
     # With articles, only what they hold counts.
     if (beside * in_article).any():
-        size, beside, least = beside * in_article, beside * in_article, 1
+        size, beside, heads = size * in_article, beside * in_article, heads & in_article
     total = np.append(0, np.cumsum(size))
-    outside = sum(int(n) for n, other in zip(beside, barred, strict=True) if not other)
-    forgiven: set[int] = set()
-    for i, c in enumerate(containers):  # in the order in which they open: the outer ones first
-        inside = int(total[c.last] - total[c.first])
-        if not c.other or inside < least or inside <= 9 * outside or (c.foreign and outside):
+    free = barred < 0
+    outside, titles = int(beside[free].sum()), int(sizes[free & heads].sum())
+    direct = np.bincount(barred[~free], beside[~free], minlength=len(containers)).astype(int)  # by the innermost element that bars it
+    inner: dict[int, list[int]] = {}
+    for i, c in enumerate(containers):
+        if c.other:
+            inner.setdefault(containers[c.up].barred if c.up >= 0 else -1, []).append(i)
+    # The fullest first; readers' texts and pointers to other pages last.
+    waiting: list[tuple[bool, int, int]] = []
+    forgiven = np.zeros(len(containers), bool)
+
+    def consider(those: list[int]) -> None:
+        for i in those:
+            heapq.heappush(waiting, (containers[i].foreign, -int(total[containers[i].last] - total[containers[i].first]), i))
+
+    consider(inner.get(-1, []))
+    while waiting:
+        foreign, inside, i = heapq.heappop(waiting)
+        if -inside <= max(9 * outside, titles) or (foreign and outside):
             continue
-        own = [k for k in range(c.first, c.last) if i in barred[k]]
-        if own and any(x < i and x not in forgiven for x in barred[own[0]]):
-            continue  # it lies in another that is left out
-        forgiven.add(i)
-        for k in own:
-            barred[k].discard(i)
-            outside += 0 if barred[k] else int(beside[k])
-    return [b for b, other in zip(blocks, barred, strict=True) if not other]
+        forgiven[i] = True
+        outside += int(direct[i])
+        consider(inner.get(i, []))
+    return free | forgiven[barred]
 
 
-def extract_text(html: str | None, *, least: int = 200) -> str:
-    """The blocks of the content region, in page order, joined by an empty line.
-
-    `least`: characters of content that an element needs to be the main text although it says that it is something else and holds no article.
-    """
+def extract_text(html: str | None) -> str:
+    """The blocks of the content region, in page order, joined by an empty line."""
     if not html:
         return ""
     p = Blocks()
@@ -253,29 +296,39 @@ def extract_text(html: str | None, *, least: int = 200) -> str:
         p.close()
     if not p.blocks:
         return ""
-    blocks = _main_blocks(p.blocks, p.containers, least)
-    if not blocks:
+    kept = _kept(p.blocks, p.containers)
+    if not kept.any():
         return ""
-    sizes = [len(t) for t, *_ in blocks]
-    content, alone = (x.tolist() for x in _content(blocks))
-    weight: dict[int, int] = {}
-    for (_, _, path, _, _), n, ok in zip(blocks, sizes, content, strict=True):
-        for c in path if ok else ():
-            weight[c] = weight.get(c, 0) + n
+    at = np.flatnonzero(kept)
+    blocks = [p.blocks[k] for k in at.tolist()]
+    sizes = np.array([len(t) for t, *_ in blocks])
+    links, prose = np.array([b[3] for b in blocks]), np.array([b[4] in _PROSE for b in blocks])
+    content, alone = _content(blocks)
+    # Of each container: its range among these blocks, and how much content lies there.
+    first, last = (np.searchsorted(at, [getattr(c, end) for c in p.containers]) for end in ("first", "last"))
+    total = np.append(0, np.cumsum(sizes * content))
+    weight = total[last] - total[first]
     # All articles of a text in parts that hold content, or all there are if none does.
-    articles = {c for _, _, path, _, _ in blocks for c in path if p.containers[c].article}
-    articles = {c for c in articles if c in weight} or articles
-    if articles:
-        return "\n\n".join(t for t, _, path, _, _ in blocks if not articles.isdisjoint(path))
-    if not any(content):
-        return "\n\n".join(t for t, _, _, link, _ in blocks if link < 0.9)
+    articles = np.flatnonzero([c.article for c in p.containers])
+    articles = articles[last[articles] > first[articles]]
+    articles = articles[weight[articles] > 0] if (weight[articles] > 0).any() else articles
+    if len(articles):
+        cover = np.zeros(len(blocks) + 1, int)
+        np.add.at(cover, first[articles], 1)
+        np.add.at(cover, last[articles], -1)
+        return "\n\n".join(blocks[k][0] for k in np.flatnonzero(np.cumsum(cover)[:-1]).tolist())
+    if not content.any():
+        return "\n\n".join(b[0] for b in blocks if b[3] < 0.9)
     # Inside the innermost container of nearly all content only menus that don't say so are left out. Beside it stand headings and leads,
     # but also lines of menus, notices and footers, which have no name here: their low ratio tells them, without what smoothing adds to it.
-    total = sum(n for n, ok in zip(sizes, content, strict=True) if ok)
-    tight = max((c for c in weight if weight[c] >= 0.95 * total), default=None)  # containers are numbered as they open: the largest is innermost
-    inside = [tight is None or tight in path for _, _, path, _, _ in blocks]
-    kept = [t for (t, _, _, link, tag), own, high in zip(blocks, inside, alone, strict=True) if link < 0.9 and (own or high or tag in _PROSE)]
-    return "\n\n".join(kept)
+    tight = np.flatnonzero(weight >= 0.95 * total[-1])  # containers are numbered as they open: the largest is innermost
+    inside = np.ones(len(blocks), bool)
+    if len(tight):
+        inside = (np.arange(len(blocks)) >= first[tight[-1]]) & (np.arange(len(blocks)) < last[tight[-1]])
+    chosen = np.flatnonzero((links < 0.9) & (inside | alone | prose)).tolist()
+    while len(chosen) > 1 and _COPYRIGHT.match(blocks[chosen[-1]][0]):
+        chosen.pop()
+    return "\n\n".join(blocks[k][0] for k in chosen)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
