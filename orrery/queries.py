@@ -32,6 +32,7 @@ from .sources import logs as LG
 from .sources.responses import parse_responses
 from .storage import shared_folder, store
 from .streaming import events as EV
+from .streaming import timers as TM
 from .streaming.status import StatusFold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -739,3 +740,39 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(20,6))) AS total FROM events GROUP BY ALL")
 def batch_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.window_counts(table(spark, sf_dir, "events"))
+
+
+def _time_slices(events: DataFrame) -> list[DataFrame]:
+    """Three slices of the time that events span."""
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        return [events]
+    cut = [first + (last - first) * i / 3 for i in (1, 2)]
+    return [events.where(F.col("at") < cut[0]), events.where((F.col("at") >= cut[0]) & (F.col("at") < cut[1])), events.where(F.col("at") >= cut[1])]
+
+
+@query("stuck_timers", """WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS ms, event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY id ORDER BY ms, event_id) AS next, max(ms) OVER () - 3600000 AS mark, ms + CASE status WHEN 'pending' THEN 600000 ELSE 1800000 END AS deadline FROM e)
+SELECT id AS assetId, status AS was, make_timestamp(deadline * 1000) AS failedAt FROM n WHERE status IN ('pending', 'processing') AND id IS NOT NULL AND (next > deadline OR (next IS NULL AND deadline < mark))""")
+def stuck_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending rows fail 10 minutes after their last event, processing ones 30, by timers of a stream that starts three times."""
+    status = F.when(F.col("event_type").isin("signup", "view"), "pending").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("assetId"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    out = TM.run_slices(_time_slices(events), TM.stuck_rows, shared_folder(spark, "stuck"))
+    return out.withColumn("failedAt", F.col("failedAt").cast("timestamp_ntz"))
+
+
+@query("session_timers", """WITH e AS (SELECT user_id % 20 AS id, epoch_us(ts) // 1000 AS ms, event_id, (event_type = 'purchase')::INT AS done FROM events WHERE user_id IS NOT NULL),
+g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ms, event_id) AS s FROM (SELECT *, (ms > lag(ms) OVER (PARTITION BY id ORDER BY ms, event_id) + 3600000)::INT AS new FROM e)),
+c AS (SELECT *, min(ms) OVER (PARTITION BY id, s) AS began, sum(done) OVER (PARTITION BY id, s ORDER BY ms, event_id) AS completed FROM (SELECT id, ms, event_id, done, coalesce(s, 0) AS s FROM g)),
+p AS (SELECT *, ms > began AND completed > coalesce(max(CASE WHEN ms > began THEN completed END) OVER (PARTITION BY id, s ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sampled FROM c),
+t AS (SELECT max(ms) - 3600000 AS mark FROM e)
+SELECT id AS session, make_timestamp(began * 1000) AS startedAt, make_timestamp((max(ms) + 3600000) * 1000) AS endedAt, count(*) AS polls, max(completed)::BIGINT AS completed,
+       round(arg_max(completed * 1000.0::DOUBLE / (ms - began), (ms, event_id)) FILTER (sampled), 9) AS rate
+FROM p, t GROUP BY id, s, began, mark, HAVING max(ms) + 3600000 < mark OR s < (SELECT max(s) FROM p q WHERE q.id = p.id)""".replace("mark, HAVING", "mark HAVING"))
+def session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions end an hour after their last poll; their rate is that of the last poll that found more completed."""
+    done = (F.col("event_type") == "purchase").cast("int")
+    polls = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), done.alias("done"))
+    out = TM.run_slices(_time_slices(polls), TM.sessions, shared_folder(spark, "sessions"))
+    return out.withColumns({"startedAt": F.col("startedAt").cast("timestamp_ntz"), "endedAt": F.col("endedAt").cast("timestamp_ntz"), "rate": F.round("rate", 9)})
