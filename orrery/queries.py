@@ -23,6 +23,7 @@ from .operators import mutations as M
 from .operators import pairs as P
 from .operators import predicates as p
 from .operators import search_index as SIX
+from .operators import search_store as SS
 from .operators import statistics as ST
 from .plans import faceted as FC
 from .plans.asset_query import AssetQuery, source
@@ -312,6 +313,75 @@ def term_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SIX.match_tokens(doc_index(spark, sf_dir), SIX.expand(["the", "ontio", "zzzz"], [], stemmed=False))
 
 
+_DICTIONARY = f"WITH v AS (SELECT DISTINCT token FROM ({_TOKENS}))"
+
+
+def doc_dictionary(spark: SparkSession, sf_dir: str) -> SS.Dictionary:
+    made = SS.Dictionary(spark, shared_folder(spark, "dictionary"))
+    made.write(doc_index(spark, sf_dir))
+    return made
+
+
+# DuckDB's levenshtein counts bytes: four at most for a letter.
+@query("near_tokens", f"""{_DICTIONARY} SELECT a.token AS word, b.token FROM v a JOIN v b ON substr(a.token, 1, 2) = substr(b.token, 1, 2) AND abs(length(a.token) - length(b.token)) < 2 WHERE length(a.token) >= 4 AND levenshtein(a.token, b.token) <= 4
+    AND len(list_filter(range(0, length(a.token) + 1), lambda i: substr(a.token, 1, i) = substr(b.token, 1, i) AND (
+        substr(a.token, i + 2) = substr(b.token, i + 2) OR substr(a.token, i + 1) = substr(b.token, i + 2) OR substr(a.token, i + 2) = substr(b.token, i + 1)))) > 0""")
+def near_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token's near ones, by joins of equal words less one letter; the oracle compares all."""
+    made = doc_dictionary(spark, sf_dir)
+    return made.near_words(made.tokens().select(F.col("token").alias("word")))
+
+
+@query("dictionary_match", f"""{_DICTIONARY}, t AS (SELECT unnest(['the', 'ontio', 'ontixn', 'pa', 'zzzz']) AS term),
+ex AS (SELECT term, token FROM t JOIN v ON token = term), pre AS (SELECT term, token FROM t JOIN v ON starts_with(token, term) WHERE term NOT IN (SELECT term FROM ex))
+SELECT * FROM ex UNION ALL SELECT * FROM pre UNION ALL
+SELECT term, token FROM t JOIN v ON substr(token, 1, 2) = substr(term, 1, 2) AND levenshtein(token, term) <= 1 WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM ex UNION ALL SELECT term FROM pre)""")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_dictionary(spark, sf_dir).match(SIX.expand(["the", "ontio", "ontixn", "pa", "zzzz"], [], stemmed=False))
+
+
+@query("bm25_bounded_top", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 500")
+def bm25_bounded_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 500 without reading blocks that can't hold any of them."""
+    made = SS.BoundedPostings(spark, shared_folder(spark, "bounded"), block=64)
+    made.write(doc_index(spark, sf_dir))
+    return made.search(_TERMS, 500).select(F.col("assetId").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@on_catalog("substring_search", """WITH t AS (SELECT a.id, lower(concat_ws(' ', a.title, a.filename, a.alt, array_to_string(l.extractedTextAi, ' '), (SELECT string_agg(tag, ' ') FROM asset_tags g WHERE g.assetId = a.id))) AS text FROM assets a LEFT JOIN analyses l ON l.assetId = a.id)
+SELECT 'oliday hoto' AS query, id FROM t WHERE contains(text, 'oliday') AND contains(text, 'hoto') UNION ALL SELECT 'nvoice beac', id FROM t WHERE contains(text, 'nvoice') AND contains(text, 'beac')
+UNION ALL SELECT '#1', id FROM t WHERE contains(text, '#1') UNION ALL SELECT 'no such text', id FROM t WHERE contains(text, 'no') AND contains(text, 'such') AND contains(text, 'text')""")
+def substring_search(c: Catalog) -> DataFrame:
+    """Words anywhere in titles, file names, alternative texts, texts in images and tags, by an index of three letters."""
+    tags = c.asset_tags.groupBy("assetId").agg(F.array_join(F.collect_list("tag"), " ").alias("tags"))
+    own = c.analyses.select("assetId", F.array_join("extractedTextAi", " ").alias("ocr")).join(tags, "assetId", "full_outer")
+    texts = c.assets.join(own, c.assets.id == own.assetId, "left").select("id", F.concat_ws(" ", "title", "filename", "alt", "ocr", "tags").alias("text"))
+    index = SS.SubstringIndex(c.tables.spark, shared_folder(c.tables.spark, "substrings"), block=256)
+    index.write(texts)
+    out = None
+    for q in ("oliday hoto", "nvoice beac", "#1", "no such text"):
+        found = index.search(q).select(F.lit(q).alias("query"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("index_segments", f"""WITH ix AS (SELECT doc_id AS assetId, token, 1 + (doc_id + length(token)) % 3 AS tf FROM ({_TOKENS}))
+SELECT assetId, token, tf FROM ix WHERE assetId % 10 NOT IN (3, 7) UNION ALL SELECT DISTINCT assetId, 'second', 2 FROM ix WHERE assetId % 10 = 3 AND assetId % 4 <> 1 UNION ALL SELECT DISTINCT assetId, 'third', 1 FROM ix WHERE assetId % 20 = 7""")
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits, deletions and a compaction in between: only rows of what changes are written, and reading gives the index as if it were made anew."""
+    index = doc_index(spark, sf_dir).withColumn("field", F.lit("text"))
+    store_ = SS.IndexSegments(spark, shared_folder(spark, "segments"))
+    store_.start(index)
+    ids = index.select("assetId", "field").distinct()
+    fresh = lambda which, token, tf: ids.where(which).select("assetId", "field", F.lit(token).alias("token"), F.lit(tf).alias("tf"), F.lit(1).cast("decimal(3,2)").alias("fieldWeight"))
+    store_.update(fresh("assetId % 10 = 3", "first", 1), 1)
+    store_.update(fresh("assetId % 10 = 3 AND assetId % 4 <> 1", "second", 2), 2, ids.where("assetId % 10 = 3 AND assetId % 4 = 1"))
+    store_.compact()
+    store_.delete_assets(ids.where("assetId % 10 = 7"), 3)
+    store_.update(fresh("assetId % 20 = 7", "third", 1), 4)
+    return store_.read().select("assetId", "token", "tf")
+
+
 _FIELD_IX = r"""WITH f AS (SELECT assetId, unnest([{'field': 'altText', 'w': 1.10, 'v': altText}, {'field': 'suggestedTitle', 'w': 1.20, 'v': suggestedTitle}, {'field': 'longDescription', 'w': 0.80, 'v': longDescription},
     {'field': 'altTextAi', 'w': 0.85, 'v': CASE WHEN altTextAi IS NOT NULL AND coalesce(altText, '') <> coalesce(altTextAi, '') THEN altTextAi END},
     {'field': 'suggestedTitleAi', 'w': 0.90, 'v': CASE WHEN suggestedTitleAi IS NOT NULL AND coalesce(suggestedTitle, '') <> coalesce(suggestedTitleAi, '') THEN suggestedTitleAi END},

@@ -62,12 +62,14 @@ class Segments:
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "number").alias("_v")).select(*self.keys, "_v.*")
         return (newest.where(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in values else newest).select(self.schema.names)
 
-    def compact(self, merged: bool = True) -> None:
-        """Writes a base of all additions: of each key the row that counts or, if not `merged`, all rows. Removes what the base before it had replaced."""
-        number, before = self.last(), self._complete("base")
+    def compact(self, merged: bool = True, rows: DataFrame | None = None, upto: int | None = None) -> None:
+        """Writes a base of all additions, or those up to a number: of each key the row that counts, or all rows if not `merged`, or the `rows` given with their numbers. Removes what the base before it had replaced."""
+        number, before = self.last() if upto is None else upto, self._complete("base")
         if number is None or (before and before[-1] == number):
             return
-        if merged:
+        if rows is not None:
+            base = rows.select(*self.schema.names, "number")
+        elif merged:
             base = self.latest(number).withColumn("number", F.lit(number).cast("long"))
         else:
             base = self.rows(number)
