@@ -18,6 +18,7 @@ from .graph import connected_components
 from .operators import bulk as B
 from .operators import conditions as CND
 from .operators import duplicates as D
+from .operators import hash_store as HS
 from .operators import ingest as G
 from .operators import mutations as M
 from .operators import pairs as P
@@ -798,6 +799,24 @@ def dup_clusters_after_edits(c: Catalog) -> DataFrame:
     return D.without_assets(now, gone, save).where("resolution IS NULL").select("id", "clusterKey")
 
 
+
+@query("dup_hash_store", f"""WITH h AS MATERIALIZED ({_BITS}), now AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 11 = 4 THEN list_transform(b, lambda x: 1 - x) ELSE b END AS b FROM h WHERE vec_id % 13 <> 5),
+rep AS MATERIALIZED (SELECT b, min(id) AS rep FROM now GROUP BY b), near AS (SELECT least(p.rep, q.rep) AS x, greatest(p.rep, q.rep) AS y, CAST(list_sum(list_transform(list_zip(p.b, q.b), lambda z: abs(z[1] - z[2]))) AS INT) AS d FROM rep p JOIN rep q ON p.rep < q.rep)
+SELECT x AS canonicalAssetId, y AS duplicateAssetId, d AS hammingDistance FROM near WHERE d <= 20 UNION ALL SELECT rep, id, 0 FROM now JOIN rep USING (b) WHERE rep <> id""")
+def dup_hash_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes come in three additions, some then change to their complement and some assets go: the pairs are those of a scan of what there is then."""
+    hashes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("assetId"), D.average_hash(F.col("embedding")).alias("hash"))
+    kept = HS.HashStore(spark, shared_folder(spark, "hash-store"), bits=64, threshold=20)
+    kept.update(hashes.where("assetId % 3 = 0"), 1)
+    kept.update(hashes.where("assetId % 3 = 1"), 2)
+    kept.compact()
+    kept.update(hashes.where("assetId % 3 = 2"), 3)
+    other = F.translate("hash", "01", "10")
+    kept.update(hashes.where("assetId % 11 = 4").select("assetId", other.alias("hash")), 4, hashes.where("assetId % 13 = 5").select("assetId"))
+    kept.update(hashes.limit(0), 5, hashes.where("assetId % 13 = 5").select("assetId"))
+    return kept.pairs().drop("similarity")
+
+
 # --- Streams (an addition) ---------------------------------------------------------------------------------------------------
 
 
