@@ -142,9 +142,10 @@ def count_terms(docs: DataFrame, least: int = 30, width: int = 1 << 22, depth: i
 
 
 def smoothed(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (count + 5) / (total + 5 terms)), in whole numbers."""
+    """1 + floor(10^9 (count + 5) / (total + 5 terms)), in whole numbers; 1 where a language has no terms."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", wide(count + _PRIOR) * F.lit(_SCALE).cast("decimal(10,0)"), wide(total + _PRIOR * terms))
+    share = F.call_function("div", wide(count + _PRIOR) * F.lit(_SCALE).cast("decimal(10,0)"), F.nullif(wide(total + _PRIOR * terms), F.lit(0)))
+    return F.lit(1).cast("long") + F.coalesce(share, F.lit(0))
 
 
 def _pair_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
