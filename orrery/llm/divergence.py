@@ -16,7 +16,6 @@ pairs. An empty table gives no rows. Other columns don't matter. Numbers are who
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,21 +28,21 @@ from pyspark.sql import functions as F
 
 from .storage import store
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A term is a run of letters A-Z, taken as small ones, and of characters beyond ASCII, whose bytes are all 128 or more: everything else becomes a space.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SLICE = 1 << 16
 _SCALE, _PRIOR = 1_000_000_000, 5
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
 
 
-def terms_of(text: str) -> list[str]:
-    return TERM.findall(text.translate(_LOWER))
+def terms_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(_BYTES).split()
 
 
-def _cells(lang: str, terms: list[str], width: int, depth: int) -> np.ndarray:
+def _cells(lang: str, terms: list[bytes], width: int, depth: int) -> np.ndarray:
     """The cell of each term in each row of the sketch: depth rows, double hashing of 128 bits."""
     prefix = lang.encode() + b"\x00"
-    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(prefix + t.encode()) for t in terms), np.uint64).reshape(-1, 2)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(prefix + t) for t in terms), np.uint64).reshape(-1, 2)
     return np.stack([(h[:, 0] + np.uint64(i) * (h[:, 1] | np.uint64(1))) % np.uint64(width) for i in range(depth)]).astype(np.int64)
 
 
@@ -103,11 +102,11 @@ def count_terms(docs: DataFrame, least: int = 30, width: int = 1 << 22, depth: i
     shared = spark.sparkContext.broadcast(document_sketch(docs, least, width, depth))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict[str, bool]] = defaultdict(dict)
+        kept: dict[str, dict[bytes, bool]] = defaultdict(dict)
         bits = [np.frombuffer(b, np.uint8) for b in shared.value]
         n, held = defaultdict(Counter), defaultdict(Counter)
 
-        def may_be_kept(lang: str, terms: list[str]) -> None:
+        def may_be_kept(lang: str, terms: list[bytes]) -> None:
             at = _cells(lang, terms, width, depth)
             ok = np.ones(len(terms), bool)
             for row, cell in zip(bits, at, strict=True):
@@ -122,7 +121,7 @@ def count_terms(docs: DataFrame, least: int = 30, width: int = 1 << 22, depth: i
                 terms = [t for t in found if known[t]]
                 for i in range(0, len(terms), 1 << 16):
                     own = terms[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([source] * len(own)), pa.array(own), pa.array([found[t] for t in own], pa.int64()), pa.array([docs_of[t] for t in own], pa.int64())], schema=_COUNTED)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([source] * len(own)), pa.array(own, pa.binary()).cast(pa.string()), pa.array([found[t] for t in own], pa.int64()), pa.array([docs_of[t] for t in own], pa.int64())], schema=_COUNTED)
             n.clear()
             held.clear()
             kept.clear()

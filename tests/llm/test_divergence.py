@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm.divergence import audit_sources, count_terms, document_sketch, terms_of
+from orrery.llm.divergence import audit_sources, count_terms, document_sketch
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
+def terms_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
 def by_hand(rows, least: int, top: int) -> set[tuple]:
     rows = [(t or "", lang or "", s or "") for _, t, lang, s in rows]
     n, held, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
