@@ -63,7 +63,7 @@ def standin_sql(dialect: str) -> dict[str, str]:
                CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE {_dec("(l.doc_id * 31) % 10001 / 10000.0", 5, 4)} END AS nsfwScore,
                l.toxic = 1 OR l.doc_id % 5 = 0 AS hasWatermark,
                CASE WHEN l.toxic = 1 OR l.doc_id % 5 = 0 THEN {_pick("l.doc_id", ["stock", "logo", "text", "unknown"])} END AS watermarkType,
-               CASE WHEN l.doc_id % 4 = 0 THEN {struct(stockProvider=_pick("l.doc_id / 4" if dialect == "duckdb_" else "(l.doc_id - l.doc_id % 4) % 12", ["Shutterstock", "", "", "", "getty images", "", "", "", "iStock photo", "", "", ""]))} END AS watermarkDetails,
+               CASE WHEN l.doc_id % 4 = 0 THEN {struct(stockProvider=_pick("(l.doc_id - l.doc_id % 4) % 12", ["Shutterstock", "", "", "", "getty images", "", "", "", "iStock photo", "", "", ""]))} END AS watermarkDetails,
                l.doc_id % 4 < 2 AS containsBrandLogo,
                CASE WHEN l.doc_id % 4 = 0 THEN {arr(struct(brand=f"'{_BRANDS[0]}'", confidence="CAST(0.9 AS DOUBLE)"), struct(brand=f"'{_BRANDS[2]}'", confidence="CAST(0.4 AS DOUBLE)"))}
                     WHEN l.doc_id % 4 = 1 THEN {arr(struct(brand=f"'{_BRANDS[1]}'", confidence="CAST(0.5 AS DOUBLE)"))} END AS detectedBrands,
@@ -123,7 +123,8 @@ def open_catalog(spark: SparkSession, folder: str) -> Catalog:
     return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{places.get(n, n + '.parquet')}") for n in _DDL})
 
 
-_CURRENT = "current.json"
+#: Seconds after which the claim of a writer that hasn't come to its end no longer holds.
+LEASE = 900
 
 
 def _file_system(spark: SparkSession, folder: str):
@@ -131,53 +132,149 @@ def _file_system(spark: SparkSession, folder: str):
     return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _named(fs, path, folder: str, pattern: str) -> list[str]:
+    return [s.getPath().getName() for s in fs.globStatus(path(f"{folder}/{pattern}")) or []]
+
+
+def _number(name: str) -> int:
+    return int(name.split(".")[0].split("-")[1])
+
+
 def current_version(spark: SparkSession, folder: str) -> tuple[int, dict[str, str]]:
     """Number of the last complete version, and where each of its tables lies below `folder`; 0 and none before the first."""
     fs, path = _file_system(spark, folder)
-    at = path(f"{folder}/{_CURRENT}")
-    if not fs.exists(at):
-        return 0, {}
-    text = "\n".join(r[0] for r in spark.read.text(f"{folder}/{_CURRENT}").collect())  # a line
-    found = json.loads(text)
-    return found["version"], found["tables"]
+    known = sorted(map(_number, _named(fs, path, folder, "version-*.json")))
+    return (known[-1], _places(spark, folder, known[-1])) if known else (0, {})
+
+
+def _places(spark: SparkSession, folder: str, version: int) -> dict[str, str]:
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/version-{version}.json").collect()))["tables"]  # a line
+
+
+def _file_time(fs, path, folder: str) -> int:
+    """Now, in milliseconds of the file system's clock."""
+    probe = path(f"{folder}/.now-{uuid.uuid4().hex}")
+    fs.create(probe, True).close()
+    try:
+        return fs.getFileStatus(probe).getModificationTime()
+    finally:
+        fs.delete(probe, False)
+
+
+def _claim(fs, path, folder: str, version: int, lease: float) -> bool:
+    """Whether this writer may write a version: nobody has claimed it, or whoever has let the lease pass. Of two that find a lease has passed one moves the old claim away."""
+    claim = path(f"{folder}/claim-{version}")
+    if fs.createNewFile(claim):
+        return True
+    try:
+        if _file_time(fs, path, folder) - fs.getFileStatus(claim).getModificationTime() < lease * 1000:
+            return False
+        moved = fs.rename(claim, path(f"{folder}/.left-{version}-{uuid.uuid4().hex}"))
+    except Exception as e:  # the claim went meanwhile
+        if "FileNotFound" not in str(e):
+            raise
+        moved = True
+    return moved and fs.createNewFile(claim)
+
+
+def _move(spark: SparkSession, fs, source, target) -> bool:
+    """Moves a file to a name that must be free; false if it isn't."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    none = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, none)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
 
 
-def write_version(tables: Mapping[str, DataFrame], folder: str) -> int:
+def write_version(tables: Mapping[str, DataFrame], folder: str, lease: float = LEASE, tries: int = 5) -> int:
     """Writes some tables as the next version: readers see all of them or none, and other tables stay as they are.
 
-    Tables are written beside the old ones, then the file that names the current version is replaced in one step. Of two writers
-    that began from the same version one fails, before any reader sees its tables; so does a write whose files can't be moved.
+    Tables are written beside the old ones. Then the writer claims the next number, and puts the file that describes that version under a name that must be free: this
+    is the fence, since of several writers of a number one succeeds, even if a claim has been taken over from one that was only slow. Where another writer came first, the
+    version is made on top of its own if that has left these tables as they were; else this one fails, before any reader sees its tables. A writer
+    that ends at any point blocks others for `lease` seconds at most. The file system must refuse to move a file onto another (object stores may not).
     """
     spark = next(iter(tables.values())).sparkSession
     fs, path = _file_system(spark, folder)
-    version, places = current_version(spark, folder)
-    version += 1
+    began, places = current_version(spark, folder)
+    before = {name: places.get(name) for name in tables}
+    own = {name: f"version={began + 1}-{uuid.uuid4().hex[:8]}/{name}.parquet" for name in tables}
     for name, df in tables.items():
-        places[name] = f"version={version}-{uuid.uuid4().hex[:8]}/{name}.parquet"
-        df.write.parquet(f"{folder}/{places[name]}")
-    if not fs.createNewFile(path(f"{folder}/claim-{version}")):
-        raise RuntimeError(f"another writer has written version {version} of {folder}")
-    new = path(f"{folder}/{_CURRENT}.{version}")
-    out = fs.create(new, True)
-    out.write(json.dumps({"version": version, "tables": places}).encode())
-    out.close()
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, path(f"{folder}/{_CURRENT}"), options)
-    return version
+        df.write.parquet(f"{folder}/{own[name]}")
+    for _ in range(tries):
+        now, places = current_version(spark, folder)
+        if {name: places.get(name) for name in tables} != before:
+            raise RuntimeError(f"another writer has written version {now} of {folder} with tables of this one")
+        version = now + 1
+        if not _claim(fs, path, folder, version, lease):
+            if current_version(spark, folder)[0] > now:
+                continue
+            raise RuntimeError(f"another writer has claimed version {version} of {folder}")
+        new = path(f"{folder}/writing-{version}-{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(json.dumps({"version": version, "tables": places | own}).encode())
+        out.close()
+        done = _move(spark, fs, new, path(f"{folder}/version-{version}.json"))
+        if done:
+            return version
+        fs.delete(new, False)
+    raise RuntimeError(f"other writers came first {tries} times in {folder}")
+
+
+def pin(spark: SparkSession, folder: str, seconds: float = 3600) -> tuple[Catalog, str]:
+    """The current version for a reader, whose tables stay for that time, and the name of the pin, which `unpin` removes."""
+    from .schemas import _DDL, schema
 
+    fs, path = _file_system(spark, folder)
+    while True:
+        version, places = current_version(spark, folder)
+        name = f"pin-{version}-{_file_time(fs, path, folder) + int(seconds * 1000)}-{uuid.uuid4().hex}"
+        fs.create(path(f"{folder}/{name}"), True).close()
+        if not version or fs.exists(path(f"{folder}/version-{version}.json")):  # else removed before the pin was there
+            return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{p}") for n, p in places.items() if n in _DDL}), name
+        unpin(spark, folder, name)
+
+
+def unpin(spark: SparkSession, folder: str, name: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path(f"{folder}/{name}"), False)
 
-def remove_old_versions(spark: SparkSession, folder: str) -> None:
-    """Deletes tables that the current version doesn't name, and claims of writers that came to an end before their version: when no reader or writer is at work."""
+
+def remove_old_versions(spark: SparkSession, folder: str, lease: float = LEASE) -> None:
+    """Deletes versions but for the current one and those that readers have pinned, tables that none of these names, and claims and pins whose time has passed.
+
+    Tables of a number that isn't written yet may be another writer's work, and stay.
+    """
     fs, path = _file_system(spark, folder)
     version, places = current_version(spark, folder)
+    now = _file_time(fs, path, folder)
+    pinned = set()
+    for name in _named(fs, path, folder, "pin-*"):
+        if int(name.split("-")[2]) > now:
+            pinned.add(_number(name))
+        else:
+            unpin(spark, folder, name)
     used = {p.split("/")[0] for p in places.values()}
+    for name in _named(fs, path, folder, "version-*.json"):
+        n = _number(name)
+        if n in pinned:
+            used |= {p.split("/")[0] for p in _places(spark, folder, n).values()}
+        elif n != version:
+            fs.delete(path(f"{folder}/{name}"), False)
     for status in fs.listStatus(path(folder)):
         name = status.getPath().getName()
+        old = now - status.getModificationTime() >= lease * 1000
         if name.startswith("version=") and name not in used and int(name[8:].split("-")[0]) <= version:
-            fs.delete(status.getPath(), True)
-        elif name.startswith("claim-"):
+            # A writer that began before may still put these on top of a later version.
+            if old or int(name[8:].split("-")[0]) < version:
+                fs.delete(status.getPath(), True)
+        elif name.startswith("claim-") and (_number(name) <= version or old):
+            fs.delete(status.getPath(), False)
+        elif name.startswith((".left-", "writing-")) and old:
             fs.delete(status.getPath(), False)
 
 
