@@ -164,11 +164,11 @@ def match_tokens(index: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
 def bm25(index: DataFrame, matched: DataFrame, k1: float = C.BM25_K1, total: DataFrame | None = None) -> DataFrame:
     """assetId and score. N counts assets with a posting (`total`, if it is stored), df those with the token; length isn't normalised."""
     total = totals(index) if total is None else total
-    hits = index.join(F.broadcast(matched.select("token").distinct()), "token", "left_semi")
+    hits = index.join(matched.select("token").distinct(), "token", "left_semi")  # a short prefix may match very many
     df = hits.groupBy("token").agg(F.countDistinct("assetId").alias("df"))
     idf = F.log((F.col("n_assets") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1) * F.col("fieldWeight").cast("double")
-    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(total))  # one row
+    scored = hits.join(df, "token").crossJoin(F.broadcast(total))  # one row
     return scored.groupBy("assetId").agg(F.sum(part).alias("score"))
 
 
@@ -188,13 +188,18 @@ def search(index: DataFrame, query: str, languages: Sequence[str] = ("en",), k:
     return top_k(found, k).withColumn("rank", F.row_number().over(Window.orderBy(*_best_first())))
 
 
-def native_ids(assets: DataFrame, query: str, cap: int = C.NATIVE_CAP) -> DataFrame:
-    """Of the assets given, already those in scope, the first `cap` whose title, file name or alternative text holds every word of the query."""
+def native_hits(assets: DataFrame, query: str) -> DataFrame:
+    """The assets whose title, file name or alternative text holds every word of the query."""
     hay = F.lower(F.concat_ws(" ", "title", "filename", "alt"))
     cond = F.lit(True)
     for t in query.lower().split():
         cond &= hay.contains(t)
-    return assets.where(cond).select(F.col("id").alias("assetId")).orderBy("assetId").limit(cap)
+    return assets.where(cond)
+
+
+def native_ids(assets: DataFrame, query: str, cap: int = C.NATIVE_CAP) -> DataFrame:
+    """Of the assets given, already those in scope, the first `cap` that hold every word of the query."""
+    return native_hits(assets, query).select(F.col("id").alias("assetId")).orderBy("assetId").limit(cap)
 
 
 def merge_scores(native: DataFrame, ranked: DataFrame) -> DataFrame:

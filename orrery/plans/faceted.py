@@ -14,7 +14,7 @@ from ..catalog import Catalog
 from ..config import EngineConfig
 from ..operators import pairs as P
 from ..operators import predicates as p
-from ..operators.search_index import native_ids, search, search_terms, union_first_wins
+from ..operators.search_index import bm25, expand, match_tokens, native_hits, native_ids, search, search_terms, union_first_wins
 from .asset_query import in_volumes, live_assets
 
 _BOOLEANS = ("hasWatermark", "containsBrandLogo", "hasFocalPoint", "unprocessed", "hasTextInImage", "missingAltText")
@@ -158,9 +158,23 @@ def ranked_ids(catalog: Catalog, index: DataFrame | None, query: str, config: En
     return union_first_wins(search(index, query, config.languages, stemmed=stemmed).select("assetId", "rank"), native)
 
 
-def ordered(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = EngineConfig(), index: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
-    """All matches with their sort keys k1, k2: by relevance, similarity, duplicate cluster, or last processed."""
+def all_ranked(df: DataFrame, catalog: Catalog, index: DataFrame | None, query: str, config: EngineConfig, stemmed: bool = True) -> DataFrame:
+    """Rows of `df` (id) that a query finds, with k1 and k2: all of them, by score and then those of the plain text search. Without the caps of `ranked_ids` nothing is ranked
+    before it is filtered, so a page costs a sort of what passes the filters."""
+    native = native_hits(in_volumes(live_assets(catalog.assets), config.volumes), query).select("id")
+    if index is None or not search_terms(query):
+        return df.join(native, "id", "left_semi").withColumns({"k1": F.lit(1.0), "k2": F.col("id").cast("double")})
+    scores = bm25(index, match_tokens(index, expand(search_terms(query), config.languages, stemmed))).select(F.col("assetId").alias("id"), "score")
+    both = df.join(scores, "id", "left").join(native.withColumn("_native", F.lit(True)), "id", "left").where("score IS NOT NULL OR _native")
+    found = F.col("score").isNotNull()
+    return both.withColumns({"k1": F.when(found, 0.0).otherwise(1.0), "k2": F.when(found, -F.round("score", 9)).otherwise(F.col("id").cast("double"))}).drop("score", "_native")
+
+
+def ordered(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = EngineConfig(), index: DataFrame | None = None, stemmed: bool = True, exact: bool = False) -> DataFrame:
+    """All matches with their sort keys k1, k2: by relevance, similarity, duplicate cluster, or last processed. A query ranks 500 hits of either kind before filters, or all if `exact`."""
     df = matching(catalog, filters, config)
+    if "query" in filters and exact:
+        return all_ranked(df, catalog, index, filters["query"], config, stemmed)
     if "query" in filters:
         ranks = ranked_ids(catalog, index, filters["query"], config, stemmed).select(F.col("assetId").alias("id"), F.col("src").cast("double").alias("k1"), F.col("rank").cast("double").alias("k2"))
         return df.join(ranks, "id")
@@ -173,9 +187,9 @@ def ordered(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig =
     return df.withColumn("k1", F.coalesce(-F.unix_timestamp("processedAt").cast("double"), F.lit(float("inf")))).withColumn("k2", F.col("id").cast("double"))
 
 
-def page(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = EngineConfig(), index: DataFrame | None = None, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """One page in order, and a one-row table with the total."""
-    rows = ordered(catalog, filters, config, index, stemmed)
+def page(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = EngineConfig(), index: DataFrame | None = None, stemmed: bool = True, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One page in order, and a one-row table with the total: of the hits that are ranked before filters, or of all that match if `exact`."""
+    rows = ordered(catalog, filters, config, index, stemmed, exact)
     limit = min(C.PAGE_MAX, max(1, filters.get("limit", C.PAGE_SIZE)))
     return rows.orderBy("k1", "k2", "id").offset(filters.get("offset", 0)).limit(limit), rows.agg(F.count("*").alias("total"))
 
@@ -183,7 +197,7 @@ def page(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = En
 def order_by_list(df: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
     """Rows of a given list of ids, in its order."""
     order = df.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(ids)], f"{key} long, position int")
-    return df.join(F.broadcast(order), key).orderBy("position")
+    return df.join(order, key).orderBy("position")
 
 
 #: Sorts of the asset list: column over assets left-joined with analyses, and default direction.

@@ -404,6 +404,14 @@ m AS (SELECT a.id, u.o FROM live a JOIN analyses l ON l.assetId = a.id JOIN u ON
 SELECT id, row_number() OVER (ORDER BY o.src, o.rank, id) - 10 AS position FROM m QUALIFY position BETWEEN 1 AND 25""")(
     lambda c: _positions(FC.page(c, {"query": "the invoice", "containsPeople": True, "offset": 10, "limit": 25}, EngineConfig(volumes=(1, 2, 3, 4, 5, 6)), store(c.spark, SIX.build_index(c.analyses, c.asset_tags, stemmed=False), "index"), stemmed=False)[0], 25, "k1", "k2", "id")
 )
+on_catalog("search_exact_page", f"""{_FIELD_IX}, n AS (SELECT count(DISTINCT assetId) AS n FROM ix), h AS (SELECT * FROM ix WHERE token IN ('the', 'invoice')), df AS (SELECT token, count(DISTINCT assetId) AS df FROM h GROUP BY token),
+s AS (SELECT assetId, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / 2.2 * w), 9) AS score FROM h JOIN df USING (token), n GROUP BY assetId),
+m AS (SELECT a.id, CASE WHEN score IS NULL THEN 1 ELSE 0 END AS src, CASE WHEN score IS NULL THEN a.id ELSE -score END AS k FROM assets a JOIN analyses l ON l.assetId = a.id LEFT JOIN s ON s.assetId = a.id
+      WHERE a.dateDeleted IS NULL AND volumeId IN (1, 2, 3, 4, 5, 6) AND a.kind = 'image' AND l.containsPeople
+        AND (score IS NOT NULL OR (contains(lower(concat_ws(' ', title, filename, alt)), 'the') AND contains(lower(concat_ws(' ', title, filename, alt)), 'invoice'))))
+SELECT id, row_number() OVER (ORDER BY src, k, id) - 10 AS position, count(*) OVER () AS total FROM m QUALIFY position BETWEEN 1 AND 25""")(
+    lambda c: (lambda page: _positions(page[0], 25, "k1", "k2", "id").crossJoin(page[1]))(FC.page(c, {"query": "the invoice", "containsPeople": True, "offset": 10, "limit": 25}, EngineConfig(volumes=(1, 2, 3, 4, 5, 6)), store(c.spark, SIX.build_index(c.analyses, c.asset_tags, stemmed=False), "index"), stemmed=False, exact=True))
+)
 on_catalog("search_native_scope", """WITH live AS (SELECT * FROM assets WHERE dateDeleted IS NULL AND volumeId IN (2, 3)) SELECT id AS assetId, row_number() OVER (ORDER BY id) AS rank FROM live WHERE contains(lower(concat_ws(' ', title, filename, alt)), 'img') QUALIFY rank <= 500""")(
     lambda c: FC.ranked_ids(c, None, "img", EngineConfig(volumes=(2, 3))).select("assetId", "rank")
 )
