@@ -214,6 +214,8 @@ def write_version(tables: Mapping[str, DataFrame], folder: str, lease: float = L
             if current_version(spark, folder)[0] > now:
                 continue
             raise RuntimeError(f"another writer has claimed version {version} of {folder}")
+        if not all(fs.exists(path(f"{folder}/{p}")) for p in own.values()):
+            raise RuntimeError(f"tables of version {version} of {folder} were removed while they were written")
         new = path(f"{folder}/writing-{version}-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(json.dumps({"version": version, "tables": places | own}).encode())
@@ -247,7 +249,7 @@ def unpin(spark: SparkSession, folder: str, name: str) -> None:
 def remove_old_versions(spark: SparkSession, folder: str, lease: float = LEASE) -> None:
     """Deletes versions but for the current one and those that readers have pinned, tables that none of these names, and claims and pins whose time has passed.
 
-    Tables of a number that isn't written yet may be another writer's work, and stay.
+    Tables of a number that isn't written yet may be another writer's work, and stay. A writer that began before the current version and is still at work fails if its tables go.
     """
     fs, path = _file_system(spark, folder)
     version, places = current_version(spark, folder)
@@ -269,9 +271,7 @@ def remove_old_versions(spark: SparkSession, folder: str, lease: float = LEASE)
         name = status.getPath().getName()
         old = now - status.getModificationTime() >= lease * 1000
         if name.startswith("version=") and name not in used and int(name[8:].split("-")[0]) <= version:
-            # A writer that began before may still put these on top of a later version.
-            if old or int(name[8:].split("-")[0]) < version:
-                fs.delete(status.getPath(), True)
+            fs.delete(status.getPath(), True)
         elif name.startswith("claim-") and (_number(name) <= version or old):
             fs.delete(status.getPath(), False)
         elif name.startswith((".left-", "writing-")) and old:
