@@ -86,13 +86,14 @@ def _is_shy(tag: str, attrs: dict) -> bool:
 class Container:
     """An element: what it says of itself, the nearest one around it that says it is something else, and the range of blocks that it holds."""
 
-    __slots__ = ("article", "barred", "first", "foreign", "in_article", "last", "other", "shy", "up")
+    __slots__ = ("article", "barred", "first", "foreign", "in_article", "last", "other", "shy", "tagged", "up")
 
     def __init__(self, tag: str, attrs: dict, first: int, number: int, up: int, around: Container | None):
         self.first, self.last, self.up = first, -1, up
         self.in_article = around is not None and (around.article or around.in_article)
         self.other = _is_other(tag, attrs) and not (tag == "header" and self.in_article)  # of an article: its own title
         self.shy = self.other and self.in_article and _is_shy(tag, attrs)
+        self.tagged = tag in _OTHER and tag != "form"
         self.foreign = self.other and bool(_FOREIGN.search(f"{attrs.get('class')} {attrs.get('id')}".lower()))
         self.article = not self.other and (tag in ("article", "main") or (attrs.get("role") or "").lower() == "main" or (attrs.get("itemprop") or "") == "articleBody")
         # The innermost element around a block, or this one, that says it isn't main text; -1: none.
@@ -248,7 +249,9 @@ def _kept(blocks: list, containers: list[Container]) -> np.ndarray:
         c = containers[barred[k]]
         if c.shy and _SENTENCE.search(blocks[k][0]):
             barred[k] = containers[c.up].barred if c.up >= 0 else -1
-    size = sizes * content * (links < 0.5)  # lists of links take nothing back in
+    # Lists of links take nothing back in, nor do bare words of an element that is a menu or the like by its tag.
+    bare = np.array([b >= 0 and containers[b].tagged and blocks[k][4] not in _PROSE for k, b in enumerate(barred.tolist())])
+    size = sizes * content * (links < 0.5) * ~bare
     # What stands beside an element: any text but links and headings.
     beside = sizes * (links < 0.9) * ~heads
     in_article = np.array([c >= 0 and (containers[c].article or containers[c].in_article) for _, _, c, _, _ in blocks])
