@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _TAGS = ["sunset", "beach", "sunset-beach", "portrait", "city", "night", "forest", "product", "people", "winter", "macro", "logo"]
 _BRANDS = ["Nikon", "Nik", "Canon", "Acme"]
@@ -120,9 +121,22 @@ def open_catalog(spark: SparkSession, folder: str) -> Catalog:
     from .schemas import _DDL, schema
 
     _, places = current_version(spark, folder)
-    return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{places.get(n, n + '.parquet')}") for n in _DDL})
+    return Catalog(spark, {n: table_at(spark, folder, schema(n), places.get(n, n + ".parquet")) for n in _DDL})
 
 
+def paths_of(place: Place) -> list[str]:
+    """Paths of a table below the folder: its own, or those of all its parts."""
+    return [place] if isinstance(place, str) else [p for parts in place.values() for p in parts]
+
+
+def table_at(spark: SparkSession, folder: str, columns: StructType, place: Place) -> DataFrame:
+    paths = paths_of(place)
+    return spark.read.schema(columns).parquet(*(f"{folder}/{p}" for p in paths)) if paths else spark.createDataFrame([], columns)
+
+
+#: Where a table lies: one path, or paths by the name of a part, such as a day.
+Place = str | dict[str, list[str]]
+
 #: Seconds after which the claim of a writer that hasn't come to its end no longer holds.
 LEASE = 900
 
@@ -140,14 +154,14 @@ def _number(name: str) -> int:
     return int(name.split(".")[0].split("-")[1])
 
 
-def current_version(spark: SparkSession, folder: str) -> tuple[int, dict[str, str]]:
+def current_version(spark: SparkSession, folder: str) -> tuple[int, dict[str, Place]]:
     """Number of the last complete version, and where each of its tables lies below `folder`; 0 and none before the first."""
     fs, path = _file_system(spark, folder)
     known = sorted(map(_number, _named(fs, path, folder, "version-*.json")))
     return (known[-1], _places(spark, folder, known[-1])) if known else (0, {})
 
 
-def _places(spark: SparkSession, folder: str, version: int) -> dict[str, str]:
+def _places(spark: SparkSession, folder: str, version: int) -> dict[str, Place]:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/version-{version}.json").collect()))["tables"]  # a line
 
 
@@ -205,20 +219,32 @@ def write_version(tables: Mapping[str, DataFrame], folder: str, lease: float = L
     own = {name: f"version={began + 1}-{uuid.uuid4().hex[:8]}/{name}.parquet" for name in tables}
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{own[name]}")
+
+    def placed(version: int, places: dict[str, Place]) -> dict[str, Place]:
+        if {name: places.get(name) for name in tables} != before:
+            raise RuntimeError(f"another writer has written version {version} of {folder} with tables of this one")
+        return places | own
+
+    return commit(spark, folder, placed, list(own.values()), lease, tries)
+
+
+def commit(spark: SparkSession, folder: str, edit: Callable[[int, dict[str, Place]], dict[str, Place]], own: list[str], lease: float = LEASE, tries: int = 5) -> int:
+    """Makes the next version from what `edit` gives for the current one and its number, with paths `own` that this writer has written. Where another writer comes first,
+    `edit` is asked again, on top of that one's version; it raises if that stands in its way."""
+    fs, path = _file_system(spark, folder)
     for _ in range(tries):
         now, places = current_version(spark, folder)
-        if {name: places.get(name) for name in tables} != before:
-            raise RuntimeError(f"another writer has written version {now} of {folder} with tables of this one")
+        after = edit(now, places)
         version = now + 1
         if not _claim(fs, path, folder, version, lease):
             if current_version(spark, folder)[0] > now:
                 continue
             raise RuntimeError(f"another writer has claimed version {version} of {folder}")
-        if not all(fs.exists(path(f"{folder}/{p}")) for p in own.values()):
+        if not all(fs.exists(path(f"{folder}/{p}")) for p in own):
             raise RuntimeError(f"tables of version {version} of {folder} were removed while they were written")
         new = path(f"{folder}/writing-{version}-{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(json.dumps({"version": version, "tables": places | own}).encode())
+        out.write(json.dumps({"version": version, "tables": after}).encode())
         out.close()
         done = _move(spark, fs, new, path(f"{folder}/version-{version}.json"))
         if done:
@@ -237,7 +263,7 @@ def pin(spark: SparkSession, folder: str, seconds: float = 3600) -> tuple[Catalo
         name = f"pin-{version}-{_file_time(fs, path, folder) + int(seconds * 1000)}-{uuid.uuid4().hex}"
         fs.create(path(f"{folder}/{name}"), True).close()
         if not version or fs.exists(path(f"{folder}/version-{version}.json")):  # else removed before the pin was there
-            return Catalog(spark, {n: spark.read.schema(schema(n)).parquet(f"{folder}/{p}") for n, p in places.items() if n in _DDL}), name
+            return Catalog(spark, {n: table_at(spark, folder, schema(n), p) for n, p in places.items() if n in _DDL}), name
         unpin(spark, folder, name)
 
 
@@ -260,17 +286,22 @@ def remove_old_versions(spark: SparkSession, folder: str, lease: float = LEASE)
             pinned.add(_number(name))
         else:
             unpin(spark, folder, name)
-    used = {p.split("/")[0] for p in places.values()}
+    used = {path for place in places.values() for path in paths_of(place)}
     for name in _named(fs, path, folder, "version-*.json"):
         n = _number(name)
         if n in pinned:
-            used |= {p.split("/")[0] for p in _places(spark, folder, n).values()}
+            used |= {path for place in _places(spark, folder, n).values() for path in paths_of(place)}
         elif n != version:
             fs.delete(path(f"{folder}/{name}"), False)
+    tops = {p.split("/")[0] for p in used}
+    for status in fs.globStatus(path(f"{folder}/version=*/*/day=*")) or []:  # days that were dropped
+        part = "/".join(status.getPath().toString().split("/")[-3:])
+        if part.split("/")[0] in tops and part not in used and "/".join(part.split("/")[:2]) not in used and int(part[8:].split("-")[0]) <= version:
+            fs.delete(status.getPath(), True)
     for status in fs.listStatus(path(folder)):
         name = status.getPath().getName()
         old = now - status.getModificationTime() >= lease * 1000
-        if name.startswith("version=") and name not in used and int(name[8:].split("-")[0]) <= version:
+        if name.startswith("version=") and name not in tops and int(name[8:].split("-")[0]) <= version:
             fs.delete(status.getPath(), True)
         elif name.startswith("claim-") and (_number(name) <= version or old):
             fs.delete(status.getPath(), False)

@@ -16,6 +16,7 @@ from ..operators import pairs as P
 from ..operators import predicates as p
 from ..operators.search_index import bm25, expand, match_tokens, native_hits, native_ids, search, search_terms, union_first_wins
 from .asset_query import in_volumes, live_assets
+from .keyset import OrderedPages
 
 _BOOLEANS = ("hasWatermark", "containsBrandLogo", "hasFocalPoint", "unprocessed", "hasTextInImage", "missingAltText")
 # Presets that requests may name.
@@ -194,6 +195,11 @@ def page(catalog: Catalog, filters: Mapping[str, Any], config: EngineConfig = En
     return rows.orderBy("k1", "k2", "id").offset(filters.get("offset", 0)).limit(limit), rows.agg(F.count("*").alias("total"))
 
 
+def keep_pages(catalog: Catalog, filters: Mapping[str, Any], folder: str, config: EngineConfig = EngineConfig(), index: DataFrame | None = None, blocks: int | None = None) -> OrderedPages:
+    """All that match, in the order of `page`, for pages by key or by number that read what they show."""
+    return OrderedPages(catalog.spark, folder, ["k1", "k2", "id"]).write(ordered(catalog, filters, config, index, exact=True), blocks)
+
+
 def order_by_list(df: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
     """Rows of a given list of ids, in its order."""
     order = df.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(ids)], f"{key} long, position int")

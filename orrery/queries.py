@@ -27,6 +27,7 @@ from .operators import search_index as SIX
 from .operators import search_store as SS
 from .operators import statistics as ST
 from .plans import faceted as FC
+from .plans import keyset as KS
 from .plans.asset_query import AssetQuery, source
 from .plans.panel import asset_panel, brand_names, similar_top, top_tags
 from .schemas import orphans
@@ -201,6 +202,18 @@ on_catalog("page_latest_processed", "SELECT a.id, row_number() OVER (ORDER BY l.
     lambda c: _positions(FC.page(c, FC.parse_request({"offset": "10", "limit": "25"}))[0], 25, "k1", "k2", "id")
 )
 on_catalog("page_total", "SELECT count(*) AS total FROM assets a WHERE a.dateDeleted IS NULL AND a.kind = 'image' AND a.size >= 1048576")(lambda c: FC.page(c, {"fileSizePreset": "1"})[1])
+
+
+@on_catalog("page_deep", "SELECT a.id, row_number() OVER (ORDER BY l.processedAt DESC NULLS LAST, a.id) - (count(*) OVER ()) // 2 AS position FROM assets a LEFT JOIN analyses l ON l.assetId = a.id WHERE a.dateDeleted IS NULL AND a.kind = 'image' QUALIFY position BETWEEN 1 AND 100")
+def page_deep(c: Catalog) -> DataFrame:
+    """The page in the middle, found by the directory of blocks, and the one after it, by the key of its last row."""
+    kept = FC.keep_pages(c, {}, shared_folder(c.spark, "pages"), blocks=16)
+    middle = kept.at(kept.total() // 2, 50)
+    last = middle.select(*kept.keys).tail(1)
+    both = middle.union(kept.page(50, KS.key_of(KS.token_of(kept.keys, last[0])))) if last else middle
+    return _positions(both, 100, *kept.keys)
+
+
 on_catalog("sort_cluster", f"""WITH e AS (SELECT x AS id, least(x, y) AS k FROM {_UNRESOLVED} UNION ALL SELECT y, least(x, y) FROM {_UNRESOLVED}), m AS (SELECT id, min(k) AS k FROM e GROUP BY id)
 SELECT a.id, row_number() OVER (ORDER BY m.k, a.id) AS position FROM assets a JOIN m USING (id) WHERE a.dateDeleted IS NULL AND a.kind = 'image' QUALIFY position <= 100""")(lambda c: _positions(FC.page(c, {"hasDuplicates": True, "limit": 100})[0], 100, "k1", "k2", "id"))
 for _sort, (_column, _direction) in FC.SORTS.items():
@@ -522,6 +535,27 @@ on_catalog("queue_info", "SELECT count(*) FILTER (assetId % 3 <> 0) AS pending,
 on_catalog("log_page", "SELECT id, level, category, message, assetId, dateCreated FROM logs WHERE level = 'error' ORDER BY dateCreated DESC, id DESC LIMIT 50 OFFSET 50")(lambda c: LG.log_page(c.logs, 2, level="error"))
 on_catalog("log_page_model", "SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS pages, 51::BIGINT AS first, least(count(*), 100) AS last FROM logs WHERE level = 'error'")(lambda c: LG.page_model(c.logs, 2, level="error"))
 on_catalog("log_retention", "SELECT level, count(*) AS n FROM logs WHERE dateCreated >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY level")(lambda c: LG.retained(c.logs, datetime(2024, 2, 19, 12)).groupBy("level").agg(F.count("*").alias("n")))
+
+
+@on_catalog("log_page_by_key", "SELECT id, row_number() OVER (ORDER BY dateCreated DESC, id DESC) AS position FROM logs WHERE level = 'error' QUALIFY position <= 100")
+def log_page_by_key(c: Catalog) -> DataFrame:
+    """Two pages of one level, the second after the key of the first one's last row."""
+    kept = LG.keep_pages(c.logs, shared_folder(c.spark, "log-pages"), 16)
+    first = kept.page(50, where=LG.level_is("error"))
+    last = first.select(*kept.keys).tail(1)
+    return _positions(first.union(kept.page(50, list(last[0]), LG.level_is("error"))) if last else first, 100, *kept.keys)
+
+
+@on_catalog("log_retention_by_day", "SELECT id, level, dateCreated FROM logs WHERE dateCreated >= TIMESTAMP '2024-01-20 12:00:00'")
+def log_retention_by_day(c: Catalog) -> DataFrame:
+    """A log that came in two additions, and has lost its old days: only the day of the limit was written again."""
+    folder = shared_folder(c.spark, "log-days")
+    for part in (0, 1):
+        LG.append_days(c.logs.where(F.col("id") % 2 == part), folder)
+    LG.drop_expired(c.spark, folder, datetime(2024, 2, 19, 12))
+    return LG.read_days(c.spark, folder).select("id", "level", "dateCreated")
+
+
 on_catalog("log_json_context", "SELECT level, CAST(sum(CAST(context->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM logs GROUP BY level")(lambda c: c.logs.groupBy("level").agg(F.sum(F.get_json_object("context", "$.k").cast("long")).alias("total")))
 
 # --- Windows, labels, scalars ---------------------------------------------------------------------------------------------
