@@ -1,11 +1,11 @@
 """A two-way exchange of packed hashes between groups of documents and hash shards.
 
-Documents are dealt to groups by a hash of their id; a group's text fits in a Python worker.
+Documents are dealt to groups by a hash of their id and text; a group's text fits in a Python worker.
 A group packs the hashes it wants to know something about into one blob for each shard, the
 shard answers each blob, and the answers return to the group, where they are read in the order in
 which the hashes were sent. Only hashes and answers of a bit or a byte travel, a hot hash
-counts once for each group that holds it, and no shard or group grows with the corpus: their
-numbers do, and so do the numbers of tasks, since both are dealt to as many partitions as there are of them.
+counts once for each group that holds it, and shards and groups grow with the square root of the corpus at most: their
+numbers grow with it, and so do those of tasks, since both are dealt to as many partitions as there are of them.
 The documents themselves travel as compressed batches, of those that an input batch has for one group.
 
 All steps of an operator form one lazy query, so that the documents are dealt out once (Spark
@@ -14,6 +14,7 @@ reuses the exchange) and a lost executor's part is recomputed from the source.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,12 +78,19 @@ def _rows(packed: pa.Table, schema: pa.Schema) -> pa.Table:
     return table.append_column(GROUP, pa.array(np.full(table.num_rows, packed.column(GROUP)[0].as_py(), np.int32)))
 
 
-def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id") -> Dealt:
-    """Numbers of groups and shards follow the bytes of text, so that either holds about as much at every size."""
+def group_count(size: int, least: int, group_bytes: int) -> int:
+    """Groups, and shards, for so many bytes of text. Their product is the number of blobs, so groups grow with the square root of the text where that is more than `group_bytes`
+    (16 MB from 64 GB on; 640 MB at 100 TB): blobs then grow no faster than the text, one for each 4 KB."""
+    return max(least, math.ceil(size / max(group_bytes, 64 * math.sqrt(size)))) if size else least
+
+
+def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id", by_text: bool = True) -> Dealt:
+    """Numbers of groups and shards follow the bytes of text. Rows of one id are spread by their texts, or only those without an id if not `by_text`."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(parts, -(-size // group_bytes))
-    group = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
+    n = group_count(size, parts, group_bytes)
+    spread = F.col(text) if by_text else F.when(F.col(key).isNull(), F.col(text))
+    group = F.pmod(F.xxhash64(F.col(key).cast("string"), spread), F.lit(n)).cast("int")
     schema, ids = to_arrow_schema(docs.schema), docs.sparkSession.sparkContext.broadcast(even_ids(n))
 
     def run(batches):

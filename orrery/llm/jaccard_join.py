@@ -75,7 +75,7 @@ def _least_overlap(size: int, num: int, den: int) -> int:
 
 def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """A row for each document; those that stand for their set and may have a partner carry its leading columns and all columns that others share."""
-    dealt = X.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"))
+    dealt = X.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"), by_text=False)
     shards = dealt.shards
 
     def parts(table: pa.Table):
@@ -93,7 +93,9 @@ def incidence(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if len(sets[i]):
                 lead.setdefault(s, i)
         at = np.fromiter(lead.values(), np.int64, len(lead))
-        rows, sent = X.pack(shards, group, 1, signs[at], np.uint64, ids[at])
+        # One row stands for a set: rows without an id lie in several groups, and are told apart by their texts.
+        own = np.where(ids == _NULL_ID, _NULL_ID + (marks.to_numpy().view(np.uint64) >> np.uint64(12)).astype(np.int64), ids)
+        rows, sent = X.pack(shards, group, 1, signs[at], np.uint64, own[at])
         return marks, ids, sets, signs, at, rows, sent
 
     def ask_signs(group: int, table: pa.Table, _):

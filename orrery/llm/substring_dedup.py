@@ -134,7 +134,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, period: int | None =
         parts = _parts(table, window, period)
         starts, h, d, row, order, new, lead, _, sent = second_step(table.column(X.GROUP)[0].as_py(), parts, replies)
         # A window stays if it is the first of its row, its id is the least of its group, and no other group has it
-        # in a smaller document. Rows of one id share a group.
+        # in a smaller document. Rows of one id may lie in several groups; the shard tells each of them that its id is the least.
         first = np.zeros(len(h), bool)
         if len(h):
             told = X.unpack(replies, 2, sent)[np.searchsorted(lead, order[new])]

@@ -74,3 +74,68 @@ def test_columns_of_any_type_pass_through(spark):
     assert [(r.n_lines, r.n_dropped, r.text) for r in got] == [(2, 0, "one line that is long\nx"), (1, 1, "")]
     keep = [c for c in df.columns if c != "text"]
     assert [tuple(r[c] for c in keep) for r in got] == [tuple(r[c] for c in keep) for r in sorted(df.collect())]
+
+
+def test_blobs_at_100_tb():
+    from orrery.llm import exchange as X
+
+    assert X.group_count(0, 8, 16 << 20) == X.group_count(100 << 20, 8, 16 << 20) == 8 and X.group_count(30 << 30, 8, 16 << 20) == 1920
+    before = 0
+    for size in (10**9, 10**10, 10**11, 10**12, 10**13, 10**14):
+        n = X.group_count(size, 8, 16 << 20)
+        assert before < n and n * n <= max(size / 4096 * 1.001, (size / (16 << 20) + 1) ** 2)
+        before = n
+    assert 150_000 < n < 160_000 and 10**14 / n < 700 << 20
+
+
+def test_rows_without_an_id_lie_in_all_groups(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.llm import exchange as X
+
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text of its own "), "id").alias("text"))
+    for by_text in (True, False):
+        dealt = X.deal(df, group_bytes=2_000, by_text=by_text)
+        rows = X.finish(dealt, X.answer(dealt, X.ask(dealt, lambda group, table, _: [(0, group, 1, b"", b"")]), lambda keys, aux: [b""] * len(keys)), lambda table, replies: table.select([X.GROUP]), f"{X.GROUP} int")
+        sizes = [r["count"] for r in rows.groupBy(X.GROUP).count().collect()]
+        assert dealt.groups > 15 and len(sizes) == dealt.groups and max(sizes) < 5 * 2000 / dealt.groups
+
+
+def test_results_do_not_depend_on_groups_of_rows_without_an_id(spark, monkeypatch):
+    """Rows of no id and of one id, in 4 and in 40 groups: windows, lines and sets are judged alike."""
+    import re
+
+    from orrery.llm import exchange as X
+    from orrery.llm.jaccard_join import similarity_groups
+    from orrery.llm.line_dedup import dedup_lines
+    from orrery.llm.substring_dedup import dedup_substrings
+
+    rng = np.random.default_rng(8)
+    shared = [" ".join(f"s{k}w{j}" for j in range(30)) for k in range(6)]
+    rows = []
+    for i in range(240):
+        own = " ".join(f"o{i}x{j}" for j in range(int(rng.integers(0, 12))))
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 and i < 60 else i, f"{own}\n{shared[i % 6]}" if i % 5 else shared[i % 6].upper() if i % 2 else shared[i % 6]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = lambda i: -(2**63) if i is None else i
+    count, got = X.group_count, []
+    for n in (4, 40):
+        monkeypatch.setattr(X, "group_count", lambda size, least, group_bytes, n=n: n)
+        a = sorted((rank(r.doc_id), r.n_words, r.n_removed, r.text) for r in dedup_substrings(df).collect())
+        b = sorted((rank(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df).collect())
+        c = sorted((rank(r.doc_id), r.n_shingles, rank(r.component_id)) for r in similarity_groups(df).collect())
+        got.append((a, b, c))
+    assert got[0] == got[1] and count is not X.group_count
+    first: dict[str, int] = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first[x.lower()] = min(first.get(x.lower(), 2**63), rank(i))
+    keep = sorted((rank(i), "\n".join(x for x in t.split("\n") if len(x) < 10 or first[x.lower()] == rank(i))) for i, t in rows)
+    assert keep == [(i, t) for i, _, _, t in got[0][1]]
+    windows: dict[tuple, int] = {}
+    words = [(rank(i), re.findall(r"\S+", t)) for i, t in rows]
+    for i, w in words:
+        for j in range(len(w) - 19):
+            windows[tuple(w[j : j + 20])] = min(windows.get(tuple(w[j : j + 20]), 2**63), i)
+    gone = sorted((i, len(w), len({k for j in range(len(w) - 19) if windows[tuple(w[j : j + 20])] < i for k in range(j, j + 20)})) for i, w in words)
+    assert gone == sorted(x[:3] for x in got[0][0])
