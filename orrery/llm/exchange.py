@@ -79,9 +79,9 @@ def _rows(packed: pa.Table, schema: pa.Schema) -> pa.Table:
 
 
 def group_count(size: int, least: int, group_bytes: int) -> int:
-    """Groups, and shards, for so many bytes of text. Their product is the number of blobs, so groups grow with the square root of the text where that is more than `group_bytes`
-    (16 MB from 64 GB on; 640 MB at 100 TB): blobs then grow no faster than the text, one for each 4 KB."""
-    return max(least, math.ceil(size / max(group_bytes, 64 * math.sqrt(size)))) if size else least
+    """Groups, and shards, for so many bytes of text. Their product is the number of blobs, so from 4096 groups on their size grows with the square root of the text
+    (16 MB up to 64 GB, 640 MB at 100 TB): blobs then grow no faster than the text, one for each 4 KB."""
+    return max(least, math.ceil(size / (group_bytes * max(1.0, math.sqrt(size / (4096 * group_bytes))))))
 
 
 def deal(docs: DataFrame, *, group_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id", by_text: bool = True) -> Dealt:
