@@ -121,6 +121,55 @@ def _close_by_blocks(rep: DataFrame, threshold: int, n: int, block: int) -> Data
     return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, hammingDistance int")
 
 
+def packed(bits: Column, n: int) -> Column:
+    """A text of 0 and 1 as bytes, four for each 32 bits."""
+    return F.unhex(F.array_join(F.transform(bits_to_limbs(bits, n), lambda x: F.lpad(F.hex(x), _LIMB, "0")), ""))
+
+
+def bands_are_selective(threshold: int, bits: int, together: int) -> bool:
+    """Whether keys of bands give fewer candidates than comparing all pairs in blocks costs, as in `bands_together`; the number of hashes doesn't matter."""
+    return comb(threshold + together, together) / 2.0 ** (together * bits / (threshold + together)) <= 1 / 50
+
+
+def close_to_new(new: DataFrame, old: DataFrame, threshold: int, bits: int, block: int = 8192) -> DataFrame:
+    """x, y (packed) and hammingDistance: close pairs, each once, of which one at least is new. `new`, `old`: hash, distinct texts of 0 and 1.
+
+    Hashes are dealt to blocks of a fixed size, a row of bytes each; every pair of blocks is compared by itself, so that a task holds two blocks and close pairs leave it as they are found.
+    """
+    n, m = -(-new.count() // block), -(-old.count() // block)
+    width, words = 4 * -(-bits // 32), np.dtype(">u4" if -(-bits // 32) % 2 else ">u8")
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("hammingDistance", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for i, j, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x, y = (np.frombuffer(b, words).astype(words.newbyteorder("=")).reshape(-1, width // words.itemsize) for b in (left, right))
+                raw = [np.frombuffer(b, f"V{width}") for b in (left, right)]
+                step = max(1, (1 << 18) // len(y))
+                for at in range(0, len(x), step):
+                    d = np.bitwise_count(x[at : at + step, 0][:, None] ^ y[:, 0][None, :]).astype(np.uint16 if bits > 255 else np.uint8, copy=False)
+                    for k in range(1, x.shape[1]):
+                        d += np.bitwise_count(x[at : at + step, k][:, None] ^ y[:, k][None, :])
+                    p, q = np.nonzero(d <= threshold)
+                    if i == j:
+                        p, q = p[p + at < q], q[p + at < q]
+                    if len(p):
+                        sides = [pa.Array.from_buffers(pa.binary(width), len(p), [None, pa.py_buffer(r.tobytes())]).cast(pa.binary()) for r in (raw[0][p + at], raw[1][q])]
+                        yield pa.RecordBatch.from_arrays([*sides, pa.array(d[p, q].astype(np.int32))], schema=schema)
+
+    def blobs(hashes: DataFrame, count: int, first: int) -> DataFrame:
+        dealt = hashes.select(F.hex(packed(F.col("hash"), bits)).alias("h"), (first + F.pmod(F.xxhash64("hash"), F.lit(max(1, count)))).cast("int").alias("j"))
+        return dealt.groupBy("j").agg(F.unhex(F.array_join(F.collect_list("h"), "")).alias("blob"))
+
+    # A hash that is new lies in blocks 0 to n - 1; each of these meets the new ones from itself on, and all old ones.
+    own = blobs(new, n, 0)
+    left = own.select(F.col("j").alias("i"), F.explode(F.sequence("j", F.lit(n + m - 1))).alias("j"), F.col("blob").alias("left"))
+    later = own.select(F.explode(F.sequence(F.lit(0), F.col("j"))).alias("i"), "j", F.col("blob").alias("right"))
+    stored = blobs(old, m, n).select(F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("i"), "j", F.col("blob").alias("right"))
+    both = left.join(later.unionByName(stored), ["i", "j"]).select("i", "j", "left", "right")
+    return both.repartition(max(1, n * (n + 1) // 2 + n * m), "i", "j").mapInArrow(run, "x binary, y binary, hammingDistance int")
+
+
 def close_representatives(rep: DataFrame, threshold: int, bits: int, block: int = 2048) -> DataFrame:
     """Pairs (a < b) of distinct hashes within `threshold` bits: by keys of as many bands as make them selective, or all in blocks where none do."""
     n = rep.count()

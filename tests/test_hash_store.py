@@ -52,3 +52,30 @@ def test_empty(spark, tmp_path):
     assert kept.update(spark.createDataFrame([], "assetId long, hash string"), 1) and kept.pairs().collect() == []
     with pytest.raises(ValueError):
         HashStore(spark, str(tmp_path / "h"), 8, 8)
+
+
+def test_bands_that_select_nothing_are_not_joined(spark, tmp_path):
+    """64 bits within 20: bands of six bits gave 231 rows a hash and more candidates than there are pairs."""
+    rng = random.Random(5)
+    rows = [(i, format(rng.getrandbits(64), "064b")) for i in range(400)]
+    df = spark.createDataFrame(rows, "assetId long, hash string")
+    kept = HashStore(spark, str(tmp_path / "h"), 64, 20)
+    assert not kept.banded and HashStore(spark, str(tmp_path / "i"), 256, 10).banded
+    for number in (1, 2):
+        kept.update(df.where(F.col("assetId") % 2 == number - 1), number)
+    assert kept.bands.last() is None
+    found = sorted((r.canonicalAssetId, r.duplicateAssetId, r.hammingDistance) for r in kept.pairs().collect())
+    want = [(a, b, d) for a, h in rows for b, g in rows if a < b and (d := (int(h, 2) ^ int(g, 2)).bit_count()) <= 20]
+    assert found == sorted(want) and len(want) > 50
+    small = D.close_to_new(df.where("assetId < 150").select("hash"), df.where("assetId >= 150").select("hash"), 20, 64, block=32)
+    assert small.count() == sum(a < 150 for a, _, _ in want) == small.distinct().count()
+
+
+def test_blocks_of_odd_widths(spark):
+    rng = random.Random(6)
+    for bits, threshold in ((32, 9), (96, 36), (256, 110)):
+        hashes = sorted({format(rng.getrandbits(bits), f"0{bits}b") for _ in range(120)})
+        df = spark.createDataFrame([(h,) for h in hashes], "hash string")
+        found = sorted((*sorted((bytes(r.x).hex(), bytes(r.y).hex())), r.hammingDistance) for r in D.close_to_new(df, df.limit(0), threshold, bits, 50).collect())
+        want = [(*sorted((format(int(h, 2), f"0{bits // 4}x"), format(int(g, 2), f"0{bits // 4}x"))), d) for i, h in enumerate(hashes) for g in hashes[i + 1 :] if (d := (int(h, 2) ^ int(g, 2)).bit_count()) <= threshold]
+        assert found == sorted(want) and want
