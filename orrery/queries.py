@@ -601,7 +601,7 @@ def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters of 640 by 640 repeated from the embeddings' 64 values: measured at 500 pixels, whole and by patches."""
     row = I.raster_column(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(I.tiled_sharpness_udf(row, F.lit(640)), 6).alias("sharpness"))
+    return table(spark, sf_dir, "embeddings").repartition(4 * spark.sparkContext.defaultParallelism).select("vec_id", F.round(I.tiled_sharpness_udf(row, F.lit(640)), 6).alias("sharpness"))
 
 
 @query("sha_of_files")
