@@ -17,6 +17,11 @@ def _sorted(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """By its keys, before they are grouped: in a split of a stored index, many millions of short rows, hardly two have the same keys, and a task that groups them first holds them all."""
+    return df.repartition(*keys)
+
+
 def _less_one(word: Column) -> Column:
     """The word and all it becomes less one letter after the second. Two words with the same first two letters that are one edit apart share one of these."""
     n = F.char_length(word)
@@ -34,7 +39,8 @@ class Dictionary:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def write(self, index: DataFrame) -> None:
-        tokens = index.where(F.col("token").isNotNull()).groupBy("token").agg(F.countDistinct("assetId").alias("df"))
+        held = index.where(F.col("token").isNotNull()).select("token", "assetId")
+        tokens = _dealt(held, "token", "assetId").distinct().groupBy("token").agg(F.count("assetId").alias("df"))
         _sorted(tokens, "token").write.mode("overwrite").parquet(f"{self.folder}/tokens")
         near = self.tokens().where(F.char_length("token") >= 3).select(F.explode(_less_one(F.col("token"))).alias("less"), "token")
         _sorted(near, "less", "token").write.mode("overwrite").parquet(f"{self.folder}/near")
@@ -131,7 +137,7 @@ class BoundedPostings:
 
     def write(self, index: DataFrame) -> None:
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1) * F.col("fieldWeight").cast("double")
-        own = index.where(F.col("token").isNotNull()).groupBy("token", "assetId").agg(F.sum(part).alias("part")).withColumn("block", F.floor(F.col("assetId") / self.block))
+        own = _dealt(index.where(F.col("token").isNotNull()), "token", "assetId").groupBy("token", "assetId").agg(F.sum(part).alias("part")).withColumn("block", F.floor(F.col("assetId") / self.block))
         _sorted(own.select("token", "block", "assetId", "part"), "token", "block", "assetId").write.mode("overwrite").parquet(f"{self.folder}/postings")
         heads = self.postings().groupBy("token", "block").agg(F.max("part").alias("top"), F.count("*").alias("n"))
         _sorted(heads, "token", "block").write.mode("overwrite").parquet(f"{self.folder}/heads")

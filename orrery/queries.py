@@ -248,7 +248,7 @@ def stored_doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def made_doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").alias("assetId"), F.explode(tokenize(F.col("text"))).alias("token"))
+    words = docs.select(F.col("doc_id").alias("assetId"), F.explode_outer(tokenize(F.col("text"))).alias("token")).where("token IS NOT NULL")  # a plain explode has texts tokenised for a filter on their number of words too
     # Words of a document are distinct; frequencies from 1 to 3 stand for those of stems.
     tf = (1 + (F.col("assetId") + F.char_length("token")) % 3).cast("int")
     return words.select("assetId", "token", tf.alias("tf"), F.lit(1).cast("decimal(3,2)").alias("fieldWeight"))
@@ -307,7 +307,10 @@ def tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_stats", f"SELECT count(*) AS postings, count(DISTINCT doc_id) AS docs, count(DISTINCT token) AS tokens FROM ({_TOKENS})")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_index(spark, sf_dir).agg(F.count("*").alias("postings"), F.countDistinct("assetId").alias("docs"), F.countDistinct("token").alias("tokens"))
+    """Of postings by token; how many documents have any is stored beside them."""
+    index, total = stored_doc_index(spark, sf_dir)
+    sizes = index.groupBy("token").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.count("*").alias("tokens"))
+    return sizes.crossJoin(F.broadcast(total)).select("postings", F.when(F.col("postings") > 0, F.col("n_assets")).otherwise(0).alias("docs"), "tokens")  # one row each
 
 
 @query("fuzzy_prefix", f"SELECT DISTINCT token FROM ({_TOKENS}) WHERE starts_with(token, 'ontio')")
