@@ -1,16 +1,16 @@
 """Numbered changes of clients, applied in sequence by a stateful stream.
 
-Changes arrive out of order and with gaps. A client's state is the number it waits for, its current values, and the changes that came too early
-(`MapState` from number to change). Every batch brings a clock, the largest day of earlier batches, to the clients known so far: their changes carry it, and those without a
-change in the batch get a row of their own. A client whose oldest early change has waited too long gives up the missing numbers and goes on with the smallest it holds.
+Changes arrive out of order and with gaps. A client's state is the number it waits for, its current values, and the changes that came too early.
+Every batch brings a clock, the largest day of earlier batches, to all clients. A client whose oldest early change has waited too long gives up the missing numbers and goes on with the
+smallest it holds.
 
-A client that was fed all numbers from 1 to its greatest can't hold any (whatever was fed is held or behind `next`, and a held `next` is applied), so its clock row would change nothing and is left out: a key costs
-Python most of a millisecond, whatever it does.
+A key costs Python most of a millisecond, whatever it does, and each of its looks into the store a tenth, so that clients share keys: a bucket has about 128 of them, by a hash. What they wait for is one value, their early changes a `MapState` from
+a block of 64 numbers to the changes of those numbers, and every bucket gets one clock row a batch.
 
 **What is prepared before the stream.** Numbers are dense ranks, found over ranges of (client, seq), so that a client with much of the table lies in many
 tasks. Of the changes of one batch that share client and number only the first can be held or applied; this is settled by an aggregate with partial sums before the
 stream, and the others go through it under keys of their own (`lane` > 0), spread over all tasks, as rejected. What is left for one client are distinct numbers, whose
-order within a batch no longer matters: they are read as an iterator and put into state, so memory does not grow with a client's changes, but for eight bytes for each
+order within a batch no longer matters: they are read as an iterator and put into state, of which 32 blocks are in memory at a time, so memory does not grow with a client's changes, but for twelve bytes for each
 held number while it gives up.
 
 **Defined results.** Rows equal in the nine columns count once, whatever other columns hold. A null change_id hashes as empty text, which vanishes. A null client is a client, a
@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 from itertools import chain, islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,16 +48,28 @@ def _out(change, client, status: str, batch: int, n: int, missed: int = 0, city=
     return Row(line=json.dumps({"change_id": change, "client_id": client, "status": status, "batch": batch, "missed": missed, "city": city, "cents": cents, "n": n, "op": op}))
 
 
+@dataclass(slots=True)
+class Client:
+    """The number it waits for; how many changes it holds, their least day (or an earlier one) and greatest number; current values."""
+
+    next: int = 1
+    waiting: int = 0
+    oldest: int = _ALWAYS
+    farthest: int = 0
+    city: str | None = None
+    cents: int | None = None
+
+
 class ChangeApplier(StatefulProcessor):
-    """One client: `held` has the changes that came too early, `client` what it waits for and its current values."""
+    """A bucket of clients: `clients` has them all, `held` the changes that came too early."""
 
-    def __init__(self, patience: int, chunk: int = 4096):
-        self.patience, self.chunk = patience, chunk
+    def __init__(self, patience: int, chunk: int = 4096, width: int = 64, blocks: int = 32):
+        self.patience, self.chunk, self.width, self.most = patience, chunk, width, blocks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "n long", "day int, change_id long, op string, city string, cents long")
-        # next; batch of the last clock; how many are held, their least day (or an earlier one) and greatest number; current values.
-        self.client = handle.getValueState("client", "next long, batch int, waiting long, oldest int, farthest long, city string, cents long")
+        # Rows of both are JSON: a row of columns for each client or change costs several times as much.
+        self.state = handle.getValueState("clients", "batch int, lines string")
+        self.held = handle.getMapState("held", "block long", "lines string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         lines = (json.loads(r.line) for r in rows)
@@ -64,74 +77,108 @@ class ChangeApplier(StatefulProcessor):
             for r in lines:
                 yield _out(r.get("change_id"), r.get("client_id"), "rejected", r["batch"], r["n"])
             return
-        found = self.client.get()
-        self.next, seen, self.waiting, self.oldest, self.farthest, self.city, self.cents = found or (1, 0, 0, _ALWAYS, 0, None, None)
         first = next(lines)
-        client, batch, changed = key[0], first["batch"], not found
-        if seen < batch and self.waiting and self.oldest + self.patience <= first["clock"]:
-            changed = True
-            yield from self._give_up(client, batch, first["clock"])
+        batch, clock = first["batch"], first["clock"]
+        seen, text = self.state.get() or (0, "[]")
+        self.clients = {key: Client(*values) for key, *values in json.loads(text)}
+        self.blocks, self.changed = {}, set()
+        if seen < batch:
+            for client, c in self.clients.items():
+                if c.waiting and c.oldest + self.patience <= clock:
+                    yield from self._give_up(client, c, batch, clock)
         lines = chain([first], lines)
         while part := list(islice(lines, self.chunk)):
-            new = {r["n"]: (r["day"], r["change_id"], r.get("op"), r.get("city"), r.get("cents")) for r in part if "n" in r}
-            changed = changed or bool(new)
-            # A number that is held or behind next is rejected; among the new ones each is the first of its number.
-            for n in [n for n in new if n < self.next or (self.waiting and n <= self.farthest and self.held.containsKey((n,)))]:
+            new = {}
+            for r in part:
+                if "n" in r:
+                    new.setdefault(r.get("client_id"), {})[r["n"]] = (r["day"], r["change_id"], r.get("op"), r.get("city"), r.get("cents"))
+            for client, own in new.items():
+                yield from self._take_in(client, self.clients.setdefault(client, Client()), batch, own)
+        self._save()
+        if self.clients:
+            self.state.update((batch, json.dumps([[key, *astuple(c)] for key, c in self.clients.items()])))
+
+    def _block(self, n: int) -> dict:
+        """The held changes of the block of a number, by client and number."""
+        b = n // self.width
+        if b not in self.blocks:
+            if len(self.blocks) >= self.most:
+                self._save()
+            found = self.held.getValue((b,))
+            self.blocks[b] = {(client, n): tuple(row) for client, n, *row in json.loads(found[0])} if found else {}
+        return self.blocks[b]
+
+    def _save(self) -> None:
+        for b in self.changed:
+            if self.blocks[b]:
+                self.held.updateValue((b,), (json.dumps([[*key, *row] for key, row in self.blocks[b].items()]),))
+            elif self.held.containsKey((b,)):
+                self.held.removeKey((b,))
+        self.blocks, self.changed = {}, set()
+
+    def _take_in(self, client, c: Client, batch: int, new: dict[int, tuple]) -> Iterator[Row]:
+        # A number that is held or behind next is rejected; among the new ones each is the first of its number.
+        for n in sorted(new):
+            if n < c.next or (c.waiting and n <= c.farthest and (client, n) in self._block(n)):
                 yield _out(new.pop(n)[1], client, "rejected", batch, n)
-            while new or self.waiting:
-                row = new.pop(self.next, None) or self._take(self.next)
-                if row is None:
-                    break
-                yield self._apply(client, batch, self.next, row)
-            for n, row in new.items():
-                self.held.updateValue((n,), row)
-                self.waiting, self.oldest, self.farthest = self.waiting + 1, min(self.oldest, row[0]), max(self.farthest, n)
-        if changed:
-            self.client.update((self.next, batch, self.waiting, self.oldest, self.farthest, self.city, self.cents))
-
-    def _take(self, n: int) -> tuple | None:
+        while new or c.waiting:
+            row = new.pop(c.next, None) or self._take(client, c, c.next)
+            if row is None:
+                break
+            yield self._apply(client, c, batch, c.next, row)
+        for n in sorted(new):
+            self._block(n)[client, n] = row = new[n]
+            self.changed.add(n // self.width)
+            c.waiting, c.oldest, c.farthest = c.waiting + 1, min(c.oldest, row[0]), max(c.farthest, n)
+
+    def _take(self, client, c: Client, n: int) -> tuple | None:
         """The held change of a number, which leaves the state."""
-        if not self.waiting or n > self.farthest:
+        if not c.waiting or n > c.farthest:
             return None
-        row = self.held.getValue((n,))
+        row = self._block(n).pop((client, n), None)
         if row is not None:
-            self.held.removeKey((n,))
-            self.waiting -= 1
-            if not self.waiting:
-                self.oldest, self.farthest = _ALWAYS, 0
+            self.changed.add(n // self.width)
+            c.waiting -= 1
+            if not c.waiting:
+                c.oldest, c.farthest = _ALWAYS, 0
         return row
 
-    def _apply(self, client, batch: int, n: int, row: tuple) -> Row:
+    def _apply(self, client, c: Client, batch: int, n: int, row: tuple) -> Row:
         _, change, op, city, cents = row
         if op in ("I", "D"):
-            self.city, self.cents = (city, cents) if op == "I" else (None, None)
+            c.city, c.cents = (city, cents) if op == "I" else (None, None)
         elif op == "U":
-            self.city, self.cents = self.city if city is None else city, self.cents if cents is None else cents
-        missed, self.next = n - self.next, n + 1
-        return _out(change, client, "applied", batch, n, missed, self.city, self.cents, op)
+            c.city, c.cents = c.city if city is None else city, c.cents if cents is None else cents
+        missed, c.next = n - c.next, n + 1
+        return _out(change, client, "applied", batch, n, missed, c.city, c.cents, op)
+
+    def _waiting(self, client, c: Client) -> Iterator[tuple[int, int]]:
+        """Number and day of what a client holds, in order of numbers."""
+        for start in range(c.next // self.width * self.width, c.farthest + 1, self.width):
+            block = self._block(start)
+            yield from [(n, block[client, n][0]) for n in range(start, start + self.width) if (client, n) in block]
 
-    def _give_up(self, client, batch: int, clock: int) -> Iterator[Row]:
+    def _give_up(self, client, c: Client, batch: int, clock: int) -> Iterator[Row]:
         """Jumps to the smallest held number while the oldest held change has waited too long: all up to the last that has, and what follows without a gap."""
-        both = np.fromiter(((n[0], row[0]) for n, row in self.held.iterator()), np.dtype("i8,i4"), self.waiting)
-        both.sort(order="f0")
+        both = np.fromiter(self._waiting(client, c), np.dtype("i8,i4"), c.waiting)
         late = both["f1"] + np.int64(self.patience) <= clock
         upto = int(both["f0"][late].max()) if late.any() else 0
         at = 0
         for n in both["f0"].tolist():
-            if n > upto and n != self.next:
+            if n > upto and n != c.next:
                 break
-            yield self._apply(client, batch, n, self._take(n))
+            yield self._apply(client, c, batch, n, self._take(client, c, n))
             at += 1
-        if self.waiting:
-            self.oldest = int(both["f1"][at:].min())
+        if c.waiting:
+            c.oldest = int(both["f1"][at:].min())
 
 
 def _day(hashed: Column) -> Column:
     return (F.unix_date(F.col("valid_at").cast("date")) + 9 * (hashed % 4)).cast("int")
 
 
-def prepare(changes: DataFrame, batches: int, start_day: int, days: int, patience: int) -> DataFrame:
-    """The rows of all batches (FEED): changes, of which the first of a client and number has lane 0, and the clock for the clients known before a batch that may hold a change.
+def prepare(changes: DataFrame, batches: int, start_day: int, days: int, patience: int, share: int = 128) -> DataFrame:
+    """The rows of all batches (FEED): changes, of which the first of a client and number has lane 0, and the clock for each bucket of about `share` clients.
 
     The batch after the last has the clock that no day exceeds.
     """
@@ -152,21 +199,20 @@ def prepare(changes: DataFrame, batches: int, start_day: int, days: int, patienc
         now = max(now, top.get(b, now))
     clocks[batches + 1] = _ALWAYS
     clock = lambda b: F.element_at(F.create_map(*[F.lit(x) for kv in clocks.items() for x in kv]), b)
+    clients = kept.agg(F.approx_count_distinct("client_id")).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-clients // share))
+    bucket = lambda client: F.pmod(F.xxhash64(client), F.lit(buckets))
     order = F.struct("day", "change_id", *[c for c in COLUMNS if c != "change_id"])
     key = ["client_id", "n", "batch"]
     first = kept.groupBy(*key).agg(F.min(order).alias("_first")).select(*[F.col(c).alias(f"_{c}") for c in key], "_first")
     same = [kept[c].eqNullSafe(first[f"_{c}"]) for c in key]
     rows = kept.join(first, same[0] & same[1] & same[2]).withColumn("_is", order.eqNullSafe(F.col("_first")))
     rows = rows.select(
-        F.when(F.col("_is"), F.col("client_id")).alias("who"), F.when(F.col("_is"), 0).otherwise(1 + F.pmod(F.xxhash64("change_id"), F.lit(1024))).cast("int").alias("lane"),
+        F.when(F.col("_is"), bucket("client_id")).alias("who"), F.when(F.col("_is"), 0).otherwise(1 + F.pmod(F.xxhash64("change_id"), F.lit(1024))).cast("int").alias("lane"),
         "batch", F.to_json(F.struct("client_id", "batch", clock(F.col("batch")).alias("clock"), "change_id", "n", "day", "op", "city", "cents")).alias("line"),
     )
-    # After each batch with new numbers: has the client been fed all up to its greatest?
-    fed = kept.groupBy("client_id", "n").agg(F.min("batch").alias("batch")).groupBy("client_id", "batch").agg(F.count("*").alias("k"), F.max("n").alias("m"))
-    by_batch = Window.partitionBy("client_id").orderBy("batch")  # a client has a row for each batch at most
-    gaps = fed.select("client_id", "batch", F.lead("batch", 1, batches + 1).over(by_batch).alias("until"), (F.sum("k").over(by_batch) < F.max("m").over(by_batch)).alias("gap"))
-    ticks = gaps.where("gap").select("client_id", F.explode(F.sequence(F.col("batch") + 1, F.col("until"))).alias("batch"))
-    ticks = ticks.select(F.col("client_id").alias("who"), F.lit(0).alias("lane"), "batch", F.to_json(F.struct("batch", clock(F.col("batch")).alias("clock"))).alias("line"))
+    ticks = spark.range(buckets).select(F.col("id").alias("who"), F.lit(0).alias("lane"), F.explode(F.sequence(F.lit(1), F.lit(batches + 1))).alias("batch"))
+    ticks = ticks.withColumn("line", F.to_json(F.struct("batch", clock(F.col("batch")).alias("clock"))))
     return rows.unionByName(ticks)
 
 

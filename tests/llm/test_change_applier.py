@@ -10,7 +10,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from orrery.llm.change_applier import COLUMNS, apply_changes
+from orrery.llm import change_applier
+from orrery.llm.change_applier import COLUMNS, ChangeApplier, apply_changes, prepare
 from orrery.llm.ranks import numbered
 
 SCHEMA = "change_id long, client_id long, seq long, op string, valid_at timestamp, source string, segment string, city string, balance double"
@@ -106,3 +107,19 @@ def test_numbers_of_a_hot_group(spark):
     out = numbered(spark.createDataFrame(rows, "g string, x long").repartition(7), ["g"], ["x"], "n")
     got = {(r.g, r.x): r.n for r in out.collect()}
     assert got == {(g, x): x + 1 if g != "b" else (1 if x is None else 2) for g, x in rows}
+
+
+def test_clients_share_keys_and_all_get_the_clock(spark):
+    rows = made(5, 300)
+    feed = prepare(spark.createDataFrame(rows, SCHEMA), 12, 19723, 160, 3).where("lane = 0").toPandas()
+    # A key costs as much as many rows: there are fewer of them than clients (here a hundred to a bucket), and each gets every batch's clock.
+    many = spark.range(20000).selectExpr("id change_id", "id client_id", "1L seq", "'I' op", "timestamp'2024-01-03' + make_interval(0, 0, 0, int(id % 90)) valid_at", "'' source", "'' segment", "'' city", "1D balance")
+    keys = prepare(many, 12, 19723, 160, 3).where("lane = 0").agg(F.count_distinct("who")).first()[0]
+    assert keys <= 20000 / 100
+    assert feed[~feed.line.str.contains('"n":')].groupby("who").batch.agg(sorted).map(lambda x: x == list(range(1, 14))).all()
+
+
+def test_few_blocks_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(change_applier, "ChangeApplier", lambda patience: ChangeApplier(patience, chunk=7, width=2, blocks=2))
+    rows = made(8, 400)
+    assert order(apply_changes(spark.createDataFrame(rows, SCHEMA)).collect()) == order(one_by_one(rows))
