@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -82,15 +82,45 @@ def step_status(status: str | None, previous: str | None, had: bool, event: str)
     return status, previous, had
 
 
-def _step_tables() -> dict[str, np.ndarray]:
-    """For each event the number of the state that follows each state: a sequence of events is the composition of its tables."""
+def _step_tables() -> dict[str, bytes]:
+    """For each event the number of the state that follows each state: a sequence of events is the composition of its tables, which `bytes.translate` makes."""
     number = {s: i for i, s in enumerate(STATES)}
 
     def after(state: tuple, event: str) -> int:
         s, p, had = step_status(STATE_NAMES[state[0]], STATE_NAMES[state[1]], bool(state[2]), event)
         return number[STATE_NAMES.index(s), STATE_NAMES.index(p), int(had)]
 
-    return {e: np.array([after(s, e) for s in STATES], np.int8) for e in EVENTS}
+    return {e: bytes(after(s, e) for s in STATES).ljust(256, b"\0") for e in EVENTS}
+
+
+def fold_batches(batches: Iterator, keys: list[str], part: int, most: int = 8192) -> Iterator:
+    """Arrow batches of keys and event, in order, as batches of keys, part and steps: rows of many keys to a batch, since a batch costs as much as a hundred rows."""
+    import pyarrow as pa
+
+    tables, n = _step_tables(), len(STATES)
+    same, own, steps = bytes(range(n)), None, b""
+    found: list[tuple[list, bytes]] = []
+
+    def rows():
+        flat = pa.array(np.frombuffer(b"".join(steps for _, steps in found), np.int8))
+        lists = pa.ListArray.from_arrays(pa.array(range(0, n * len(found) + 1, n), pa.int32()), flat)
+        own = [pa.array(c, pa.int64()) for c in zip(*(key for key, _ in found), strict=True)]
+        return pa.RecordBatch.from_arrays([*own, pa.array([part] * len(found), pa.int32()), lists], names=[*keys, "part", "steps"])
+
+    for batch in batches:
+        for *key, e in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True):
+            if key != own:
+                if own is not None:
+                    found.append((own, steps))
+                    if len(found) >= most:
+                        yield rows()
+                        found.clear()
+                own, steps = key, same
+            if e in tables:
+                steps = steps.translate(tables[e])
+    if own is not None:
+        found.append((own, steps))
+        yield rows()
 
 
 def fold_events(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -99,31 +129,17 @@ def fold_events(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Events are dealt out by ranges of key and order, so that those of one key may lie in many tasks; each task composes what it
     has, and a key's parts, one for each of its tasks, are composed in order. Unknown and null events change nothing, nor do those whose first key is null.
     """
-    import pyarrow as pa
-
-    tables, keys = _step_tables(), keys or ["assetId"]
-    names = [*keys, "part", "steps"]
+    keys = keys or ["assetId"]
 
     def run(batches):
-        part, own, steps = TaskContext.get().partitionId(), None, None
-        row = lambda: pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in own], pa.array([part], pa.int32()), pa.array([steps.tolist()], pa.list_(pa.int8()))], names=names)
-        for batch in batches:
-            for *key, e in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True):
-                if steps is None or key != own:
-                    if steps is not None:
-                        yield row()
-                    own, steps = key, np.arange(len(STATES), dtype=np.int8)
-                if e in tables:
-                    steps = tables[e][steps]
-        if steps is not None:
-            yield row()
+        return fold_batches(batches, keys, TaskContext.get().partitionId())
 
     given = events.select(*[F.col(k).cast("long") for k in keys], "event", F.col("seq").cast("long")).where(F.col(keys[0]).isNotNull())
     parts = given.repartitionByRange(*keys, "seq", "event").sortWithinPartitions(*keys, "seq", "event").mapInArrow(run, f"{', '.join(f'{k} long' for k in keys)}, part int, steps array<tinyint>")
     # At most one part for each task, in the order of the ranges.
     ordered = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "steps"))).alias("parts"))
-    same = F.array(*[F.lit(i).cast("tinyint") for i in range(len(STATES))])
-    return ordered.select(*keys, F.aggregate("parts", same, lambda now, part: F.transform(now, lambda s: F.element_at(part["steps"], s.cast("int") + 1))).alias("steps"))
+    rest = F.expr("slice(parts, 2, size(parts))")
+    return ordered.select(*keys, F.aggregate(rest, F.col("parts")[0]["steps"], lambda now, part: F.transform(now, lambda s: F.element_at(part["steps"], s.cast("int") + 1))).alias("steps"))
 
 
 def apply_events(analyses: DataFrame, events: DataFrame, at: Column | None = None) -> DataFrame:

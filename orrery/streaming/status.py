@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..segments import Segments
-from .events import STATE_NAMES, STATES, fold_events, state_number
+from .events import STATE_NAMES, fold_events, state_number
 
 _STATE = "status string, previous string, had boolean"
 _BEFORE_ALL = -(1 << 62)
@@ -61,13 +61,13 @@ class StatusFold:
             self.blocks.add(composed.unionByName(late.join(again, key).select(*key, "steps", "last")), number)
         touched = ends.select("assetId").distinct()
         parts = self.blocks.latest(number, touched).groupBy("assetId").agg(F.sort_array(F.collect_list(F.struct("block", "steps", "last"))).alias("parts"))
-        same = F.array(*[F.lit(i).cast("tinyint") for i in range(len(STATES))])
-        steps = F.aggregate("parts", same, lambda now, part: _compose(now, part["steps"]))
         seq = F.element_at("parts", -1)["last"]["seq"]
         known = self.states.latest(number - 1, touched).select("assetId", "start")
-        start = parts.select("assetId", steps.alias("steps"), seq.alias("lastSeq")).join(known, "assetId", "left")
+        start = parts.select("assetId", "parts", seq.alias("lastSeq")).join(known, "assetId", "left")
         before = lambda c: F.col("start")[c]
-        after = F.element_at("steps", (state_number(before("status"), before("previous"), F.coalesce(before("had"), F.lit(False))) + 1).cast("int")).cast("int")
+        # One state goes through the blocks: composing their tables would take as many times longer as there are states.
+        first = state_number(before("status"), before("previous"), F.coalesce(before("had"), F.lit(False))).cast("int")
+        after = F.aggregate("parts", first, lambda now, part: F.element_at(part["steps"], now + 1).cast("int"))
         name = lambda i: F.element_at(F.array(*[F.lit(x) for x in STATE_NAMES]), (i + 1).cast("int"))
         done = start.withColumn("_n", after).select("assetId", name(F.floor(F.col("_n") / 10)).alias("status"), name(F.floor(F.col("_n") / 2) % 5).alias("previous"), (F.col("_n") % 2 == 1).alias("had"), "start", "lastSeq")
         return self.states.add(done, number)

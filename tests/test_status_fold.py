@@ -118,3 +118,15 @@ def test_segments(spark, tmp_path):
     assert not put(3, (1, "late", None)) and put(6, (5, "e", None))
     with pytest.raises(ValueError):
         put(5, (1, "late", None))
+
+
+def test_rows_of_many_keys_share_a_batch():
+    import pyarrow as pa
+
+    keys = [i // 2 for i in range(20000)]
+    given = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 5000]), pa.array(["queue", "start"] * 2500)], names=["assetId", "event"]) for i in range(0, 20000, 5000)]
+    out = list(EV.fold_batches(iter(given), ["assetId"], 3))
+    assert len(out) <= 3 and [k for b in out for k in b.column(0).to_pylist()] == list(range(10000))
+    new, running = EV.STATES.index((0, 0, 0)), EV.STATES.index((2, 0, 0))
+    assert all(steps[new] == running and len(steps) == len(EV.STATES) for b in out for steps in b.column(2).to_pylist())
+    assert list(EV.fold_batches(iter([]), ["assetId"], 0)) == []
