@@ -2,7 +2,7 @@
 
 A key's state is a few numbers. Rows of a key are taken in the order of their times; a deadline that lies before the next row has passed by then, whether or not the watermark has reached it, so
 that results don't depend on how rows are cut in batches. Timers are for keys that hear nothing more. Rows later than the watermark are dropped by the stream. Of one batch the times and
-kinds of a key's rows are sorted in memory: `maxFilesPerTrigger` bounds a batch.
+kinds of a key's rows are sorted in memory, those of sessions as arrays of 24 bytes a row since a few sessions may have all rows: `maxFilesPerTrigger` bounds a batch.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -80,7 +82,7 @@ def stuck_rows(events: DataFrame, late: str = "1 hour", minutes: dict[str, int]
 
 
 class Sessions(StatefulProcessor):
-    """Polls of a bulk session: each keeps it alive for its time to live; its rate is sampled only when more has been completed since the last sample."""
+    """Polls of a bulk session, folded as arrays: each keeps it alive for its time to live; its rate is sampled only when more has been completed since the last sample."""
 
     def __init__(self, live: int):
         self.live = live * 1000
@@ -89,33 +91,51 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "started long, last long, polls long, completed long, recorded long, rate double")
 
-    def _ended(self, key: tuple) -> Row:
+    def _ended(self, key: tuple) -> tuple:
         started, last, polls, completed, _, rate = self.now
-        return Row(session=key[0], startedAt=_time(started), endedAt=_time(last + self.live), polls=polls, completed=completed, rate=rate)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return key[0], started, last + self.live, polls, completed, rate
+
+    @staticmethod
+    def _table(ended: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(ended, columns=["session", "startedAt", "endedAt", "polls", "completed", "rate"]).astype({"rate": "float64"})
+        return out.assign(**{c: pd.to_datetime(out[c], unit="ms", utc=True) for c in ("startedAt", "endedAt")})
+
+    def _take_in(self, ms: np.ndarray, done: np.ndarray) -> None:
+        """Polls of one session in their order. The rate is that of the last one after the start that found more completed than all before it: the first with the greatest sum."""
+        started, _, polls, completed, recorded, rate = self.now or (int(ms[0]), 0, 0, 0, 0, None)
+        sums = completed + np.cumsum(done)
+        found = np.where(ms > started, sums, np.iinfo(np.int64).min)
+        at = int(found.argmax())
+        if found[at] > recorded:
+            recorded = int(found[at])
+            rate = recorded * 1000 / (int(ms[at]) - started)
+        self.now = (started, int(ms[-1]), polls + len(ms), int(sums[-1]), recorded, rate)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.now = self.state.get()
-        had = self.now[1] + self.live if self.now else None
-        for ms, _, done in sorted((r.ms, r.seq, r.done) for r in rows):
-            if self.now and ms > self.now[1] + self.live:
-                yield self._ended(key)
+        had, ended = self.now[1] + self.live if self.now else None, []
+        ms, seq, done = (np.concatenate(c) for c in zip(*([part[c].to_numpy() for c in ("ms", "seq", "done")] for part in rows), strict=True))
+        order = np.lexsort((done, seq, ms))
+        ms, done = ms[order], done[order]
+        cuts = np.flatnonzero(np.diff(ms) > self.live) + 1
+        for own, more in zip(np.split(ms, cuts), np.split(done, cuts), strict=True):
+            if self.now and own[0] > self.now[1] + self.live:
+                ended.append(self._ended(key))
                 self.now = None
-            started, _, polls, completed, recorded, rate = self.now or (ms, ms, 0, 0, 0, None)
-            completed += done
-            if completed > recorded and ms > started:
-                recorded, rate = completed, completed * 1000 / (ms - started)
-            self.now = (started, ms, polls + 1, completed, recorded, rate)
+            self._take_in(own, more)
         end = self.now[1] + self.live
         if had is not None and had != end:
             self.handle.deleteTimer(had)
         if had != end:
             self.handle.registerTimer(end)
         self.state.update(self.now)
+        if ended:
+            yield self._table(ended)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.now = self.state.get()
         if self.now and self.now[1] + self.live <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._ended(key)
+            yield self._table([self._ended(key)])
             self.state.clear()
 
 
@@ -123,7 +143,7 @@ def sessions(polls: DataFrame, late: str = "1 hour", live: int = C.SESSION_TTL)
     """A stream of sessions that have ended: session, startedAt, endedAt, polls, completed, rate (a second). `polls`: session, at, seq, done (how many more are completed)."""
     own = polls.where(F.col("session").isNotNull() & F.col("at").isNotNull()).withWatermark("at", late)
     own = own.select("session", "at", "seq", F.coalesce(F.col("done"), F.lit(0)).cast("long").alias("done"), F.unix_millis("at").alias("ms"))
-    return own.groupBy("session").transformWithState(Sessions(live), "session long, startedAt timestamp, endedAt timestamp, polls long, completed long, rate double", "Append", "EventTime")
+    return own.groupBy("session").transformWithStateInPandas(Sessions(live), "session long, startedAt timestamp, endedAt timestamp, polls long, completed long, rate double", "Append", "EventTime")
 
 
 def run_slices(slices: list[DataFrame], process, home: str) -> DataFrame:

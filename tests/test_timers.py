@@ -69,3 +69,21 @@ def test_sessions(spark, tmp_path, cuts):
                 now |= {"recorded": now["completed"], "rate": now["completed"] / elapsed}
     got = sorted((r.session, r.startedAt, r.endedAt, r.polls, r.completed, r.rate and round(r.rate, 9)) for r in out.collect())
     assert got == sorted(want) and len(got) > 5
+
+
+def test_sessions_take_arrays_of_polls():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    now, timers = [None], []
+    s = TM.Sessions(3600)
+    s.handle = SimpleNamespace(registerTimer=timers.append, deleteTimer=timers.remove)
+    s.state = SimpleNamespace(get=lambda: now[0], update=lambda v: now.__setitem__(0, v), clear=lambda: now.__setitem__(0, None))
+    polls = lambda *rows: iter([pd.DataFrame([r], columns=["ms", "seq", "done"]) for r in rows])
+    # In any order; at the start nothing is sampled; what was undone isn't sampled again; a gap of exactly the time to live ends nothing.
+    assert list(s.handleInputRows((7,), polls((1000, 2, 0), (0, 1, 2), (0, 0, 1), (3000, 4, -1), (2000, 3, 1)), None)) == []
+    assert now[0] == (0, 3000, 5, 3, 4, 2.0) and timers == [3603000]
+    (out,) = s.handleInputRows((7,), polls((3603000, 5, 1), (7203001, 6, 0)), None)
+    assert out.drop(columns=["startedAt", "endedAt"]).values.tolist() == [[7, 6, 4, 2.0]] and out.endedAt[0] == pd.Timestamp(7203000, unit="ms", tz="UTC")
+    assert now[0] == (7203001, 7203001, 1, 0, 0, None) and timers == [10803001]
