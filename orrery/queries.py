@@ -610,7 +610,7 @@ def image_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sha_of_files")
 def sha_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every file of the tables."""
-    return I.read_images(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "fileContentHash")
+    return I.hash_files(spark, sf_dir, "*.parquet", shared_save(spark)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "fileContentHash")
 
 
 # --- Near duplicates --------------------------------------------------------------------------------------------------
