@@ -37,10 +37,14 @@ COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment
 FEED = "who long, lane int, batch int, line string"
 OUT = "change_id long, client_id long, status string, batch int, missed long, city string, cents long, n long, op string"
 _NEVER, _ALWAYS = -(2**31), 2**31 - 1
-#: Several state variables need RocksDB; executors drop the files of a start that has ended when they next look after their stores.
+#: Several state variables need RocksDB. A start looks into each partition's store once, so a store is closed with its task: open ones, with their threads and buffers, are
+#: as many as an executor has cores, not as many as it has partitions of this start and of those before. All share one bound. What a failed task leaves goes at the next look after the stores.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

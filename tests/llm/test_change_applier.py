@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -123,3 +124,11 @@ def test_few_blocks_in_memory(spark, monkeypatch):
     monkeypatch.setattr(change_applier, "ChangeApplier", lambda patience: ChangeApplier(patience, chunk=7, width=2, blocks=2))
     rows = made(8, 400)
     assert order(apply_changes(spark.createDataFrame(rows, SCHEMA)).collect()) == order(one_by_one(rows))
+
+
+def test_no_store_stays_open_after_its_task(spark):
+    jvm = spark._jvm.java.lang.ProcessHandle.current().pid()
+    files = lambda: [os.readlink(f"/proc/{jvm}/fd/{x}") for x in os.listdir(f"/proc/{jvm}/fd") if os.path.islink(f"/proc/{jvm}/fd/{x}")]
+    before = {x for x in files() if x.endswith("/LOCK")}
+    apply_changes(spark.createDataFrame(made(4, 60), SCHEMA))
+    assert not {x for x in files() if x.endswith("/LOCK")} - before
