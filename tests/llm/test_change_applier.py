@@ -130,5 +130,5 @@ def test_no_store_stays_open_after_its_task(spark):
     jvm = spark._jvm.java.lang.ProcessHandle.current().pid()
     files = lambda: [os.readlink(f"/proc/{jvm}/fd/{x}") for x in os.listdir(f"/proc/{jvm}/fd") if os.path.islink(f"/proc/{jvm}/fd/{x}")]
     before = {x for x in files() if x.endswith("/LOCK")}
-    apply_changes(spark.createDataFrame(made(4, 60), SCHEMA))
+    apply_changes(spark.createDataFrame(made(4, 60), SCHEMA), batches=1)
     assert not {x for x in files() if x.endswith("/LOCK")} - before
