@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import random
@@ -9,6 +10,7 @@ import zlib
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from orrery.llm import change_applier
@@ -132,3 +134,26 @@ def test_no_store_stays_open_after_its_task(spark):
     before = {x for x in files() if x.endswith("/LOCK")}
     apply_changes(spark.createDataFrame(made(4, 60), SCHEMA), batches=1)
     assert not {x for x in files() if x.endswith("/LOCK")} - before
+
+
+def test_no_store_opens_a_native_database(spark):
+    # Each RocksDB that is opened leaves its statistics in the executor's memory; it writes zip files, the store on the heap writes delta files.
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(root) for x in names if "/state/0/" in d and x[0] != "."}
+    before = files()
+    apply_changes(spark.createDataFrame(made(6, 60), SCHEMA), batches=1)
+    kinds = {os.path.splitext(x)[1] for x in files() - before}
+    assert ".delta" in kinds and ".zip" not in kinds
+
+
+def test_what_a_hot_client_holds_is_small():
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    n, state = 20000, State()
+    line = lambda i: json.dumps({"client_id": 1, "batch": 1, "clock": -(2**31), "change_id": 7 * i, "n": i, "day": 19723 + i % 9, "op": "U", "city": "Ilar", "cents": 31 * i})
+    out = list(ChangeApplier(3).step((0, 0), iter([pd.DataFrame({"line": [line(i) for i in range(2, n + 2)]})]), state))
+    assert not out and sum(map(len, state.value[2].values())) < 20 * n
