@@ -40,11 +40,12 @@ FEED = "who long, lane int, batch int, line string"
 OUT = "change_id long, client_id long, status string, batch int, missed long, city string, cents long, n long, op string"
 _NEVER, _ALWAYS = -(2**31), 2**31 - 1
 STATE = "batch int, clients string, held map<long, binary>"
-#: A start looks into each partition's store once, so that a store lives as long as its task and nothing of it is kept for later: in memory are as many as an executor has cores. Not RocksDB:
+#: A start looks into each partition's store once, so that a store is closed with its task, and its threads with it, and nothing of it is kept for later: in memory are as many as an executor has cores. Not RocksDB:
 #: for each store that it opens, so for each partition of each start, Spark leaves native statistics behind for good (0.5 MB on 8 CPUs).
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "spark.sql.streaming.maxBatchesToRetainInMemory": "0",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
